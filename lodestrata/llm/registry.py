@@ -13,6 +13,7 @@ from .jaccard_join import linked_components
 from .packing import pack
 from .scratch import table
 from .token_counts import count_tokens, tokenizer_path
+from .toxicity import learn, score_texts
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents"), n_words=4, percent=85)
 
@@ -39,7 +45,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op7_ngram_jaccard_join, op8_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op6_toxicity, op7_ngram_jaccard_join, op8_line_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
