@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import line_dedup, quality
+from .decontamination import contaminated
 from .fingerprints import compare_with_next
 from .jaccard_join import linked_components
 from .packing import pack
@@ -25,6 +26,18 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected documents.  Grades: 0 poor, 1 toxic but sound, 2 good; selected for a grade of 1 or more."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    graded = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    return quality.grade_texts(docs, quality.learn(docs, graded, 3)).where("selected")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark items, with the items."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, learn(docs, table(spark, sf_dir, "labels")))
@@ -45,7 +58,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op6_toxicity, op7_ngram_jaccard_join, op8_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_quality_classifier, op5_benchmark_decontamination, op6_toxicity, op7_ngram_jaccard_join, op8_line_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -74,7 +74,8 @@ def word_terms(texts: pa.Array, prefixes: tuple[int, ...] = (4, 5, 6, 7)) -> Ite
 
 def shape_terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of the texts: hashes of the words between white space as they stand, of their last three
-    bytes and of their shapes (runs of a kind of character count once); their rows; each row's words."""
+    bytes and of their shapes (runs of a kind of character count once), and one term for each word that
+    repeats the word before; their rows; each row's words."""
     for a, b in slices(texts):
         data, offsets = text_buffers(texts[a:b])
         starts, ends = runs(~_SPACE[data], offsets)
@@ -87,4 +88,6 @@ def shape_terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         place = np.concatenate(([0], np.cumsum(first)))
         shapes = Spans(kinds[first])
         hashes = [spans.hash(starts, ends, 1), spans.hash(np.maximum(starts, ends - 3), ends, 2), shapes.hash(place[starts], place[ends], 3)]
-        yield a, b - a, np.concatenate(hashes), np.concatenate([row] * 3), np.bincount(row, minlength=b - a)
+        again = np.flatnonzero((hashes[0][1:] == hashes[0][:-1]) & (row[1:] == row[:-1])) + 1
+        hashes.append(np.full(len(again), 0x3C6EF372FE94F82B, np.uint64))
+        yield a, b - a, np.concatenate(hashes), np.concatenate([row, row, row, row[again]]), np.bincount(row, minlength=b - a)
