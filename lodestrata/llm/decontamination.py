@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialise
-from .terms import Spans, _FOLD, letters, runs
+from .terms import Spans, fold, letters, runs
 from .words import shingle_hashes, slices, text_buffers
 
 WORDS = 5
@@ -62,7 +62,8 @@ class Canonical:
             inside[at] = True
         self.starts, self.ends = runs(inside, offsets)
         self.bounds = np.searchsorted(self.starts, offsets)
-        hashes = self.words = Spans(_FOLD[data]).hash(self.starts, self.ends, 0)
+        self.folded = fold(data)
+        hashes = self.words = Spans(self.folded).hash(self.starts, self.ends, 0)
         self.kinds = np.zeros(len(hashes), np.int8)
         if len(hashes):
             number = _DIGIT[data[self.starts]] & _DIGIT[data[self.ends - 1]]
@@ -85,7 +86,7 @@ class Canonical:
     @staticmethod
     def plain(words: tuple[str, ...]) -> np.ndarray:
         data, offsets = text_buffers(pa.array(words))
-        return Spans(_FOLD[data]).hash(offsets[:-1], offsets[1:], 0)
+        return Spans(fold(data)).hash(offsets[:-1], offsets[1:], 0)
 
     def windows(self, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, text and first word of each whole window of plain or canonical words."""
@@ -97,7 +98,7 @@ class Canonical:
 
     def slots(self, first: int) -> list[tuple[int, str]]:
         """The placeholders in the window at ``first``: offset and the word in lower case."""
-        return [(k, bytes(_FOLD[self.data[self.starts[first + k] : self.ends[first + k]]]).decode("utf-8", "replace")) for k in range(WORDS) if self.kinds[first + k]]
+        return [(k, bytes(self.folded[self.starts[first + k] : self.ends[first + k]]).decode("utf-8", "replace")) for k in range(WORDS) if self.kinds[first + k]]
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import line_dedup, quality
 from .decontamination import contaminated
 from .fingerprints import compare_with_next
+from .html_extraction import extract_main_text
 from .jaccard_join import linked_components
 from .packing import pack
 from .scratch import table
@@ -33,6 +34,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_texts(docs, quality.learn(docs, graded, 3)).where("selected")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold benchmark items, with the items."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -58,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_quality_classifier, op5_benchmark_decontamination, op6_toxicity, op7_ngram_jaccard_join, op8_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_quality_classifier, op4_html_extraction, op5_benchmark_decontamination, op6_toxicity, op7_ngram_jaccard_join, op8_line_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,16 @@ _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 48, 65, 97, 97
 _BYTES = np.random.default_rng(20240619).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1 (two bytes, 0xC3 first) in lower case."""
+    out = _FOLD[data]
+    if len(data) > 1:
+        second = data[1:]
+        capital = (data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+        out[1:][capital] += 0x20
+    return out
+
+
 class Spans:
     """Hashes of spans of one byte array."""
 
@@ -62,7 +72,7 @@ def word_terms(texts: pa.Array, prefixes: tuple[int, ...] = (4, 5, 6, 7)) -> Ite
     for a, b in slices(texts):
         data, offsets = text_buffers(texts[a:b])
         starts, ends = runs(letters(data), offsets)
-        spans = Spans(_FOLD[data])
+        spans = Spans(fold(data))
         row = np.searchsorted(offsets, starts, "right") - 1
         hashes, rows = [spans.hash(starts, ends, 0)], [row]
         for size in prefixes:
