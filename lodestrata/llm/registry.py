@@ -14,6 +14,7 @@ from .html_extraction import extract_main_text
 from .jaccard_join import linked_components
 from .packing import pack
 from .scratch import table
+from .substring_dedup import drop_repeated_substrings
 from .token_counts import count_tokens, tokenizer_path
 from .toxicity import learn, score_texts
 
@@ -57,13 +58,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_quality_classifier, op4_html_extraction, op5_benchmark_decontamination, op6_toxicity, op7_ngram_jaccard_join, op8_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_quality_classifier, op4_html_extraction, op5_benchmark_decontamination, op6_toxicity, op7_ngram_jaccard_join, op8_line_dedup, op9_substring_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,8 +46,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (from 0) of a string array; null counts as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    """Bytes and offsets (from 0) of an array of strings or binaries; null counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
