@@ -6,10 +6,11 @@ them, and the windows with one anchor follow each other; their bytes together ar
 So a window that is repeated is found among the contexts of its anchor's hash, and all but about one in
 sixty bytes' worth of index entries is never moved.
 
-1. All anchors, in blocks by hash, are grouped: those that stand alone are done; those whose contexts are
-   all equal are repeated as a whole; hashes with different contexts are put into a bitmap of fixed size.
-2. The texts are read again, and contexts of anchors in the bitmap are grouped by anchor; in a group the
-   hashes of all windows are counted, and those that stand twice are marked.
+1. All anchors, in blocks by hash, are grouped: those that stand alone are done; contexts that stand twice
+   are repeated as a whole; hashes with different contexts are put into a bitmap of fixed size.
+2. The texts are read again, and contexts of anchors in the bitmap are grouped by anchor, one copy of each
+   from a batch (the others are marked already); in a group the hashes of all windows are counted, and
+   those that stand twice are marked.
 3. Marked ranges meet their texts, and what they cover is cut out.
 
 This is not a run-length compressed Burrows-Wheeler index; the README says why, with figures.
@@ -115,8 +116,11 @@ def _group_anchors(group: pa.Table) -> pa.Table:
     rows = rows[np.lexsort((rows["context"], rows["hash"]))]
     first = np.flatnonzero(np.concatenate(([True], rows["hash"][1:] != rows["hash"][:-1])))
     last = np.append(first[1:], len(rows)) - 1
-    several, mixed = last > first, rows["context"][first] != rows["context"][last]
-    whole = np.repeat(several & ~mixed, last - first + 1)
+    mixed = rows["context"][first] != rows["context"][last]
+    same = (rows["hash"][1:] == rows["hash"][:-1]) & (rows["context"][1:] == rows["context"][:-1])
+    whole = np.zeros(len(rows), bool)
+    whole[1:] |= same
+    whole[:-1] |= same
     send = np.zeros(1 << (SEND_BITS - BUCKET_BITS), bool)
     send[((rows["hash"][first[mixed]] >> np.uint64(64 - SEND_BITS)) & np.uint64((1 << (SEND_BITS - BUCKET_BITS)) - 1)).astype(np.int64)] = True
     n = int(whole.sum())
@@ -133,6 +137,7 @@ def _group_anchors(group: pa.Table) -> pa.Table:
 def _contexts(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
+        sent: set[int] = set()  # contexts sent by this task, the last FLUSH or so
         for batch in batches:
             texts, keys = batch.column(0), batch.column(1).to_numpy()
             for a, b in slices(texts):
@@ -140,6 +145,11 @@ def _contexts(bitmap):
                 found = Anchors(data, offsets)
                 at = found.hashes >> np.uint64(64 - SEND_BITS)
                 take = np.flatnonzero((bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1)
+                pairs, first = np.unique(mix(found.hashes[take]) ^ found.contexts[take], return_index=True)
+                pairs = pairs.tolist()
+                take = take[np.sort(first[[p not in sent for p in pairs]])]
+                sent = sent if len(sent) < FLUSH else set()
+                sent.update(pairs)
                 starts, stops = found.starts[take], found.stops[take]
                 sizes = stops - starts + LENGTH - 1
                 ends = np.cumsum(sizes)
