@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import content_words, normalize
 
@@ -36,17 +37,17 @@ def span_hits(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     out = None
     for b in range(blocks):
         rows = ready.where(F.pmod(F.xxhash64("span_id"), F.lit(blocks)) == b).collect()
-        found = texts.mapInArrow(_scan([(r["span_id"], r["needle"]) for r in rows]), schema)
+        found = texts.mapInArrow(_scan(pa.array([r["span_id"] for r in rows], to_arrow_type(spans.schema["span_id"].dataType)), [r["needle"] for r in rows]), schema)
         out = found if out is None else out.union(found)
     return out
 
 
-def _scan(spans: list[tuple]):
+def _scan(ids: pa.Array, needles: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        by: dict[str, list] = {}
-        for i, needle in spans:
+        by: dict[str, list[int]] = {}
+        for i, needle in enumerate(needles):
             by.setdefault(needle, []).append(i)
         automaton = ahocorasick.Automaton()
         for needle in by:
@@ -54,12 +55,12 @@ def _scan(spans: list[tuple]):
         if by:
             automaton.make_automaton()
         for batch in batches:
-            ids, at = [], []
+            found, at = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 for needle in {n for _, n in automaton.iter(text)} if by and text else ():
-                    ids += by[needle]
+                    found += by[needle]
                     at += [row] * len(by[needle])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).take(pa.array(at, pa.int64()))] if ids else [pa.array([], pa.null()), batch.column(0).slice(0, 0)], names=["span_id", "chunk_id"]) if ids else pa.RecordBatch.from_pylist([], schema=pa.schema([("span_id", pa.int64() if not spans or isinstance(spans[0][0], int) else pa.string()), ("chunk_id", batch.column(0).type)]))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(found, pa.int64())), batch.column(0).take(pa.array(at, pa.int64()))], names=["span_id", "chunk_id"])
 
     return run
 

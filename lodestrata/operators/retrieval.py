@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import lexemes
 from ..guard import refuse, where
@@ -78,7 +79,7 @@ def dense(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFra
             if not rows:
                 continue
             matrix = np.array([r["embedding"] for r in rows], float)
-            found = vectors.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(_nearest([r["query_id"] for r in rows], _unit(matrix), depth), f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kind.simpleString()}, score double")
+            found = vectors.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(_nearest(pa.array([r["query_id"] for r in rows], to_arrow_type(queries.schema["query_id"].dataType)), _unit(matrix), depth), f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kind.simpleString()}, score double")
             scored = found if scored is None else scored.union(found)
     if scored is None:
         scored = queries.select("query_id").crossJoin(vectors.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0))
@@ -90,7 +91,7 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norm > 0, norm, 1)
 
 
-def _nearest(ids: list, queries: np.ndarray, depth: int):
+def _nearest(ids: pa.Array, queries: np.ndarray, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
@@ -100,7 +101,7 @@ def _nearest(ids: list, queries: np.ndarray, depth: int):
                 k = min(depth, batch.num_rows)
                 cut = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
                 q, c = np.nonzero(distance <= cut)  # ties at the cut stay, for the order by chunk_id
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a + i] for i in q]), batch.column(0).take(pa.array(c)), pa.array(distance[q, c])], names=["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + q)), batch.column(0).take(pa.array(c)), pa.array(distance[q, c])], names=["query_id", "chunk_id", "score"])
 
     return run
 

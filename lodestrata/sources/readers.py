@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..guard import Refused, duplicates, refuse, where
 
 
-def records(spark: SparkSession, path: str, schema: StructType, required: tuple[str, ...] = ()) -> DataFrame:
+def records(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
     """JSON lines by a fixed schema; blank lines are skipped, malformed lines and missing fields refused."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if required:
@@ -20,7 +19,7 @@ def records(spark: SparkSession, path: str, schema: StructType, required: tuple[
 
 
 def chunk_store(spark: SparkSession, path: str) -> DataFrame:
-    rows = records(spark, path, schemas.CHUNKS, tuple(schemas.CHUNKS.names))
+    rows = records(spark, path, schemas.CHUNKS, tuple(c.split()[0] for c in schemas.CHUNKS.split(", ")))
     if rows.isEmpty():
         raise Refused(["the chunk store is empty"])
     return rows
@@ -36,14 +35,14 @@ def rankings(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The filings of a manifest document."""
-    whole = StructType().add("filings", "array<struct<accession:string,ticker:string,period:string,fits_context_window:boolean,tokens:bigint>>")
+    whole = "filings array<struct<accession:string,ticker:string,period:string,fits_context_window:boolean,tokens:bigint>>"
     return spark.read.schema(whole).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.inline("filings"))
 
 
 def thresholds(spark: SparkSession, path: str) -> DataFrame:
     """(L, tau) of a threshold artifact, whose ``null`` block maps lengths to measurements."""
-    whole = StructType().add("null", "map<string,struct<tau:double>>")
-    return spark.read.schema(whole).option("multiLine", True).json(path).select(F.explode("null").alias("L", "m")).select(F.col("L").cast("int").alias("L"), F.col("m.tau").alias("tau"))
+    whole = "`null` map<string,struct<tau:double>>"
+    return spark.read.schema(whole).option("multiLine", True).json(path).select(F.explode(F.col("`null`")).alias("L", "m")).select(F.col("L").cast("int").alias("L"), F.col("m.tau").alias("tau"))
 
 
 def filings(spark: SparkSession, path: str) -> DataFrame:
