@@ -1,16 +1,21 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact weighted TF-IDF cosine over a block-max inverted index.
 
 The examples are a bounded sample of labelled texts (``MOST_EXAMPLES`` of each label, the first by a hash
 of their ids).  Their terms are words and beginnings of words, which catch inflected forms, each at levels:
-standing once, twice, ... ``LEVELS`` times at least, as a cosine would not tell a word said once from one
-said again and again.  Terms are counted in Spark; those that depend on the label most clearly (likelihood ratio over ``LEAST_EVIDENCE``, the first
-``MOST_TERMS``) are the vocabulary.  Examples lie in blocks; for each term the index keeps its postings and
-its largest weight in each block.  A query visits blocks in order of the bound that these weights give and
-stops when no other block can hold a nearer example, so its neighbours are exact.
+standing at least 1, 2, 3, 4, 8, 16, ... times, so a repeated word counts more, by its logarithm from four
+on, without an end.  Every term of every example is in the index.  A term at a level has the weight of its
+inverse document frequency, counted over all documents in Spark, times its evidence: how clearly it depends
+on the label among the examples (:func:`evidence`).  Evidence is never zero, so a text is compared by what
+it has: where it holds no telling term, its other terms decide.
+
+Examples lie in blocks; for each term the index keeps its postings and its largest weight in each block.
+Terms that a sixteenth of the examples hold are multiplied as one matrix for many queries at a time; the
+postings of the others are then added up in those blocks that, by their bounds, can hold a nearer example,
+so neighbours are exact (cosines equal to seven decimals are ties).
 
 Neighbours vote with their similarities; votes are calibrated by a logistic curve that is fitted to
-leave-one-out votes of the examples, weighted to the labels' true shares.  A text without any vocabulary
-term gets the share of toxic ones among the examples without any.
+leave-one-out votes of the examples, weighted to the labels' true shares.  A text that shares no term with
+any example gets the share of toxic ones among the labels.
 """
 
 from __future__ import annotations
@@ -22,17 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
 from .terms import word_terms
 
 MOST_EXAMPLES = 2048
-MOST_TERMS = 2048
-LEAST_EVIDENCE = 40.0
-LEAST_TEXTS = 3
-BLOCK = 64
+CLEAR_EVIDENCE = 40.0
+BLOCK = 256
 NEIGHBOURS = 15
 PRIOR = 0.5
-LEVELS = 4
+LEVELS = np.array([1, 2, 3, *(1 << np.arange(2, 31))])
+COMMON = 16
+TOGETHER = 64
+PART = 1 << 16
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -51,109 +56,246 @@ def pick_examples(docs: DataFrame, labels: DataFrame, label: str = "toxic", most
 
 
 def count_terms(examples: DataFrame) -> DataFrame:
-    """(doc_id, label, term, tf) of the examples."""
+    """(doc_id, label, terms, tf) of the examples: hashes and counts in binary, one row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, n, terms, rows in word_terms(batch.column(1)):
-                pairs = np.empty(len(terms), [("row", "<i8"), ("term", "<u8")])
-                pairs["row"], pairs["term"] = rows, terms
-                pairs, tf = np.unique(pairs, return_counts=True)
-                at = pa.array(pairs["row"] + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(pairs["term"].view(np.int64)), pa.array(tf, pa.int32())], names=["doc_id", "label", "term", "tf"])
+                order = np.argsort(rows, kind="stable")
+                cuts = np.searchsorted(rows[order], np.arange(n + 1))
+                held = [np.unique(terms[order[i:j]], return_counts=True) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                columns = [pa.array([t.astype("<u8").tobytes() for t, _ in held], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in held], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + n], batch.column(2)[a : a + n], *columns], names=["doc_id", "label", "terms", "tf"])
+
+    return examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(run, "doc_id long, label int, terms binary, tf binary")
+
+
+class Terms:
+    """Terms at levels, numbered in their order; a term has all levels up to its last one."""
+
+    def __init__(self, terms: np.ndarray, levels: np.ndarray):
+        """terms: different, in order; levels: how many each has."""
+        self.terms, self.levels = terms, levels.astype(np.int32)
+        self.first = np.concatenate(([0], np.cumsum(self.levels)))
+        self.size = int(self.first[-1])
+        self.starts = np.searchsorted(terms, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """The places of terms, -1 where unknown."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = self.starts[(terms >> np.uint64(46)).astype(np.int64)].astype(np.int64)
+        last = len(self.terms) - 1
+        todo = np.arange(len(terms))
+        while len(todo):
+            todo = todo[(at[todo] < last) & (self.terms[np.minimum(at[todo], last)] < terms[todo])]
+            at[todo] += 1
+        at = np.minimum(at, last)
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def columns(self, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns, in order, of the terms that rows hold; tf: their repetitions, once each without."""
+        at = self.find(terms)
+        inside = at >= 0
+        many = max(len(self.terms), 1)
+        keys = rows[inside] * many + at[inside]
+        if tf is None:
+            keys.sort()
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            keys, times = keys[first], np.diff(np.append(first, len(keys)))
+        else:
+            keys, where = np.unique(keys, return_inverse=True)
+            times = np.bincount(where, tf[inside], len(keys))
+        owner, base = np.divmod(keys, many)
+        held = np.minimum(np.searchsorted(LEVELS, times, "right"), self.levels[base])
+        return np.repeat(owner, held), np.repeat(self.first[base], held) + spread(held)
+
+
+def spread(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def document_frequencies(docs: DataFrame, known: Terms) -> tuple[np.ndarray, int]:
+    """How many of all ``docs`` hold each column of ``known``, and how many docs there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        found = np.zeros(known.size + 1, np.int64)
+        for batch in batches:
+            found[-1] += batch.num_rows
+            for _, _, terms, rows in word_terms(batch.column(0)):
+                found[:-1] += np.bincount(known.columns(rows, terms)[1], minlength=known.size)
+        parts = range(0, len(found), PART)
+        yield pa.RecordBatch.from_arrays([pa.array([a // PART for a in parts], pa.int32()), pa.array([found[a : a + PART].astype("<i8").tobytes() for a in parts], pa.binary())], names=["part", "counts"])
 
-    return examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(run, "doc_id long, label int, term long, tf int")
+    def add(group: pa.Table) -> pa.Table:
+        counts = sum(np.frombuffer(x, "<i8") for x in group.column("counts").to_pylist())
+        return pa.table({"part": group.column("part")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
 
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    parts = sorted((r["part"], r["counts"]) for r in counted.collect())  # one number for each column
+    found = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, "<i8") for _, c in parts)])
+    return (found[:-1], int(found[-1])) if len(found) else (np.zeros(known.size, np.int64), 0)
 
-def choose_terms(counted: DataFrame, toxic: int, clean: int) -> DataFrame:
-    """The vocabulary: terms with the largest likelihood ratios against the label, and their frequency."""
-    levels = counted.withColumn("level", F.explode(F.sequence(F.lit(1), F.least("tf", F.lit(LEVELS)))))
-    by = levels.groupBy("term", "level").agg(F.sum("label").alias("k1"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= LEAST_TEXTS).withColumn("k0", F.col("df") - F.col("k1"))
+
+def evidence(k1: np.ndarray, df: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Weights of terms that k1 toxic examples of df hold: near 1 where their likelihood ratio against the
+    label is far over ``CLEAR_EVIDENCE``, falling with its square below, never 0."""
     total = toxic + clean
 
-    def part(k: Column, rows: Column, columns: Column) -> Column:
-        return F.when(k > 0, k * F.log(k * total / (rows * columns))).otherwise(0.0)
+    def part(k: np.ndarray, rows: np.ndarray | float, columns: float) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(k, 1) * total / np.maximum(rows * columns, 1)), 0.0)
 
-    df, n1, n0 = F.col("df"), F.lit(float(toxic)), F.lit(float(clean))
-    ratio = 2 * (part(F.col("k1"), df, n1) + part(F.col("k0"), df, n0) + part(n1 - F.col("k1"), total - df, n1) + part(n0 - F.col("k0"), total - df, n0))
-    return by.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_EVIDENCE).orderBy(F.desc("ratio"), "term", "level").limit(MOST_TERMS).select("term", "level", "df")
+    ratio = 2 * (part(k1, df, toxic) + part(df - k1, df, clean) + part(toxic - k1, total - df, toxic) + part(clean - (df - k1), total - df, clean))
+    square = (1 + np.maximum(ratio, 0)) ** 2
+    return square / (square + CLEAR_EVIDENCE**2)
 
 
 class Index:
     """Block-max inverted index of the examples; of bounded size."""
 
-    def __init__(self, vocabulary: list[tuple[int, int, float]], ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, weights: dict[int, float]):
-        """vocabulary: (term, level, examples with it); ids, labels: of all examples; rows, terms, tf: what they hold."""
-        self.terms = np.unique(np.array([t for t, _, _ in vocabulary], np.uint64))
-        self.column_of = np.full((len(self.terms), LEVELS), -1)
-        for i, (t, level, _) in enumerate(vocabulary):
-            self.column_of[np.searchsorted(self.terms, np.uint64(t)), level - 1] = i
-        self.size = len(vocabulary)
-        self.idf = np.log((1 + len(ids)) / (1 + np.array([df for _, _, df in vocabulary], float))) + 1e-9
-        self.known = np.zeros(1 << 16, bool)
-        self.known[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
-        rows, columns = self.columns(rows, terms, tf)
+    def __init__(self, vocabulary: np.ndarray | list[tuple[int, int, float]], ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, weights: dict[int, float], texts: int | None = None):
+        """vocabulary: (term, level, texts with it) in order; ids, labels: of all examples; rows, terms, tf: what
+        they hold, in order of rows; texts: of how many texts the vocabulary counts (the examples unless given)."""
+        vocabulary = np.array(vocabulary, [("term", "<u8"), ("level", "<i4"), ("df", "<f8")])
+        self.known = Terms(*np.unique(vocabulary["term"], return_counts=True))
+        cuts = np.searchsorted(rows, np.arange(0, len(ids) + 128, 128))  # a part at a time, to keep the driver small
+        parts = [self.known.columns(rows[i:j], terms[i:j], tf[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows, columns = (np.concatenate([np.zeros(0, np.int32), *(x[k].astype(np.int32) for x in parts)]) for k in (0, 1))
+        del parts
+        toxic = int((labels == 1).sum())
+        held = np.bincount(columns, minlength=self.known.size)
+        clear = evidence(np.bincount(columns[labels[rows] == 1], minlength=self.known.size), held, toxic, len(ids) - toxic)
+        texts = len(ids) if texts is None else texts
+        self.square = (clear * (np.log((1 + texts) / (1 + np.minimum(vocabulary["df"], texts))) + 1e-9)) ** 2
+        rows, columns = self._join_alike(rows, columns, held, len(ids))
         value = self.idf[columns]
         norm = np.sqrt(np.bincount(rows, value**2, len(ids)))
         full = np.flatnonzero(norm > 0)
+        order = np.lexsort((-value, rows))
+        first = order[np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) > 0)))] if len(rows) else order
         leading = np.full(len(ids), self.size)
-        np.minimum.at(leading, rows, columns)
+        leading[rows[first]] = columns[first]
         full = full[np.lexsort((full, leading[full], labels[full]))]  # alike examples share a block
         place = np.full(len(ids), -1)
         place[full] = np.arange(len(full))
         self.ids, self.labels = ids[full], labels[full]
         self.weights = np.array([weights.get(int(y), 1.0) for y in self.labels])
-        empty = norm == 0
-        share = [weights.get(y, 1.0) * float((empty & (labels == y)).sum()) for y in (0, 1)]
+        share = [weights.get(y, 1.0) * float((labels == y).sum()) for y in (0, 1)]
         self.empty_score = (share[1] + PRIOR * 0.1) / (share[0] + share[1] + PRIOR) if len(ids) else 0.0
-        where, value = place[rows], value / norm[rows]
+        self.inverse = 1 / norm[full]
+        where, value = place[rows].astype(np.int32), (value / norm[rows]).astype(np.float32)
+        order = np.lexsort((columns, where))
+        cuts = np.searchsorted(where[order], np.arange(1, len(full)))
+        own = list(zip(np.split(columns[order], cuts), np.split(value[order], cuts), strict=True)) if len(full) else []
         order = np.lexsort((where, columns))
-        self.where, self.value, columns = where[order], value[order], columns[order]
-        self.blocks = -(-len(full) // BLOCK)
-        edges = columns * (self.blocks + 1) + self.where // BLOCK
-        self.cuts = np.searchsorted(edges, np.arange(self.size * (self.blocks + 1) + 1))
-        self.most = np.zeros((self.size, self.blocks))
-        np.maximum.at(self.most, (columns, self.where // BLOCK), self.value)
+        self.where, columns = where[order], columns[order]
+        del where, value, order
+        self.ends = np.searchsorted(columns, np.arange(self.size), "right").astype(np.int32)
+        self._open()
         self.a, self.b = 1.0, 0.0
-        own = np.argsort(self.where, kind="stable")
-        cuts = np.searchsorted(self.where[own], np.arange(len(full) + 1))
-        self._calibrate([(columns[own[i:j]], self.value[own[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-
-    def columns(self, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and vocabulary columns, sorted by row, of the terms (with repetitions tf) that rows hold."""
-        at = np.searchsorted(self.terms, terms)
-        inside = at < len(self.terms)
-        inside[inside] = self.terms[at[inside]] == terms[inside]
-        keys, where = np.unique(rows[inside] * max(len(self.terms), 1) + at[inside], return_inverse=True)
-        times = np.bincount(where, tf[inside], len(keys))
-        owner, base = np.divmod(keys, max(len(self.terms), 1))
-        found = np.where(times[:, None] > np.arange(LEVELS), self.column_of[base], -1)
-        return np.repeat(owner, LEVELS)[found.ravel() >= 0], found.ravel()[found.ravel() >= 0]
+        self._calibrate(own)
+
+    def _open(self) -> None:
+        """What follows from the postings: their values, each block's largest ones, and the matrix of common terms."""
+        held = np.diff(self.ends, prepend=0)
+        columns = np.repeat(np.arange(self.size, dtype=np.int32), held)
+        self.value = (self.idf[columns] * self.inverse[self.where]).astype(np.float32)
+        self.blocks = -(-len(self.ids) // BLOCK)
+        edges = columns * np.int64(self.blocks + 1) + self.where // BLOCK
+        self.cuts = np.searchsorted(edges, np.arange(self.size * (self.blocks + 1) + 1)).astype(np.int32)
+        self.most = np.zeros((self.size, self.blocks), np.float32)
+        np.maximum.at(self.most, (columns, self.where // BLOCK), self.value)
+        common = np.flatnonzero(held * COMMON >= max(len(self.ids), 1))  # at most COMMON times the terms of an example
+        self.dense_at = np.full(self.size, -1, np.int32)
+        self.dense_at[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(self.ids)), np.float32)
+        at = self.dense_at[columns]
+        self.dense[at[at >= 0], self.where[at >= 0]] = self.value[at >= 0]
+
+    def __getstate__(self) -> dict:
+        """Without what follows from the rest, to send little."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("value", "cuts", "most", "dense_at", "dense")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._open()
+
+    def _join_alike(self, rows: np.ndarray, columns: np.ndarray, held: np.ndarray, examples: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and axes: terms that the same examples hold are one axis, as long as all of them together."""
+        order = np.argsort(columns, kind="stable")
+        rows, columns = rows[order], columns[order]
+        cuts = np.cumsum(held) - held
+        marks = np.random.default_rng(20240619).integers(1, 1 << 63, (2, examples), dtype=np.uint64)
+        sums = np.zeros(self.known.size, np.complex128).view([("a", "<u8"), ("b", "<u8")])
+        some = held > 0
+        if some.any():
+            sums["a"][some], sums["b"][some] = (np.add.reduceat(m[rows], cuts[some]) for m in marks)
+        _, first, axis = np.unique(sums, return_index=True, return_inverse=True)
+        self.axis_of, self.size = axis.astype(np.int32), len(first)
+        self.idf = np.sqrt(np.bincount(axis, self.square, self.size))
+        kept = first[axis[columns]] == columns
+        return rows[kept], axis[columns[kept]]
+
+    def asked(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Axes and values of a text that holds the columns: its cosines with the examples are their products."""
+        square = self.square[columns]
+        axes, at = np.unique(self.axis_of[columns], return_inverse=True)
+        return axes, np.bincount(at, square) / self.idf[axes] / np.sqrt(square.sum())
 
     def query(self, columns: np.ndarray) -> np.ndarray:
         value = self.idf[columns]
         return value / np.sqrt((value**2).sum())
 
-    def nearest(self, columns: np.ndarray, value: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (ties: lower place), with cosines over 0; ``but`` is left out."""
-        bounds = value @ self.most[columns]
-        found = np.zeros(0, np.int64)
-        cosines = np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(found) == k and bounds[block] + 1e-12 < cosines[-1]:
-                break
-            scores = np.zeros(BLOCK)
-            for c, v in zip(columns, value, strict=True):
-                at = c * (self.blocks + 1) + block
-                i, j = self.cuts[at], self.cuts[at + 1]
-                if i < j:
-                    scores[self.where[i:j] - block * BLOCK] += v * self.value[i:j]
-            here = np.flatnonzero(scores)
-            here = here[here + block * BLOCK != but]
-            found, cosines = np.concatenate((found, here + block * BLOCK)), np.concatenate((cosines, scores[here]))
-            order = np.lexsort((found, -cosines))[:k]
-            found, cosines = found[order], cosines[order]
-        return found, cosines
+    def nearest(self, columns: np.ndarray, value: np.ndarray, k: int, but: int = -1, scores: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine (ties: lower place), with cosines over 0; ``but`` is left out.
+
+        scores: the row of :meth:`common_part`, computed here unless given."""
+        scores = self.common_part([(columns, value)])[0].astype(float) if scores is None else scores.astype(float)
+        rare = self.dense_at[columns] < 0
+        columns, value, rarity = columns[rare] * (self.blocks + 1), value[rare].astype(np.float32), self.idf[columns[rare]]
+        if but >= 0:
+            scores[but] = 0.0
+        if len(columns) and len(scores):
+            least = np.partition(scores, len(scores) - k)[-k] if len(scores) > k else 0.0
+            bounds = np.maximum.reduceat(scores, np.arange(0, len(scores), BLOCK)) + value @ self.most[columns // (self.blocks + 1)]
+            live = np.flatnonzero(bounds + 1e-6 >= least)
+            value = value * rarity
+            if 2 * len(live) > self.blocks:
+                start, end = self.cuts[columns].astype(np.int64), self.cuts[columns + self.blocks]
+            else:
+                at = columns[:, None] + live
+                start, end, value = self.cuts[at].ravel().astype(np.int64), self.cuts[at + 1].ravel(), np.repeat(value, len(live))
+            many = end - start
+            at = np.repeat(start - np.cumsum(many) + many, many)
+            at += np.arange(len(at))
+            scores += self.inverse * np.bincount(self.where.take(at), np.repeat(value, many), len(scores))
+        if but >= 0:
+            scores[but] = 0.0
+        found = np.flatnonzero(scores > 0)
+        rounded = np.round(scores[found], 7)
+        if len(found) > k:
+            most = rounded >= np.partition(rounded, len(found) - k)[-k]
+            found, rounded = found[most], rounded[most]
+        found = found[np.lexsort((found, -rounded))[:k]]
+        return found, scores[found]
+
+    def common_part(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the terms of many examples add to the cosines of rows (columns, values) with all examples."""
+        asked = np.zeros((len(rows), len(self.dense)), np.float32)
+        for i, (columns, value) in enumerate(rows):
+            at = self.dense_at[columns]
+            asked[i, at[at >= 0]] = value[at >= 0]
+        return asked @ self.dense
+
+    def neighbours(self, rows: list[tuple[np.ndarray, np.ndarray]], leave_out: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each row (columns, values); leave_out: rows are the examples, by place."""
+        for a in range(0, len(rows), TOGETHER):
+            piece = rows[a : a + TOGETHER]
+            for i, (row, scores) in enumerate(zip(piece, self.common_part(piece), strict=True)):
+                yield self.nearest(*row, NEIGHBOURS, a + i if leave_out else -1, scores)
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         near = cosines**2 / (1.05 - np.minimum(cosines, 1.0))
@@ -164,7 +306,7 @@ class Index:
 
     def _calibrate(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Fit the logistic curve to leave-one-out votes; rows: each example's columns and values, by place."""
-        votes = np.array([self.vote(*self.nearest(c, v, NEIGHBOURS, but=i)) for i, (c, v) in enumerate(rows)])
+        votes = np.array([self.vote(*near) for near in self.neighbours(rows, leave_out=True)])
         if not len(votes):
             return
         x = np.log(votes / (1 - votes))
@@ -186,21 +328,25 @@ class Index:
 def learn(docs: DataFrame, labels: DataFrame) -> Index:
     """The index of the examples among ``docs`` that ``labels`` (doc_id, toxic) marks."""
     examples, weights = pick_examples(docs, labels)
-    counted = materialise(count_terms(examples), "example-terms")
-    who = sorted((r["doc_id"], r["label"]) for r in counted.select("doc_id", "label").distinct().collect())  # at most 2 * MOST_EXAMPLES
-    ids, marks = np.array([w[0] for w in who], np.int64), np.array([w[1] for w in who], np.int64)
-    chosen = choose_terms(counted, int((marks == 1).sum()), int((marks == 0).sum()))
-    vocabulary = sorted((r["term"] % (1 << 64), r["level"], float(r["df"])) for r in chosen.collect())  # at most MOST_TERMS
-    small = counted.sparkSession.createDataFrame(sorted({(t - (1 << 64) if t >> 63 else t,) for t, _, _ in vocabulary}), "term long")
-    held = counted.join(F.broadcast(small), "term").select("doc_id", "term", "tf").toArrow()
-    rows = np.searchsorted(ids, held.column("doc_id").to_numpy())
-    return Index(vocabulary, ids, marks, rows, held.column("term").to_numpy().view(np.uint64), held.column("tf").to_numpy(), weights)
+    counted = sorted(count_terms(examples).collect(), key=lambda r: (r["doc_id"], r["label"], r["terms"]))  # at most 2 * MOST_EXAMPLES texts
+    ids, marks = np.array([c["doc_id"] for c in counted], np.int64), np.array([c["label"] for c in counted], np.int64)
+    terms, tf = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(c[name], kind) for c in counted)]) for name, kind in (("terms", "<u8"), ("tf", "<i4")))
+    rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(c["terms"]) // 8 for c in counted])
+    del counted
+    different = np.unique(terms)
+    most = np.zeros(len(different), np.int32)
+    np.maximum.at(most, np.searchsorted(different, terms), tf)
+    known = Terms(different, np.searchsorted(LEVELS, most, "right"))
+    frequency, texts = document_frequencies(docs, known)
+    vocabulary = np.empty(known.size, [("term", "<u8"), ("level", "<i4"), ("df", "<f8")])
+    vocabulary["term"], vocabulary["level"], vocabulary["df"] = np.repeat(different, known.levels), LEVELS[spread(known.levels)], frequency
+    return Index(vocabulary, ids, marks, rows, terms, tf, weights, texts)
 
 
 def score_texts(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours, similarities) for each row of ``docs``.
 
-    Null and empty texts get the score of texts without vocabulary terms.  Repeated rows are each scored;
+    Null and empty texts share no term with any example and get the score for that.  Repeated rows are each scored;
     an empty table gives an empty one.  Only the text is an input of the score.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -213,14 +359,11 @@ def score_texts(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFr
                 scores = np.full(n, ix.empty_score)
                 near: list[list[int]] = [[]] * n
                 like: list[list[float]] = [[]] * n
-                maybe = ix.known[(terms & np.uint64(0xFFFF)).astype(np.int64)]
-                terms, rows = terms[maybe], rows[maybe]
-                owner, columns = ix.columns(rows, terms, np.ones(len(terms)))
+                owner, columns = ix.known.columns(rows, terms)
                 cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(0, np.int64)
-                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    found, cosines = ix.nearest(columns[i:j], ix.query(columns[i:j]), NEIGHBOURS)
+                asked = [ix.asked(columns[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                for row, (found, cosines) in zip(owner[cuts[:-1]], ix.neighbours(asked), strict=True):
                     if len(found):
-                        row = owner[i]
                         scores[row] = ix.score(ix.vote(found, cosines))
                         near[row], like[row] = ix.ids[found].tolist(), np.minimum(cosines, 1.0).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + n], pa.array(scores), pa.array(near, schema.field("neighbours").type), pa.array(like, schema.field("similarities").type)], schema=schema)

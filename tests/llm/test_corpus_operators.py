@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,30 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert got[1, 1] >= 0.9 * (got[1, 0] + got[1, 1]) and got[0, 1] <= 0.01 * (got[0, 0] + got[0, 1])
 
 
+def test_toxicity_finds_texts_of_a_rare_topic(spark):
+    """Their words stand in too few examples to be clear evidence by themselves, and beside other examples'."""
+    r = random.Random(11)
+    rows, labels = corpus(400, 4)
+    for i in range(1000, 1040):
+        words = [f"{a}{b}" for a in ("schurke", "trottel", "lump") for b in "xyz"] if i % 3 == 0 else [f"wetter{c}" for c in "abcdefghi"]
+        rows.append((i, " ".join(r.sample(words, 5))))
+        labels.append((i, int(i % 3 == 0), 1))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    index = toxicity.learn(docs, marks)
+    got = {x.doc_id: x for x in toxicity.score_texts(docs, index).where("doc_id >= 1000").collect()}
+    fold = [i for i in got if got[i].held_out]
+    assert any(i % 3 == 0 for i in fold) and all(got[i].neighbours for i in got)
+    assert all(got[i].predicted == int(i % 3 == 0) for i in fold)
+
+
+def test_toxicity_counts_documents_and_every_repetition(spark):
+    """A term's frequency is that of all documents, and nothing ends at four times."""
+    docs = spark.createDataFrame([(i, "foul " * 9 if i == 1 else "foul" if i == 2 else "fair") for i in range(50)] + [(100, None), (101, "")], "doc_id long, text string")
+    known = toxicity.Terms(np.unique(np.concatenate([t for _, _, t, _ in toxicity.word_terms(pa.array(["foul fair"]))])), np.array([6, 6]))
+    counted, texts = toxicity.document_frequencies(docs.repartition(3), known)
+    assert texts == 52 and sorted(counted.reshape(2, 6).tolist()) == [[2, 1, 1, 1, 1, 0], [48, 0, 0, 0, 0, 0]]
+
+
 def test_toxicity_without_labels(spark, odd):
     index = toxicity.learn(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score_texts(odd, index).collect()} == {0.0}
