@@ -23,11 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_REST = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+#: Elements that are dropped.  Raw text runs to its closing tag or the page's end; the others are markup, and
+#: where they are not closed they end with their parent (see :func:`_end_of_dropped`).
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[/!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    rf"|<(script|style|noscript|template|iframe|textarea|title)(?=[\s/>]){_REST}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([A-Za-z][^\s/>]*)({_REST})>|<[/!?][^>]*>",
     re.S | re.I,
 )
+_DROPPED = frozenset(("svg", "math", "object", "select"))
+_UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\shidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -57,6 +63,24 @@ PAIR = 1.2
 SIBLING = 0.8
 
 
+def _end_of_dropped(page: str, at: int, name: str) -> int:
+    """Where an element that begins before ``at`` ends: after its closing tag, or at its parent's."""
+    open_: list[str] = [name]
+    for m in _TAG.finditer(page, at):
+        inner = (m[3] or "").lower()
+        if not inner or inner in VOID or not m[2] and m[4].endswith("/"):
+            continue
+        if not m[2]:
+            open_.append(inner)
+        elif inner in open_:
+            del open_[len(open_) - 1 - open_[::-1].index(inner) :]
+            if not open_:
+                return m.end()
+        elif inner in BLOCKS:
+            return m.start()
+    return len(page)
+
+
 class Block:
     __slots__ = ("text", "linked", "path", "parent", "cost")
 
@@ -93,6 +117,8 @@ def blocks_of(page: str) -> list[Block]:
 
     at = 0
     for m in _TAG.finditer(page):
+        if m.start() < at:
+            continue
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -101,6 +127,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         closing = bool(m[2])
+        if name in _DROPPED:
+            if not closing and not (name in ("svg", "math") and m[4].endswith("/")):
+                at = _end_of_dropped(page, at, name)
+            continue
         if name == "a":
             links = max(0, links - 1) if closing else 1
             continue
@@ -140,8 +170,8 @@ def blocks_of(page: str) -> list[Block]:
         before = stack[-1][2]
         stack.append((name, number, max(-8.0, min(5.0, before + prior)) if prior >= 0 or before >= 0 else max(-8.0, min(before, prior)), hidden))
     if at < len(page):
-        rest = page[at:]
-        add(rest if "<" not in rest else rest[: rest.index("<")])
+        unfinished = _UNFINISHED.search(page, at)
+        add(page[at : unfinished.start()] if unfinished else page[at:])
     flush()
     return found
 

@@ -242,3 +242,13 @@ def test_minimum_cut_by_brute_force(seed):
 
     best = min(energy([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
     assert energy(html_extraction.minimum_cut(costs, edges)) == pytest.approx(best)
+
+
+def test_html_extraction_keeps_what_follows():
+    body = "<p>This sentence follows, and it is long enough to be content by itself.</p>"
+    for before in ('<svg class="i"/>', "<math/>", "<svg-icon>", "<title-bar></title-bar>", "<select-menu>", "<div><select><option>a</div>", "<div><object data=x></div>", "<svg><path d=x /></svg>"):
+        assert "This sentence follows" in html_extraction.main_text(f"<article><p>before</p>{before}{body}</article>"), before
+    assert "hidden" not in html_extraction.main_text(f"<article>{body}<select><option>hidden</option></select><svg><text>hidden</text></svg></article>")
+    for page in ("<p>Where a < b the claim holds, as is well known. More text", "Where a < b the claim holds, as is well known. More text"):
+        assert html_extraction.main_text(page).endswith("a < b the claim holds, as is well known. More text")
+    assert html_extraction.main_text("<p>The text is here, and it is content in full. <a href=") == "The text is here, and it is content in full."
