@@ -155,14 +155,44 @@ def draw_bags(vocabulary: list[tuple[str, int]], sizes: list[int], bags: int = 1
     return out
 
 
-def null_thresholds(index: DataFrame, sizes: list[int], bags: int = 1000, seed: int = 20260820, percentile: float = 0.95) -> DataFrame:
-    """tau(L): the nearest-rank percentile of the best lexical score of random bags, in one batch job.
+def draw_bags_in_spark(frequency: DataFrame, sizes: DataFrame, bags: int = 1000, seed: int = 20260820) -> DataFrame:
+    """(L, bag, lexeme) as :func:`draw_bags` draws, by other numbers: bags of L distinct lexemes of
+    ``frequency`` (lexeme, ndoc), for each L of ``sizes``.
 
-    The vocabulary (one row for each lexeme) is drawn from on the driver, as the draw is sequential.
+    Numbers below the sum of ndoc are drawn by hash and joined by bucket to the lexemes' ranges; each bag
+    takes its first L different lexemes, and bags that lack some are drawn further.
     """
-    spark = index.sparkSession
-    vocabulary = [(r["lexeme"], r["ndoc"]) for r in lexeme_frequency(index).orderBy("lexeme").collect()]
-    drawn = spark.createDataFrame(draw_bags(vocabulary, sizes, bags, seed), "L int, bag int, lexeme string")
+    spark = frequency.sparkSession
+    parts = frequency.select("lexeme", F.col("ndoc").cast("long").alias("ndoc")).repartitionByRange("lexeme").withColumn("part", F.spark_partition_id()).localCheckpoint()
+    sums = parts.groupBy("part").agg(F.sum("ndoc").alias("n"), F.count(F.lit(1)).alias("words")).orderBy("part").collect()  # one row for each partition
+    total, words = sum(r["n"] for r in sums), sum(r["words"] for r in sums)
+    refuse(where(sizes, F.col("L") > words, F.concat(F.col("L").cast("string"), F.lit(f" distinct lexemes from a vocabulary of {words}"))))
+    before, offsets = 0, []
+    for r in sums:
+        offsets.append((r["part"], before))
+        before += r["n"]
+    running = F.sum("ndoc").over(Window.partitionBy("part").orderBy("lexeme"))
+    placed = parts.join(F.broadcast(spark.createDataFrame(offsets, "part int, before long")), "part").withColumn("end", F.col("before") + running).withColumn("start", F.col("end") - F.col("ndoc"))
+    width = max(1, total * 8 // max(words, 1))
+    ranges = placed.select("lexeme", "start", "end", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))).alias("bucket")).localCheckpoint()
+    asked = sizes.select(F.col("L").cast("int").alias("L")).where("L > 0").distinct().crossJoin(spark.range(bags).select(F.col("id").cast("int").alias("bag")))
+    lacking, drawn, first, factor = asked, None, 0, 2
+    while True:
+        numbers = lacking.withColumn("i", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first) + F.col("L").cast("long") * factor - 1)))
+        numbers = numbers.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "L", "bag", "i"), F.lit(total)))
+        found = numbers.withColumn("bucket", F.expr(f"u div {width}")).join(ranges, "bucket").where("u >= start and u < end").select("L", "bag", "lexeme", "i")
+        drawn = (found if drawn is None else drawn.unionByName(found)).groupBy("L", "bag", "lexeme").agg(F.min("i").alias("i")).localCheckpoint()
+        lacking = asked.join(drawn.groupBy("L", "bag").count(), ["L", "bag"]).where("count < L").select("L", "bag").localCheckpoint()
+        if lacking.isEmpty():
+            break
+        first, factor = first + (1 << 32), factor * 2  # further numbers come after all earlier ones
+    rank = F.row_number().over(Window.partitionBy("L", "bag").orderBy("i"))
+    return drawn.withColumn("rank", rank).where("rank <= L").select("L", "bag", "lexeme").localCheckpoint()
+
+
+def null_thresholds(index: DataFrame, sizes: DataFrame, bags: int = 1000, seed: int = 20260820, percentile: float = 0.95) -> DataFrame:
+    """tau(L) for each L of ``sizes``: the nearest-rank percentile of the best lexical score of random bags."""
+    drawn = draw_bags_in_spark(lexeme_frequency(index), sizes, bags, seed)
     best = index.join(drawn, "lexeme").groupBy("L", "bag", "chunk_id").agg(F.sum("tf").alias("n")).groupBy("L", "bag").agg((F.max("n") * 0.1).alias("s"))
     every = drawn.select("L", "bag").distinct().join(best, ["L", "bag"], "left").fillna({"s": 0.0})
     return every.groupBy("L").agg(

@@ -133,7 +133,8 @@ def gated_rrf(spark, d):
 @registered
 def null_threshold(spark, d):
     index = retrieval.postings(chunks(spark, d))
-    return retrieval.null_thresholds(index, [4, 8, 12], bags=200)
+    lengths = retrieval.query_terms(queries(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("L"))
+    return retrieval.null_thresholds(index, lengths.select("L").distinct())
 
 
 # -- gold and scores of retrieval

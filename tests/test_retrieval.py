@@ -102,3 +102,15 @@ def test_contexts_and_calls(spark):
     assert sorted(x.arms for x in c) == [["x", "y"], ["z"]]
     with pytest.raises(Refused):
         scoring.contexts(r.where("rank < 5"))
+
+
+def test_null_thresholds_draw_in_spark(spark):
+    frequency = spark.createDataFrame([("a", 6), ("b", 3), ("c", 1)], "lexeme string, ndoc long")
+    sizes = spark.createDataFrame([(1,), (3,)], "L int")
+    got = retrieval.draw_bags_in_spark(frequency, sizes, 1000).collect()
+    assert sorted({(r.L, r.bag) for r in got}) == [(n, b) for n in (1, 3) for b in range(1000)]
+    assert len(set(got)) == len(got) == 4000
+    share = [sum(r.L == 1 and r.lexeme == w for r in got) / 1000 for w in "abc"]
+    assert all(abs(x - y) < 0.06 for x, y in zip(share, (0.6, 0.3, 0.1), strict=True))
+    with pytest.raises(ValueError):
+        retrieval.draw_bags_in_spark(frequency, spark.createDataFrame([(4,)], "L int"), 5)
