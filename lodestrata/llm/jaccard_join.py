@@ -1,16 +1,18 @@
 """Exact set-similarity join on word shingles: a grouped prefix join.
 
-1. Count in how many texts each shingle stands.  The counts become a map of fixed size from hash slots to
-   classes of frequency; a shingle's place in the global order is (class of its slot, hash), rare first.
-   Slots shared by chance only move a shingle back, for all texts alike, so results stay exact.
+1. Count in how many texts each shingle stands.  The most frequent ones, at most ``MOST_LISTED``, get a class
+   of frequency; a shingle's place in the global order is (class, hash), rare first.  Any order gives the
+   same result; this one keeps frequent shingles out of the prefixes.
 2. Texts with equal sets form a class, and classes with the same size and the same prefix (the first
    n - ceil(t n) + 1 shingles in that order) a group.  Each prefix shingle of a group is a posting.
-3. Postings of a shingle in up to ``RUN`` groups give pairs of groups; a pair stays if it shares as many
-   prefix shingles as any pair within the threshold must.  The groups of a more frequent one are chained in
-   order of size where sizes allow a link, so that no frequent shingle makes pairs.
-4. What these edges connect is expanded into its classes and verified on whole sets, in units of at most
-   two blocks of about ``BLOCK`` classes; a unit returns only edges that join what it hadn't joined yet.
-5. Components of the verified edges are the answer.
+3. A first round joins what is surely alike without making pairs: each class whose group meets others goes
+   to one unit, that of the shingle with most groups in its prefix.  Units have blocks of about ``BLOCK``
+   classes, which share a few classes; in a block one class after the other is compared with those that
+   aren't linked yet.  This costs a constant for each class, however large a group of copies is.
+4. Group pairs: two groups that meet in a prefix shingle and are not wholly in one component by now, and
+   that share as many prefix shingles as any pair within the threshold must, are candidates.  They are
+   expanded into pairs of classes in different components, and these are verified on whole sets.
+5. Components of all verified links are the answer.
 
 The threshold is a percentage, and all comparisons are of integers.
 """
@@ -22,45 +24,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialise
+from .scratch import bound_batches, delete_table, materialise, share
 from .words import mix, shingle_sets
 
-BUCKET_BITS = 12
-SLOT_BITS = 22
+MOST_LISTED = 1 << 20
 SEEN_BITS = 27
 FLUSH = 2_000_000
+BUCKET_KEYS = 1 << 20
 RUN = 32
-RARE = 16
 BLOCK = 512
+PIVOTS = 4
+UNIT_BYTES = 64 << 20
 
-_BLOCKS = "bucket int, once binary, often binary"
-_POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("hot", "<i4")])
+_CLASS_BITS = 5
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - -(-percent * n // 100) + 1
 
 
-def _count_blocks(percent_n: int):
+def needed(n1: Column, n2: Column, percent: int) -> Column:
+    """Prefix shingles that two sets within the threshold share at least.
+
+    Shared shingles outside both prefixes stand in the rest of one of the sets, behind the prefix that ends
+    first, so they are at most as many as the longer of the two rests.
+    """
+    overlap = F.ceil(percent * (n1 + n2) / F.lit(100 + percent))
+    rest = lambda n: F.ceil(percent * n / F.lit(100)) - 1
+    return F.greatest(F.lit(1), overlap - F.greatest(rest(n1), rest(n2)))
+
+
+def _count_blocks(n_words: int, bits: int):
+    """Distinct shingles of some texts with counts, in binary by bucket: the low 8 bytes' hashes and counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            bucket = (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            rest = ((keys >> np.uint64(32 - BUCKET_BITS)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            edges = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
+            bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+            rest = ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
             one = counts == 1
             rows = [(b, rest[i:j][one[i:j]].tobytes(), np.stack((rest[i:j][~one[i:j]], counts[i:j][~one[i:j]].astype("<u4")), axis=1).tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "once", "often"])
 
         for batch in batches:
-            for s in shingle_sets(batch.column(0), percent_n):
+            for s in shingle_sets(batch.column(0), n_words):
                 held.append(s)
                 size += len(s)
                 if size >= FLUSH:
@@ -72,133 +87,121 @@ def _count_blocks(percent_n: int):
     return run
 
 
-def _count_bucket(group: pa.Table) -> pa.Table:
-    """A bucket's slice of the two maps: classes of frequency by slot, and bits of shingles seen again."""
-    rest = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("once").to_pylist()])
-    often = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("often").to_pylist()]).reshape(-1, 2)
-    keys, index = np.unique(np.concatenate((rest, often[:, 0])), return_inverse=True)
-    counts = np.bincount(index, np.concatenate((np.ones(len(rest)), often[:, 1])))
-    classes = np.where(counts > RARE, np.minimum(15, np.floor(np.log2(np.maximum(counts, 1) / RARE)) + 1), 0).astype(np.uint8)
-    slots = np.zeros(1 << (SLOT_BITS - BUCKET_BITS), np.uint8)
-    np.maximum.at(slots, keys >> np.uint32(32 - SLOT_BITS + BUCKET_BITS), classes)
-    seen = np.zeros(1 << (SEEN_BITS - BUCKET_BITS), bool)
-    seen[keys[counts > 1] >> np.uint32(32 - SEEN_BITS + BUCKET_BITS)] = True
-    return pa.table({"bucket": group.column("bucket").slice(0, 1), "slots": pa.array([slots.tobytes()], pa.binary()), "seen": pa.array([np.packbits(seen).tobytes()], pa.binary())})
+def _count_bucket(bits: int):
+    def run(group: pa.Table) -> pa.Table:
+        """A bucket's shingles that stand in several texts, by class of frequency (the logarithm of the count)."""
+        rest = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("once").to_pylist()])
+        often = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("often").to_pylist()]).reshape(-1, 2)
+        keys, index = np.unique(np.concatenate((rest, often[:, 0])), return_inverse=True)
+        counts = np.bincount(index, np.concatenate((np.ones(len(rest)), often[:, 1])))
+        keys, counts = keys[counts > 1], counts[counts > 1]
+        classes = np.minimum(np.floor(np.log2(counts)), (1 << _CLASS_BITS) - 1).astype(np.int32) if len(keys) else np.zeros(0, np.int32)
+        bucket = group.column("bucket")[0].as_py()
+        whole = (np.uint64(bucket) << np.uint64(32)) | keys.astype(np.uint64)
+        found = [(int(c), int((classes == c).sum()), whole[classes == c].tobytes()) for c in np.unique(classes)]
+        level, many, listed = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"level": pa.array(level, pa.int32()), "many": pa.array(many, pa.int64()), "keys": pa.array(listed, pa.binary())})
+
+    return run
 
 
 class Order:
-    """The global order of shingles, of fixed size (4 MB and 16 MB) whatever the corpus."""
+    """The global order of shingles.  Of bounded size: at most ``MOST_LISTED`` keys, and a bitmap."""
+
+    def __init__(self, bits: int, keys: np.ndarray, levels: np.ndarray, seen: np.ndarray):
+        self.shift = np.uint64(32 - bits)
+        at = np.argsort(keys, kind="stable")
+        self.listed, self.levels = keys[at], levels[at]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self._slot(self.listed, 22, bits)] = True
+        self.bits, self.seen = bits, seen
 
-    def __init__(self, rows: list):
-        self.slots = np.zeros(1 << SLOT_BITS, np.uint8)
-        self.seen = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
-        a, b = 1 << (SLOT_BITS - BUCKET_BITS), 1 << (SEEN_BITS - BUCKET_BITS - 3)
-        for r in rows:
-            self.slots[r["bucket"] * a : (r["bucket"] + 1) * a] = np.frombuffer(r["slots"], np.uint8)
-            self.seen[r["bucket"] * b : (r["bucket"] + 1) * b] = np.frombuffer(r["seen"], np.uint8)
+    @staticmethod
+    def _slot(keys: np.ndarray, width: int, bits: int) -> np.ndarray:
+        return ((keys << np.uint64(32 - bits)) >> np.uint64(64 - width)).astype(np.int64)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Sorted keys: class in the top 4 bits, then 60 bits of hash."""
-        return np.sort((self.slots[s >> np.uint64(64 - SLOT_BITS)].astype(np.uint64) << np.uint64(60)) | (s >> np.uint64(4)))
+        """Sorted keys: class in the top bits, then the hash."""
+        level = np.zeros(len(s), np.uint64)
+        at = np.flatnonzero(self.maybe[(s >> np.uint64(42)).astype(np.int64)])
+        if len(at) and len(self.listed):
+            short = s[at] >> self.shift
+            place = np.minimum(np.searchsorted(self.listed, short), len(self.listed) - 1)
+            level[at] = np.where(self.listed[place] == short, self.levels[place], 0)
+        return np.sort((level << np.uint64(64 - _CLASS_BITS)) | (s >> np.uint64(_CLASS_BITS)))
 
     def seen_again(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys & np.uint64((1 << 60) - 1)) >> np.uint64(60 - SEEN_BITS)
+        """Whether the shingles of these keys may stand in several texts."""
+        width = (len(self.seen) * 8).bit_length() - 1
+        at = (keys & np.uint64((1 << (64 - _CLASS_BITS)) - 1)) >> np.uint64(64 - _CLASS_BITS - width)
         return (self.seen[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
 
 
-def _describe(order, n_words: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("prefix", pa.binary())])
-
-    def two(s: np.ndarray) -> tuple[int, int]:
-        """128 bits of a sorted sequence of hashes."""
-        if not len(s):
-            return 0, 0
-        turn = np.arange(1, len(s) + 1, dtype=np.uint64)
-        parts = (mix(s ^ mix(turn)).sum(dtype=np.uint64), mix(s * np.uint64(0xD1342543DE82EF95) + turn).sum(dtype=np.uint64))
-        return tuple(np.array(parts, np.uint64).view(np.int64).tolist())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o = order.value
+def shingle_order(rows: DataFrame, n_words: int) -> Order:
+    """Count the shingles of all texts (column text); only lists of bounded size go to the driver."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(20, max(6, math.ceil(math.log2(size / 6 / BUCKET_KEYS + 1)) + 3))
+    counted = rows.select("text").mapInArrow(_count_blocks(n_words, bits), "bucket int, once binary, often binary").groupBy("bucket").applyInArrow(_count_bucket(bits), "level int, many long, keys binary")
+    counted = materialise(counted, "counts")
+    histogram = {r["level"]: r["many"] for r in counted.groupBy("level").agg(F.sum("many").alias("many")).collect()}  # at most 32 rows
+    least, listed = 1 << _CLASS_BITS, 0
+    while least > 1 and listed + histogram.get(least - 1, 0) <= MOST_LISTED:
+        least -= 1
+        listed += histogram.get(least, 0)
+    found = counted.where(F.col("level") >= least).select("level", "keys").collect()  # at most MOST_LISTED keys
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in found)])
+    levels = np.repeat(np.array([r["level"] for r in found], np.uint64), [len(r["keys"]) // 8 for r in found])
+    width = min(SEEN_BITS, max(16, sum(histogram.values()).bit_length() + 4))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(1 << width, bool)
         for batch in batches:
-            rows = []
-            for s in shingle_sets(batch.column(1), n_words):
-                prefix = o.keys(s)[: prefix_length(len(s), percent)] if len(s) else s
-                rows.append((len(s), *two(s), *two(prefix), prefix.astype("<u8").tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+            for x in batch.column(0).to_pylist():
+                bitmap[Order._slot(np.frombuffer(x, np.uint64), width, bits)] = True
+        packed = np.packbits(bitmap)
+        parts = [(p, packed[p << 13 : (p + 1) << 13]) for p in range(-(-len(packed) >> 13))]
+        full = [(p, b.tobytes()) for p, b in parts if b.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in full], pa.int32()), pa.array([b for _, b in full], pa.binary())], names=["part", "bitmap"])
 
-    return run
+    def merge(group: pa.Table) -> pa.Table:
+        bitmap = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("bitmap").to_pylist()])
+        return pa.table({"part": group.column("part").slice(0, 1), "bitmap": pa.array([bitmap.tobytes()], pa.binary())})
 
+    seen = np.zeros(1 << (width - 3), np.uint8)
+    for r in counted.select("keys").mapInArrow(mark, "part int, bitmap binary").groupBy("part").applyInArrow(merge, "part int, bitmap binary").collect():  # at most 2**SEEN_BITS bits
+        seen[r["part"] << 13 : (r["part"] << 13) + len(r["bitmap"])] = np.frombuffer(r["bitmap"], np.uint8)
+    delete_table(counted)
+    return Order(bits, keys, levels, seen)
 
-def _postings(order):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o = order.value
-        held: list[np.ndarray] = []
-        size = 0
 
-        def flush() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            bucket = ((rows["token"] >> np.uint64(60 - BUCKET_BITS)) & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int32)
-            at = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[at], bucket[at]
-            edges = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
-            found = [(b, rows[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "postings"])
+def _two(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sorted sequence of hashes."""
+    if not len(s):
+        return 0, 0
+    turn = np.arange(1, len(s) + 1, dtype=np.uint64)
+    parts = (mix(s ^ mix(turn)).sum(dtype=np.uint64), mix(s * np.uint64(0xD1342543DE82EF95) + turn).sum(dtype=np.uint64))
+    return tuple(np.array(parts, np.uint64).view(np.int64).tolist())
 
-        for batch in batches:
-            for node, n, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = np.frombuffer(prefix, "<u8")
-                hot = int((keys >> np.uint64(60) > 0).sum())
-                keys = keys[o.seen_again(keys)]
-                rows = np.zeros(len(keys), _POSTING)
-                rows["token"], rows["node"], rows["n"], rows["hot"] = keys, node, n, hot
-                held.append(rows)
-                size += len(keys)
-                if size >= FLUSH // 4:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
 
-    return run
+_DESCRIBED = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"
 
 
-def _pairs(percent: int):
-    def needed(n1, n2, h1, h2) -> np.ndarray:
-        """Prefix shingles, frequent ones apart, that a pair within the threshold shares at least."""
-        n1, n2 = n1.astype(np.int64), n2.astype(np.int64)
-        overlap = -(-percent * (n1 + n2) // (100 + percent))
-        rest = np.maximum(n1 - prefix_length(n1, percent), n2 - prefix_length(n2, percent))
-        return np.maximum(1, overlap - rest - np.minimum(h1, h2)).astype(np.int32)
+def _describe(order, n_words: int, percent: int):
+    """Size, set and prefix of each text; of the prefix itself what may stand in other texts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, _POSTING) for x in group.column("postings").to_pylist()])
-        rows = rows[np.lexsort((rows["node"], rows["n"], rows["token"]))]
-        first = np.flatnonzero(np.concatenate(([True], rows["token"][1:] != rows["token"][:-1])))
-        sizes = np.diff(np.append(first, len(rows)))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for m in range(2, RUN + 1):
-            at = first[sizes == m]
-            if not len(at):
-                continue
-            i, j = np.triu_indices(m, 1)
-            for part in np.array_split(at, max(1, len(at) * len(i) // 500_000)):
-                x, y = rows[(part[:, None] + i).ravel()], rows[(part[:, None] + j).ravel()]
-                ok = (100 * x["n"].astype(np.int64) >= percent * y["n"].astype(np.int64)) & (x["node"] != y["node"])
-                x, y = x[ok], y[ok]
-                found.append((np.minimum(x["node"], y["node"]), np.maximum(x["node"], y["node"]), needed(x["n"], y["n"], x["hot"], y["hot"])))
-        big = np.zeros(len(rows) + 1, bool)
-        for a, size in zip(first[sizes > RUN], sizes[sizes > RUN], strict=True):
-            big[a : a + size - 1] = True
-        at = np.flatnonzero(big)
-        at = at[100 * rows["n"][at].astype(np.int64) >= percent * rows["n"][at + 1].astype(np.int64)]
-        x, y = rows["node"][at], rows["node"][at + 1] if len(at) else rows["node"][at]
-        found.append((np.minimum(x, y), np.maximum(x, y), np.zeros(len(at), np.int32)))
-        a, b, need = (np.concatenate(c) for c in zip(*found, strict=True))
-        pairs = np.empty(len(a), [("a", "<i8"), ("b", "<i8"), ("need", "<i4")])
-        pairs["a"], pairs["b"], pairs["need"] = a, b, need
-        pairs, shared = np.unique(pairs, return_counts=True)
-        return pa.table({"a": pairs["a"], "b": pairs["b"], "need": pairs["need"], "shared": shared.astype(np.int32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        o = order.value
+        for batch in batches:
+            rows, prefixes = [], []
+            for s in shingle_sets(batch.column(1), n_words):
+                prefix = o.keys(s)[: prefix_length(len(s), percent)] if len(s) else s
+                rows.append((len(s), *_two(s), *_two(prefix)))
+                prefixes.append(prefix[o.seen_again(prefix)] if len(prefix) else prefix)
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), lists], schema=schema)
 
     return run
 
@@ -219,110 +222,161 @@ def _chosen(ids: DataFrame, bits: int = 24) -> np.ndarray:
 
 
 def _sets_of(chosen, n_words: int):
+    schema = pa.schema([("rep", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = chosen.value
         for batch in batches:
             slot = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0))
-            sets = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column(1), n_words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            sets = shingle_sets(batch.column(1), n_words)
+            s1, s2 = zip(*map(_two, sets), strict=True) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], schema=schema)
 
     return run
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs (i, j), i in left and j in right, within the threshold, leaving out those already joined."""
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+def stars(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links (i, j) among the sets: in turn, each set that isn't linked yet, with those that aren't either."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    tokens, index = np.unique(flat, return_inverse=True)
+    _, index = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     common = np.bincount(index)[index] > 1
     index, owner = index[common], owner[common]
-    _, index = np.unique(index, return_inverse=True)
-    width = int(index.max()) + 1 if len(index) else 0
-    shared = np.zeros((len(left), len(right)), np.float32)  # counts are below 2**24, so exact
-    row_of, column_of = np.full(len(sets), -1), np.full(len(sets), -1)
-    row_of[left], column_of[right] = np.arange(len(left)), np.arange(len(right))
-    order = np.argsort(index, kind="stable")
-    index, owner = index[order], owner[order]
-    step = max(256, (8 << 20) // max(len(sets), 1))
-    for a in range(0, width, step):
-        i, j = np.searchsorted(index, (a, a + step))
-        x, y = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
-        for table, at in ((x, row_of), (y, column_of)):
-            here = at[owner[i:j]]
-            table[here[here >= 0], index[i:j][here >= 0] - a] = 1
-        shared += x @ y.T
-    both = sizes[left][:, None] + sizes[right][None, :]
-    for r, c in zip(*np.nonzero((100 + percent) * shared.astype(np.int64) >= percent * both), strict=True):
-        i, j = root(int(left[r])), root(int(right[c]))
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-            yield int(left[r]), int(right[c])
-
-
-def _verify(percent: int):
+    own = np.searchsorted(owner, np.arange(len(sets) + 1))
+    whole = index
+    mark = np.zeros(int(index.max()) + 1 if len(index) else 0, bool)
+    left = np.ones(len(sets), bool)
+    gone = 0
+    for i in range(len(sets)):
+        if not left[i]:
+            continue
+        left[i] = False
+        mine = whole[own[i] : own[i + 1]]
+        mark[mine] = True
+        shared = np.bincount(owner[mark[index]], minlength=len(sets))
+        mark[mine] = False
+        linked = np.flatnonzero(left & ((100 + percent) * shared >= percent * (sizes[i] + sizes)))
+        left[linked] = False
+        yield from ((i, int(j)) for j in linked)
+        gone += 1 + len(linked)
+        if 4 * gone > len(sets):  # what is linked needn't be looked at any more
+            keep = left[owner]
+            index, owner, gone = index[keep], owner[keep], 0
+
+
+def _first_links(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_numpy()
-        block = group.column("block").to_numpy()
+        nodes = group.column("node").to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
-        left = np.flatnonzero(block == group.column("u1")[0].as_py())
-        right = np.flatnonzero(block == group.column("u2")[0].as_py())
-        edges = [(int(ids[i]), int(ids[j])) for i, j in _links(sets, left, right, percent)]
+        pivot = group.column("pivot").to_numpy(zero_copy_only=False)
+        first = np.lexsort((nodes, ~pivot))
+        edges = [(int(nodes[first[i]]), int(nodes[first[j]])) for i, j in stars([sets[i] for i in first], percent)]
         return pa.table({"a": pa.array([min(e) for e in edges], pa.int64()), "b": pa.array([max(e) for e in edges], pa.int64())})
 
     return run
 
 
+def _verify(percent: int):
+    """Of pairs with both sets those within the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = np.concatenate((x, y))
+                both.sort(kind="stable")
+                keep.append((100 + percent) * int((both[1:] == both[:-1]).sum()) >= percent * len(both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def linked_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
     Two texts link when 100 |A n B| >= percent |A u B| for their sets of shingles; a component's id is the
     least doc_id reachable.  Null, empty and wordless texts have no shingles and stay alone, as do rows
-    without doc_id (their component is null).  Rows that share a doc_id count as one node.  Repeated rows
-    each get a row; an empty table gives an empty one; no pair of different texts is left out.
+    without doc_id (their component is null).  Rows that share a doc_id count as one node, which has the
+    links of all of them (an empty text among them has none of its own and stays alone).  Repeated rows each
+    get a row; an empty table gives an empty one; no pair of different texts is left out.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = rows.select("text").mapInArrow(_count_blocks(n_words), _BLOCKS).groupBy("bucket").applyInArrow(_count_bucket, "bucket int, slots binary, seen binary")
-    order = sc.broadcast(Order(counted.collect()))  # 20 MB at any size of corpus
-    sets = materialise(rows.mapInArrow(_describe(order, n_words, percent), "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix binary"), "sets")
+    order = share(spark, shingle_order(rows, n_words))
+    sets = materialise(rows.mapInArrow(_describe(order, n_words, percent), _DESCRIBED), "sets")
 
     usable = sets.where("n > 0 and doc_id is not null")
-    classes = materialise(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("p1").alias("p1"), F.min("p2").alias("p2")), "classes")
-    groups = classes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("node"), F.count(F.lit(1)).alias("members"))
+    same = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("prefix").alias("prefix"))
+    classes = materialise(same.withColumn("node", F.monotonically_increasing_id()), "classes")
+    groups = classes.groupBy("n", "p1", "p2").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
     groups = materialise(groups, "groups")
-    postings = groups.select(F.col("node").alias("doc_id"), "n", "p1", "p2").join(usable.select("doc_id", "n", "p1", "p2", "prefix"), ["doc_id", "n", "p1", "p2"]).select("doc_id", "n", "prefix")
-    buckets = postings.mapInArrow(_postings(order), "bucket int, postings binary")
-    pairs = buckets.groupBy("bucket").applyInArrow(_pairs(percent), "a long, b long, need int, shared int")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-    inner = groups.where("members > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    weak = components(materialise(pairs.union(inner), "pairs"))
-
-    known = classes.join(groups.select("n", "p1", "p2", "node"), ["n", "p1", "p2"]).join(weak, "node").select(F.col("rep").alias("doc_id"), "component")
-    known = materialise(known, "candidates")
-    blocks = known.groupBy("component").count().where("count > 1").select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    placed = known.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    chosen = sc.broadcast(_chosen(placed))
+    every = groups.select("group", "n", F.explode("prefix").alias("token"))
+    met = every.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    postings = materialise(every.join(met, "token"), "postings")
+
+    a, b = (postings.where(F.col("m") <= RUN).select("token", F.col("group").alias(f"g{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
+    alike = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.col("g1") < F.col("g2"))
+    pairs = materialise(a.join(b, "token").where(alike).groupBy("g1", "n1", "g2", "n2").agg(F.count(F.lit(1)).alias("shared")), "pairs")  # at most RUN / 2 for each posting
+    enough = F.col("shared") >= needed(F.col("n1"), F.col("n2"), percent)
+
+    likely = pairs.where(enough)
+    wanted = likely.select(F.col("g1").alias("group")).union(likely.select("g2")).union(postings.where(F.col("m") > RUN).select("group")).union(groups.where("members > 1").select("group")).distinct()
+    best = postings.groupBy("group").agg(F.max_by("token", F.struct("m", "token")).alias("unit"))
+    placed = wanted.join(best, "group", "left")
+    known = classes.join(groups.select("n", "p1", "p2", "group"), ["n", "p1", "p2"]).join(placed, "group")
+    known = materialise(known.select("node", "rep", "s1", "s2", "n", "group", F.coalesce("unit", -F.col("group") - 1).alias("unit")), "candidates")
+    chosen = share(spark, _chosen(known.select(F.col("rep").alias("doc_id"))))
     slot = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-    whole = rows.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(_sets_of(chosen, n_words), "doc_id long, shingles binary")
-    units = whole.dropDuplicates(["doc_id"]).join(placed, "doc_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = units.withColumn("other", other).select("component", F.least("block", "other").alias("u1"), F.greatest("block", "other").alias("u2"), "block", "doc_id", "shingles")
-    edges = materialise(units.groupBy("component", "u1", "u2").applyInArrow(_verify(percent), "a long, b long"), "links")
-
-    found = components(edges).withColumnRenamed("node", "rep")
-    labelled = classes.select("s1", "s2", "rep").join(found, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    labelled = materialise(labelled, "labels")
+    texts = rows.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(_sets_of(chosen, n_words), "rep long, s1 long, s2 long, shingles binary")
+    whole = texts.join(known.select("node", "rep", "s1", "s2", "n", "unit"), ["rep", "s1", "s2"]).dropDuplicates(["node"]).select("node", "n", "unit", "shingles")
+    whole = materialise(whole, "whole-sets")
+
+    sized = whole.groupBy("unit").agg(F.count(F.lit(1)).alias("many"), F.sum(8 * F.col("n")).alias("size"))
+    sized = sized.where("many > 1").select("unit", F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("size") / UNIT_BYTES)).cast("int").alias("blocks"))
+    mark = F.xxhash64("node")
+    leaders = whole.select("unit", "node").groupBy("unit", F.pmod(mark, F.lit(PIVOTS)).alias("k")).agg(F.min_by("node", F.struct(mark, "node")).alias("node"))
+    leaders = leaders.join(sized.where("blocks > 1"), "unit").select("node", F.lit(True).alias("pivot"))
+    units = whole.join(sized, "unit").join(leaders, "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    places = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(mark, F.col("blocks")).cast("int")))
+    units = units.select("unit", F.explode(places).alias("block"), "node", "pivot", "shingles")
+    first = materialise(units.groupBy("unit", "block").applyInArrow(_first_links(percent), "a long, b long"), "first-links")
+
+    rep_of = usable.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("nodes")).where("a < z")
+    shared_ids = rep_of.select("a", F.explode("nodes").alias("b")).where("a <> b")
+    linked = materialise(first.union(shared_ids), "links")
+    joined = materialise(components(linked), "components")
+
+    members = known.select("node", "n", "group").join(joined, "node", "left").select("node", "n", "group", F.coalesce("component", "node").alias("component"))
+    members = materialise(members, "members")
+    spans = members.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    hot = postings.where(F.col("m") > RUN).join(spans, "group").select("token", "group", "n", "low", "high")
+    open_ = hot.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x < y").select("token")
+    hot = hot.join(open_, "token")
+    a, b = (hot.select("token", *(F.col(c).alias(f"{c[0]}{k}") for c in ("group", "n", "low", "high"))) for k in (1, 2))
+    apart = (F.col("l1") != F.col("h1")) | (F.col("l2") != F.col("h2")) | (F.col("l1") != F.col("l2"))
+    again = a.join(b, "token").where(alike & apart).groupBy("g1", "n1", "g2", "n2").agg(F.count(F.lit(1)).alias("shared"))
+    rest = pairs.union(again).groupBy("g1", "n1", "g2", "n2").agg(F.sum("shared").alias("shared")).where(enough).select("g1", "g2")
+    inner = spans.where("low < high").select(F.col("group").alias("g1"), F.col("group").alias("g2"))
+    x, y = (members.select(F.col("group").alias(f"g{k}"), F.col("node").alias(f"x{k}"), F.col("component").alias(f"c{k}")) for k in (1, 2))
+    unsure = rest.union(inner).join(x, "g1").join(y, "g2").where((F.col("c1") != F.col("c2")) & ((F.col("g1") != F.col("g2")) | (F.col("x1") < F.col("x2"))))
+    unsure = materialise(unsure.select(F.col("x1").alias("a"), F.col("x2").alias("b")), "unsure")
+    one, two = (whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
+    second = unsure.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
+    # The second links are between the components of the first.
+    named = joined.select(F.col("node").alias("a"), "component")
+    second = second.join(named, "a", "left").select(F.coalesce("component", "a").alias("a"), "b").join(named.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
+    second = materialise(second.distinct(), "second-links")
+    over = components(second).withColumnRenamed("node", "lower").withColumnRenamed("component", "upper")
+    final = classes.select("s1", "s2", "rep", "node").join(joined, "node", "left").withColumn("lower", F.coalesce("component", "node"))
+    final = final.join(over, "lower", "left").select("s1", "s2", "rep", F.coalesce("upper", "lower").alias("component"))
+    final = materialise(final, "labels")
+    least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labelled = materialise(final.join(least, "component").select("s1", "s2", "component_id"), "named")
+    for used in (classes, groups, postings, pairs, known, whole, first, linked, joined, members, unsure, second, final):
+        delete_table(used)
     out = usable.select("doc_id", "n", "s1", "s2").join(labelled, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.union(alone)

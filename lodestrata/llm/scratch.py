@@ -5,8 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 8 << 20
+
+_shared: list[Broadcast] = []
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about ``BATCH_BYTES``, however long the texts are; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of a value of bounded size, until :func:`release`."""
+    made = spark.sparkContext.broadcast(value)
+    _shared.append(made)
+    return made
+
+
+def release() -> None:
+    """Give back the executors' copies of what was shared; a plan that still needs one fetches it again."""
+    while _shared:
+        _shared.pop().unpersist()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.

@@ -54,10 +54,10 @@ def near_copies(seed, groups=12, size=8):
     return rows
 
 
-@pytest.mark.parametrize("seed, n, percent, run, rare, block", [(1, 4, 85, 32, 16, 512), (2, 5, 80, 2, 2, 512), (3, 1, 80, 3, 1, 4), (4, 4, 85, 2, 1, 3)])
-def test_join_by_brute_force(spark, monkeypatch, seed, n, percent, run, rare, block):
+@pytest.mark.parametrize("seed, n, percent, run, listed, block", [(1, 4, 85, 32, 1 << 20, 512), (2, 5, 80, 2, 30, 512), (3, 1, 80, 3, 1000, 4), (4, 4, 85, 2, 0, 3)])
+def test_join_by_brute_force(spark, monkeypatch, seed, n, percent, run, listed, block):
     """Also with limits so low that most shingles take the ways for frequent ones and large groups."""
-    for name, value in (("RUN", run), ("RARE", rare), ("BLOCK", block)):
+    for name, value in (("RUN", run), ("MOST_LISTED", listed), ("BLOCK", block)):
         monkeypatch.setattr(jaccard_join, name, value)
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -65,6 +65,42 @@ def test_join_by_brute_force(spark, monkeypatch, seed, n, percent, run, rare, bl
     assert got == brute_components(rows, n, percent)
 
 
+def test_join_of_rows_that_share_ids(spark):
+    """Several texts under one doc_id keep all their links, whatever the order of the rows."""
+    r = random.Random(9)
+    words = lambda: [f"w{r.randint(0, 10**6)}" for _ in range(60)]
+    a, c, e = words(), words(), words()
+    near = lambda w: [*w[:-1], "other"]
+    rows = [(7, a), (7, c), (2, near(a)), (3, near(c)), (9, e), (9, e), (10, near(e)), (4, words()), (5, near(a)), (5, near(e))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = jaccard_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect()
+        assert sorted((x.doc_id, x.component_id) for x in got) == [(2, 2), (3, 2), (4, 4), (5, 2), (5, 2), (7, 2), (7, 2), (9, 2), (9, 2), (10, 2)]
+
+
+def test_join_of_large_groups(spark, monkeypatch):
+    """A shingle in the prefix of 600 unlike texts beside 300 near copies: linked by brute force, few pairs made."""
+    made = {}
+    write = jaccard_join.materialise
+
+    def watched(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", watched)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(10)]
+    rows = [(k, " ".join([*common, *(f"w{r.randint(0, 10**6)}" for _ in range(r.randint(2, 4)))])) for k in range(600)]
+    base = [f"b{i}" for i in range(80)]
+    rows += [(k, " ".join([*base[: r.randint(76, 80)], f"x{r.randint(0, 10**6)}"])) for k in range(600, 900)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert made["unsure"] < 900 and made["first-links"] < 900
+
+
 def test_join_on_odd_rows(odd, none):
     got = jaccard_join.linked_components(odd, 4, 85).collect()
     assert len(got) == len(ODD)
