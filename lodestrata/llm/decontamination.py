@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import bound_batches, materialise, share
 from .terms import Spans, fold, letters, runs
 from .words import shingle_hashes, slices, text_buffers
 
@@ -175,6 +175,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     either table may be empty.  Every text is searched whole, once for each block of the benchmark.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows = materialise(item_windows(benchmark), "item-windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
@@ -191,7 +192,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         known = np.zeros(1 << 20, bool)
         known[[h & 0xFFFFF for h in by]] = True
         if by:
-            out = out.union(texts.mapInArrow(_scan(spark.sparkContext.broadcast((dict(by), known, counts))), "doc_id long, item_id long, share double"))
+            out = out.union(texts.mapInArrow(_scan(share(spark, (dict(by), known, counts))), "doc_id long, item_id long, share double"))
     return out
 
 

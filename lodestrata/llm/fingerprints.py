@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import bound_batches
 from .words import shingle_sets, slices
 
 SHINGLE_WORDS = 5
@@ -172,6 +173,7 @@ def compare_with_next(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = SKETCH_S
                     schema=pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_shingles", pa.float64())]),
                 )
 
+    bound_batches(docs.sparkSession)
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
     return with_successors(docs).mapInArrow(run, schema)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import bound_batches
+
 _REST = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
 #: Elements that are dropped.  Raw text runs to its closing tag or the page's end; the others are markup, and
 #: where they are not closed they end with their parent (see :func:`_end_of_dropped`).
@@ -293,4 +295,5 @@ def extract_main_text(pages: DataFrame, column: str = "html") -> DataFrame:
                 texts = [main_text(x) for x in piece.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
+    bound_batches(pages.sparkSession)
     return pages.select(*kept, F.col(column)).mapInArrow(run, schema)

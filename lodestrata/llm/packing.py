@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import materialise
+from .scratch import bound_batches, materialise
 from .token_counts import Encoder
 
 SALT_ROWS = 20_000
@@ -129,6 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     ``keep_ids`` adds the ids, from which :func:`sequences` makes the sequences themselves.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     pieces = materialise(cut_into_pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     plan = plan_best_fit(counts, capacity)

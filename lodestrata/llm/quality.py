@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches, share
 from .terms import shape_terms
 from .toxicity import held_out
 
@@ -101,7 +102,8 @@ def grade_texts(docs: DataFrame, model: Ordinal, wanted: int = 1, least: float =
     Null and empty texts have no terms: their score is 0, and they are never selected.  Repeated rows are
     each graded; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    bound_batches(docs.sparkSession)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import bound_batches, materialise, share
 from .words import _BASE, _INVERSE, mix, powers, slices, text_buffers
 
 LENGTH = 200
@@ -221,7 +221,8 @@ def drop_repeated_substrings(docs: DataFrame) -> DataFrame:
     Null texts count as empty; texts under ``LENGTH`` bytes are never changed; of repeated strings every
     occurrence goes, in repeated rows as well; an empty table gives an empty one.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     texts = rows.select("text", "key")
     grouped = texts.mapInArrow(_anchor_blocks, "bucket int, anchors binary").groupBy("bucket").applyInArrow(_group_anchors, "key long, start int, stop int, bits binary")
@@ -230,7 +231,7 @@ def drop_repeated_substrings(docs: DataFrame) -> DataFrame:
     bitmap = np.zeros(1 << (SEND_BITS - 3), np.uint8)  # 16 MB at any size of corpus
     for r in grouped.where("key is null and length(bits) > 0").select("start", "bits").collect():
         bitmap[r["start"] * size : (r["start"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    contexts = texts.mapInArrow(_contexts(sc.broadcast(bitmap)), "bucket int, key long, start int, context binary")
+    contexts = texts.mapInArrow(_contexts(share(spark, bitmap)), "bucket int, key long, start int, context binary")
     marked = contexts.groupBy("bucket").applyInArrow(_mark_windows, "key long, start int, stop int")
     marks = grouped.where("key is not null").select("key", "start", "stop").union(marked)
     ranges = marks.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")).withColumnRenamed("key", "other")

@@ -4,7 +4,7 @@ Texts are split at safe boundaries.  For the byte-level vocabularies every singl
 between two characters other than white space ends a pre-token (no pattern of theirs reaches over it), so
 the ids of a text are the ids of its pieces one after the other, each piece taking the space before it.
 Pieces repeat: a batch of about ``BATCH_BYTES`` is reduced to its distinct pieces by 64-bit hashes, those
-met before are looked up in a table that each process keeps (``KEEP`` pieces, then it starts anew), and
+met before are looked up in a table that each process keeps (``KEEP_BYTES``, then it starts anew), and
 only new ones are encoded.  Files of other kinds go to their library text by text, in batches balanced by
 bytes.
 
@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .scratch import bound_batches
 from .words import _BASE, _INVERSE, mix, powers, slices, text_buffers
 
 BATCH_BYTES = 12 << 20
 LIBRARY_BYTES = 1 << 20
-KEEP = 600_000
+KEEP_BYTES = 24 << 20
 
 _loaded: dict[str, "Encoder"] = {}
 _BYTES = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -67,17 +68,16 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None
-        if path.endswith(".json"):
+        self.pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = ranked(path) if path.endswith(".json") else None
+        if self.pieces:
+            pass  # the library itself isn't needed, nor its memory
+        elif path.endswith(".json"):
             from tokenizers import Tokenizer
 
             library = Tokenizer.from_file(path)
             library.no_truncation()
             library.no_padding()
             self._batch = lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-            pre = library.pre_tokenizer
-            if library.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space:
-                self.pieces = ranked(path)
         elif path.endswith(".model"):
             import sentencepiece
 
@@ -124,7 +124,7 @@ class Encoder:
             total += len(starts)
         places = np.concatenate(where, axis=1) if where else np.zeros((2, 0), np.int64)
         distinct, first, index = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
-        if len(self.hashes) > KEEP:
+        if 24 * len(self.hashes) + 4 * len(self.flat) > KEEP_BYTES:
             self._forget()
         at = np.searchsorted(self.hashes, distinct)
         new = np.ones(len(distinct), bool)
@@ -177,8 +177,10 @@ def ranked(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
-    model = data["model"]
-    if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or not data["pre_tokenizer"].get("use_regex", True):
+    model, pre = data["model"], data["pre_tokenizer"] or {}
+    if data["normalizer"] is not None or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space", True) or data["truncation"] or data["padding"]:
+        return None
+    if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or not pre.get("use_regex", True):
         return None
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in data["added_tokens"]):
         return None
@@ -240,4 +242,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
             sizes = np.diff(text_buffers(column)[1])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(counts > limit)], names=[*kept, *out])
 
+    bound_batches(docs.sparkSession)
     return docs.select(*kept, text).mapInArrow(run, schema)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches, share
 from .terms import word_terms
 
 MOST_EXAMPLES = 2048
@@ -47,7 +48,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def pick_examples(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_EXAMPLES) -> tuple[DataFrame, dict[int, float]]:
     """At most ``most`` labelled texts of each label outside the held-out fold, and each label's weight."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = F.xxhash64("doc_id")
     taken = known.where("label = 1").orderBy(order, "doc_id").limit(most).union(known.where("label = 0").orderBy(order, "doc_id").limit(most))
@@ -56,7 +57,7 @@ def pick_examples(docs: DataFrame, labels: DataFrame, label: str = "toxic", most
 
 
 def count_terms(examples: DataFrame) -> DataFrame:
-    """(doc_id, label, terms, tf) of the examples: hashes and counts in binary, one row for each."""
+    """(doc_id, label, terms, levels) of the examples: hashes and how many levels they reach, in binary, one row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,10 +65,10 @@ def count_terms(examples: DataFrame) -> DataFrame:
                 order = np.argsort(rows, kind="stable")
                 cuts = np.searchsorted(rows[order], np.arange(n + 1))
                 held = [np.unique(terms[order[i:j]], return_counts=True) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                columns = [pa.array([t.astype("<u8").tobytes() for t, _ in held], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in held], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + n], batch.column(2)[a : a + n], *columns], names=["doc_id", "label", "terms", "tf"])
+                columns = [pa.array([t.astype("<u8").tobytes() for t, _ in held], pa.binary()), pa.array([np.searchsorted(LEVELS, c, "right").astype("u1").tobytes() for _, c in held], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + n], batch.column(2)[a : a + n], *columns], names=["doc_id", "label", "terms", "levels"])
 
-    return examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(run, "doc_id long, label int, terms binary, tf binary")
+    return examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(run, "doc_id long, label int, terms binary, levels binary")
 
 
 class Terms:
@@ -118,7 +119,7 @@ def spread(sizes: np.ndarray) -> np.ndarray:
 
 def document_frequencies(docs: DataFrame, known: Terms) -> tuple[np.ndarray, int]:
     """How many of all ``docs`` hold each column of ``known``, and how many docs there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = share(docs.sparkSession, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -160,24 +161,35 @@ class Index:
         """vocabulary: (term, level, texts with it) in order; ids, labels: of all examples; rows, terms, tf: what
         they hold, in order of rows; texts: of how many texts the vocabulary counts (the examples unless given)."""
         vocabulary = np.array(vocabulary, [("term", "<u8"), ("level", "<i4"), ("df", "<f8")])
-        self.known = Terms(*np.unique(vocabulary["term"], return_counts=True))
-        cuts = np.searchsorted(rows, np.arange(0, len(ids) + 128, 128))  # a part at a time, to keep the driver small
-        parts = [self.known.columns(rows[i:j], terms[i:j], tf[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        rows, columns = (np.concatenate([np.zeros(0, np.int32), *(x[k].astype(np.int32) for x in parts)]) for k in (0, 1))
-        del parts
+        known = Terms(*np.unique(vocabulary["term"], return_counts=True))
+        self._fill(known, vocabulary["df"], ids, labels, list(held_columns(known, len(ids), rows, terms, tf)), weights, texts)
+
+    @classmethod
+    def of(cls, known: Terms, df: np.ndarray, ids: np.ndarray, labels: np.ndarray, held: list[np.ndarray], weights: dict[int, float], texts: int) -> "Index":
+        """As the constructor, of numbered terms; held: [rows, columns] of :func:`held_columns`, emptied here to keep the driver small."""
+        made = cls.__new__(cls)
+        made._fill(known, df, ids, labels, held, weights, texts)
+        return made
+
+    def _fill(self, known: Terms, df: np.ndarray, ids: np.ndarray, labels: np.ndarray, holding: list[np.ndarray], weights: dict[int, float], texts: int | None) -> None:
+        self.known = known
+        columns, rows = holding.pop(), holding.pop()
         toxic = int((labels == 1).sum())
         held = np.bincount(columns, minlength=self.known.size)
         clear = evidence(np.bincount(columns[labels[rows] == 1], minlength=self.known.size), held, toxic, len(ids) - toxic)
         texts = len(ids) if texts is None else texts
-        self.square = (clear * (np.log((1 + texts) / (1 + np.minimum(vocabulary["df"], texts))) + 1e-9)) ** 2
-        rows, columns = self._join_alike(rows, columns, held, len(ids))
-        value = self.idf[columns]
-        norm = np.sqrt(np.bincount(rows, value**2, len(ids)))
+        self.square = (clear * (np.log((1 + texts) / (1 + np.minimum(df, texts))) + 1e-9)) ** 2
+        holding += [rows, columns]
+        del rows, columns
+        rows, columns = self._join_alike(holding, held, len(ids))  # in order of columns
+        norm = np.sqrt(np.bincount(rows, (self.idf**2)[columns], len(ids)))
         full = np.flatnonzero(norm > 0)
-        order = np.lexsort((-value, rows))
-        first = order[np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) > 0)))] if len(rows) else order
         leading = np.full(len(ids), self.size)
-        leading[rows[first]] = columns[first]
+        by_value = np.argsort(-self.idf, kind="stable").astype(np.int32)
+        rank = np.empty_like(by_value)
+        rank[by_value] = np.arange(self.size, dtype=np.int32)
+        np.minimum.at(leading, rows, rank[columns])
+        leading[full] = by_value[leading[full]]
         full = full[np.lexsort((full, leading[full], labels[full]))]  # alike examples share a block
         place = np.full(len(ids), -1)
         place[full] = np.arange(len(full))
@@ -186,17 +198,18 @@ class Index:
         share = [weights.get(y, 1.0) * float((labels == y).sum()) for y in (0, 1)]
         self.empty_score = (share[1] + PRIOR * 0.1) / (share[0] + share[1] + PRIOR) if len(ids) else 0.0
         self.inverse = 1 / norm[full]
-        where, value = place[rows].astype(np.int32), (value / norm[rows]).astype(np.float32)
-        order = np.lexsort((columns, where))
-        cuts = np.searchsorted(where[order], np.arange(1, len(full)))
-        own = list(zip(np.split(columns[order], cuts), np.split(value[order], cuts), strict=True)) if len(full) else []
-        order = np.lexsort((where, columns))
-        self.where, columns = where[order], columns[order]
-        del where, value, order
-        self.ends = np.searchsorted(columns, np.arange(self.size), "right").astype(np.int32)
+        keys = columns.astype(np.int64) * max(len(full), 1)
+        keys += place.astype(np.int32)[rows]
+        del rows
+        self.ends = np.cumsum(np.bincount(columns, minlength=self.size)).astype(np.int32)
+        del columns
+        keys.sort()
+        keys %= max(len(full), 1)
+        self.where = keys.astype(np.int32)
+        del keys
         self._open()
         self.a, self.b = 1.0, 0.0
-        self._calibrate(own)
+        self._calibrate()
 
     def _open(self) -> None:
         """What follows from the postings: their values, each block's largest ones, and the matrix of common terms."""
@@ -204,8 +217,10 @@ class Index:
         columns = np.repeat(np.arange(self.size, dtype=np.int32), held)
         self.value = (self.idf[columns] * self.inverse[self.where]).astype(np.float32)
         self.blocks = -(-len(self.ids) // BLOCK)
-        edges = columns * np.int64(self.blocks + 1) + self.where // BLOCK
-        self.cuts = np.searchsorted(edges, np.arange(self.size * (self.blocks + 1) + 1)).astype(np.int32)
+        edges = np.bincount(columns * np.int64(self.blocks + 1) + self.where // BLOCK, minlength=self.size * (self.blocks + 1))
+        self.cuts = np.zeros(len(edges) + 1, np.int32)
+        np.cumsum(edges, out=self.cuts[1:])
+        del edges
         self.most = np.zeros((self.size, self.blocks), np.float32)
         np.maximum.at(self.most, (columns, self.where // BLOCK), self.value)
         common = np.flatnonzero(held * COMMON >= max(len(self.ids), 1))  # at most COMMON times the terms of an example
@@ -223,21 +238,27 @@ class Index:
         self.__dict__.update(state)
         self._open()
 
-    def _join_alike(self, rows: np.ndarray, columns: np.ndarray, held: np.ndarray, examples: int) -> tuple[np.ndarray, np.ndarray]:
+    def _join_alike(self, holding: list[np.ndarray], held: np.ndarray, examples: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and axes: terms that the same examples hold are one axis, as long as all of them together."""
-        order = np.argsort(columns, kind="stable")
-        rows, columns = rows[order], columns[order]
+        keys = holding.pop().astype(np.int64) * max(examples, 1)
+        keys += holding.pop()
+        keys.sort()
+        columns = (keys // max(examples, 1)).astype(np.int32)
+        keys %= max(examples, 1)
+        rows = keys.astype(np.int32)
+        del keys
         cuts = np.cumsum(held) - held
         marks = np.random.default_rng(20240619).integers(1, 1 << 63, (2, examples), dtype=np.uint64)
         sums = np.zeros(self.known.size, np.complex128).view([("a", "<u8"), ("b", "<u8")])
         some = held > 0
         if some.any():
-            sums["a"][some], sums["b"][some] = (np.add.reduceat(m[rows], cuts[some]) for m in marks)
+            for name, m in zip("ab", marks, strict=True):
+                sums[name][some] = np.add.reduceat(m[rows], cuts[some])
         _, first, axis = np.unique(sums, return_index=True, return_inverse=True)
         self.axis_of, self.size = axis.astype(np.int32), len(first)
         self.idf = np.sqrt(np.bincount(axis, self.square, self.size))
-        kept = first[axis[columns]] == columns
-        return rows[kept], axis[columns[kept]]
+        kept = first.astype(np.int32)[self.axis_of[columns]] == columns
+        return rows[kept], self.axis_of[columns[kept]]
 
     def asked(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Axes and values of a text that holds the columns: its cosines with the examples are their products."""
@@ -290,12 +311,23 @@ class Index:
             asked[i, at[at >= 0]] = value[at >= 0]
         return asked @ self.dense
 
-    def neighbours(self, rows: list[tuple[np.ndarray, np.ndarray]], leave_out: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The nearest examples of each row (columns, values); leave_out: rows are the examples, by place."""
+    def neighbours(self, rows: list[tuple[np.ndarray, np.ndarray]], leave_out: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each row (columns, values); leave_out: rows are the examples from this place on."""
         for a in range(0, len(rows), TOGETHER):
             piece = rows[a : a + TOGETHER]
             for i, (row, scores) in enumerate(zip(piece, self.common_part(piece), strict=True)):
-                yield self.nearest(*row, NEIGHBOURS, a + i if leave_out else -1, scores)
+                yield self.nearest(*row, NEIGHBOURS, leave_out + a + i if leave_out >= 0 else -1, scores)
+
+    def examples(self) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+        """Columns and values of the examples by place, ``BLOCK`` of them at a time."""
+        starts = self.cuts.reshape(-1)[: self.size * (self.blocks + 1)].reshape(self.size, self.blocks + 1) if self.blocks else np.zeros((self.size, 1), np.int32)
+        for b in range(self.blocks):
+            first, many = starts[:, b].astype(np.int64), starts[:, b + 1].astype(np.int64) - starts[:, b]
+            columns = np.repeat(np.arange(self.size, dtype=np.int32), many)
+            at = np.repeat(first, many) + spread(many)
+            order = np.argsort(self.where[at], kind="stable")  # columns stay in order
+            cuts = np.searchsorted(self.where[at][order], np.arange(b * BLOCK + 1, min((b + 1) * BLOCK, len(self.ids))))
+            yield list(zip(np.split(columns[order], cuts), np.split(self.value[at][order], cuts), strict=True))
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         near = cosines**2 / (1.05 - np.minimum(cosines, 1.0))
@@ -304,9 +336,9 @@ class Index:
     def score(self, vote: float) -> float:
         return 1 / (1 + np.exp(-np.clip(self.a * np.log(vote / (1 - vote)) + self.b, -30, 30)))
 
-    def _calibrate(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Fit the logistic curve to leave-one-out votes; rows: each example's columns and values, by place."""
-        votes = np.array([self.vote(*near) for near in self.neighbours(rows, leave_out=True)])
+    def _calibrate(self) -> None:
+        """Fit the logistic curve to the examples' leave-one-out votes."""
+        votes = np.array([self.vote(*near) for b, rows in enumerate(self.examples()) for near in self.neighbours(rows, leave_out=b * BLOCK)])
         if not len(votes):
             return
         x = np.log(votes / (1 - votes))
@@ -325,22 +357,34 @@ class Index:
         self.a, self.b = max(a, 1e-3), b
 
 
+def held_columns(known: Terms, examples: int, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of ``known`` that examples hold, a part at a time to keep the driver small."""
+    cuts = np.searchsorted(rows, np.arange(0, examples + 128, 128))
+    parts = [[x.astype(np.int32) for x in known.columns(rows[i:j], terms[i:j], tf[i:j])] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    rows, columns = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in parts)]) for k in (0, 1))
+    return rows, columns
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Index:
-    """The index of the examples among ``docs`` that ``labels`` (doc_id, toxic) marks."""
+    """The index of the examples among ``docs`` that ``labels`` (doc_id, toxic) marks.
+
+    Repeated labels of one doc_id count once; of contradictory ones the larger holds.
+    """
+    bound_batches(docs.sparkSession)
     examples, weights = pick_examples(docs, labels)
     counted = sorted(count_terms(examples).collect(), key=lambda r: (r["doc_id"], r["label"], r["terms"]))  # at most 2 * MOST_EXAMPLES texts
     ids, marks = np.array([c["doc_id"] for c in counted], np.int64), np.array([c["label"] for c in counted], np.int64)
-    terms, tf = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(c[name], kind) for c in counted)]) for name, kind in (("terms", "<u8"), ("tf", "<i4")))
+    terms, levels = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(c[name], kind) for c in counted)]) for name, kind in (("terms", "<u8"), ("levels", "u1")))
     rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(c["terms"]) // 8 for c in counted])
     del counted
     different = np.unique(terms)
     most = np.zeros(len(different), np.int32)
-    np.maximum.at(most, np.searchsorted(different, terms), tf)
-    known = Terms(different, np.searchsorted(LEVELS, most, "right"))
+    np.maximum.at(most, np.searchsorted(different, terms), levels)
+    known = Terms(different, most)
+    held = list(held_columns(known, len(ids), rows, terms, LEVELS[levels - 1]))
+    del rows, terms, levels, most, different
     frequency, texts = document_frequencies(docs, known)
-    vocabulary = np.empty(known.size, [("term", "<u8"), ("level", "<i4"), ("df", "<f8")])
-    vocabulary["term"], vocabulary["level"], vocabulary["df"] = np.repeat(different, known.levels), LEVELS[spread(known.levels)], frequency
-    return Index(vocabulary, ids, marks, rows, terms, tf, weights, texts)
+    return Index.of(known, frequency, ids, marks, held, weights, texts)
 
 
 def score_texts(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
@@ -349,7 +393,8 @@ def score_texts(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFr
     Null and empty texts share no term with any example and get the score for that.  Repeated rows are each scored;
     an empty table gives an empty one.  Only the text is an input of the score.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    bound_batches(docs.sparkSession)
+    shared = share(docs.sparkSession, index)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("neighbours", pa.list_(pa.int64())), ("similarities", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
