@@ -20,15 +20,22 @@ from lodestrata.llm.decontamination import contaminated
 from lodestrata.llm.jaccard_join import linked_components
 from lodestrata.llm.line_dedup import drop_repeated_windows
 from lodestrata.llm.packing import pack
-from lodestrata.llm.scratch import materialise, table
+from lodestrata.llm.scratch import materialise, release, table
 from lodestrata.llm.token_counts import tokenizer_path
 from lodestrata.llm.toxicity import learn, score_texts
 
 
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows of these ids; the models that found them are given back before."""
+    found = materialise(ids, name)
+    release()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = learn(docs, table(spark, sf_dir, "labels"))
     bad = score_texts(docs, index).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(materialise(bad, "toxic"), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, bad, "toxic")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +45,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = linked_components(docs, n_words=5, percent=80)
     others = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(materialise(others, "others"), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, others, "others")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id")
-    return docs.join(materialise(leaks, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, leaks, "leaks")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
