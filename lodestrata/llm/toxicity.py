@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, share
+from .scratch import bound_batches, share, tidy
 from .terms import word_terms
 
 MOST_EXAMPLES = 2048
@@ -37,7 +37,7 @@ NEIGHBOURS = 15
 PRIOR = 0.5
 LEVELS = np.array([1, 2, 3, *(1 << np.arange(2, 31))])
 COMMON = 16
-TOGETHER = 64
+TOGETHER = 256
 PART = 1 << 16
 
 
@@ -68,7 +68,7 @@ def count_terms(examples: DataFrame) -> DataFrame:
                 columns = [pa.array([t.astype("<u8").tobytes() for t, _ in held], pa.binary()), pa.array([np.searchsorted(LEVELS, c, "right").astype("u1").tobytes() for _, c in held], pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + n], batch.column(2)[a : a + n], *columns], names=["doc_id", "label", "terms", "levels"])
 
-    return examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(run, "doc_id long, label int, terms binary, levels binary")
+    return examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(tidy(run), "doc_id long, label int, terms binary, levels binary")
 
 
 class Terms:
@@ -135,7 +135,7 @@ def document_frequencies(docs: DataFrame, known: Terms) -> tuple[np.ndarray, int
         counts = sum(np.frombuffer(x, "<i8") for x in group.column("counts").to_pylist())
         return pa.table({"part": group.column("part")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
     parts = sorted((r["part"], r["counts"]) for r in counted.collect())  # one number for each column
     found = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, "<i8") for _, c in parts)])
     return (found[:-1], int(found[-1])) if len(found) else (np.zeros(known.size, np.int64), 0)
@@ -205,7 +205,7 @@ class Index:
         del columns
         keys.sort()
         keys %= max(len(full), 1)
-        self.where = keys.astype(np.int32)
+        self.where = keys.astype(np.uint16 if len(full) < 1 << 16 else np.int32)
         del keys
         self._open()
         self.a, self.b = 1.0, 0.0
@@ -237,6 +237,7 @@ class Index:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._open()
+        del self.value  # in the blocks' bounds and the matrix
 
     def _join_alike(self, holding: list[np.ndarray], held: np.ndarray, examples: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and axes: terms that the same examples hold are one axis, as long as all of them together."""
@@ -284,15 +285,17 @@ class Index:
             bounds = np.maximum.reduceat(scores, np.arange(0, len(scores), BLOCK)) + value @ self.most[columns // (self.blocks + 1)]
             live = np.flatnonzero(bounds + 1e-6 >= least)
             value = value * rarity
-            if 2 * len(live) > self.blocks:
-                start, end = self.cuts[columns].astype(np.int64), self.cuts[columns + self.blocks]
-            else:
-                at = columns[:, None] + live
-                start, end, value = self.cuts[at].ravel().astype(np.int64), self.cuts[at + 1].ravel(), np.repeat(value, len(live))
-            many = end - start
+            if len(live) == 0:
+                live = np.zeros(1, np.int64)
+            # Alike examples stand together, so the blocks that can hold a nearer one mostly follow each other.
+            start = self.cuts[columns + live[0]]
+            many = self.cuts[columns + live[-1] + 1] - start
+            some = np.flatnonzero(many)
+            start, many, value = start[some], many[some], value[some]
             at = np.repeat(start - np.cumsum(many) + many, many)
-            at += np.arange(len(at))
-            scores += self.inverse * np.bincount(self.where.take(at), np.repeat(value, many), len(scores))
+            at += np.arange(len(at), dtype=np.int32)
+            where = self.where.take(at)
+            scores += self.inverse * np.bincount(where, np.repeat(value, many), len(scores))
         if but >= 0:
             scores[but] = 0.0
         found = np.flatnonzero(scores > 0)
@@ -413,5 +416,5 @@ def score_texts(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFr
                         near[row], like[row] = ix.ids[found].tolist(), np.minimum(cosines, 1.0).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + n], pa.array(scores), pa.array(near, schema.field("neighbours").type), pa.array(like, schema.field("similarities").type)], schema=schema)
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, neighbours array<long>, similarities array<double>")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double, neighbours array<long>, similarities array<double>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours", "similarities")
