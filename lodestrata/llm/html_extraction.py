@@ -8,34 +8,31 @@ tree.  The minimum cut of that graph labels the blocks: a short paragraph inside
 it looks like a caption, and a long advert between menus goes.
 
 Blocks whose own cost outweighs all their edges have their label in every minimum cut, so they are fixed
-first; what remains are small graphs, each cut by augmenting paths.
+first; what remains is cut by blocking flows, level by level.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import bound_batches
+from .scratch import bound_batches, tidy
 
-_REST = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
-#: Elements that are dropped.  Raw text runs to its closing tag or the page's end; the others are markup, and
-#: where they are not closed they end with their parent (see :func:`_end_of_dropped`).
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    rf"|<(script|style|noscript|template|iframe|textarea|title)(?=[\s/>]){_REST}>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([A-Za-z][^\s/>]*)({_REST})>|<[/!?][^>]*>",
-    re.S | re.I,
-)
+#: What begins a piece of markup: a comment, a CDATA section, a tag's name, or another declaration.
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|(/?)([A-Za-z][^\s/><]*)|[/!?])", re.I)
+#: What may end a tag: a quoted value behind "=" is passed over; a further "<" ends a tag that isn't closed.
+_INSIDE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')|[<>]")
+#: Elements whose content is no markup and is dropped up to the closing tag or the page's end.
+_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "iframe", "textarea", "title")}
 _DROPPED = frozenset(("svg", "math", "object", "select"))
-_UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\shidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -56,81 +53,132 @@ ELEMENTS = {
 NAMES = {
     **dict.fromkeys("article content entry post story body main text prose".split(), 1.0),
     **dict.fromkeys(
-        "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register share sharing social sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar comment comments disqus respond reply replies related recommended trending tags toc copyright disclaimer legal search skip sitemap topbar".split(),
+        "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription share sharing social sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar comment comments disqus respond reply replies related recommended trending tags toc copyright disclaimer legal skip sitemap topbar".split(),
         -5.0,
     ),
     "header": -2.0,
 }
+#: Words that name what is done somewhere, not what it is; prose outweighs them.
+DEEDS = dict.fromkeys("signup login register search results".split(), -2.5)
 PAIR = 1.2
 SIBLING = 0.8
 
 
+def tags(page: str, at: int = 0) -> Iterator[tuple[int, int, str, bool, str]]:
+    """The page's markup from ``at`` on: start, end, name in lower case (empty for what has none), whether it
+    closes, attributes.  Every part of the page is looked at a bounded number of times, whatever is broken in
+    it: an unclosed tag ends at the next "<", an unfinished one at the page's end."""
+    while m := _OPEN.search(page, at):
+        start, name, closing, attributes = m.start(), (m[4] or "").lower(), bool(m[3]), ""
+        if m[1] or m[2]:
+            end = page.find("-->" if m[1] else "]]>", m.end())
+            at = end + 3 if end >= 0 else len(page)
+        else:
+            end = at = m.end()
+            while inner := _INSIDE.search(page, at):
+                end = at = inner.end()
+                if inner[0] in "<>":
+                    end, at = (inner.start(), inner.start() + (inner[0] == ">"))
+                    break
+            else:
+                end = at = len(page)
+            attributes = page[m.end() : end]
+            if name in _RAW and not closing:
+                last = _RAW[name].search(page, at)
+                name, at = "", last.end() if last else len(page)
+        yield start, at, name, closing, attributes
+
+
 def _end_of_dropped(page: str, at: int, name: str) -> int:
     """Where an element that begins before ``at`` ends: after its closing tag, or at its parent's."""
     open_: list[str] = [name]
-    for m in _TAG.finditer(page, at):
-        inner = (m[3] or "").lower()
-        if not inner or inner in VOID or not m[2] and m[4].endswith("/"):
+    many = Counter(open_)
+    for start, end, inner, closing, attributes in tags(page, at):
+        if not inner or inner in VOID or not closing and attributes.endswith("/"):
             continue
-        if not m[2]:
+        if not closing:
             open_.append(inner)
-        elif inner in open_:
-            del open_[len(open_) - 1 - open_[::-1].index(inner) :]
+            many[inner] += 1
+        elif many[inner]:
+            while True:
+                last = open_.pop()
+                many[last] -= 1
+                if last == inner:
+                    break
             if not open_:
-                return m.end()
+                return end
         elif inner in BLOCKS:
-            return m.start()
+            return start
     return len(page)
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "parent", "cost")
+    __slots__ = ("text", "apart", "under", "cost")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], prior: float, inner: str):
-        self.text, self.linked, self.path, self.parent = text, linked, path, path[-1] if path else 0
+    def __init__(self, text: str, linked: int, apart: int, under: int, prior: float, deeds: float, inner: str):
+        """apart: steps in the tree from the block before; under: the number of the parent's parent."""
+        self.text, self.apart, self.under = text, apart, under
         n = len(text)
         stops = len(_STOPS.findall(text))
-        self.cost = prior + 0.3 + min(n, 400) / 250 + min(stops, 6) * 0.15 - 4.0 * linked / max(n, 1)
+        prose = min(1.0, n / 150) * min(1.0, stops / 3) * max(0.0, 1 - 3 * linked / max(n, 1))
+        self.cost = prior + deeds * (1 - prose) + 0.3 + min(n, 400) / 250 + min(stops, 6) * 0.15 - 4.0 * linked / max(n, 1)
         if n < 25 and not stops and inner not in ("h1", "h2", "h3", "p"):
             self.cost -= 0.8
 
 
+class _Element(NamedTuple):
+    name: str
+    number: int
+    prior: float
+    deeds: float
+    hidden: bool
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order."""
     found: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # name, number, prior, hidden
+    stack = [_Element("", 0, 0.0, 0.0, False)]
+    many: Counter[str] = Counter()
     links, number = 0, 0
     parts: list[str] = []
     linked: list[str] = []
+    depth, low = 0, 0  # of the last block, and the least one since
 
     def flush() -> None:
+        nonlocal depth, low
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            if text and not stack[-1][3]:
+            if text and not stack[-1].hidden:
                 length = len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()) if linked else 0
-                found.append(Block(text, length, tuple(s[1] for s in stack), stack[-1][2], stack[-1][0]))
+                low = min(low, len(stack))
+                found.append(Block(text, length, depth + len(stack) - 2 * low, stack[-2].number if len(stack) > 1 else 0, stack[-1].prior, stack[-1].deeds, stack[-1].name))
+                depth = low = len(stack)
             parts.clear()
             linked.clear()
 
+    def leave() -> str:
+        nonlocal low
+        name = stack.pop().name
+        many[name] -= 1
+        low = min(low, len(stack))
+        return name
+
     def add(text: str) -> None:
         parts.append(text)
         if links:
             linked.append(text)
 
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() < at:
+    for start, end, name, closing, attributes in tags(page):
+        if start < at:
             continue
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
+        if start > at:
+            add(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        closing = bool(m[2])
         if name in _DROPPED:
-            if not closing and not (name in ("svg", "math") and m[4].endswith("/")):
+            if not closing and not (name in ("svg", "math") and attributes.endswith("/")):
                 at = _end_of_dropped(page, at, name)
             continue
         if name == "a":
@@ -146,34 +194,36 @@ def blocks_of(page: str) -> list[Block]:
                 continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name in ("p", "li", "dd", "dt") and stack[k][0] not in ("p", "li", "dd", "dt", "button", "label"):
-                    break
+            if many[name]:  # so the walk up ends
+                items = ("p", "li", "dd", "dt")
+                up = len(stack) - 1
+                while stack[up].name != name and (name not in items or stack[up].name in (*items, "button", "label")):
+                    up -= 1
+                if stack[up].name == name:
+                    while len(stack) > up:
+                        leave()
             continue
         links = 0
         if name in VOID:
             continue
-        if stack[-1][0] == "p" or name in ("li", "dd", "dt") and stack[-1][0] == name:
-            stack.pop()
+        if stack[-1].name == "p" or name in ("li", "dd", "dt") and stack[-1].name == name:
+            leave()
         number += 1
-        prior = ELEMENTS.get(name, 0.0)
-        inside = any(s[0] in ("article", "main") for s in stack)
-        if name == "header" and inside:
+        prior, deeds = ELEMENTS.get(name, 0.0), 0.0
+        if name == "header" and (many["article"] or many["main"]):
             prior = 0.0
-        attributes = m[4]
         if attributes:
             for value in _ATTRIBUTE.findall(attributes):
                 for word in _WORD.findall(value.lower()):
                     prior += NAMES.get(word, 0.0)
-        hidden = stack[-1][3] or bool(attributes and _HIDDEN.search(attributes))
-        before = stack[-1][2]
-        stack.append((name, number, max(-8.0, min(5.0, before + prior)) if prior >= 0 or before >= 0 else max(-8.0, min(before, prior)), hidden))
+                    deeds += DEEDS.get(word, 0.0)
+        last = stack[-1]
+        hidden = last.hidden or bool(attributes and _HIDDEN.search(attributes))
+        prior = max(-8.0, min(5.0, last.prior + prior)) if prior >= 0 or last.prior >= 0 else max(-8.0, min(last.prior, prior))
+        stack.append(_Element(name, number, prior, max(-8.0, last.deeds + deeds), hidden))
+        many[name] += 1
     if at < len(page):
-        unfinished = _UNFINISHED.search(page, at)
-        add(page[at : unfinished.start()] if unfinished else page[at:])
+        add(page[at:])
     flush()
     return found
 
@@ -184,22 +234,63 @@ def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            common = 0
-            for x, y in zip(a, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            apart = len(a) + len(b.path) - 2 * common
-            edges[i - 1, i] = PAIR / (1 + apart)
-        under = b.path[-2] if len(b.path) > 1 else 0
-        if under in last:
-            key = (last[under], i)
+            edges[i - 1, i] = PAIR / (1 + b.apart)
+        if b.under in last:
+            key = (last[b.under], i)
             edges[key] = edges.get(key, 0.0) + SIBLING
-        last[under] = i
+        last[b.under] = i
     return edges
 
 
+def _levels(rest: list[int], room: dict[int, dict[int, float]], supply: dict[int, float]) -> dict[int, int]:
+    """Steps from the nearest supply, as far as the nearest demand; empty where none can be reached."""
+    now = [i for i in rest if supply[i] > 1e-9]
+    level = dict.fromkeys(now, 0)
+    while now:
+        after = []
+        for i in now:
+            for j, w in room[i].items():
+                if w > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
+                    after.append(j)
+        if any(supply[j] < -1e-9 for j in after):
+            return level
+        now = after
+    return {}
+
+
+def _blocking_flow(room: dict[int, dict[int, float]], supply: dict[int, float], level: dict[int, int]) -> None:
+    """Send along paths of increasing level until each of them is full."""
+    ways = {i: iter(list(room[i])) for i in level}
+    step: dict[int, int | None] = {}  # the way that is being tried from a block
+    for first in [i for i, k in level.items() if k == 0]:
+        path = [first]
+        while path and supply[first] > 1e-9:
+            i = path[-1]
+            if supply[i] < -1e-9:
+                flow = min([supply[first], -supply[i], *(room[a][b] for a, b in zip(path[:-1], path[1:], strict=True))])
+                supply[first] -= flow
+                supply[i] += flow
+                full = 0
+                for k in range(len(path) - 1, 0, -1):
+                    a, b = path[k - 1], path[k]
+                    room[a][b] -= flow
+                    room[b][a] = room[b].get(a, 0.0) + flow
+                    if room[a][b] <= 1e-9:
+                        full = k
+                del path[full or len(path) :]
+                continue
+            j = step.get(i)
+            if j is None or room[i].get(j, 0.0) <= 1e-9 or level.get(j) != level[i] + 1:
+                j = next((x for x in ways[i] if room[i][x] > 1e-9 and level.get(x) == level[i] + 1), None)
+                step[i] = j
+            if j is None:
+                level[i] = -1
+                path.pop()
+            else:
+                path.append(j)
+
+
 def minimum_cut(costs: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
     """Labels that minimise the costs of wrong labels and of cut edges; True where content.
 
@@ -226,36 +317,12 @@ def minimum_cut(costs: list[float], edges: dict[tuple[int, int], float]) -> list
         near[i] = {}
     if None not in label:
         return label  # type: ignore[return-value]
-    # Augmenting paths from content terminals (cost > 0) to others on what is left.
+    # What is left is cut by blocking flows from content terminals (cost > 0) to the others.
     rest = [i for i in range(n) if label[i] is None]
     room = {i: dict(near[i]) for i in rest}
     supply = {i: costs[i] for i in rest}
-    while True:
-        came: dict[int, int] = {}
-        queue = deque(i for i in rest if supply[i] > 1e-9)
-        came.update((i, -1) for i in queue)
-        end = -1
-        while queue:
-            i = queue.popleft()
-            if supply[i] < -1e-9:
-                end = i
-                break
-            for j, w in room[i].items():
-                if w > 1e-9 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if end < 0:
-            break
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        path.reverse()
-        flow = min([supply[path[0]], -supply[end], *(room[a][b] for a, b in zip(path[:-1], path[1:], strict=True))])
-        supply[path[0]] -= flow
-        supply[end] += flow
-        for a, b in zip(path[:-1], path[1:], strict=True):
-            room[a][b] -= flow
-            room[b][a] = room[b].get(a, 0.0) + flow
+    while level := _levels(rest, room, supply):
+        _blocking_flow(room, supply, level)
     # Content: all from which no terminal of the other side can be reached.
     other = {i for i in rest if supply[i] < -1e-9}
     queue = deque(other)
@@ -296,4 +363,4 @@ def extract_main_text(pages: DataFrame, column: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     bound_batches(pages.sparkSession)
-    return pages.select(*kept, F.col(column)).mapInArrow(run, schema)
+    return pages.select(*kept, F.col(column)).mapInArrow(tidy(run), schema)
