@@ -7,7 +7,8 @@ windows, in blocks of at most ``BLOCK_WINDOWS`` rows, form a hash table that is
 are streamed against it.
 
 Windows of plain words (nothing replaced) are looked up beside them, for passages whose capitals or stops
-differ, such as a title.
+differ, such as a title.  An item of fewer than ``WORDS`` words has one plain window, the whole of it, which
+is met by texts that consist of the same words: within longer texts so few words prove nothing.
 
 A text's windows that meet an item's line up by their distance.  Windows of one distance are consistent
 when each of the item's placeholder words stands for one word of the text throughout.  An item is in a text
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, materialise, share
+from .scratch import bound_batches, materialise, share, tidy
 from .terms import Spans, fold, letters, runs
 from .words import shingle_hashes, slices, text_buffers
 
@@ -89,11 +90,12 @@ class Canonical:
         return Spans(fold(data)).hash(offsets[:-1], offsets[1:], 0)
 
     def windows(self, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, text and first word of each whole window of plain or canonical words."""
+        """Hash, text and first word of each window of canonical or plain words, the latter also of a whole
+        short text."""
         hashes, places = shingle_hashes(self.words ^ np.uint64(1) if plain else self.hashes, self.bounds, WORDS)
         row = np.repeat(np.arange(len(places) - 1), np.diff(places))
         first = np.arange(len(hashes)) - places[row] + self.bounds[row]
-        whole = np.diff(self.bounds)[row] >= WORDS
+        whole = (np.diff(self.bounds)[row] >= WORDS) | plain
         return hashes[whole], row[whole], first[whole]
 
     def slots(self, first: int) -> list[tuple[int, str]]:
@@ -128,7 +130,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                     )
 
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return items.mapInArrow(run, "item_id long, plain boolean, pos int, total int, hash long, slots array<struct<k:int,word:string>>")
+    return items.mapInArrow(tidy(run), "item_id long, plain boolean, pos int, total int, hash long, slots array<struct<k:int,word:string>>")
 
 
 def _scan(table):
@@ -170,8 +172,8 @@ def _scan(table):
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, share): the benchmark items that stand in each text.
 
-    Null and empty texts hold nothing; items of fewer than ``WORDS`` words or without a template window can
-    not be found; repeated rows each give their rows; rows with a null doc_id give rows with a null doc_id;
+    Null and empty texts hold nothing; items of fewer than ``WORDS`` words are found in texts that consist of
+    them; items without words are not found; repeated rows each give their rows; rows with a null doc_id give rows with a null doc_id;
     either table may be empty.  Every text is searched whole, once for each block of the benchmark.
     """
     spark = docs.sparkSession
@@ -181,18 +183,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     out = spark.createDataFrame([], "doc_id long, item_id long, share double")
     for block in range(blocks):  # whole items, at most about BLOCK_WINDOWS rows at a time
-        by: dict[int, list] = defaultdict(list)
+        by: dict[int, dict] = defaultdict(dict)  # entries as keys, so repeated ones count once
         counts: dict[tuple[int, bool], int] = {}
         for r in windows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect():
             item = (r["item_id"], r["plain"])
-            entry = (item, r["pos"], [(s["k"], s["word"]) for s in r["slots"]])
-            if entry not in by[r["hash"] % (1 << 64)]:
-                by[r["hash"] % (1 << 64)].append(entry)
+            by[r["hash"] % (1 << 64)][item, r["pos"], tuple((s["k"], s["word"]) for s in r["slots"])] = None
             counts[item] = max(counts.get(item, 0), r["total"])
         known = np.zeros(1 << 20, bool)
         known[[h & 0xFFFFF for h in by]] = True
         if by:
-            out = out.union(texts.mapInArrow(_scan(share(spark, (dict(by), known, counts))), "doc_id long, item_id long, share double"))
+            out = out.union(texts.mapInArrow(tidy(_scan(share(spark, ({h: list(entries) for h, entries in by.items()}, known, counts)))), "doc_id long, item_id long, share double"))
     return out
 
 

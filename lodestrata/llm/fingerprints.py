@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import bound_batches
+from .scratch import bound_batches, tidy
 from .words import shingle_sets, slices
 
 SHINGLE_WORDS = 5
@@ -76,7 +76,7 @@ def add_fingerprints(docs: DataFrame, text: str = "text", n: int = SHINGLE_WORDS
             sketches = [s[:k] for s in shingle_sets(batch.column(len(kept)), n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(map(to_text, sketches), pa.string()), pa.array([distinct_count(s, k) for s in sketches], pa.float64())], names=schema.names)
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return docs.select(*kept, text).mapInArrow(tidy(run), schema)
 
 
 def merge_fingerprints(sketched: DataFrame, key: str, k: int = SKETCH_SIZE) -> DataFrame:
@@ -101,7 +101,7 @@ def merge_fingerprints(sketched: DataFrame, key: str, k: int = SKETCH_SIZE) -> D
             sketch = merge(sketch, from_text(text), k)
         return pa.table({key: group.column(key).slice(0, 1), "fingerprint": [to_text(sketch)]})
 
-    return sketched.select(key, "fingerprint").mapInArrow(fold, schema).groupBy(key).applyInArrow(finish, schema)
+    return sketched.select(key, "fingerprint").mapInArrow(tidy(fold), schema).groupBy(key).applyInArrow(finish, schema)
 
 
 def with_successors(docs: DataFrame) -> DataFrame:
@@ -176,4 +176,4 @@ def compare_with_next(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = SKETCH_S
     bound_batches(docs.sparkSession)
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
-    return with_successors(docs).mapInArrow(run, schema)
+    return with_successors(docs).mapInArrow(tidy(run), schema)

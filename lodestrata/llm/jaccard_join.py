@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bound_batches, delete_table, materialise, share
+from .scratch import bound_batches, delete_table, materialise, share, tidy
 from .words import mix, shingle_sets
 
 MOST_LISTED = 1 << 20
@@ -141,7 +141,7 @@ def shingle_order(rows: DataFrame, n_words: int) -> Order:
     """Count the shingles of all texts (column text); only lists of bounded size go to the driver."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(20, max(6, math.ceil(math.log2(size / 6 / BUCKET_KEYS + 1)) + 3))
-    counted = rows.select("text").mapInArrow(_count_blocks(n_words, bits), "bucket int, once binary, often binary").groupBy("bucket").applyInArrow(_count_bucket(bits), "level int, many long, keys binary")
+    counted = rows.select("text").mapInArrow(tidy(_count_blocks(n_words, bits)), "bucket int, once binary, often binary").groupBy("bucket").applyInArrow(_count_bucket(bits), "level int, many long, keys binary")
     counted = materialise(counted, "counts")
     histogram = {r["level"]: r["many"] for r in counted.groupBy("level").agg(F.sum("many").alias("many")).collect()}  # at most 32 rows
     least, listed = 1 << _CLASS_BITS, 0
@@ -154,11 +154,11 @@ def shingle_order(rows: DataFrame, n_words: int) -> Order:
     width = min(SEEN_BITS, max(16, sum(histogram.values()).bit_length() + 4))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(1 << width, bool)
+        packed = np.zeros(1 << (width - 3), np.uint8)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                bitmap[Order._slot(np.frombuffer(x, np.uint64), width, bits)] = True
-        packed = np.packbits(bitmap)
+                at = Order._slot(np.frombuffer(x, np.uint64), width, bits)
+                np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         parts = [(p, packed[p << 13 : (p + 1) << 13]) for p in range(-(-len(packed) >> 13))]
         full = [(p, b.tobytes()) for p, b in parts if b.any()]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in full], pa.int32()), pa.array([b for _, b in full], pa.binary())], names=["part", "bitmap"])
@@ -168,7 +168,7 @@ def shingle_order(rows: DataFrame, n_words: int) -> Order:
         return pa.table({"part": group.column("part").slice(0, 1), "bitmap": pa.array([bitmap.tobytes()], pa.binary())})
 
     seen = np.zeros(1 << (width - 3), np.uint8)
-    for r in counted.select("keys").mapInArrow(mark, "part int, bitmap binary").groupBy("part").applyInArrow(merge, "part int, bitmap binary").collect():  # at most 2**SEEN_BITS bits
+    for r in counted.select("keys").mapInArrow(tidy(mark), "part int, bitmap binary").groupBy("part").applyInArrow(merge, "part int, bitmap binary").collect():  # at most 2**SEEN_BITS bits
         seen[r["part"] << 13 : (r["part"] << 13) + len(r["bitmap"])] = np.frombuffer(r["bitmap"], np.uint8)
     delete_table(counted)
     return Order(bits, keys, levels, seen)
@@ -306,7 +306,7 @@ def linked_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> D
     bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = share(spark, shingle_order(rows, n_words))
-    sets = materialise(rows.mapInArrow(_describe(order, n_words, percent), _DESCRIBED), "sets")
+    sets = materialise(rows.mapInArrow(tidy(_describe(order, n_words, percent)), _DESCRIBED), "sets")
 
     usable = sets.where("n > 0 and doc_id is not null")
     same = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("prefix").alias("prefix"))
@@ -330,7 +330,7 @@ def linked_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> D
     known = materialise(known.select("node", "rep", "s1", "s2", "n", "group", F.coalesce("unit", -F.col("group") - 1).alias("unit")), "candidates")
     chosen = share(spark, _chosen(known.select(F.col("rep").alias("doc_id"))))
     slot = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-    texts = rows.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(_sets_of(chosen, n_words), "rep long, s1 long, s2 long, shingles binary")
+    texts = rows.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(tidy(_sets_of(chosen, n_words)), "rep long, s1 long, s2 long, shingles binary")
     whole = texts.join(known.select("node", "rep", "s1", "s2", "n", "unit"), ["rep", "s1", "s2"]).dropDuplicates(["node"]).select("node", "n", "unit", "shingles")
     whole = materialise(whole, "whole-sets")
 
@@ -364,7 +364,7 @@ def linked_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> D
     unsure = rest.union(inner).join(x, "g1").join(y, "g2").where((F.col("c1") != F.col("c2")) & ((F.col("g1") != F.col("g2")) | (F.col("x1") < F.col("x2"))))
     unsure = materialise(unsure.select(F.col("x1").alias("a"), F.col("x2").alias("b")), "unsure")
     one, two = (whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
-    second = unsure.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
+    second = unsure.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_verify(percent)), "a long, b long")
     # The second links are between the components of the first.
     named = joined.select(F.col("node").alias("a"), "component")
     second = second.join(named, "a", "left").select(F.coalesce("component", "a").alias("a"), "b").join(named.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))

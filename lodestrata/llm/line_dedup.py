@@ -20,16 +20,23 @@ def _lines() -> Column:
     return F.split(F.col("text"), "\n")
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, also where f uses it in a function of each element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def window_hashes(docs: DataFrame) -> DataFrame:
     """(doc_id, rk, pos, h1, h2): one row for each window; rk tells apart texts under one doc_id."""
     lines = docs.select("doc_id", "rk", F.transform(_lines(), lambda x: F.trim(x)).alias("lines")).where(F.size("lines") >= WINDOW)
-    starts = F.sequence(F.lit(0), F.size("lines") - WINDOW)
 
-    def window(i: Column) -> Column:
-        a, b, c = (F.get("lines", i + k) for k in range(WINDOW))
-        return F.struct(i.alias("pos"), F.xxhash64(a, b, c).alias("h1"), F.xxhash64(F.lit(7), c, b, a).alias("h2"), (F.length(a) + F.length(b) + F.length(c) > 0).alias("filled"))
+    def windows(whole: Column) -> Column:
+        def window(i: Column) -> Column:
+            a, b, c = (F.get(whole, i + k) for k in range(WINDOW))
+            return F.struct(i.alias("pos"), F.xxhash64(a, b, c).alias("h1"), F.xxhash64(F.lit(7), c, b, a).alias("h2"), (F.length(a) + F.length(b) + F.length(c) > 0).alias("filled"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(whole) - WINDOW), window)
 
-    rows = lines.select("doc_id", "rk", F.explode(F.transform(starts, window)).alias("w"))
+    rows = lines.select("doc_id", "rk", F.explode(_once(F.col("lines"), windows)).alias("w"))
     return rows.where("w.filled").select("doc_id", "rk", "w.pos", "w.h1", "w.h2")
 
 
@@ -51,8 +58,12 @@ def drop_repeated_windows(docs: DataFrame) -> DataFrame:
     starts = later.groupBy("doc_id", "rk").agg(F.collect_set("pos").alias("starts")).withColumnRenamed("doc_id", "other_id").withColumnRenamed("rk", "other_rk")
     joined = rows.join(starts, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("rk") == F.col("other_rk")), "left")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + WINDOW - 1))))
-    left = F.array_except(F.sequence(F.lit(0), F.size(_lines()) - 1), covered)
-    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(_lines(), i)), "\n"))
+
+    def rest(whole: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), covered)
+        return F.array_join(F.transform(left, lambda i: F.get(whole, i)), "\n")
+
+    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(_once(_lines(), rest))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines()))
     out = joined.select(*kept, text.alias("new_text"), n_lines.alias("n_lines"), F.when(F.col("starts").isNull(), 0).otherwise(F.size(covered)).alias("n_removed"))
     out = out.withColumnRenamed("new_text", "text")

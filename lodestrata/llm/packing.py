@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import bound_batches, materialise
+from .scratch import bound_batches, materialise, tidy
 from .token_counts import Encoder
 
 SALT_ROWS = 20_000
@@ -60,7 +60,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
                     columns.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, kept)]).astype(np.int32), np.concatenate([end[:0], *kept]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, share
+from .scratch import bound_batches, share, tidy
 from .terms import shape_terms
 from .toxicity import held_out
 
@@ -69,15 +69,19 @@ class Ordinal:
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (1 - t / (ROUNDS + 1))
             w -= step[: len(w)]
-            theta = theta - 0.2 * step[len(w) :]
+            theta = theta - step[len(w) :]
         self.first, self.steps = theta[0], theta[1:]
         self.weights[used] = w
         return self
 
 
 def learn(docs: DataFrame, graded: DataFrame, grades: int, sample: int = SAMPLE) -> Ordinal:
-    """Fit to the texts of ``docs`` that ``graded`` (doc_id, grade from 0) rates, outside the held-out fold."""
-    known = graded.where(F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
+    """Fit to the texts of ``docs`` that ``graded`` (doc_id, grade from 0) rates, outside the held-out fold.
+
+    Rows without a grade are not learned from; of contradictory grades of one doc_id the least holds.
+    """
+    bound_batches(docs.sparkSession)
+    known = graded.where(F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +92,7 @@ def learn(docs: DataFrame, graded: DataFrame, grades: int, sample: int = SAMPLE)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + a)), batch.column(2).take(pa.array(at + a)), pa.array((keys & ((1 << BITS) - 1)).astype(np.int32)), pa.array((SCALE * counts / words[at]).astype(np.float32))], names=["doc_id", "grade", "place", "value"])
 
     rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(taken.select("doc_id", F.col("grade").cast("int").alias("grade"))), "doc_id")  # at most ``sample`` ids
-    found = rated.mapInArrow(run, "doc_id long, grade int, place int, value float").toArrow()
+    found = rated.mapInArrow(tidy(run), "doc_id long, grade int, place int, value float").toArrow()
     ids, rows = np.unique(found.column("doc_id").to_numpy(), return_inverse=True)
     grade = np.zeros(len(ids), np.int64)
     grade[rows] = found.column("grade").to_numpy()
@@ -113,4 +117,4 @@ def grade_texts(docs: DataFrame, model: Ordinal, wanted: int = 1, least: float =
                 tail = tails[:, wanted - 1]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + n], pa.array(tails.sum(axis=1)), pa.array(tail), pa.array((tail >= least) & (words > 0))], names=["doc_id", "expected_grade", "tail_probability", "selected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, selected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, expected_grade double, tail_probability double, selected boolean")

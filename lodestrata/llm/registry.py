@@ -28,11 +28,16 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def grades_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) of ``labels``; no grade without a quality, nor for good texts without a toxic mark."""
+    grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The selected documents.  Grades: 0 poor, 1 toxic but sound, 2 good; selected for a grade of 1 or more."""
+    """All documents.  Grades: 0 poor, 1 toxic but sound, 2 good; selected for a grade of 1 or more."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    graded = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
-    return quality.grade_texts(docs, quality.learn(docs, graded, 3)).where("selected")
+    return quality.grade_texts(docs, quality.learn(docs, grades_of(labels), 3))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, materialise, share
+from .scratch import bound_batches, materialise, share, tidy
 from .words import _BASE, _INVERSE, mix, powers, slices, text_buffers
 
 LENGTH = 200
@@ -225,13 +225,13 @@ def drop_repeated_substrings(docs: DataFrame) -> DataFrame:
     bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     texts = rows.select("text", "key")
-    grouped = texts.mapInArrow(_anchor_blocks, "bucket int, anchors binary").groupBy("bucket").applyInArrow(_group_anchors, "key long, start int, stop int, bits binary")
+    grouped = texts.mapInArrow(tidy(_anchor_blocks), "bucket int, anchors binary").groupBy("bucket").applyInArrow(_group_anchors, "key long, start int, stop int, bits binary")
     grouped = materialise(grouped, "anchors")
     size = 1 << (SEND_BITS - BUCKET_BITS - 3)
     bitmap = np.zeros(1 << (SEND_BITS - 3), np.uint8)  # 16 MB at any size of corpus
     for r in grouped.where("key is null and length(bits) > 0").select("start", "bits").collect():
         bitmap[r["start"] * size : (r["start"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    contexts = texts.mapInArrow(_contexts(share(spark, bitmap)), "bucket int, key long, start int, context binary")
+    contexts = texts.mapInArrow(tidy(_contexts(share(spark, bitmap))), "bucket int, key long, start int, context binary")
     marked = contexts.groupBy("bucket").applyInArrow(_mark_windows, "key long, start int, stop int")
     marks = grouped.where("key is not null").select("key", "start", "stop").union(marked)
     ranges = marks.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")).withColumnRenamed("key", "other")
@@ -248,4 +248,4 @@ def drop_repeated_substrings(docs: DataFrame) -> DataFrame:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

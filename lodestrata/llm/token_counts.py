@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .scratch import bound_batches
+from .scratch import bound_batches, tidy
 from .words import _BASE, _INVERSE, mix, powers, slices, text_buffers
 
 BATCH_BYTES = 12 << 20
@@ -243,4 +243,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(counts > limit)], names=[*kept, *out])
 
     bound_batches(docs.sparkSession)
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return docs.select(*kept, text).mapInArrow(tidy(run), schema)

@@ -162,6 +162,76 @@ def test_decontamination_in_blocks_and_on_odd_rows(spark, odd, none, monkeypatch
     assert decontamination.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def brute_leaks(docs, items):
+    """By regular expressions on ASCII texts: items are in a text where consistent windows cover half of theirs."""
+
+    def words(text):
+        found = []
+        for m in re.finditer(r"(?:[A-Za-z0-9]|(?<=\d)[.,](?=\d))+", text or ""):
+            w, before = m[0], (text[found[-1][3] : m.start()] if found else ".")
+            opens = not found or bool(re.search(r"[\n!.:?]", before))
+            kind = "#" if w[0].isdigit() and w[-1].isdigit() else "u" if found and found[-1][0] == "#" and w.lower() in decontamination.UNITS and not opens else "N" if w[0].isupper() and not opens else ""
+            found.append((kind, w.lower(), m.start(), m.end()))
+        return found
+
+    def windows(ws, plain):
+        n = decontamination.WORDS
+        if plain and 0 < len(ws) < n:
+            return {0: ("short", *(w[1] for w in ws))}
+        every = {k: ws[k : k + n] for k in range(len(ws) - n + 1)}
+        if plain:
+            return {k: tuple(w[1] for w in x) for k, x in every.items()}
+        return {k: tuple(w[0] or w[1] for w in x) for k, x in every.items() if sum(not w[0] for w in x) >= decontamination.LITERALS}
+
+    out = set()
+    for d, text in docs:
+        ws = words(text)
+        for i, item in items:
+            vs = words(item)
+            for plain in (False, True):
+                theirs, ours = windows(vs, plain), windows(ws, plain)
+                lined = {}
+                for p, x in theirs.items():
+                    for f, y in ours.items():
+                        if x == y:
+                            lined.setdefault(f - p, []).append((p, f))
+                covered = set()
+                for met in lined.values():
+                    stands = {}
+                    for p, f in met:
+                        for k in range(0 if plain else decontamination.WORDS):
+                            if vs[p + k][0]:
+                                stands.setdefault(vs[p + k][1], set()).add(ws[f + k][1])
+                    if all(len(v) == 1 for v in stands.values()):
+                        covered |= {p for p, _ in met}
+                if theirs and len(covered) >= decontamination.SHARE * len(theirs):
+                    out.add((d, i))
+    return out
+
+
+def test_decontamination_by_brute_force(spark):
+    r = random.Random(21)
+    names, plain = ["Ann", "Bob", "Karen", "Tom"], "gives takes apples coins from the old market to his jar and walks home again later in spring".split()
+
+    def sentence(n):
+        out = []
+        for _ in range(n):
+            out.append(r.choice(names) if r.random() < 0.12 else f"{r.randint(2, 99)} {r.choice(['km', 'apples', 'days'])}" if r.random() < 0.15 else r.choice(plain))
+        return " ".join(out)
+
+    items = [(i, ". ".join(sentence(r.randint(4, 9)) for _ in range(r.randint(1, 3)))) for i in range(25)] + [(100, "two words"), (101, "Yes"), (102, ""), (103, None), (104, "!!")]
+    docs = [(500, "Two words."), (501, "yes"), (502, "There are two words here and more to read, yes"), (503, ""), (504, None)]
+    for d in range(60):
+        _, item = r.choice(items[:25])
+        changed = re.sub(r"\d+", lambda m: str(r.randint(2, 99)) if r.random() < 0.5 else m[0], item)
+        if r.random() < 0.5:
+            changed = changed.replace("Ann", "Eve").replace("Tom", "Kim")
+        docs.append((d, f"{sentence(r.randint(0, 12))}. {changed[: r.randint(len(changed) // 3, len(changed))]}. {sentence(r.randint(0, 9))}"))
+    wide = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, item_id int, share string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(wide, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_leaks(docs, items) and (500, 100) in got and (501, 101) in got and len(got) > 20
+
+
 def test_index_finds_the_nearest_exactly(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 4)
     r = np.random.default_rng(2)
@@ -279,6 +349,54 @@ def test_quality_grades_are_ordered(spark, odd, none):
     assert len(odd_rows) == len(ODD) and not any(x.selected for x in odd_rows if x.doc_id in (3, 4, 6)) and quality.grade_texts(none, model).count() == 0
 
 
+def test_quality_likelihood_by_brute_force(spark):
+    """Probabilities are those of the model's formula, and the fit is at a maximum of the penalised likelihood."""
+    import math
+
+    r = np.random.default_rng(5)
+    n, width = 200, 12
+    x = r.random((n, width)) < 0.4
+    truth = r.normal(0, 2, width)
+    score = x @ truth + r.logistic(size=n)
+    grade = np.digitize(score, np.quantile(score, [0.3, 0.7]))
+    rows, places = np.nonzero(x)
+    model = quality.Ordinal(3).fit(rows, places, np.ones(len(rows)), grade)
+
+    def loss(weights, cuts):
+        total = 0.0
+        for i in range(n):
+            s = sum(weights[p] for p in np.flatnonzero(x[i]))
+            below = [0.0, *(1 / (1 + math.exp(-(c - s))) for c in cuts), 1.0]
+            total -= math.log(below[grade[i] + 1] - below[grade[i]]) / n
+        return total + quality.PENALTY / 2 * float((weights**2).sum())
+
+    best = loss(model.weights[:width], model.thresholds())
+    for k in range(width):
+        for d in (-0.1, 0.1):
+            w = model.weights[:width].copy()
+            w[k] += d
+            assert loss(w, model.thresholds()) > best - 1e-4
+    for k in range(2):
+        for d in (-0.1, 0.1):
+            cuts = model.thresholds().copy()
+            cuts[k] += d
+            assert loss(model.weights[:width], cuts) > best - 1e-4
+    tails = model.tails(np.array([0.3]))[0]
+    assert tails == pytest.approx([1 - 1 / (1 + math.exp(-(c - 0.3))) for c in model.thresholds()])
+
+
+def test_quality_without_grades(spark):
+    """Null grades are not learned from, the least of contradictory ones is; tables without any give a model."""
+    labels = spark.createDataFrame([(1, None, None), (2, 0, None), (3, 1, None), (4, None, 1), (5, 1, 0), (6, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.grade for r in registry.grades_of(labels).collect()} == {1: None, 2: 0, 3: None, 4: None, 5: 2, 6: 1, None: 2}
+    docs = spark.createDataFrame([(i, f"word{i} and more", 3.0) for i in range(40)], "doc_id long, text string, expected_grade double")
+    twice = spark.createDataFrame([(i, g) for i in range(40) for g in ((i % 3), 2)], "doc_id long, grade int")
+    least = spark.createDataFrame([(i, i % 3) for i in range(40)], "doc_id long, grade int")
+    assert (quality.learn(docs, twice, 3).weights == quality.learn(docs, least, 3).weights).all()
+    none = quality.learn(docs, twice.where("false"), 3)
+    assert quality.grade_texts(docs, none).count() == 40
+
+
 def test_registry_names():
     names = list(registry.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)

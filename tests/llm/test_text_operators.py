@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -252,3 +253,88 @@ def test_html_extraction_keeps_what_follows():
     for page in ("<p>Where a < b the claim holds, as is well known. More text", "Where a < b the claim holds, as is well known. More text"):
         assert html_extraction.main_text(page).endswith("a < b the claim holds, as is well known. More text")
     assert html_extraction.main_text("<p>The text is here, and it is content in full. <a href=") == "The text is here, and it is content in full."
+
+
+PROSE = " ".join(f"This is sentence number {i} of a long piece of prose, with words." for i in range(10))
+
+
+@pytest.mark.parametrize("name", ["post-login", "search-results", "article-header"])
+def test_prose_outweighs_an_unlucky_class(name):
+    page = f"<body><nav><a href=x>Home</a></nav><div class='{name}'><h1>The title</h1><p>{PROSE}</p><p>{PROSE}</p></div><footer>(c) x</footer></body>"
+    assert html_extraction.main_text(page).endswith(f"{PROSE}\n{PROSE}")
+    assert html_extraction.main_text(f"<body><div class='{name}'>Your mail</div><article><p>{PROSE}</p></article></body>") == PROSE
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a href="x', '<a ">" ', "<p don't ", "<!", "<!--", "<div><li>", "</dd><li><p>", "<svg><g>", "<script>x", "a < b "])
+def test_broken_pages_take_time_in_proportion(unit):
+    began = time.process_time()
+    html_extraction.main_text(unit * ((1 << 20) // len(unit)))
+    assert time.process_time() - began < 20
+
+
+def test_long_pages():
+    began = time.process_time()
+    n = 10_000
+    labels = html_extraction.minimum_cut([(-1) ** i * 1.0 for i in range(n)], {(i, i + 1): 1.2 for i in range(n - 1)})
+    assert len(labels) == n
+    text = html_extraction.main_text("<article>" + f"<p>{PROSE}</p>" * 3000 + "</article><footer>end</footer>")
+    assert text.count("\n") == 2999 and time.process_time() - began < 20
+
+
+def test_html_extraction_of_rows_with_clashing_columns(spark):
+    rows = [(1, "u", PAGE, "old", 7, "x"), (1, "u", PAGE, None, None, None), (None, None, None, "old", 1, "y")]
+    got = html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, score string"))
+    assert got.columns == ["page_id", "url", "score", "text", "n_chars"]
+    found = got.collect()
+    assert len(found) == 3 and all(r.n_chars == len(r.text) for r in found) and len({r.text for r in found}) == 2
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    began = time.time()
+    lines = [f"line {i}" for i in range(200_000)]
+    lines[150_000:150_003] = ["a b", "c d", "e f"]
+    df = spark.createDataFrame([(1, "a b\nc d\ne f"), (2, "\n".join(lines))], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_windows(df).collect()}
+    assert got[2].text == "\n".join(lines[:150_000] + lines[150_003:]) and (got[2].n_lines, got[2].n_removed) == (200_000, 3)
+    assert time.time() - began < 60
+
+
+def test_line_dedup_agrees_with_its_sql(spark, sf_dir):
+    import duckdb
+
+    from lodestrata.llm import registry
+
+    got = registry.op8_line_dedup(spark, sf_dir).toPandas()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = c.execute(registry.oracle_sql()["op8_line_dedup"]).df()
+    columns = sorted(want.columns)
+    plain = lambda df: df[columns].astype(str).sort_values(columns).reset_index(drop=True)
+    assert plain(got).equals(plain(want))
+
+
+def test_successors_by_brute_force(spark):
+    """All columns for all rows, with the wrap-around; also for rows that share an id or have none."""
+    r = random.Random(17)
+    rows = [(i, " ".join(f"w{r.randint(0, 40)}" for _ in range(r.randint(0, 90)))) for i in r.sample(range(1000), 60)]
+    rows[5] = (rows[5][0], None)
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, fingerprint string").repartition(4)
+    got = {x.doc_id: x for x in fingerprints.compare_with_next(df).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for (i, own), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        edited = own[: len(own) - len(own) // 3] + after[: len(own) // 3]
+        a, b, e = (shingles(t, 5) for t in (own, after, edited))
+        alike = lambda x, y: len(x & y) / len(x | y) if x or y else 1.0
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(own)
+        assert got[i].near_next == pytest.approx(alike(a, b)) and got[i].near_edited == pytest.approx(alike(a, e))
+    odd = spark.createDataFrame([(1, "a b"), (1, "c d"), (None, "e f"), (None, "g h"), (2, None), (2, None)], "doc_id long, text string")
+    assert fingerprints.compare_with_next(odd).count() == 6
+
+
+def test_substring_dedup_of_rows_that_share_ids(spark):
+    r = random.Random(3)
+    part = "".join(r.choice("abcdefgh ") for _ in range(260))
+    texts = [(1, f"x{part}y"), (1, f"other {part} end"), (None, part), (None, "short"), (2, f"q{part[:199]}"), (2, f"q{part[:199]}"), (3, f"z{part[:199]}")]
+    df = spark.createDataFrame([(i, t, b"k", 5) for i, t in texts], "doc_id long, text string, kept binary, n_bytes int").repartition(3)
+    got = sorted((x.doc_id or 0, x.n_bytes, x.n_removed) for x in substring_dedup.drop_repeated_substrings(df).collect())
+    assert got == [(0, 5, 0), (0, 260, 260), (1, 262, 260), (1, 270, 260), (2, 200, 200), (2, 200, 200), (3, 200, 0)]
