@@ -7,12 +7,14 @@
    n - ceil(t n) + 1 shingles in that order) a group.  Each prefix shingle of a group is a posting.
 3. A first round joins what is surely alike without making pairs: each class whose group meets others goes
    to one unit, that of the shingle with most groups in its prefix.  Units have blocks of about ``BLOCK``
-   classes, which share a few classes; in a block one class after the other is compared with those that
-   aren't linked yet.  This costs a constant for each class, however large a group of copies is.
-4. Group pairs: two groups that meet in a prefix shingle and are not wholly in one component by now, and
-   that share as many prefix shingles as any pair within the threshold must, are candidates.  They are
-   expanded into pairs of classes in different components, and these are verified on whole sets.
-5. Components of all verified links are the answer.
+   classes, which share a few classes, and a block is verified whole.  This costs a constant for each class,
+   however large a group of copies is, and leaves few components.
+4. Group pairs: two groups that meet in a prefix shingle of at most ``RUN`` groups, and that share as many
+   prefix shingles as any pair within the threshold must, are candidates.  They are expanded into pairs of
+   classes in different components, and these are verified on whole sets.
+5. Where more groups meet in a shingle, no pairs are made: all classes there but those of the largest
+   component visit the blocks of the others that hold the shingle, and are verified against what is in them.
+6. Components of all verified links are the answer.
 
 The threshold is a percentage, and all comparisons are of integers.
 """
@@ -38,7 +40,9 @@ BUCKET_KEYS = 1 << 20
 RUN = 32
 BLOCK = 512
 PIVOTS = 4
-UNIT_BYTES = 64 << 20
+UNIT_BYTES = 8 << 20
+VISITORS = 2048
+LARGE_GROUP = 8
 
 _CLASS_BITS = 5
 
@@ -236,42 +240,88 @@ def _sets_of(chosen, n_words: int):
     return run
 
 
-def stars(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Links (i, j) among the sets: in turn, each set that isn't linked yet, with those that aren't either."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, index = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    common = np.bincount(index)[index] > 1
-    index, owner = index[common], owner[common]
-    own = np.searchsorted(owner, np.arange(len(sets) + 1))
-    whole = index
-    mark = np.zeros(int(index.max()) + 1 if len(index) else 0, bool)
-    left = np.ones(len(sets), bool)
-    gone = 0
+class _Sets:
+    """Sets by the shingles that several of them hold."""
+
+    def __init__(self, sets: list[np.ndarray], least: int = 2):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        tokens, index = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        many = np.bincount(index) >= least
+        kept = many[index]
+        self.tokens, self.index, self.owner = tokens[many], (np.cumsum(many) - 1)[index[kept]], owner[kept]
+        self.starts = np.searchsorted(self.owner, np.arange(len(sets) + 1))
+        self.mark = np.zeros(len(self.tokens), bool)
+
+    def shared(self, places: np.ndarray) -> np.ndarray:
+        """How many of these tokens (by place) each set holds."""
+        self.mark[places] = True
+        out = np.bincount(self.owner[self.mark[self.index]], minlength=len(self.sizes))
+        self.mark[places] = False
+        return out
+
+
+class _Forest:
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
+        return i != j
+
+
+def links_within(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links (i, j) among the sets that join what isn't joined yet."""
+    held, forest, apart = _Sets(sets), _Forest(len(sets)), len(sets)
     for i in range(len(sets)):
-        if not left[i]:
-            continue
-        left[i] = False
-        mine = whole[own[i] : own[i + 1]]
-        mark[mine] = True
-        shared = np.bincount(owner[mark[index]], minlength=len(sets))
-        mark[mine] = False
-        linked = np.flatnonzero(left & ((100 + percent) * shared >= percent * (sizes[i] + sizes)))
-        left[linked] = False
-        yield from ((i, int(j)) for j in linked)
-        gone += 1 + len(linked)
-        if 4 * gone > len(sets):  # what is linked needn't be looked at any more
-            keep = left[owner]
-            index, owner, gone = index[keep], owner[keep], 0
+        if apart == 1:
+            return
+        shared = held.shared(held.index[held.starts[i] : held.starts[i + 1]])
+        for j in np.flatnonzero((100 + percent) * shared >= percent * (held.sizes[i] + held.sizes)).tolist():
+            if forest.join(i, j):
+                apart -= 1
+                yield i, j
+
+
+def links_across(visitors: list[np.ndarray], own: np.ndarray, sets: list[np.ndarray], theirs: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links (visitor, set) of different components (own, theirs) that join what isn't joined yet."""
+    held = _Sets(sets, 1)
+    names = {c: k for k, c in enumerate(dict.fromkeys([*own.tolist(), *theirs.tolist()]))}
+    forest = _Forest(len(names))
+    at, other = [names[c] for c in own.tolist()], [names[c] for c in theirs.tolist()]
+    for i, x in enumerate(visitors):
+        place = np.minimum(np.searchsorted(held.tokens, x), len(held.tokens) - 1)
+        shared = held.shared(place[held.tokens[place] == x])
+        for j in np.flatnonzero((100 + percent) * shared >= percent * (len(x) + held.sizes)).tolist():
+            if forest.join(at[i], other[j]):
+                yield i, j
 
 
 def _first_links(percent: int):
     def run(group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
-        pivot = group.column("pivot").to_numpy(zero_copy_only=False)
-        first = np.lexsort((nodes, ~pivot))
-        edges = [(int(nodes[first[i]]), int(nodes[first[j]])) for i, j in stars([sets[i] for i in first], percent)]
+        first = np.lexsort((nodes, [-len(x) for x in sets]))
+        edges = [(int(nodes[first[i]]), int(nodes[first[j]])) for i, j in links_within([sets[i] for i in first], percent)]
+        return pa.table({"a": pa.array([min(e) for e in edges], pa.int64()), "b": pa.array([max(e) for e in edges], pa.int64())})
+
+    return run
+
+
+def _visit(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        nodes, component = group.column("node").to_numpy(), group.column("component").to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
+        comes = group.column("comes").to_numpy(zero_copy_only=False)
+        v, h = np.flatnonzero(comes), np.flatnonzero(~comes)
+        edges = [(int(nodes[v[i]]), int(nodes[h[j]])) for i, j in links_across([sets[k] for k in v], component[v], [sets[k] for k in h], component[h], percent)] if len(v) and len(h) else []
         return pa.table({"a": pa.array([min(e) for e in edges], pa.int64()), "b": pa.array([max(e) for e in edges], pa.int64())})
 
     return run
@@ -339,9 +389,10 @@ def linked_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> D
     mark = F.xxhash64("node")
     leaders = whole.select("unit", "node").groupBy("unit", F.pmod(mark, F.lit(PIVOTS)).alias("k")).agg(F.min_by("node", F.struct(mark, "node")).alias("node"))
     leaders = leaders.join(sized.where("blocks > 1"), "unit").select("node", F.lit(True).alias("pivot"))
-    units = whole.join(sized, "unit").join(leaders, "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
-    places = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(mark, F.col("blocks")).cast("int")))
-    units = units.select("unit", F.explode(places).alias("block"), "node", "pivot", "shingles")
+    own = F.pmod(mark, F.coalesce("blocks", F.lit(1))).cast("int")
+    units = whole.join(sized, "unit").join(leaders, "node", "left")
+    places = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    units = units.select("unit", F.explode(places).alias("block"), "node", "shingles")
     first = materialise(units.groupBy("unit", "block").applyInArrow(_first_links(percent), "a long, b long"), "first-links")
 
     rep_of = usable.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("nodes")).where("a < z")
@@ -349,23 +400,44 @@ def linked_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> D
     linked = materialise(first.union(shared_ids), "links")
     joined = materialise(components(linked), "components")
 
-    members = known.select("node", "n", "group").join(joined, "node", "left").select("node", "n", "group", F.coalesce("component", "node").alias("component"))
-    members = materialise(members, "members")
-    spans = members.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    hot = postings.where(F.col("m") > RUN).join(spans, "group").select("token", "group", "n", "low", "high")
-    open_ = hot.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x < y").select("token")
-    hot = hot.join(open_, "token")
-    a, b = (hot.select("token", *(F.col(c).alias(f"{c[0]}{k}") for c in ("group", "n", "low", "high"))) for k in (1, 2))
-    apart = (F.col("l1") != F.col("h1")) | (F.col("l2") != F.col("h2")) | (F.col("l1") != F.col("l2"))
-    again = a.join(b, "token").where(alike & apart).groupBy("g1", "n1", "g2", "n2").agg(F.count(F.lit(1)).alias("shared"))
-    rest = pairs.union(again).groupBy("g1", "n1", "g2", "n2").agg(F.sum("shared").alias("shared")).where(enough).select("g1", "g2")
-    inner = spans.where("low < high").select(F.col("group").alias("g1"), F.col("group").alias("g2"))
+    members = known.select("node", "n", "group", "unit").join(joined, "node", "left").join(sized.select("unit", "blocks"), "unit", "left")
+    members = materialise(members.select("node", "n", "group", "unit", own.alias("block"), F.coalesce("component", "node").alias("component")), "members")
+    spans = members.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    low, high = (spans.select(F.col("group").alias(f"g{k}"), F.col("low").alias(f"l{k}"), F.col("high").alias(f"h{k}"), F.col("size").alias(f"z{k}")) for k in (1, 2))
+    # Shingles of many groups and of few may be shared by one pair, so here the many count as if all were.
+    often = postings.where(F.col("m") > RUN).groupBy("group").agg(F.count(F.lit(1)).alias("often"))
+    o1, o2 = (often.select(F.col("group").alias(f"g{k}"), F.col("often").alias(f"o{k}")) for k in (1, 2))
+    rest = pairs.join(o1, "g1", "left").join(o2, "g2", "left").where(F.col("shared") + F.coalesce(F.least("o1", "o2"), F.lit(0)) >= needed(F.col("n1"), F.col("n2"), percent))
+    rest = rest.join(low, "g1").join(high, "g2").where((F.col("l1") != F.col("h1")) | (F.col("l2") != F.col("h2")) | (F.col("l1") != F.col("l2")))
+    few = (F.col("z1") <= LARGE_GROUP) & (F.col("z2") <= LARGE_GROUP)
     x, y = (members.select(F.col("group").alias(f"g{k}"), F.col("node").alias(f"x{k}"), F.col("component").alias(f"c{k}")) for k in (1, 2))
-    unsure = rest.union(inner).join(x, "g1").join(y, "g2").where((F.col("c1") != F.col("c2")) & ((F.col("g1") != F.col("g2")) | (F.col("x1") < F.col("x2"))))
+    unsure = rest.where(few).select("g1", "g2").join(x, "g1").join(y, "g2").where(F.col("c1") != F.col("c2"))
     unsure = materialise(unsure.select(F.col("x1").alias("a"), F.col("x2").alias("b")), "unsure")
     one, two = (whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
     second = unsure.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_verify(percent)), "a long, b long")
-    # The second links are between the components of the first.
+
+    # Who meets whom without pairs: under a shingle of many groups, within a group, in two groups of which one is large.
+    both = F.explode(F.array("g1", "g2"))
+    meeting = postings.where(F.col("m") > RUN).select(F.xxhash64(F.lit(0), "token").alias("token"), "group")
+    meeting = meeting.union(spans.where("low < high").select(F.xxhash64(F.lit(1), "group").alias("token"), "group"))
+    meeting = meeting.union(rest.where(~few).select(F.xxhash64(F.lit(2), "g1", "g2").alias("token"), both.alias("group")))
+    meeting = meeting.join(spans, "group").select("token", "group", "low", "high")
+    open_ = meeting.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x < y").select("token")
+    meeting = meeting.join(open_, "token").join(members, "group").select("token", "node", "component", "unit", "block")
+    meeting = materialise(meeting, "meeting")
+    largest = meeting.groupBy("token", "component").agg(F.count(F.lit(1)).alias("many")).groupBy("token").agg(F.max_by("component", F.struct("many", "component")).alias("largest"))
+    minor = meeting.join(largest, "token").where("component <> largest").select("token", "node", "component", F.col("unit").alias("u"), F.col("block").alias("b"))
+    hosts = meeting.select("token", "unit", "block").distinct()
+    visits = minor.join(hosts, "token").where((F.col("u") != F.col("unit")) | (F.col("b") != F.col("block"))).select("node", "component", "unit", "block").distinct()
+    visits = materialise(visits, "visits")
+    guests = visits.groupBy("unit", "block").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("shares"))
+    share_of = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("shares")).cast("int")
+    coming = visits.join(guests, ["unit", "block"]).select("node", "component", "unit", "block", share_of.alias("share"), F.lit(True).alias("comes"))
+    there = members.join(guests, ["unit", "block"]).select("node", "component", "unit", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(False).alias("comes"))
+    met = coming.unionByName(there).join(whole.select("node", "shingles"), "node")
+    third = met.groupBy("unit", "block", "share").applyInArrow(_visit(percent), "a long, b long")
+    second = second.union(third)
+    # These links are between the components of the first.
     named = joined.select(F.col("node").alias("a"), "component")
     second = second.join(named, "a", "left").select(F.coalesce("component", "a").alias("a"), "b").join(named.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
     second = materialise(second.distinct(), "second-links")
@@ -375,7 +447,7 @@ def linked_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> D
     final = materialise(final, "labels")
     least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
     labelled = materialise(final.join(least, "component").select("s1", "s2", "component_id"), "named")
-    for used in (classes, groups, postings, pairs, known, whole, first, linked, joined, members, unsure, second, final):
+    for used in (classes, groups, postings, pairs, known, whole, first, linked, joined, members, unsure, meeting, visits, second, final):
         delete_table(used)
     out = usable.select("doc_id", "n", "s1", "s2").join(labelled, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
