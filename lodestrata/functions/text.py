@@ -51,7 +51,10 @@ def stem(w: Column) -> Column:
     """Strip the first of the endings that leaves at least four characters."""
     out = w
     for ending in reversed(ENDINGS):
-        out = F.when(w.endswith(ending) & (F.length(w) - len(ending) >= 4), F.substring(w, F.lit(1), F.length(w) - len(ending))).otherwise(out)
+        base = F.substring(w, F.lit(1), F.length(w) - len(ending))
+        if ending == "ies":  # a doubled i goes too
+            base = F.regexp_replace(base, "i$", "")
+        out = F.when(w.endswith(ending) & (F.length(w) - len(ending) >= 4), base).otherwise(out)
     return out
 
 

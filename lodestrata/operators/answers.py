@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import rate_columns
 from ..functions.text import answer_key, normalize
 from ..guard import refuse
+from .logs import seeded_order
 
 FIELDS = ("answer", "citation", "quote")
 
@@ -64,7 +65,7 @@ def classify(parsed: DataFrame, chunks: DataFrame, gold: DataFrame, places: Data
 def blind_queue(rows: DataFrame, seed: int = 20260821) -> DataFrame:
     """(key, query_id, question, gold_spans, answer): distinct answers without their arms, in seeded order."""
     keyed = rows.where("answer is not null").select(answer_key(F.col("query_id").cast("string"), F.col("answer")).alias("key"), "query_id", "question", "gold_spans", "answer")
-    return keyed.groupBy("key", "query_id", "question", "gold_spans").agg(F.min("answer").alias("answer")).orderBy(F.xxhash64(F.lit(seed), "key"), "key")
+    return keyed.groupBy("key", "query_id", "question", "gold_spans").agg(F.min("answer").alias("answer")).orderBy(seeded_order(seed, "key"), "key")
 
 
 def with_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:

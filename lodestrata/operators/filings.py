@@ -50,9 +50,10 @@ TITLE_LINES = 3
 TARGET_TOKENS = 512
 OVERLAP_TOKENS = 64
 
-_NUMBER = r"\d{1,2}(?:\s*[a-c])?"
-HEADING = rf"(?i)^items?\s+({_NUMBER}(?:\s*(?:,|and|&)\s*{_NUMBER})*)\b\s*(.*)$"
-SIGNATURE = r"(?i)^signatures?$|pursuant to the requirements of sections?\s+13\s+or\s+15\s?\(\s?d\s?\)"
+#: "Item 1A", "Items 1 and 2", "Items 9, 9A & 9B": any of the form's items, or a list of them, and what follows.
+_ITEM = "(?:" + "|".join(name if name.isdigit() else f"{name[:-1]}\\s?{name[-1]}" for name in sorted(ITEMS, key=lambda x: (-len(x), x))) + ")"
+HEADING = rf"(?i)^items?\s+({_ITEM}(?:\s?(?:,|&|and)\s?{_ITEM})*)(?![0-9a-z])\s*(.*)$"
+
 _BREAK = re.compile(r"page-break-(?:before|after)\s*:\s*always", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -140,9 +141,10 @@ def extract_text(files: DataFrame, column: str = "content") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(batch.num_rows):
-                text, pages = html_to_text(batch.column(len(kept))[a].as_py())
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, 1) for c in batch.columns[: len(kept)]), pa.array([text]), pa.array([pages], pa.list_(pa.int32()))], names=[*kept, "text", "page_starts"])
+            for a in range(0, batch.num_rows, 100):
+                piece = batch.slice(a, 100)
+                texts, pages = zip(*map(html_to_text, piece.column(len(kept)).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(pages, pa.list_(pa.int32()))], names=[*kept, "text", "page_starts"])
 
     return files.select(*kept, column).mapInArrow(run, f"{fields + ', ' if fields else ''}text string, page_starts array<int>")
 
@@ -172,13 +174,19 @@ def heading_candidates(lines: DataFrame, key: str = "accession") -> DataFrame:
     read = read.withColumn("numbers", F.regexp_extract("stripped", HEADING, 1)).withColumn("title", F.when(F.length("stripped") < 200, plain_title(F.col("stripped"))))
     read = read.join(F.broadcast(titles), "title", "left").where("numbers <> '' or by_title is not null")
     rest = F.trim(F.regexp_extract("stripped", HEADING, 2))
-    parts = F.transform(F.regexp_extract_all(F.upper("numbers"), F.lit(r"(\d{1,2}\s*(?:[A-C](?![A-Z]))?)"), 1), lambda p: F.regexp_replace(p, r"\s+", ""))
-    known = F.filter(parts, lambda p: p.isin(*ITEMS))
+    known = F.transform(F.regexp_extract_all(F.upper("numbers"), F.lit(f"({_ITEM})(?![0-9A-Z])"), 1), lambda p: F.regexp_replace(p, r"\s+", ""))
     numbered = F.col("numbers") != ""
     found = read.select(key, "line", "at", F.when(numbered, F.when(~rest.startswith(","), known)).otherwise(F.array("by_title")).alias("items"), F.when(numbered, rest).otherwise(F.col("stripped")).alias("rest"))
     return found.where(F.size("items") > 0)
 
 
+def signs(line: Column) -> Column:
+    """Whether a line opens the signatures: the word alone, or the sentence that the form prescribes."""
+    plain = F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " "))
+    sentence = [F.contains(plain, F.lit(f"pursuant to the requirements of {x} 13 or 15 d")) for x in ("section", "sections")]
+    return plain.isin("signature", "signatures") | sentence[0] | sentence[1]
+
+
 def title_prefixes() -> dict[str, str]:
     """The items' titles in plain form, and their beginnings of three words or more, of 8 characters or more."""
     out: dict[str, str] = {}
@@ -233,7 +241,7 @@ def sections(docs: DataFrame, key: str = "accession") -> DataFrame:
     chosen = gathered.withColumn("chain", F.pandas_udf(_chains, "array<int>")(F.transform("c", lambda x: x["rank"]), F.transform("c", lambda x: x["line"]), F.transform("c", lambda x: x["backed"])))
     heads = chosen.select(key, "total", F.explode("chain").alias("i"), "c").select(key, "total", F.get("c", F.col("i")).alias("h")).select(key, "total", F.col("h.line").alias("start_line"), F.col("h.items").alias("covers"), F.col("h.rest").alias("rest"))
     last = heads.groupBy(key).agg(F.max("start_line").alias("last"), F.min("start_line").alias("first"), F.max("total").alias("total"))
-    signed = lines.where(F.trim("raw").rlike(SIGNATURE)).join(last, key).where("line > last").groupBy(key).agg(F.min("line").alias("signature"))
+    signed = lines.where(signs(F.col("raw"))).join(last, key).where("line > last").groupBy(key).agg(F.min("line").alias("signature"))
     ends = last.join(signed, key, "left").withColumn("stop", F.coalesce("signature", "total"))
     bare = F.regexp_replace("rest", r"^[.\-:—–\s]+", "")
     after = lines.where(F.regexp_replace("raw", r"[.\-:—–\s]", "") != "").select(F.col(key).alias("k2"), F.col("line").alias("l2"), F.trim("raw").alias("t2"))

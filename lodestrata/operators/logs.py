@@ -43,7 +43,7 @@ def first_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int)
 
 def seeded_order(seed: int, *keys: str) -> Column:
     """A reproducible shuffle that needs no driver: order by this, then by the keys."""
-    return F.xxhash64(F.lit(seed), *keys)
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)), 256)
 
 
 def without_parents(children: DataFrame, parents_gone: DataFrame, key: str, parent_key: str) -> DataFrame:

@@ -15,16 +15,23 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import lexemes
 from ..guard import refuse, where
+from ..intermediate import materialise
 
 DEPTH = 50
 RRF_K = 60
 QUERY_BLOCK_BYTES = 32 << 20
+MOST_TERMS_SENT = 1_000_000
 
 
 def postings(chunks: DataFrame, words: Column | None = None) -> DataFrame:
-    """(chunk_id, lexeme, tf): the inverted index as a table; write it once, by lexeme, to search it often."""
+    """(chunk_id, lexeme, tf): the inverted index as a table; write it once, by lexeme, to search it often.
+
+    Texts are dealt out by chunk once; counting, matching with queries and adding up by (query, chunk) then
+    need no further shuffle.
+    """
     words = lexemes(F.col("text")) if words is None else words
-    return chunks.select("chunk_id", F.explode(words).alias("lexeme")).groupBy("chunk_id", "lexeme").agg(F.count(F.lit(1)).alias("tf"))
+    dealt = chunks.select("chunk_id", words.alias("words")).repartition("chunk_id")
+    return dealt.select("chunk_id", F.explode("words").alias("lexeme")).groupBy("chunk_id", "lexeme").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame, words: Column | None = None) -> DataFrame:
@@ -44,15 +51,22 @@ def top(scored: DataFrame, arm: str, order: list[Column], depth: int = DEPTH) ->
     return ranked.where(F.col("rank") <= depth).select("query_id", F.lit(arm).alias("arm"), "rank", "chunk_id", "score")
 
 
+def _sent(terms: DataFrame) -> DataFrame:
+    """Query terms as the small side of a join where there are at most ``MOST_TERMS_SENT``, counted here: then
+    a frequent lexeme is no hot key, and no task gets the postings of all queries that hold it."""
+    few = terms.limit(MOST_TERMS_SENT + 1).count() <= MOST_TERMS_SENT
+    return F.broadcast(terms) if few else terms
+
+
 def sparse(index: DataFrame, terms: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Matching positions of any query lexeme, a tenth of a point each; ties by chunk_id."""
-    hits = index.join(terms, "lexeme").groupBy("query_id", "chunk_id").agg(F.sum("tf").cast("long").alias("positions"))
+    hits = index.join(_sent(terms), "lexeme").groupBy("query_id", "chunk_id").agg(F.sum("tf").cast("long").alias("positions"))
     return top(hits.withColumn("score", F.round(F.col("positions") * 0.1, 1)), "sparse", [F.desc("positions"), F.asc("chunk_id")], depth)
 
 
 def matching(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, chunk_id) with any lexeme in common."""
-    return index.join(terms, "lexeme").select("query_id", "chunk_id").distinct()
+    return index.join(_sent(terms), "lexeme").select("query_id", "chunk_id").distinct()
 
 
 def check_widths(vectors: DataFrame, width: int) -> None:
@@ -64,8 +78,8 @@ def dense(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFra
     """The nearest chunks by cosine distance, exactly; ties by chunk_id.
 
     vectors: (chunk_id, embedding); queries: (query_id, embedding).  Queries go to the tasks in blocks of a
-    fixed number of bytes; each task multiplies a batch of vectors with a block and returns only its first
-    ``depth`` for each query.
+    fixed number of bytes; each task multiplies batches of vectors with a block, keeps its first ``depth``
+    for each query, and returns those at its end.
     """
     kind = vectors.schema["chunk_id"].dataType
     asked = queries.where("embedding is not null").select("query_id", "embedding")
@@ -82,7 +96,8 @@ def dense(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFra
             found = vectors.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(_nearest(pa.array([r["query_id"] for r in rows], to_arrow_type(queries.schema["query_id"].dataType)), _unit(matrix), depth), f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kind.simpleString()}, score double")
             scored = found if scored is None else scored.union(found)
     if scored is None:
-        scored = queries.select("query_id").crossJoin(vectors.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0))
+        name = queries.schema["query_id"].dataType.simpleString()
+        scored = queries.sparkSession.createDataFrame([], f"query_id {name}, chunk_id {kind.simpleString()}, score double")
     return top(scored, "dense", [F.asc("score"), F.asc("chunk_id")], depth)
 
 
@@ -93,15 +108,41 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 def _nearest(ids: pa.Array, queries: np.ndarray, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []  # queries' places and distances, of the chunks below
+        chunks: list[pa.Array] = []
+        rows = 0
+
+        def cut() -> None:
+            """Of all that is kept only the first ``depth`` of each query, and ties with the last of them."""
+            nonlocal rows
+            q, distance = (np.concatenate(x) for x in zip(*kept, strict=True))
+            every = pa.concat_arrays(chunks)
+            order = np.lexsort((distance, q))
+            q, distance = q[order], distance[order]
+            first = np.searchsorted(q, np.arange(len(ids)))
+            size = np.diff(np.append(first, len(q)))
+            last = np.where(size > 0, distance[np.minimum(first + np.minimum(size, depth) - 1, len(q) - 1)], np.inf)
+            keep = distance <= last[q]
+            kept[:], chunks[:] = [(q[keep], distance[keep])], [every.take(pa.array(order[keep]))]
+            rows = int(keep.sum())
+
         for batch in batches:
             lists = batch.column(1)
-            chunks = _unit(np.asarray(lists.flatten(), float).reshape(batch.num_rows, -1))
+            vectors = _unit(np.asarray(lists.flatten(), float).reshape(batch.num_rows, -1))
             for a in range(0, len(ids), 256):
-                distance = np.round(1 - queries[a : a + 256] @ chunks.T, 12)
+                distance = np.round(1 - queries[a : a + 256] @ vectors.T, 12)
                 k = min(depth, batch.num_rows)
-                cut = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
-                q, c = np.nonzero(distance <= cut)  # ties at the cut stay, for the order by chunk_id
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + q)), batch.column(0).take(pa.array(c)), pa.array(distance[q, c])], names=["query_id", "chunk_id", "score"])
+                edge = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+                q, c = np.nonzero(distance <= edge)  # ties at the cut stay, for the order by chunk_id
+                kept.append((a + q, distance[q, c]))
+                chunks.append(batch.column(0).take(pa.array(c)))
+                rows += len(q)
+            if rows > 4 * depth * len(ids):
+                cut()
+        if kept:
+            cut()
+            (q, distance), found = kept[0], chunks[0]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), found, pa.array(distance)], names=["query_id", "chunk_id", "score"])
 
     return run
 
@@ -138,11 +179,12 @@ def gated(sparse_ranking: DataFrame, dense_ranking: DataFrame, gates: DataFrame)
 
 
 def draw_bags(vocabulary: list[tuple[str, int]], sizes: list[int], bags: int = 1000, seed: int = 20260820) -> list[tuple[int, int, str]]:
-    """(L, bag, lexeme): bags of L distinct lexemes drawn in proportion to their document frequency."""
+    """(L, bag, lexeme) from a vocabulary small enough for a list; :func:`draw_bags_in_spark` takes any."""
     import random
+    from itertools import accumulate
 
     rng = random.Random(seed)
-    words, weights = [w for w, _ in vocabulary], [n for _, n in vocabulary]
+    words, cumulated = [w for w, _ in vocabulary], list(accumulate(n for _, n in vocabulary))
     out = []
     for size in sorted(sizes):
         if size > len(words):
@@ -150,20 +192,21 @@ def draw_bags(vocabulary: list[tuple[str, int]], sizes: list[int], bags: int = 1
         for bag in range(bags):
             chosen: dict[str, None] = {}
             while len(chosen) < size:
-                chosen[rng.choices(words, weights=weights, k=1)[0]] = None
+                chosen[rng.choices(words, cum_weights=cumulated, k=1)[0]] = None
             out += [(size, bag, w) for w in chosen]
     return out
 
 
 def draw_bags_in_spark(frequency: DataFrame, sizes: DataFrame, bags: int = 1000, seed: int = 20260820) -> DataFrame:
-    """(L, bag, lexeme) as :func:`draw_bags` draws, by other numbers: bags of L distinct lexemes of
-    ``frequency`` (lexeme, ndoc), for each L of ``sizes``.
+    """(L, bag, lexeme): bags of L distinct lexemes of ``frequency`` (lexeme, ndoc), drawn in proportion to
+    their document frequency, for each L of ``sizes``.
 
     Numbers below the sum of ndoc are drawn by hash and joined by bucket to the lexemes' ranges; each bag
     takes its first L different lexemes, and bags that lack some are drawn further.
     """
     spark = frequency.sparkSession
-    parts = frequency.select("lexeme", F.col("ndoc").cast("long").alias("ndoc")).repartitionByRange("lexeme").withColumn("part", F.spark_partition_id()).localCheckpoint()
+    parts = frequency.select("lexeme", F.col("ndoc").cast("long").alias("ndoc")).repartitionByRange("lexeme").withColumn("part", F.spark_partition_id())
+    parts = materialise(parts, "vocabulary")
     sums = parts.groupBy("part").agg(F.sum("ndoc").alias("n"), F.count(F.lit(1)).alias("words")).orderBy("part").collect()  # one row for each partition
     total, words = sum(r["n"] for r in sums), sum(r["words"] for r in sums)
     refuse(where(sizes, F.col("L") > words, F.concat(F.col("L").cast("string"), F.lit(f" distinct lexemes from a vocabulary of {words}"))))
@@ -174,32 +217,54 @@ def draw_bags_in_spark(frequency: DataFrame, sizes: DataFrame, bags: int = 1000,
     running = F.sum("ndoc").over(Window.partitionBy("part").orderBy("lexeme"))
     placed = parts.join(F.broadcast(spark.createDataFrame(offsets, "part int, before long")), "part").withColumn("end", F.col("before") + running).withColumn("start", F.col("end") - F.col("ndoc"))
     width = max(1, total * 8 // max(words, 1))
-    ranges = placed.select("lexeme", "start", "end", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))).alias("bucket")).localCheckpoint()
+    ranges = placed.select("lexeme", "start", "end", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))).alias("bucket"))
+    ranges = materialise(ranges, "ranges")
     asked = sizes.select(F.col("L").cast("int").alias("L")).where("L > 0").distinct().crossJoin(spark.range(bags).select(F.col("id").cast("int").alias("bag")))
     lacking, drawn, first, factor = asked, None, 0, 2
     while True:
         numbers = lacking.withColumn("i", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first) + F.col("L").cast("long") * factor - 1)))
         numbers = numbers.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "L", "bag", "i"), F.lit(total)))
         found = numbers.withColumn("bucket", F.expr(f"u div {width}")).join(ranges, "bucket").where("u >= start and u < end").select("L", "bag", "lexeme", "i")
-        drawn = (found if drawn is None else drawn.unionByName(found)).groupBy("L", "bag", "lexeme").agg(F.min("i").alias("i")).localCheckpoint()
-        lacking = asked.join(drawn.groupBy("L", "bag").count(), ["L", "bag"]).where("count < L").select("L", "bag").localCheckpoint()
+        drawn = materialise((found if drawn is None else drawn.unionByName(found)).groupBy("L", "bag", "lexeme").agg(F.min("i").alias("i")), "drawn")
+        lacking = materialise(asked.join(drawn.groupBy("L", "bag").count(), ["L", "bag"]).where("count < L").select("L", "bag"), "lacking")
         if lacking.isEmpty():
             break
         first, factor = first + (1 << 32), factor * 2  # further numbers come after all earlier ones
     rank = F.row_number().over(Window.partitionBy("L", "bag").orderBy("i"))
-    return drawn.withColumn("rank", rank).where("rank <= L").select("L", "bag", "lexeme").localCheckpoint()
+    return materialise(drawn.withColumn("rank", rank).where("rank <= L").select("L", "bag", "lexeme"), "bags")
 
 
-def null_thresholds(index: DataFrame, sizes: DataFrame, bags: int = 1000, seed: int = 20260820, percentile: float = 0.95) -> DataFrame:
-    """tau(L) for each L of ``sizes``: the nearest-rank percentile of the best lexical score of random bags."""
-    drawn = draw_bags_in_spark(lexeme_frequency(index), sizes, bags, seed)
-    best = index.join(drawn, "lexeme").groupBy("L", "bag", "chunk_id").agg(F.sum("tf").alias("n")).groupBy("L", "bag").agg((F.max("n") * 0.1).alias("s"))
-    every = drawn.select("L", "bag").distinct().join(best, ["L", "bag"], "left").fillna({"s": 0.0})
-    return every.groupBy("L").agg(
+def bag_scores(index: DataFrame, bags: DataFrame) -> DataFrame:
+    """(L, bag, s): the best lexical score of each bag of ``bags`` (L, bag, lexeme), 0 where nothing matches."""
+    best = index.join(bags, "lexeme").groupBy("L", "bag", "chunk_id").agg(F.sum("tf").alias("n")).groupBy("L", "bag").agg((F.max("n") * 0.1).alias("s"))
+    return bags.select("L", "bag").distinct().join(best, ["L", "bag"], "left").fillna({"s": 0.0})
+
+
+def null_summary(scores: DataFrame, percentile: float = 0.95) -> DataFrame:
+    """(L, bags, tau, min, median, mean, max, zero_scoring_bags); tau is the nearest-rank percentile."""
+    return scores.groupBy("L").agg(
         F.count(F.lit(1)).alias("bags"), F.round(F.expr(f"percentile_disc({percentile}) within group (order by s)"), 1).alias("tau"), F.min("s").alias("min"), F.median("s").alias("median"), F.avg("s").alias("mean"), F.max("s").alias("max"), F.count_if(F.col("s") == 0).alias("zero_scoring_bags")
     )
 
 
+def null_thresholds(index: DataFrame, sizes: DataFrame, bags: int = 1000, seed: int = 20260820, percentile: float = 0.95) -> DataFrame:
+    """tau(L) for each L of ``sizes``: the percentile of the best lexical score of random bags."""
+    return null_summary(bag_scores(index, draw_bags_in_spark(lexeme_frequency(index), sizes, bags, seed)), percentile)
+
+
+def gate_counts(gates: DataFrame, strata: DataFrame) -> DataFrame:
+    """(stratum, fired, n): how often the gate fired among the queries of each stratum."""
+    return gates.join(strata.select("query_id", "stratum"), "query_id").groupBy("stratum").agg(F.count_if("fires").alias("fired"), F.count(F.lit(1)).alias("n"))
+
+
+def choose_arm(arm: str, sparse_ranking: DataFrame, dense_ranking: DataFrame, gates: DataFrame | None = None) -> DataFrame:
+    """The ranking of the arm that is asked for by name, over the arms' recorded rankings."""
+    both = sparse_ranking.unionByName(dense_ranking)
+    if arm not in ("sparse", "dense", "hybrid", "gated") or arm == "gated" and gates is None:
+        raise ValueError(f"no arm {arm}" if gates is not None or arm != "gated" else "the gated arm needs gates")
+    return {"sparse": lambda: sparse_ranking, "dense": lambda: dense_ranking, "hybrid": lambda: fuse(both), "gated": lambda: gated(sparse_ranking, dense_ranking, gates)}[arm]()
+
+
 def call_batches(items: DataFrame, most: int = 200, most_tokens: int = 100_000) -> DataFrame:
     """``items`` (id, tokens) with batch: greedy batches within each partition, a large item alone."""
     from pyspark.sql import types as T

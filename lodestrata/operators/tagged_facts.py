@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.matching import close, match_company, match_date, match_employees, match_ticker
@@ -43,15 +43,21 @@ def contexts(docs: DataFrame) -> DataFrame:
 def facts(docs: DataFrame) -> DataFrame:
     """(accession, name, text, value, unit, instant, start, end, dims, offset): facts with their contexts.
 
-    value has scale and sign applied; it is null for texts and for what is no number.
+    value has scale and sign applied; it is null for texts and for what is no number.  offset is where the
+    fact's own markup begins, also where the same markup stands several times.
     """
-    whole = F.regexp_extract_all("html", F.lit(r"(?is)(<ix:(?:nonFraction|nonNumeric)\b[^>]*>.*?</ix:(?:nonFraction|nonNumeric)>)"), 1)
-    rows = docs.select("accession", "html", F.explode(whole).alias("m")).withColumn("open", F.regexp_extract("m", "(?s)^(<[^>]*>)", 1))
+    fact = r"(?is)(<ix:(?:nonFraction|nonNumeric)\b[^>]*>.*?</ix:(?:nonFraction|nonNumeric)>)"
+    whole = F.regexp_extract_all("html", F.lit(fact), 1)
+    between = F.transform(F.split("html", fact), F.length)  # lengths of what stands before, between and behind
+    pieces = docs.select("accession", F.posexplode(F.arrays_zip(whole.alias("m"), between.alias("gap"))).alias("nth", "p")).select("accession", "nth", "p.m", "p.gap")
+    before = Window.partitionBy("accession").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("gap") + F.coalesce(F.length("m"), F.lit(0))).over(before), F.lit(0)) + F.col("gap")
+    rows = pieces.withColumn("offset", start.cast("int")).where("m is not null").withColumn("open", F.regexp_extract("m", "(?s)^(<[^>]*>)", 1))
     text = F.trim(F.regexp_replace(F.regexp_replace("m", "(?s)<[^>]+>", ""), r"(?U)\s+", " "))
     digits = F.regexp_replace(text, r"(?U)[,\s]", "")
     plain = F.when(F.lower("open").startswith("<ix:nonfraction") & digits.rlike(r"^-?\d*\.?\d+$"), digits.try_cast("double"))
     value = plain * F.pow(F.lit(10.0), F.coalesce(_attribute(F.col("open"), "scale").try_cast("int"), F.lit(0))) * F.when(_attribute(F.col("open"), "sign") == "-", -1.0).otherwise(1.0)
-    read = rows.select("accession", _attribute(F.col("open"), "name").alias("name"), _attribute(F.col("open"), "contextRef").alias("context"), text.alias("text"), value.alias("value"), _attribute(F.col("open"), "unitRef").alias("unit"), (F.instr("html", F.col("m")) - 1).alias("offset")).where("name <> ''")
+    read = rows.select("accession", _attribute(F.col("open"), "name").alias("name"), _attribute(F.col("open"), "contextRef").alias("context"), text.alias("text"), value.alias("value"), _attribute(F.col("open"), "unitRef").alias("unit"), "offset").where("name <> ''")
     return read.join(contexts(docs), ["accession", "context"], "left").select("accession", "name", "text", "value", "unit", "instant", "start", "end", F.coalesce("dims", F.array().cast("array<string>")).alias("dims"), "offset")
 
 
@@ -124,3 +130,49 @@ def findings(audited: DataFrame) -> DataFrame:
     """(code, n) in order of severity."""
     order = F.array_position(F.array(*map(F.lit, CODES)), F.col("code"))
     return audited.groupBy("code").count().withColumnRenamed("count", "n").orderBy(order)
+
+
+def facts_for(tagged: DataFrame, period: Column | None = None) -> DataFrame:
+    """(accession, field, name, text, value, instant, start, end, offset): facts of the concepts that answer a
+    field, those without dimensions; with a period only those of that fiscal year."""
+    spark = tagged.sparkSession
+    concepts = spark.createDataFrame([(f, wants, n.lower()) for f, (_, wants, names) in CONCEPTS.items() for n in names], "field string, wants string, concept string")
+    own = tagged.join(F.broadcast(concepts), F.lower("name") == F.col("concept")).where(F.size("dims") == 0)
+    if period is not None:
+        own = own.where(in_fiscal_year(F.struct("instant", "start", "end"), period, F.col("wants")))
+    return own.select("accession", "field", "name", "text", "value", "instant", "start", "end", "offset")
+
+
+def near_misses(tagged: DataFrame, field: str, pattern: str) -> DataFrame:
+    """(name, n): tagged names that the pattern finds but that are no concept of the field, most frequent first."""
+    own = [n.lower() for n in CONCEPTS[field][2]]
+    return tagged.where(F.col("name").rlike(f"(?i){pattern}") & ~F.lower("name").isin(*own)).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name")
+
+
+def statement_flags(docs: DataFrame, tagged: DataFrame) -> DataFrame:
+    """(accession, has_balance_sheet, has_revenue): whether any undimensioned fact of assets or revenue stands."""
+    names = lambda field: [n.lower() for n in CONCEPTS[field][2]]
+    plain = F.size("dims") == 0
+    flags = tagged.groupBy("accession").agg(F.bool_or(plain & F.lower("name").isin(*names("total_assets"))).alias("has_balance_sheet"), F.bool_or(plain & F.lower("name").isin(*names("revenue_most_recent_fy"))).alias("has_revenue"))
+    return docs.select("accession").distinct().join(flags, "accession", "left").fillna(False)
+
+
+#: What to look at for each code; no message holds a value, so a label is never copied from a hint.
+HINTS = {
+    "MISSING": "nothing is labeled yet",
+    "ABSENT-BUT-TAGGED": "labeled absent, but a fact of the year is tagged",
+    "DIFFERS": "the label agrees with no fact of the year",
+    "CONCEPT-SPLIT": "a larger fact of the same year stands under another concept",
+    "PERIOD": "the label agrees with a fact of another period",
+    "DIMS": "the label agrees with a fact of a segment only",
+    "UNVERIFIED": "no fact to compare with",
+    "NO-CONCEPT": "the field has no tagged concept",
+}
+
+
+def hint(code: Column) -> Column:
+    """The hint of a code; null where there is nothing to look at."""
+    out = F.lit(None).cast("string")
+    for name, text in HINTS.items():
+        out = F.when(code == name, text).otherwise(out)
+    return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..functions.text import ENDINGS, STOPWORDS
+from . import records
+
 Z = "1.959963984540054"
 
 
@@ -66,6 +69,7 @@ oc AS (SELECT k, field, kind, k % 11 = 0 AS ambiguous, CASE
   WHEN kind = 'stated_none' THEN CASE WHEN p = 0 THEN 'correct' ELSE 'false_extraction' END
   WHEN p = 0 OR v = 0 THEN CASE WHEN p = v THEN 'correct' ELSE 'wrong_value' END
   WHEN abs(p - v) <= 0.001 * greatest(abs(p), abs(v)) THEN 'correct' ELSE 'wrong_value' END AS outcome FROM ex)"""
+STEM = "CASE " + " ".join(f"WHEN ends_with(w, '{x}') AND length(w) - {len(x)} >= 4 THEN " + (f"regexp_replace(left(w, length(w) - {len(x)}), 'i$', '')" if x == "ies" else f"left(w, length(w) - {len(x)})") for x in ENDINGS) + " ELSE w END"
 RIGHT = "outcome IN ('correct', 'correct_abstention')"
 
 ORACLE: dict[str, str] = {
@@ -105,12 +109,26 @@ ORACLE: dict[str, str] = {
       SELECT field, n, correct_n, correct, wrong_value, missed, false_extraction, correct_abstention, round(correct_n * 1.0 / n, 9) AS accuracy, {_wilson('correct_n', 'n')}, n >= 25 AS reportable FROM c""",
     "extraction_summary": f"""WITH {EXTRACTION}, c AS (SELECT 'pooled' AS name, count(*) FILTER ({RIGHT}) AS hits, count(*) AS n FROM oc
       UNION ALL SELECT 'excluding_ambiguous', count(*) FILTER ({RIGHT}), count(*) FROM oc WHERE NOT ambiguous
-      UNION ALL SELECT 'false_extraction', count(*) FILTER (outcome = 'false_extraction'), count(*) FROM oc WHERE kind <> 'value') SELECT name, {_rates()} FROM c""",
+      UNION ALL SELECT 'false_extraction', count(*) FILTER (outcome = 'false_extraction'), count(*) FROM oc WHERE kind <> 'value') SELECT name, {_rates()} FROM c
+      UNION ALL SELECT 'macro', -1, count(*), round(avg(r), 9), NULL, NULL, true FROM (SELECT count(*) FILTER ({RIGHT}) * 1.0::DOUBLE / count(*) AS r FROM oc GROUP BY field)""",
+    "gate_counts": f"WITH {GATES} SELECT CASE WHEN query_id % 2 = 0 THEN 'exact_entity' ELSE 'conceptual' END AS stratum, count(*) FILTER (s1 <= tau) AS fired, count(*) AS n FROM gates GROUP BY ALL",
+    "null_summary": f"""WITH {POSTINGS}, {TERMS}, n AS (SELECT query_id, CAST(count(*) AS INTEGER) AS L FROM terms GROUP BY ALL),
+      hit AS (SELECT query_id, chunk_id, sum(tf) AS p FROM terms JOIN post USING (lexeme) GROUP BY ALL),
+      s AS (SELECT L, coalesce(max(p) * 0.1::DOUBLE, 0.0) AS s FROM n LEFT JOIN hit USING (query_id) GROUP BY query_id, L)
+      SELECT L, count(*) AS bags, round(quantile_disc(s, 0.95), 6) AS tau, round(min(s), 6) AS min, round(median(s), 6) AS median, round(avg(s), 6) AS mean, round(max(s), 6) AS max, count(*) FILTER (s = 0) AS zero_scoring_bags FROM s GROUP BY L""",
+    "qa_outcomes": f"""WITH {SPARSE}, {GOLD},
+      r AS (SELECT s.query_id, s.chunk_id, d.text, d.source, CASE WHEN s.query_id % 2 = 0 THEN split_part(d.text, '.', 1) ELSE 'it says something else altogether' END AS quote, s.query_id % 7 AS k FROM sparse s JOIN documents d ON d.doc_id = s.chunk_id WHERE rank = 1),
+      o AS (SELECT r.*, k NOT IN (0, 3, 4) AS ok, CASE k WHEN 0 THEN 'not valid JSON' WHEN 3 THEN 'citation is neither integer nor null' WHEN 4 THEN 'missing fields' END AS reason,
+        CASE WHEN k IN (0, 3, 4) THEN 'malformed' WHEN k = 1 THEN 'abstained' WHEN k = 2 THEN 'unsupported'
+        WHEN {NORMAL.format('quote')} = '' OR NOT contains({NORMAL.format('text')}, {NORMAL.format('quote')}) THEN 'unsupported'
+        WHEN EXISTS (SELECT 1 FROM gold g WHERE g.query_id = r.query_id AND g.chunk_id = r.chunk_id) THEN 'supported_gold' ELSE 'supported_nongold' END AS outcome FROM r)
+      SELECT query_id, ok, reason, outcome, CASE WHEN k IN (5, 6) THEN chunk_id ELSE -1 END AS cited_chunk_id,
+        outcome = 'supported_nongold' AND EXISTS (SELECT 1 FROM hits h JOIN places p USING (query_id) WHERE h.query_id = o.query_id AND h.chunk_id = o.chunk_id AND p.accession <> o.source) AS wrong_filing FROM o""",
     "json_variant_types": """SELECT kind, count(*) AS n FROM (SELECT CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number'
       WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'missing' END AS kind FROM events) GROUP BY kind""",
     "grid_gaps": """SELECT n_nationkey, s.segment FROM nation, (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'), ('MACHINERY'), ('OTHER')) s(segment)
       WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = s.segment)""",
-    "pending_antijoin": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "pending_antijoin": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)",
     "symmetric_diff": """WITH a AS (SELECT DISTINCT l_partkey AS key FROM lineitem), b AS (SELECT p_partkey AS key FROM part WHERE p_size > 5)
       SELECT key, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT key, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     "latest_per_key": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
@@ -123,9 +141,32 @@ ORACLE: dict[str, str] = {
       SELECT key, CAST(min(s) AS INTEGER) AS start, CAST(max(e) AS INTEGER) AS "end" FROM n GROUP BY key, run""",
     "newest_per_group": "SELECT o_custkey, o_orderkey, o_orderdate, CAST(nth AS INTEGER) AS nth FROM (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM orders) WHERE nth <= 2",
     "cascade_delete": "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
-    "span_normalize": f"SELECT doc_id, md5(regexp_replace({NORMAL.format('text')}, '[^ -~]', '', 'g')) AS normal FROM documents",
+    "span_normalize": f"SELECT doc_id, md5({NORMAL.format('text')}) AS normal FROM documents",
+    "content_word_overlap": f"""WITH w AS (SELECT item_id, trim(unnest(regexp_extract_all(lower(regexp_replace(translate(text, '‘’', ''''''), '\\p{{Pd}}', '-', 'g')), '[a-z0-9'']+')), '''') AS w FROM benchmark),
+      s AS (SELECT DISTINCT item_id, {STEM} AS word FROM w WHERE length(w) >= 3 AND w NOT IN ({', '.join("'" + x.replace("'", "''") + "'" for x in STOPWORDS)}))
+      SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM s a JOIN s b ON a.word = b.word AND a.item_id < b.item_id GROUP BY ALL""",
+    "chunk_pack": """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents),
+      b AS (SELECT doc_id, trim(raw) AS block, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k, len(regexp_extract_all(raw, '[\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}]+|[^\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}\\s\\pZ]')) AS t FROM l WHERE trim(raw) <> ''),
+      p AS (SELECT doc_id, k, t, length(block) AS n, sum(t) OVER w AS upto, sum(length(block)) OVER w AS chars, count(*) OVER (PARTITION BY doc_id) AS m FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+      ends AS (SELECT a.doc_id, a.k, a.m, max(CASE WHEN z.k = a.k OR z.upto - a.upto + a.t + z.k - a.k <= 512 THEN z.k END) AS e FROM p a JOIN p z ON a.doc_id = z.doc_id AND z.k BETWEEN a.k AND a.k + 512 GROUP BY ALL),
+      -- where the next range begins: back over the blocks of at most 64 tokens together, over one at least if there are several
+      nexts AS (SELECT s.doc_id, s.k, s.e, s.m, CASE WHEN s.e = s.k THEN s.e + 1 ELSE least(s.e, min(CASE WHEN z.k = s.e OR y.upto - z.upto + z.t <= 64 THEN z.k END)) END AS nxt
+        FROM ends s JOIN p y ON y.doc_id = s.doc_id AND y.k = s.e JOIN p z ON z.doc_id = s.doc_id AND z.k > s.k AND z.k <= s.e GROUP BY s.doc_id, s.k, s.e, s.m
+        UNION ALL SELECT doc_id, k, e, m, e + 1 FROM ends WHERE e = k),
+      r AS (SELECT doc_id, 0 AS i, k, e, m, nxt FROM nexts WHERE k = 1
+        UNION ALL SELECT r.doc_id, r.i + 1, x.k, x.e, x.m, x.nxt FROM r JOIN nexts x ON x.doc_id = r.doc_id AND x.k = r.nxt WHERE r.e < r.m)
+      SELECT substr(sha256(doc_id || '||' || i), 1, 16) AS chunk_id, CAST(doc_id AS VARCHAR) AS accession, i AS "index", 1 AS first_page, 1 AS last_page,
+        CAST(z.upto - a.upto + a.t AS INTEGER) AS tokens, CAST(z.chars - a.chars + a.n + r.e - r.k AS INTEGER) AS n_chars
+      FROM r JOIN p a USING (doc_id, k) JOIN p z ON z.doc_id = r.doc_id AND z.k = r.e""",
     "numeric_match": """SELECT same, count(*) AS n FROM (SELECT CASE WHEN a = 0 OR b = 0 THEN a = b ELSE abs(a - b) <= 0.001 * greatest(abs(a), abs(b)) END AS same FROM (
       SELECT CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS a, CAST(CAST(l_extendedprice * (1 - l_discount / 50) AS DECIMAL(18,2)) AS DOUBLE) AS b FROM lineitem)) GROUP BY same""",
     "person_match": "SELECT c_custkey AS k, true AS same FROM customer",
     "company_match": "SELECT p_partkey AS k, p_partkey % 2 = 0 AS same FROM part",
 }
+
+_PARTS = "(VALUES (0, '1', '1', 'Business'), (1, '1A', '1A', 'Risk Factors'), (2, '2', '2', 'PROPERTIES'), (3, '3', '3', 'Legal Proceedings'), (4, '5', '5,6', 'Market and Data'), (5, '7', '7', NULL), (6, '9A', '9A', 'Controls and Procedures'), (7, '15', '15', 'Exhibits')) p(i, item, covers, title)"
+ORACLE["sections"] = f"""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS accession, 2 + len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)
+  SELECT accession, item, covers, coalesce(title, 'The registrant describes in this part what it does and how it does it, in words that fill the part with more than two hundred characters, so that a heading is backed by a body, as it is in a report and not in a contents table') AS title,
+    CAST(9 + i * n AS INTEGER) AS start_line, CAST(9 + (i + 1) * n AS INTEGER) AS end_line FROM n, {_PARTS}
+  UNION ALL SELECT accession, '', '', '', 0, 9 FROM n UNION ALL SELECT accession, '', '', '', CAST(9 + 8 * n AS INTEGER), CAST(11 + 8 * n AS INTEGER) FROM n"""
+ORACLE |= records.SQL
