@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, share, tidy
+from .scratch import bound_batches, give_back, share, tidy
 from .terms import word_terms
 
 MOST_EXAMPLES = 2048
@@ -39,6 +39,8 @@ LEVELS = np.array([1, 2, 3, *(1 << np.arange(2, 31))])
 COMMON = 16
 TOGETHER = 256
 PART = 1 << 16
+PIECE = 1 << 19
+AXES = 1 << 13
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -136,8 +138,9 @@ def document_frequencies(docs: DataFrame, known: Terms) -> tuple[np.ndarray, int
         return pa.table({"part": group.column("part")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
-    parts = sorted((r["part"], r["counts"]) for r in counted.collect())  # one number for each column
-    found = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, "<i8") for _, c in parts)])
+    found = counted.toArrow()  # one number for each column
+    order = np.argsort(found.column("part").to_numpy())
+    found = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(found.column("counts")[i].as_buffer(), "<i8") for i in order.tolist())])
     return (found[:-1], int(found[-1])) if len(found) else (np.zeros(known.size, np.int64), 0)
 
 
@@ -182,7 +185,10 @@ class Index:
         holding += [rows, columns]
         del rows, columns
         rows, columns = self._join_alike(holding, held, len(ids))  # in order of columns
-        norm = np.sqrt(np.bincount(rows, (self.idf**2)[columns], len(ids)))
+        norm, square = np.zeros(len(ids)), self.idf**2
+        for a in range(0, len(rows), PIECE):
+            norm += np.bincount(rows[a : a + PIECE], square[columns[a : a + PIECE]], len(ids))
+        norm = np.sqrt(norm)
         full = np.flatnonzero(norm > 0)
         leading = np.full(len(ids), self.size)
         by_value = np.argsort(-self.idf, kind="stable").astype(np.int32)
@@ -207,6 +213,7 @@ class Index:
         keys %= max(len(full), 1)
         self.where = keys.astype(np.uint16 if len(full) < 1 << 16 else np.int32)
         del keys
+        give_back()
         self._open()
         self.a, self.b = 1.0, 0.0
         self._calibrate()
@@ -214,30 +221,36 @@ class Index:
     def _open(self) -> None:
         """What follows from the postings: their values, each block's largest ones, and the matrix of common terms."""
         held = np.diff(self.ends, prepend=0)
-        columns = np.repeat(np.arange(self.size, dtype=np.int32), held)
-        self.value = (self.idf[columns] * self.inverse[self.where]).astype(np.float32)
         self.blocks = -(-len(self.ids) // BLOCK)
-        edges = np.bincount(columns * np.int64(self.blocks + 1) + self.where // BLOCK, minlength=self.size * (self.blocks + 1))
-        self.cuts = np.zeros(len(edges) + 1, np.int32)
-        np.cumsum(edges, out=self.cuts[1:])
-        del edges
-        self.most = np.zeros((self.size, self.blocks), np.float32)
-        np.maximum.at(self.most, (columns, self.where // BLOCK), self.value)
+        wide = self.blocks + 1
         common = np.flatnonzero(held * COMMON >= max(len(self.ids), 1))  # at most COMMON times the terms of an example
         self.dense_at = np.full(self.size, -1, np.int32)
         self.dense_at[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), len(self.ids)), np.float32)
-        at = self.dense_at[columns]
-        self.dense[at[at >= 0], self.where[at >= 0]] = self.value[at >= 0]
+        self.most = np.zeros((self.size, self.blocks), np.float32)
+        self.cuts = np.zeros(self.size * wide + 1, np.int32)
+        for a in range(0, self.size, AXES):  # some axes at a time, to take little memory
+            b = min(a + AXES, self.size)
+            axis = np.repeat(np.arange(b - a), held[a:b])
+            where = self.where[self.ends[a] - held[a] : self.ends[b - 1]].astype(np.int64)
+            value = (self.idf[a + axis] * self.inverse[where]).astype(np.float32)
+            self.cuts[a * wide + 1 : b * wide + 1] = self.cuts[a * wide] + np.cumsum(np.bincount(axis * wide + where // BLOCK, minlength=(b - a) * wide))
+            np.maximum.at(self.most, (a + axis, where // BLOCK), value)
+            at = self.dense_at[a + axis]
+            self.dense[at[at >= 0], where[at >= 0]] = value[at >= 0]
+
+    @property
+    def value(self) -> np.ndarray:
+        """The values of the postings."""
+        return (self.idf[np.repeat(np.arange(self.size), np.diff(self.ends, prepend=0))] * self.inverse[self.where]).astype(np.float32)
 
     def __getstate__(self) -> dict:
         """Without what follows from the rest, to send little."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("value", "cuts", "most", "dense_at", "dense")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cuts", "most", "dense_at", "dense")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._open()
-        del self.value  # in the blocks' bounds and the matrix
 
     def _join_alike(self, holding: list[np.ndarray], held: np.ndarray, examples: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and axes: terms that the same examples hold are one axis, as long as all of them together."""
@@ -330,7 +343,8 @@ class Index:
             at = np.repeat(first, many) + spread(many)
             order = np.argsort(self.where[at], kind="stable")  # columns stay in order
             cuts = np.searchsorted(self.where[at][order], np.arange(b * BLOCK + 1, min((b + 1) * BLOCK, len(self.ids))))
-            yield list(zip(np.split(columns[order], cuts), np.split(self.value[at][order], cuts), strict=True))
+            value = (self.idf[columns] * self.inverse[self.where[at]]).astype(np.float32)
+            yield list(zip(np.split(columns[order], cuts), np.split(value[order], cuts), strict=True))
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         near = cosines**2 / (1.05 - np.minimum(cosines, 1.0))
@@ -375,19 +389,27 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
     """
     bound_batches(docs.sparkSession)
     examples, weights = pick_examples(docs, labels)
-    counted = sorted(count_terms(examples).collect(), key=lambda r: (r["doc_id"], r["label"], r["terms"]))  # at most 2 * MOST_EXAMPLES texts
-    ids, marks = np.array([c["doc_id"] for c in counted], np.int64), np.array([c["label"] for c in counted], np.int64)
-    terms, levels = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(c[name], kind) for c in counted)]) for name, kind in (("terms", "<u8"), ("levels", "u1")))
-    rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(c["terms"]) // 8 for c in counted])
+    counted = count_terms(examples).toArrow()  # at most 2 * MOST_EXAMPLES texts
+    ids, marks = (counted.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
+    parts = {c: [x.as_buffer() for x in counted.column(c)] for c in ("terms", "levels")}
     del counted
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], marks[i], parts["terms"][i].size, parts["terms"][i][:256].to_pybytes()))
+    ids, marks = ids[order], marks[order]
+    rows = np.repeat(np.arange(len(ids), dtype=np.int32), [parts["levels"][i].size for i in order])
+    terms, levels = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(parts.get(name)[i], kind) for i in order)]) for name, kind in (("terms", "<u8"), ("levels", "u1")))
+    parts.clear()
+    give_back()
     different = np.unique(terms)
     most = np.zeros(len(different), np.int32)
     np.maximum.at(most, np.searchsorted(different, terms), levels)
     known = Terms(different, most)
     held = list(held_columns(known, len(ids), rows, terms, LEVELS[levels - 1]))
     del rows, terms, levels, most, different
+    give_back()
     frequency, texts = document_frequencies(docs, known)
-    return Index.of(known, frequency, ids, marks, held, weights, texts)
+    index = Index.of(known, frequency, ids, marks, held, weights, texts)
+    give_back()
+    return index
 
 
 def score_texts(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
