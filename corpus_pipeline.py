@@ -35,6 +35,7 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = learn(docs, table(spark, sf_dir, "labels"))
     bad = score_texts(docs, index).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
+    del index
     return _without(docs, bad, "toxic")
 
 
