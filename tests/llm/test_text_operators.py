@@ -197,7 +197,11 @@ def brute_substrings(texts, size=200):
     return cover
 
 
-def test_substring_dedup_by_brute_force(spark):
+@pytest.mark.parametrize("hot, flush", [(2000, 500_000), (0, 500_000), (1, 40)])
+def test_substring_dedup_by_brute_force(spark, monkeypatch, hot, flush):
+    """Also with limits so low that all anchors count as hot, and blocks go out early."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "FLUSH", flush)
     r = random.Random(7)
     parts = ["".join(r.choice("abc é") for _ in range(r.choice([50, 150, 199, 200, 201, 330]))) for _ in range(12)]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 5))) for _ in range(40)] + ["ab" * 300, "ab" * 99 + "a", None, "", "x" * 200, "x" * 201]
