@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matching, stats, text
+from ..functions.english import english_lexemes
 from ..intermediate import materialise
 from ..operators import answers, extraction, filings, gold, logs, retrieval, scoring, stores
 from . import records
@@ -95,6 +96,13 @@ def sparse_topk(spark, d):
     return _sparse(spark, d)
 
 
+@registered
+def english_sparse(spark, d):
+    """As sparse_topk, by the stems of words that aren't stop words; SQL has no such stems."""
+    words = english_lexemes
+    return retrieval.sparse(retrieval.postings(chunks(spark, d), words(F.col("text"))), retrieval.query_terms(queries(spark, d), words(F.col("query"))))
+
+
 @registered
 def sparse_or_match(spark, d):
     found = retrieval.matching(retrieval.postings(chunks(spark, d)), retrieval.query_terms(queries(spark, d)))
