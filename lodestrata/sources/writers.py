@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..guard import refuse
 
@@ -64,3 +65,50 @@ def split_extractions(documents: DataFrame) -> dict[str, DataFrame]:
         "risks": documents.select("report_id", F.explode("risks").alias("r")).select("report_id", "r.*"),
         "management": documents.select("report_id", F.explode("management").alias("m")).select("report_id", "m.*"),
     }
+
+
+def write_rankings(rankings: DataFrame, path: str, provenance: dict[str, str]) -> str:
+    """Rankings (query_id, arm, rank, chunk_id, score) as one record a query, with a provenance record beside
+    them: what was given, how many queries there are, and the digest of the rows.  Nothing is written over.
+
+    Gated rankings, with their columns L, s1, tau and fires, keep these in each record.
+    """
+    spark = rankings.sparkSession
+    gate = [c for c in ("L", "s1", "tau", "fires") if c in rankings.columns]
+    listed = rankings.groupBy("query_id", "arm", *gate).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "score"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["score"].alias("score"))).alias("ranking"))
+    records = listed.groupBy("query_id", *gate).agg(F.map_from_entries(F.collect_list(F.struct("arm", "ranking"))).alias("arms"))
+    records.write.mode("errorifexists").json(path)
+    made = digest(spark.read.schema(records.schema).json(path))
+    rows = sorted({**provenance, "rows": made, "queries": made.split(":")[0]}.items())
+    spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("errorifexists").json(f"{path.rstrip('/')}.provenance")
+    return made
+
+
+def verify_rankings(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The records of :func:`write_rankings`; refused where their digest isn't the recorded one."""
+    from ..guard import Refused
+
+    records = spark.read.schema(schema).json(path)
+    told = {r["name"]: r["value"] for r in spark.read.schema("name string, value string").json(f"{path.rstrip('/')}.provenance").collect()}
+    if told.get("rows") != digest(records):
+        raise Refused([f"{path} isn't what its provenance record describes"])
+    return records
+
+
+def write_thresholds(measured: DataFrame, path: str) -> None:
+    """Measured thresholds (L, tau, ...) as the document that :func:`lodestrata.sources.readers.thresholds` reads."""
+    rest = [c for c in measured.columns if c != "L"]
+    whole = measured.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("L").cast("string").alias("L"), F.struct(*rest).alias("m"))))).alias("null"))
+    whole.coalesce(1).write.mode("errorifexists").json(path)
+
+
+def export_tables(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Write each table as JSON lines under ``path`` and a manifest of their counts, made from what was written."""
+    spark = next(iter(tables.values())).sparkSession
+    counts = []
+    for name, df in sorted(tables.items()):
+        df.write.mode("errorifexists").json(f"{path}/{name}")
+        counts.append((name, spark.read.schema(df.schema).json(f"{path}/{name}").count()))
+    manifest = spark.createDataFrame(counts, "name string, rows long")
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+    return manifest
