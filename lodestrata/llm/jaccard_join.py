@@ -1,8 +1,9 @@
 """Exact set-similarity join on word shingles: a grouped prefix join.
 
 1. Count in how many texts each shingle stands.  The most frequent ones, at most ``MOST_LISTED``, get a class
-   of frequency; a shingle's place in the global order is (class, hash), rare first.  Any order gives the
-   same result; this one keeps frequent shingles out of the prefixes.
+   of frequency, others that stand in several texts, by a bitmap, the class below; a shingle's place in the
+   global order is (class, hash), rare first.  Any order gives the same result; this one keeps frequent
+   shingles out of the prefixes.
 2. Texts with equal sets form a class, and classes with the same size and the same prefix (the first
    n - ceil(t n) + 1 shingles in that order) a group.  Each prefix shingle of a group is a posting.
 3. A first round joins what is surely alike without making pairs: each class whose group meets others goes
@@ -126,18 +127,17 @@ class Order:
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Sorted keys: class in the top bits, then the hash."""
-        level = np.zeros(len(s), np.uint64)
+        level = self.seen_again(s).astype(np.uint64)
         at = np.flatnonzero(self.maybe[(s >> np.uint64(42)).astype(np.int64)])
         if len(at) and len(self.listed):
             short = s[at] >> self.shift
             place = np.minimum(np.searchsorted(self.listed, short), len(self.listed) - 1)
-            level[at] = np.where(self.listed[place] == short, self.levels[place], 0)
+            level[at] = np.where(self.listed[place] == short, self.levels[place], level[at])
         return np.sort((level << np.uint64(64 - _CLASS_BITS)) | (s >> np.uint64(_CLASS_BITS)))
 
-    def seen_again(self, keys: np.ndarray) -> np.ndarray:
-        """Whether the shingles of these keys may stand in several texts."""
-        width = (len(self.seen) * 8).bit_length() - 1
-        at = (keys & np.uint64((1 << (64 - _CLASS_BITS)) - 1)) >> np.uint64(64 - _CLASS_BITS - width)
+    def seen_again(self, s: np.ndarray) -> np.ndarray:
+        """Whether these shingles may stand in several texts."""
+        at = s >> np.uint64(64 - (len(self.seen) * 8).bit_length() + 1)
         return (self.seen[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
 
 
@@ -154,7 +154,7 @@ def shingle_order(rows: DataFrame, n_words: int) -> Order:
         listed += histogram.get(least, 0)
     found = counted.where(F.col("level") >= least).select("level", "keys").collect()  # at most MOST_LISTED keys
     keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in found)])
-    levels = np.repeat(np.array([r["level"] for r in found], np.uint64), [len(r["keys"]) // 8 for r in found])
+    levels = np.repeat(np.array([min(r["level"] + 1, (1 << _CLASS_BITS) - 1) for r in found], np.uint64), [len(r["keys"]) // 8 for r in found])
     width = min(SEEN_BITS, max(16, sum(histogram.values()).bit_length() + 4))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def _describe(order, n_words: int, percent: int):
             for s in shingle_sets(batch.column(1), n_words):
                 prefix = o.keys(s)[: prefix_length(len(s), percent)] if len(s) else s
                 rows.append((len(s), *_two(s), *_two(prefix)))
-                prefixes.append(prefix[o.seen_again(prefix)] if len(prefix) else prefix)
+                prefixes.append(prefix[prefix >> np.uint64(64 - _CLASS_BITS) > 0] if len(prefix) else prefix)  # what stands in several texts
             columns = list(zip(*rows, strict=True)) or [()] * 5
             flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(flat))
