@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from .scratch import bound_batches, tidy
 from .words import _BASE, _INVERSE, mix, powers, slices, text_buffers
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 LIBRARY_BYTES = 1 << 20
-KEEP_BYTES = 24 << 20
+KEEP_BYTES = 16 << 20
 
 _loaded: dict[str, "Encoder"] = {}
 _BYTES = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64)
