@@ -1,16 +1,18 @@
-"""Where intermediate tables go, and how plain tables are read."""
+"""What the operators share: intermediate tables, broadcasts, memory of workers, and how tables are read."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from ..intermediate import materialise, shared_dir
+
+__all__ = ["bound_batches", "delete_table", "give_back", "materialise", "release", "share", "shared_dir", "table", "tidy"]
+
 BATCH_BYTES = 8 << 20
 
 _shared: list[Broadcast] = []
@@ -57,31 +59,6 @@ def give_back() -> None:
         trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset, and only in local mode, a temporary folder is set instead.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if found:
-        return found
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
-    sc.setCheckpointDir(made)
-    return made
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends here, and lost
-    executors cost nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def delete_table(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise` once nothing reads them any more."""
     spark = df.sparkSession
