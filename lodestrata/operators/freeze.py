@@ -58,10 +58,9 @@ def freeze_problems(frozen: DataFrame, digest: str, live: DataFrame, own_digest:
 
 def run_problems(rankings: DataFrame, chunks: DataFrame, queries: DataFrame, arms: list[str]) -> list[DataFrame]:
     """Ids that the store doesn't hold, ids that stand twice in a ranking, and queries without a ranking."""
-    spark = rankings.sparkSession
     named = F.concat_ws(" of ", "arm", F.col("query_id").cast("string"))
     unknown = rankings.join(chunks.select("chunk_id"), "chunk_id", "left_anti").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
-    wanted = queries.select("query_id").distinct().join(F.broadcast(spark.createDataFrame([(a,) for a in arms], "arm string")))
+    wanted = queries.select("query_id").distinct().withColumn("arm", F.explode(F.array(*map(F.lit, arms))))
     missing = wanted.join(rankings.select("query_id", "arm").distinct(), ["query_id", "arm"], "left_anti")
     return [
         unknown.select(F.concat(F.lit("the store has no chunk "), F.col("chunk_id").cast("string")).alias("problem")),

@@ -219,7 +219,7 @@ def draw_bags_in_spark(frequency: DataFrame, sizes: DataFrame, bags: int = 1000,
     width = max(1, total * 8 // max(words, 1))
     ranges = placed.select("lexeme", "start", "end", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))).alias("bucket"))
     ranges = materialise(ranges, "ranges")
-    asked = sizes.select(F.col("L").cast("int").alias("L")).where("L > 0").distinct().crossJoin(spark.range(bags).select(F.col("id").cast("int").alias("bag")))
+    asked = sizes.select(F.col("L").cast("int").alias("L")).where("L > 0").distinct().withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
     lacking, drawn, first, factor = asked, None, 0, 2
     while True:
         numbers = lacking.withColumn("i", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first) + F.col("L").cast("long") * factor - 1)))

@@ -17,8 +17,8 @@ def hits_at_k(rankings: DataFrame, gold: DataFrame, queries: DataFrame, ks: tupl
     An empty ranking is a miss; a query without gold has no row.
     """
     best = rankings.join(gold, ["query_id", "chunk_id"]).groupBy("query_id", "arm").agg(F.min("rank").alias("best"))
-    arms = rankings.select("arm").distinct()
-    grid = queries.select("query_id", "stratum").join(gold.select("query_id").distinct(), "query_id").join(F.broadcast(arms))
+    arms = sorted(r["arm"] for r in rankings.select("arm").distinct().collect())  # a handful of names
+    grid = queries.select("query_id", "stratum").join(gold.select("query_id").distinct(), "query_id").withColumn("arm", F.explode(F.array(*map(F.lit, arms)).cast("array<string>")))
     scored = grid.join(best, ["query_id", "arm"], "left").withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     return scored.select("query_id", "stratum", "arm", "k", F.coalesce(F.col("best") <= F.col("k"), F.lit(False)).alias("hit"))
 
