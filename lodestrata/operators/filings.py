@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, plain_title
+from ..intermediate import materialise
 
 #: The items of the annual report form, in their order, with their titles.
 ITEMS = {
@@ -228,10 +229,12 @@ def _chains(ranks: pd.Series, lines: pd.Series, backed: pd.Series) -> pd.Series:
     return pd.Series([best_chain([int(x) for x in r], [int(x) for x in n], [bool(x) for x in b]) for r, n, b in zip(ranks, lines, backed, strict=True)])
 
 
-def sections(docs: DataFrame, key: str = "accession") -> DataFrame:
+def sections(docs: DataFrame, key: str = "accession", lines: DataFrame | None = None) -> DataFrame:
     """(key, item, covers, title, start_line, end_line): Item sections, and what stands before the first and
-    from the signatures on under an empty item; nothing where no chain of headings is found."""
-    lines = text_lines(docs, key)
+    from the signatures on under an empty item; nothing where no chain of headings is found.
+
+    lines: those of :func:`text_lines`, if they are written already; they are read several times."""
+    lines = materialise(text_lines(docs, key), "lines") if lines is None else lines
     total = lines.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("total"), F.max(F.col("at") + F.length("raw")).alias("chars"), F.max("at").alias("last_at"))
     candidates = heading_candidates(lines, key)
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in RANK.items() for x in pair)), F.element_at("items", 1))
@@ -287,10 +290,11 @@ def _packs(tokens: pd.Series) -> pd.Series:
 def chunk_filings(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Chunks of ``docs`` (accession, ticker, period, text, page_starts) by section, or of the whole text
     under an empty item where there are no sections."""
-    found = sections(docs) if found is None else found
+    written = materialise(text_lines(docs), "lines")
+    found = materialise(sections(docs, lines=written), "sections") if found is None else found
     bare = docs.join(found.select("accession").distinct(), "accession", "left_anti").select("accession", F.lit("").alias("item"), F.lit("").alias("title"), F.lit(0).alias("start_line"), F.lit(2**31 - 1).alias("end_line"))
     spans = found.select("accession", "item", "title", "start_line", "end_line").unionByName(bare)
-    lines = text_lines(docs).withColumn("block", F.trim("raw")).where("block <> ''").withColumn("tokens", token_count(F.col("block"))).withColumnRenamed("accession", "doc")
+    lines = written.withColumn("block", F.trim("raw")).where("block <> ''").withColumn("tokens", token_count(F.col("block"))).withColumnRenamed("accession", "doc")
     inside = spans.join(lines, (F.col("accession") == F.col("doc")) & (F.col("line") >= F.col("start_line")) & (F.col("line") < F.col("end_line")))
     rows = F.sort_array(F.collect_list(F.struct("line", "tokens", "block")))
     packed = inside.groupBy("accession", "item", "title", "start_line").agg(rows.alias("blocks")).withColumn("ranges", F.pandas_udf(_packs, "array<struct<a:int,b:int>>")(F.transform("blocks", lambda x: x["tokens"])))
