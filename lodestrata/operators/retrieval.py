@@ -27,10 +27,11 @@ def postings(chunks: DataFrame, words: Column | None = None) -> DataFrame:
     """(chunk_id, lexeme, tf): the inverted index as a table; write it once, by lexeme, to search it often.
 
     Texts are dealt out by chunk once; counting, matching with queries and adding up by (query, chunk) then
-    need no further shuffle.
+    need no further shuffle.  The parts are as many as the session says, as few large ones would be slow.
     """
     words = lexemes(F.col("text")) if words is None else words
-    dealt = chunks.select("chunk_id", words.alias("words")).repartition("chunk_id")
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.select("chunk_id", words.alias("words")).repartition(parts, "chunk_id")
     return dealt.select("chunk_id", F.explode("words").alias("lexeme")).groupBy("chunk_id", "lexeme").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -236,7 +237,7 @@ def draw_bags_in_spark(frequency: DataFrame, sizes: DataFrame, bags: int = 1000,
 
 def bag_scores(index: DataFrame, bags: DataFrame) -> DataFrame:
     """(L, bag, s): the best lexical score of each bag of ``bags`` (L, bag, lexeme), 0 where nothing matches."""
-    best = index.join(bags, "lexeme").groupBy("L", "bag", "chunk_id").agg(F.sum("tf").alias("n")).groupBy("L", "bag").agg((F.max("n") * 0.1).alias("s"))
+    best = index.join(_sent(bags), "lexeme").groupBy("L", "bag", "chunk_id").agg(F.sum("tf").alias("n")).groupBy("L", "bag").agg((F.max("n") * 0.1).alias("s"))
     return bags.select("L", "bag").distinct().join(best, ["L", "bag"], "left").fillna({"s": 0.0})
 
 
