@@ -41,7 +41,7 @@ HOT = 2000
 FLUSH = 500_000
 
 _BYTES = np.random.default_rng(20240623).integers(1, 1 << 63, 256, dtype=np.uint64)
-_ANCHOR = np.dtype([("hash", "<u8"), ("context", "<u8"), ("key", "<i8"), ("start", "<i4"), ("stop", "<i4"), ("twice", "<i4")])
+_ANCHOR = np.dtype([("hash", "<u8"), ("context", "<u8"), ("key", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 _RANGE = np.dtype([("key", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 _WINDOW = np.dtype([("hash", "<u8"), ("key", "<i8"), ("start", "<i4")])
 
@@ -129,7 +129,6 @@ def _anchor_blocks(bits: int):
             twice = _runs(same) if len(rows) else np.zeros(0, bool)
             ranges = np.zeros(int(twice.sum()), _RANGE)
             ranges["key"], ranges["start"], ranges["stop"] = rows["key"][twice], rows["start"][twice], rows["stop"][twice] + LENGTH - 1
-            rows["twice"] = twice
             rows = rows[np.concatenate(([True], ~same))] if len(rows) else rows
             a, anchors = _packed((rows["hash"] >> np.uint64(64 - bits)).astype(np.int64), rows)
             b, marks = _packed(_spread(ranges["key"], bits), ranges)
@@ -171,7 +170,7 @@ def _group_anchors(bits: int):
             more = np.zeros(len(whole), _RANGE)
             more["key"], more["start"], more["stop"] = whole["key"], whole["start"], whole["stop"] + LENGTH - 1
             known = np.concatenate((known, more))
-            # A context that one task found twice is marked there, and by the line above wherever else it stands.
+            # A context that one task found twice is marked there, and by these rows wherever else it stands.
         return pa.table(
             {
                 "key": pa.array([*known["key"].tolist(), None], pa.int64()),
