@@ -11,7 +11,7 @@ sixty bytes' worth of index entries is never moved.
    finds twice by itself it marks at once and sends one copy of.
 2. The texts are read again, and contexts of anchors in the bitmap are grouped by anchor, one copy of each
    from a batch (the others are marked already); in a group the hashes of all windows are counted, and
-   those that stand twice are marked.  An anchor with more than ``HOT`` different contexts, such as one at the
+   those that stand twice are marked.  An anchor with more than ``HOT`` contexts from all tasks, such as one at the
    edge of a common passage, would make a group without bound: its windows go out by their own hashes, one
    copy of each from a batch.
 3. Marked ranges meet their texts, and what they cover is cut out.
@@ -165,7 +165,8 @@ def _group_anchors(bits: int):
             same = ~new[1:] & (rows["context"][1:] == rows["context"][:-1])
             first = np.flatnonzero(new)
             kinds = np.add.reduceat(np.concatenate(([1], ~same)).astype(np.int64), first)  # different contexts of each hash
-            send, hot = (_bits(rows["hash"][first[kinds > least]], width, bits) for width, least in ((SEND_BITS, 1), (HOT_BITS, HOT)))
+            copies = np.diff(np.append(first, len(rows)))  # one of each context from a task
+            send, hot = (_bits(rows["hash"][first[chosen]], width, bits) for width, chosen in ((SEND_BITS, kinds > 1), (HOT_BITS, (kinds > 1) & (copies > HOT))))
             whole = rows[_runs(same)]
             more = np.zeros(len(whole), _RANGE)
             more["key"], more["start"], more["stop"] = whole["key"], whole["start"], whole["stop"] + LENGTH - 1
