@@ -82,7 +82,7 @@ class Anchors:
         last = np.append(first[1:], len(starts)) - 1
         self.starts, self.stops, self.places = (starts[first], starts[last] + 1, place[first]) if len(starts) else (starts, starts, place)
         self.rows = np.searchsorted(offsets, self.starts, "right") - 1
-        self.hashes = grams[self.places]
+        self.hashes = mix(grams[self.places])  # least hashes are small: mixed anew, they fill all buckets alike
         ends = self.stops + LENGTH - 1
         raw = (self.sums[ends] - self.sums[self.starts]) * self.back[self.starts]
         self.contexts = mix(raw ^ mix(((self.places - self.starts).astype(np.uint64) << np.uint64(32)) + (self.stops - self.starts).astype(np.uint64)))
