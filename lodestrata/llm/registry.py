@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality
+from . import line_dedup, prefix_trie, quality, quality_rules, resampling
 from .decontamination import contaminated
 from .fingerprints import compare_with_next
 from .html_extraction import extract_main_text
@@ -72,9 +72,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted: texts that are labelled good and not toxic."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(prefix_trie.with_shared_openings(prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_quality_classifier, op4_html_extraction, op5_benchmark_decontamination, op6_toxicity, op7_ngram_jaccard_join, op8_line_dedup, op9_substring_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_quality_classifier, op4_html_extraction, op5_benchmark_decontamination, op6_toxicity, op7_ngram_jaccard_join, op8_line_dedup, op9_substring_dedup, op10_best_fit_packing, op11_target_resampling, op12_quality_rules, op13_conversation_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_target_resampling": resampling.ORACLE_SQL,
+        "op12_quality_rules": quality_rules.ORACLE_SQL,
+        "op13_conversation_prefix_trie": prefix_trie.ORACLE_SQL,
+    }
