@@ -6,7 +6,8 @@ turns, so each task holds a stretch of the order: a prefix shard.  A shard's tur
 is packed into a double array (BASE and CHECK: the child of state s by turn c is BASE[s] + c, and CHECK there
 is s), built level by level; walking the array gives the nodes and what is below them.  Only the nodes that
 a shard's first or last sequence passes (beyond ``KEYS`` turns: and those below) can stand in other shards as
-well; these are added up globally, and what they own goes to all nodes above them.  The hash of the members
+well; these are added up globally, and what they own goes to all nodes above them: to the nearest ``NEAR``
+at once, further up by doubling steps, so long conversations take a logarithm of rounds.  The hash of the members
 that end at a node is fed in order of their ids, joined by tasks beforehand, so no task holds all of them.
 
 Turns are in order of ``turn`` (null first), equal ones in order of a hash; null role or text is empty; repeated rows
@@ -30,9 +31,10 @@ from .scratch import bound_batches, materialise, tidy
 from .words import mix
 
 KEYS = 8
-SHARD_TURNS = 500_000
+SHARD_TURNS = 250_000
 CHUNK_IDS = 50_000
 MOST_SENT = 1_000_000
+NEAR = 32
 TRIES = 256
 
 _TURNS = "array<struct<h1:bigint,h2:bigint,tokens:int>>"
@@ -125,32 +127,33 @@ class DoubleArray:
         self.base = np.zeros(size + 2, np.int64)
         self.check = np.full(size + 2, _FREE, np.int64)
         self.check[0] = _ROOT
-        self.low = 1  # no free slot is below
+        self.top = 1  # all slots from here on are free
+        self.low = self.seek = 1  # no free slot is below low; wide states look from seek on
 
-    def _grow(self, size: int) -> None:
+    def _reserve(self, size: int) -> None:
+        """Make room for ``size`` slots."""
         if size > len(self.check):
             more = max(size, 2 * len(self.check)) - len(self.check)
             self.base = np.concatenate((self.base, np.zeros(more, np.int64)))
             self.check = np.concatenate((self.check, np.full(more, _FREE, np.int64)))
 
-    def _free(self, n: int) -> np.ndarray:
-        """The first ``n`` free slots."""
-        reach = max(1024, 2 * n)
-        while True:
-            found = np.flatnonzero(self.check[self.low : self.low + reach] == _FREE)[:n] + self.low
-            if len(found) == n:
-                self.low = int(found[0]) if n else self.low
-                return found
-            if self.low + reach >= len(self.check):
-                self._grow(len(self.check) + n)
-            reach *= 2
+    def _free(self, n: int, start: int) -> np.ndarray:
+        """The first ``n`` free slots from ``start`` on; those from ``top`` on are always free."""
+        holes, reach = np.zeros(0, np.int64), max(1024, 2 * n)
+        while start < self.top and len(holes) < n:
+            found = np.flatnonzero(self.check[start : min(start + reach, self.top)] == _FREE) + start
+            holes, start, reach = np.concatenate((holes, found)), start + reach, 2 * reach
+        return np.concatenate((holes[:n], np.arange(self.top, self.top + max(n - len(holes), 0))))
 
     def _place(self, codes: np.ndarray) -> int:
-        """A base at which all of a state's children are free: one of the first places that fit, or behind all others."""
-        firsts = self._free(TRIES)
-        at = firsts[:, None] - codes[0] + codes[None, :]
-        fits = np.flatnonzero((self.check[np.minimum(at, len(self.check) - 1)] == _FREE).all(1) & (at[:, -1] < len(self.check)))
-        return int((firsts[fits[0]] if len(fits) else len(self.check)) - codes[0])
+        """A base at which all of a state's children are free: the first of some places that fits, or behind all others."""
+        firsts = self._free(TRIES, self.seek)
+        at = firsts[:, None] + (codes - codes[0])[None, :]
+        taken = (at < self.top) & (self.check[np.minimum(at, len(self.check) - 1)] != _FREE)
+        fits = np.flatnonzero(~taken.any(1))
+        if not len(fits):
+            self.seek = int(firsts[-1])  # what lies before is left to states of one child
+        return int((firsts[fits[0]] if len(fits) else self.top) - codes[0])
 
     def add(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The children of ``states`` by ``codes`` (sorted, distinct pairs; no state has children yet): their slots."""
@@ -158,13 +161,18 @@ class DoubleArray:
         sizes = np.diff(np.concatenate((first, [len(states)])))
         for a, k in zip(first[sizes > 1], sizes[sizes > 1], strict=True):
             base = self._place(codes[a : a + k])
-            self._grow(base + int(codes[a + k - 1]) + 1)
+            end = base + int(codes[a + k - 1]) + 1
+            self._reserve(end)
             self.base[states[a]] = base
             self.check[base + codes[a : a + k]] = states[a]
+            self.top = max(self.top, end)
         alone = first[sizes == 1]
-        slots = self._free(len(alone))
-        self.base[states[alone]] = slots - codes[alone]
-        self.check[slots] = states[alone]
+        if len(alone):
+            slots = self._free(len(alone), self.low)
+            self._reserve(int(slots[-1]) + 1)
+            self.base[states[alone]] = slots - codes[alone]
+            self.check[slots] = states[alone]
+            self.low, self.top = int(slots[-1]) + 1, max(self.top, int(slots[-1]) + 1)
         return self.base[states] + codes
 
     def step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -174,9 +182,9 @@ class DoubleArray:
         return to
 
 
-_NODE = "open boolean, p1 long, p2 long, q1 long, q2 long, depth int, tokens long, n_convs long, least long, parent_least long, n_children long, n_leaves long, saved long, ends_sha256 string, above array<struct<p1:bigint,p2:bigint>>"
+_NODE = "open boolean, p1 long, p2 long, q1 long, q2 long, depth int, tokens long, n_convs long, least long, parent_least long, n_children long, n_leaves long, saved long, ends_sha256 string, above array<struct<p1:bigint,p2:bigint>>, f1 long, f2 long"
 _NODE_ARROW = pa.schema(
-    [("open", pa.bool_()), *((k, pa.int64()) for k in ("p1", "p2", "q1", "q2")), ("depth", pa.int32()), *((k, pa.int64()) for k in ("tokens", "n_convs", "least", "parent_least", "n_children", "n_leaves", "saved")), ("ends_sha256", pa.string()), ("above", pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64())])))]
+    [("open", pa.bool_()), *((k, pa.int64()) for k in ("p1", "p2", "q1", "q2")), ("depth", pa.int32()), *((k, pa.int64()) for k in ("tokens", "n_convs", "least", "parent_least", "n_children", "n_leaves", "saved")), ("ends_sha256", pa.string()), ("above", pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64())]))), ("f1", pa.int64()), ("f2", pa.int64())]
 )
 
 
@@ -209,7 +217,7 @@ def shard_nodes(rows: pa.Table, keys: int = KEYS) -> pa.RecordBatch:
         state[active[by]] = trie.step(s, c)
         depth += 1
         active = active[lengths[active] > depth]
-    size = len(trie.check)
+    size = trie.top
     n, low = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max)
     at = np.zeros(len(lengths), np.int64)
     opened = np.zeros(size, bool)
@@ -245,19 +253,25 @@ def shard_nodes(rows: pa.Table, keys: int = KEYS) -> pa.RecordBatch:
     node, parent = (np.concatenate([x[k] for x in levels]) for k in (0, 1))
     depths = np.repeat(np.arange(len(levels), dtype=np.int32), [len(x[0]) for x in levels])
     signed = lambda x: x.view(np.int64)
-    above: dict[int, list[dict[str, int]]] = {0: []}
-    paths: list[list[dict[str, int]] | None] = [[]]
-    for slot, up in zip(node[1:].tolist(), parent[1:].tolist(), strict=True):
-        if opened[slot]:
-            above[slot] = [*above[up], {"p1": int(signed(p1)[up]), "p2": int(signed(p2)[up])}]
-            paths.append(above[slot])
-        else:
-            paths.append(None)
+    up = trie.check[:size].copy()
+    up[0] = -1
+    shared, steps = opened[node], []
+    places = np.flatnonzero(shared)
+    to = node[places]
+    for _ in range(NEAR):
+        to = np.where(to >= 0, up[to], -1)
+        steps.append(to)
+    far, sizes = np.full(len(node), -1, np.int64), np.zeros(len(node), np.int64)
+    far[places] = steps.pop()
+    near = np.stack(steps, axis=1)
+    sizes[places] = (near >= 0).sum(1)
+    flat_near = near[near >= 0]
+    above = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.StructArray.from_arrays([pa.array(signed(x)[flat_near]) for x in (p1, p2)], ["p1", "p2"]))
     root = node == 0
     sha = rows["ends_sha256"].combine_chunks().take(pa.array(end_of[node], mask=end_of[node] < 0))
     columns = [
-        pa.array(opened[node]), *(pa.array(signed(x)[node]) for x in (p1, p2)), *(pa.array(signed(x)[parent], mask=root) for x in (p1, p2)), pa.array(depths),
-        pa.array(tokens[node]), pa.array(n[node]), pa.array(low[node]), pa.array(low[parent], mask=opened[parent]), pa.array(children[node]), pa.array(leaves[node]), pa.array(saved[node]), sha.cast(pa.string()), pa.array(paths, _NODE_ARROW.field("above").type),
+        pa.array(shared), *(pa.array(signed(x)[node]) for x in (p1, p2)), *(pa.array(signed(x)[parent], mask=root) for x in (p1, p2)), pa.array(depths),
+        pa.array(tokens[node]), pa.array(n[node]), pa.array(low[node]), pa.array(low[parent], mask=opened[parent]), pa.array(children[node]), pa.array(leaves[node]), pa.array(saved[node]), sha.cast(pa.string()), above, *(pa.array(signed(x)[far], mask=far < 0) for x in (p1, p2)),
     ]
     return pa.RecordBatch.from_arrays(columns, schema=_NODE_ARROW)
 
@@ -279,6 +293,20 @@ def _shards(keys: int, shard_turns: int):
     return tidy(run)
 
 
+def _all_the_way_up(owned: DataFrame, deepest: int) -> DataFrame:
+    """``owned`` (p1, p2, leaf, own of the nodes up to NEAR - 1 below, and f1, f2: the node NEAR above) with the
+    sums of all nodes below: each round adds what the nodes 2 ** round * NEAR below have gathered."""
+    span = NEAR
+    while span <= deepest:
+        owned = materialise(owned, "gathered")
+        more = owned.where("f1 is not null").groupBy(F.col("f1").alias("p1"), F.col("f2").alias("p2")).agg(F.sum("leaf").alias("more_leaf"), F.sum("own").alias("more_own"))
+        jump = owned.select(F.col("p1").alias("f1"), F.col("p2").alias("f2"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
+        joined = owned.join(more, ["p1", "p2"], "left").join(jump, ["f1", "f2"], "left")
+        owned = joined.select("p1", "p2", *((F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in ("leaf", "own")), F.col("g1").alias("f1"), F.col("g2").alias("f2"))
+        span *= 2
+    return owned.select("p1", "p2", "leaf", "own")
+
+
 def prefix_nodes(sequences: DataFrame, n_keys: int = KEYS, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """The nodes of the trie of ``sequences`` (conv_id, turns): conv_id (the least member), depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
@@ -295,13 +323,14 @@ def prefix_nodes(sequences: DataFrame, n_keys: int = KEYS, shard_turns: int = SH
 
     shared = nodes.where("open")
     sums = [F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved")]
-    merged = shared.groupBy("p1", "p2").agg(*(F.min(c).alias(c) for c in ("q1", "q2", "depth", "tokens", "least", "ends_sha256")), F.first("above").alias("above"), *sums)
+    merged = shared.groupBy("p1", "p2").agg(*(F.min(c).alias(c) for c in ("q1", "q2", "depth", "tokens", "least", "ends_sha256", "f1", "f2")), F.first("above").alias("above"), *sums)
     merged = materialise(merged, "shared-nodes")
     fewer = merged.where("q1 is not null").groupBy(F.col("q1").alias("p1"), F.col("q2").alias("p2")).agg(F.count(F.lit(1)).alias("more"))
     merged = merged.join(fewer, ["p1", "p2"], "left").withColumn("n_children", F.col("n_children") + F.coalesce("more", F.lit(0))).drop("more")
     leaf = F.when(F.col("n_children") == 0, 1).otherwise(0)
     own = merged.select(F.explode(F.concat("above", F.array(F.struct("p1", "p2")))).alias("to"), leaf.alias("leaf"), ((F.col("n_convs") - 1) * F.col("tokens")).alias("own"))
     owned = own.groupBy(F.col("to.p1").alias("p1"), F.col("to.p2").alias("p2")).agg(F.sum("leaf").alias("leaf"), F.sum("own").alias("own"))
+    owned = _all_the_way_up(owned.join(merged.select("p1", "p2", "f1", "f2"), ["p1", "p2"]), merged.agg(F.max("depth")).first()[0] or 0)
     whole = merged.join(owned, ["p1", "p2"]).withColumn("n_leaves", F.col("n_leaves") + F.col("leaf")).withColumn("saved", F.col("saved") + F.col("own"))
     kept = ["q1", "q2", "depth", "least", "n_convs", "n_children", "n_leaves", "saved", "ends_sha256"]
     whole = materialise(whole.select("p1", "p2", *kept), "whole-nodes")
