@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import matching, stats, text
 from ..functions.english import english_lexemes
 from ..intermediate import materialise
-from ..operators import answers, extraction, filings, gold, logs, retrieval, scoring, stores
+from ..operators import answers, extraction, filings, gold, lexical_index, logs, retrieval, scoring, stores
 from . import records
 from .tables import chunks, queries, table, vectors
 
@@ -76,8 +76,14 @@ def lexeme_doc_frequency(spark, d):
     return retrieval.lexeme_frequency(retrieval.postings(chunks(spark, d)))
 
 
+def _lexical(spark, d, words=None):
+    """The stored index of the chunks, built by the first query that searches it."""
+    path = lexical_index.stored(spark, f"{d} {'english' if words else 'simple'}", lambda p: lexical_index.build(chunks(spark, d), p, words and words(F.col("text"))))
+    return lexical_index.open_index(spark, path)
+
+
 def _sparse(spark, d):
-    return retrieval.sparse(retrieval.postings(chunks(spark, d)), retrieval.query_terms(queries(spark, d)))
+    return lexical_index.search(_lexical(spark, d), retrieval.query_terms(queries(spark, d)))
 
 
 def _arms(spark, d):
@@ -99,8 +105,7 @@ def sparse_topk(spark, d):
 @registered
 def english_sparse(spark, d):
     """As sparse_topk, by the stems of words that aren't stop words; SQL has no such stems."""
-    words = english_lexemes
-    return retrieval.sparse(retrieval.postings(chunks(spark, d), words(F.col("text"))), retrieval.query_terms(queries(spark, d), words(F.col("query"))))
+    return lexical_index.search(_lexical(spark, d, english_lexemes), retrieval.query_terms(queries(spark, d), english_lexemes(F.col("query"))))
 
 
 @registered
@@ -153,9 +158,10 @@ def gated_rrf(spark, d):
 
 @registered
 def null_threshold(spark, d):
-    index = retrieval.postings(chunks(spark, d))
+    index = _lexical(spark, d)
     lengths = retrieval.query_terms(queries(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("L"))
-    return retrieval.null_thresholds(index, lengths.select("L").distinct())
+    bags = retrieval.draw_bags_in_spark(index.frequency, lengths.select("L").distinct())
+    return retrieval.null_summary(lexical_index.bag_scores(index, bags))
 
 
 @registered
@@ -163,7 +169,7 @@ def null_summary(spark, d):
     """The summary over bags that are not drawn: each item's own lexemes."""
     terms = retrieval.query_terms(queries(spark, d))
     sized = terms.join(terms.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("L")), "query_id").select("L", F.col("query_id").alias("bag"), "lexeme")
-    summed = retrieval.null_summary(retrieval.bag_scores(retrieval.postings(chunks(spark, d)), sized))
+    summed = retrieval.null_summary(lexical_index.bag_scores(_lexical(spark, d), sized))
     return summed.select(*(F.round(c, 6).alias(c) if c in ("tau", "min", "median", "mean", "max") else F.col(c) for c in summed.columns))
 
 
