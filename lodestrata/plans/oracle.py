@@ -84,6 +84,7 @@ ORACLE: dict[str, str] = {
     "lexeme_doc_frequency": f"WITH {POSTINGS} SELECT lexeme, count(*) AS ndoc, CAST(sum(tf) AS BIGINT) AS nentry FROM post GROUP BY lexeme",
     "sparse_topk": f"WITH {SPARSE} SELECT * FROM sparse",
     "sparse_or_match": f"WITH {POSTINGS}, {TERMS} SELECT query_id, count(DISTINCT chunk_id) AS matches, min(chunk_id) AS first, max(chunk_id) AS last FROM post JOIN terms USING (lexeme) GROUP BY query_id",
+    "dense_by_cells": f"WITH {_dense('q.vec_id % 20 = 0')} SELECT query_id, arm, rank, chunk_id, round(score, 6) AS score FROM dense",
     "dense_topk": f"WITH {_dense('q.vec_id % 20 = 0')} SELECT query_id, arm, rank, chunk_id, round(score, 6) AS score FROM dense",
     "hybrid_rrf": f"WITH {HYBRID} SELECT query_id, arm, rank, chunk_id, round(score, 9) AS score FROM hybrid",
     "gate_decisions": f"WITH {GATES} SELECT *, s1 <= tau AS fires FROM gates",

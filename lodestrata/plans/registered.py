@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import matching, stats, text
 from ..functions.english import english_lexemes
 from ..intermediate import materialise
-from ..operators import answers, extraction, filings, gold, lexical_index, logs, retrieval, scoring, stores
+from ..operators import answers, extraction, filings, gold, lexical_index, logs, retrieval, scoring, stores, vector_index
 from . import records
 from .tables import chunks, queries, table, vectors
 
@@ -122,6 +122,26 @@ def dense_topk(spark, d):
     return retrieval.dense(v, asked).select("query_id", "arm", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _cells(spark, d):
+    """The stored vector index and the queries of dense_topk."""
+    v = vectors(spark, d)
+    path = lexical_index.stored(spark, f"{d} vectors", lambda p: vector_index.build(v, p))
+    return vector_index.open_index(spark, path), v.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+
+
+@registered
+def dense_by_cells(spark, d):
+    """The rows of dense_topk, by pruned cells."""
+    return vector_index.search_exact(*_cells(spark, d)).select("query_id", "arm", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@registered
+def dense_recall(spark, d):
+    """Of each query's exact results, how many the search by codes finds; SQL has no such codes."""
+    index, asked = _cells(spark, d)
+    return vector_index.recall(vector_index.search(index, asked), vector_index.search_exact(index, asked))
+
+
 @registered
 def hybrid_rrf(spark, d):
     fused = retrieval.fuse(_sparse(spark, d).unionByName(_dense_of_items(spark, d)))
