@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import content_words, normalize
+from .span_join import span_places
 
 MOST_GOLD = 5
 LEAST_WORDS = 12
-SPAN_BLOCK_ROWS = 20_000
 
 
 def locations(queries: DataFrame) -> DataFrame:
@@ -22,47 +18,16 @@ def locations(queries: DataFrame) -> DataFrame:
 
 
 def span_hits(chunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """(span_id, chunk_id): which chunks hold which spans, both normalised, by one pass over the chunks.
+    """(span_id, chunk_id): which chunks hold which spans, both normalised, by one pass over the chunks
+    whatever the number of spans (see :mod:`span_join`).
 
-    spans: (span_id, span).  They go to the tasks as automata of at most SPAN_BLOCK_ROWS spans; each text is
-    scanned once for each block, whatever the number of spans in it.  Empty spans are refused.
+    spans: (span_id, span).  Empty spans are refused.
     """
     from ..guard import refuse, where
 
     ready = spans.select("span_id", normalize(F.col("span")).alias("needle"))
     refuse(where(ready, F.coalesce(F.col("needle") == "", F.lit(True)), F.concat(F.lit("empty span: "), F.col("span_id").cast("string"))))
-    blocks = max(1, -(-ready.count() // SPAN_BLOCK_ROWS))
-    texts = chunks.select("chunk_id", normalize(F.col("text")).alias("text"))
-    schema = f"span_id {spans.schema['span_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}"
-    out = None
-    for b in range(blocks):
-        rows = ready.where(F.pmod(F.xxhash64("span_id"), F.lit(blocks)) == b).collect()
-        found = texts.mapInArrow(_scan(pa.array([r["span_id"] for r in rows], to_arrow_type(spans.schema["span_id"].dataType)), [r["needle"] for r in rows]), schema)
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _scan(ids: pa.Array, needles: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        by: dict[str, list[int]] = {}
-        for i, needle in enumerate(needles):
-            by.setdefault(needle, []).append(i)
-        automaton = ahocorasick.Automaton()
-        for needle in by:
-            automaton.add_word(needle, needle)
-        if by:
-            automaton.make_automaton()
-        for batch in batches:
-            found, at = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                for needle in {n for _, n in automaton.iter(text)} if by and text else ():
-                    found += by[needle]
-                    at += [row] * len(by[needle])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(found, pa.int64())), batch.column(0).take(pa.array(at, pa.int64()))], names=["span_id", "chunk_id"])
-
-    return run
+    return span_places(chunks.select("chunk_id", normalize(F.col("text")).alias("text")), ready)
 
 
 def gold_sets(chunks: DataFrame, places: DataFrame) -> DataFrame:
