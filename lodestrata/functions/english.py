@@ -1,6 +1,12 @@
-"""The English analyzer: lower case, words, no stop words, stems by the published Porter2 algorithm.
+"""The English analyzer: tokens with positions, no stop words, stems by the published Porter2 algorithm.
 
-Splitting and stop words are column expressions; only the stems of the words that are left come from a small
+A text in lower case is read by one scanner of ordered kinds of token: marks and character references (dropped), e-mail
+addresses, web addresses, hosts, paths, versions, numbers with points, exponents and signs, hyphenated
+compounds, words.  A web address yields itself without the protocol, its host and its path; a compound
+itself and its parts.  Every token yielded takes a position, stop words too.  A sign belongs to the digits
+behind it, so ``2024-01`` is 2024 and -01.
+
+Scanning and stop words are column expressions; only the stems of the words that are left come from a small
 Python helper, in Arrow batches, with the stems of words met before at hand.
 """
 
@@ -120,24 +126,74 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
+_HOST = r"(?:[\p{L}\p{N}][\p{L}\p{N}_-]*\.)+\p{L}{2,}(?::\d+)?"
+_PART = r"(?:\p{L}[\p{L}\p{N}]*|\p{N}+\p{L}[\p{L}\p{N}]*)"
+_ENDED = r"(?![\p{L}\p{N}])"
+#: The kinds of token, first that fits first.
+KINDS = {
+    "mark": r"</?\p{L}[^<>]*>|&(?:\p{L}+|#\d+|#x[0-9a-f]+);",
+    "email": rf"[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}._+-]*[\p{{L}}\p{{N}}_])?@{_HOST}",
+    "url": rf"(?:[a-z]+://)?{_HOST}/[^\s<>\"']*[^\s<>\"'.,;:!?)]|[a-z]+://{_HOST}/?",
+    "host": rf"{_HOST}{_ENDED}",
+    "path": r"(?:~?/)?[\p{L}_][\p{L}\p{N}_.-]*(?:/[\p{L}\p{N}_][\p{L}\p{N}_.-]*)+|~?/[\p{L}\p{N}_][\p{L}\p{N}_.-]*",
+    "version": rf"\d+(?:\.\d+){{2,}}{_ENDED}",
+    "number": rf"[+-]?\d+(?:\.\d+)?(?:e[+-]?\d+)?{_ENDED}",
+    "compound": rf"\p{{L}}[\p{{L}}\p{{N}}]*(?:-{_PART})+",
+    "word": r"[\p{L}\p{N}]+",
+}
+_SCANNER = "|".join(KINDS.values())
 _stems: dict[str, str] = {}
 
 
 def _stemmed(words: pd.Series) -> pd.Series:
+    """Stems of words and compounds; what has other characters stays."""
     if len(_stems) > _KNOWN:
         _stems.clear()
 
     def of(w: str) -> str:
         found = _stems.get(w)
         if found is None:
-            found = _stems[w] = stem(w)
+            found = _stems[w] = stem(w) if w.replace("-", "").isalpha() else w
         return found
 
     return words.map(lambda row: None if row is None else [of(w) for w in row])
 
 
+def _whole(kind: str) -> str:
+    return f"^(?:{KINDS[kind]})$"
+
+
+def _yield(token: Column) -> Column:
+    """What a token stands for: nothing, itself, or itself and its parts."""
+    bare = F.regexp_replace(token, r"^[a-z]+://|(?<=://[^/]{1,255})/$", "")
+    host = F.regexp_extract(bare, f"^{_HOST}", 0)
+    path = F.substring(bare, F.length(host) + 1, F.length(bare))
+    address = F.filter(F.array(bare, F.when(path != "", host).otherwise(""), F.when(F.length(path) > 1, path).otherwise("")), lambda x: x != "")
+    end = F.regexp_replace(token, r"[.]+$", "")  # a full stop behind a path is none of it
+    return (
+        F.when(token.rlike(r"^[\p{L}\p{N}]+$"), F.array(token))
+        .when(token.rlike(r"^[<&]"), F.array().cast("array<string>"))
+        .when(token.contains("@"), F.array(token))
+        .when(token.contains("/") & token.rlike(_whole("url")), address)
+        .when(token.contains("/"), F.array(end))
+        .when(token.rlike(_whole("host")) | token.rlike(_whole("version")) | token.rlike(_whole("number")), F.array(token))
+        .otherwise(F.concat(F.array(token), F.split(token, "-")))
+    )
+
+
+def _placed(c: Column) -> Column:
+    """(position, token) of the tokens that a text yields, but stop words."""
+    tokens = F.flatten(F.transform(F.regexp_extract_all(F.lower(c), F.lit(_SCANNER), 0), _yield))
+    placed = F.transform(tokens, lambda t, i: F.struct((i + 1).alias("position"), t.alias("token")))
+    return F.filter(placed, lambda t: ~t["token"].isin(*sorted(STOP)))
+
+
 def english_lexemes(c: Column) -> Column:
-    """The stems of a text's words but stop words, in order, with repetitions."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    kept = F.filter(words, lambda w: ~w.isin(*sorted(STOP)))
-    return F.pandas_udf(_stemmed, "array<string>")(kept)
+    """The lexemes of a text in order, with repetitions."""
+    return F.pandas_udf(_stemmed, "array<string>")(F.transform(_placed(c), lambda t: t["token"]))
+
+
+def english_positions(c: Column) -> Column:
+    """(position, lexeme) of a text's lexemes, in order of position."""
+    stems = english_lexemes(c)
+    return F.zip_with(F.transform(_placed(c), lambda t: t["position"]), stems, lambda p, w: F.struct(p.alias("position"), w.alias("lexeme")))
