@@ -51,9 +51,7 @@ TITLE_LINES = 3
 TARGET_TOKENS = 512
 OVERLAP_TOKENS = 64
 
-#: "Item 1A", "Items 1 and 2", "Items 9, 9A & 9B": any of the form's items, or a list of them, and what follows.
-_ITEM = "(?:" + "|".join(name if name.isdigit() else f"{name[:-1]}\\s?{name[-1]}" for name in sorted(ITEMS, key=lambda x: (-len(x), x))) + ")"
-HEADING = rf"(?i)^items?\s+({_ITEM}(?:\s?(?:,|&|and)\s?{_ITEM})*)(?![0-9a-z])\s*(.*)$"
+_TOKENS = re.compile(r"\s*(?:\d+|[^\W\d_]+|\S)")
 
 _BREAK = re.compile(r"page-break-(?:before|after)\s*:\s*always", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
@@ -162,6 +160,44 @@ def text_lines(docs: DataFrame, key: str = "accession") -> DataFrame:
     return split.withColumn("at", F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)).cast("long"))
 
 
+def read_heading(line: str | None) -> dict | None:
+    """The items that a line with the word "Item" or "Items" in front names, and the rest of the line; null for other lines.
+
+    Items are those of the form, a letter up to one space behind its number.  They are in a list with a comma,
+    an ampersand or "and" between them; what can't be read as one more item begins the rest.
+    """
+    tokens = _TOKENS.findall(line or "")
+    if not tokens or tokens[0].lower() not in ("item", "items") or len(tokens) < 2 or not tokens[1][0].isspace():
+        return None
+    items, at, read = [], 1, 1
+    while at < len(tokens):
+        name = tokens[at].strip()
+        if name not in ITEMS:
+            break
+        at += 1
+        letter = tokens[at].strip().upper() if at < len(tokens) else ""
+        if f"{name}{letter}" in ITEMS and letter:
+            name, at = f"{name}{letter}", at + 1
+        if at < len(tokens) and tokens[at][0].isalnum():  # more letters or digits without a space: no item
+            break
+        items.append(name)
+        read = at
+        if at == len(tokens) or tokens[at].strip().lower() not in (",", "&", "and"):
+            break
+        at += 1
+    return {"items": items, "rest": "".join(tokens[read:]).strip()} if items else None
+
+
+def _headings(lines: pd.Series) -> pd.DataFrame:
+    read = [read_heading(x) or {"items": None, "rest": None} for x in lines]
+    return pd.DataFrame(read, columns=["items", "rest"])
+
+
+def heading(line: Column) -> Column:
+    """(items, rest) as :func:`read_heading` reads a line; only lines that begin with the word leave the JVM's work."""
+    return F.pandas_udf(_headings, "items array<string>, rest string")(F.when(F.lower(line).startswith("item"), line))
+
+
 def heading_candidates(lines: DataFrame, key: str = "accession") -> DataFrame:
     """(key, line, at, items, rest): lines that could open an Item section.
 
@@ -172,12 +208,11 @@ def heading_candidates(lines: DataFrame, key: str = "accession") -> DataFrame:
     titles = spark.createDataFrame(sorted(title_prefixes().items()), "title string, by_title string")  # a fixed list
     stripped = F.trim(F.regexp_replace("raw", r"(?U)\s+", " "))
     read = lines.where(F.length("raw") < 400).select(key, "line", "at", stripped.alias("stripped"))
-    read = read.withColumn("numbers", F.regexp_extract("stripped", HEADING, 1)).withColumn("title", F.when(F.length("stripped") < 200, plain_title(F.col("stripped"))))
-    read = read.join(F.broadcast(titles), "title", "left").where("numbers <> '' or by_title is not null")
-    rest = F.trim(F.regexp_extract("stripped", HEADING, 2))
-    known = F.transform(F.regexp_extract_all(F.upper("numbers"), F.lit(f"({_ITEM})(?![0-9A-Z])"), 1), lambda p: F.regexp_replace(p, r"\s+", ""))
-    numbered = F.col("numbers") != ""
-    found = read.select(key, "line", "at", F.when(numbered, F.when(~rest.startswith(","), known)).otherwise(F.array("by_title")).alias("items"), F.when(numbered, rest).otherwise(F.col("stripped")).alias("rest"))
+    read = read.withColumn("title", F.when(F.length("stripped") < 200, plain_title(F.col("stripped")))).join(F.broadcast(titles), "title", "left")
+    read = read.where(F.lower("stripped").startswith("item") | F.col("by_title").isNotNull()).withColumn("h", heading(F.col("stripped")))
+    numbered = F.col("h.items").isNotNull()
+    items = F.when(numbered, F.when(~F.col("h.rest").startswith(","), F.col("h.items"))).when(F.col("by_title").isNotNull(), F.array("by_title"))
+    found = read.select(key, "line", "at", items.alias("items"), F.when(numbered, F.col("h.rest")).otherwise(F.col("stripped")).alias("rest"))
     return found.where(F.size("items") > 0)
 
 
@@ -202,21 +237,32 @@ def title_prefixes() -> dict[str, str]:
 
 def best_chain(ranks: list[int], lines: list[int], backed: list[bool]) -> list[int]:
     """Positions of the chain of headings in Item order with most backed headings, then longest, then
-    earliest; of equals the first predecessor; empty below LEAST_SECTIONS."""
+    earliest; of equals the first predecessor; empty below LEAST_SECTIONS.  Lines ascend; of one line only one is taken.
+
+    A tree of maxima over the ranks has the best chain that ends below each rank, so a heading costs a logarithm.
+    """
+    size = max(ranks, default=0) + 1
+    none = ((0, 0, 0), 1)  # (backed, length, - lines), - place
+    tree = [none] * (size + 1)
     best: list[tuple[tuple[int, int, int], int]] = []
+    waiting: list[int] = []
     for i, (rank, line) in enumerate(zip(ranks, lines, strict=True)):
-        own = (int(backed[i]), 1, -line)
-        before = -1
-        for j in range(i):
-            if lines[j] < line and ranks[j] < rank:
-                joined = (best[j][0][0] + int(backed[i]), best[j][0][1] + 1, best[j][0][2] - line)
-                if joined > own:
-                    own, before = joined, j
-        best.append((own, before))
-    if not best:
-        return []
-    at = max(range(len(best)), key=lambda i: (best[i][0], -i))
-    if best[at][0][1] < LEAST_SECTIONS:
+        if waiting and lines[waiting[0]] < line:
+            for j in waiting:
+                node, entry = ranks[j] + 1, (best[j][0], -j)
+                while node <= size:
+                    tree[node] = max(tree[node], entry)
+                    node += node & -node
+            waiting = []
+        node, top = rank, none
+        while node > 0:
+            top = max(top, tree[node])
+            node -= node & -node
+        (kept, length, places), place = top
+        best.append(((kept + int(backed[i]), length + 1, places - line), -place))
+        waiting.append(i)
+    at = max(range(len(best)), key=lambda i: (best[i][0], -i), default=-1)
+    if at < 0 or best[at][0][1] < LEAST_SECTIONS:
         return []
     chain = []
     while at >= 0:
@@ -249,7 +295,8 @@ def sections(docs: DataFrame, key: str = "accession", lines: DataFrame | None =
     bare = F.regexp_replace("rest", r"^[.\-:—–\s]+", "")
     after = lines.where(F.regexp_replace("raw", r"[.\-:—–\s]", "") != "").select(F.col(key).alias("k2"), F.col("line").alias("l2"), F.trim("raw").alias("t2"))
     titled = heads.join(after, (F.col(key) == F.col("k2")) & F.col("l2").between(F.col("start_line") + 1, F.col("start_line") + TITLE_LINES), "left").groupBy(key, "start_line", "covers", "rest").agg(F.min(F.struct("l2", "t2"))["t2"].alias("below"))
-    title = F.when(bare != "", bare).when(~F.col("below").rlike(HEADING), F.col("below")).otherwise("")
+    titled = titled.withColumn("opens", heading(F.col("below"))["items"].isNotNull())
+    title = F.when(bare != "", bare).when(~F.col("opens"), F.col("below")).otherwise("")
     body = titled.join(ends.select(key, "stop"), key).withColumn("end_line", F.coalesce(F.lead("start_line").over(Window.partitionBy(key).orderBy("start_line")), F.col("stop")))
     body = body.select(key, F.element_at("covers", 1).alias("item"), "covers", F.regexp_replace(F.coalesce(title, F.lit("")), r"\.+$", "").alias("title"), "start_line", "end_line")
     empty = [F.lit("").alias("item"), F.array().cast("array<string>").alias("covers"), F.lit("").alias("title")]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matching import close, match_company, match_date, match_employees, match_ticker
@@ -27,8 +31,13 @@ CONCEPTS = {
 CODES = ("MISSING", "ABSENT-BUT-TAGGED", "DIFFERS", "CONCEPT-SPLIT", "PERIOD", "DIMS", "UNVERIFIED", "NO-CONCEPT", "ABSENT-OK", "OK-SUM", "OK")
 
 
+_TAG = re.compile(r"""<(/?)ix:(nonFraction|nonNumeric|continuation)(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.I)
+_ID, _GOES_ON = (re.compile(rf"""(?<![\w:-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I) for name in ("id", "continuedAt"))
+
+
 def _attribute(c: Column, name: str) -> Column:
-    return F.regexp_extract(c, rf'(?i)\b{name}="([^"]*)"', 1)
+    found = rf"""(?i)(?<![\w:-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    return F.concat(F.regexp_extract(c, found, 1), F.regexp_extract(c, found, 2))
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -36,24 +45,69 @@ def contexts(docs: DataFrame) -> DataFrame:
     whole = F.regexp_extract_all("html", F.lit(r"(?is)(<xbrli:context\b.*?</xbrli:context>)"), 1)
     rows = docs.select("accession", F.explode(whole).alias("m"))
     date = lambda tag: F.nullif(F.regexp_extract("m", rf"(?is)<xbrli:{tag}>\s*([^<\s]+)", 1), F.lit(""))
-    dims = F.transform(F.regexp_extract_all("m", F.lit(r'(?i)dimension="([^"]+)"'), 1), lambda d: F.element_at(F.split(d, ":"), -1))
-    return rows.select("accession", _attribute(F.col("m"), "id").alias("context"), date("instant").alias("instant"), date("startDate").alias("start"), date("endDate").alias("end"), dims.alias("dims"))
+    dims = F.transform(F.regexp_extract_all("m", F.lit(r"""(?i)dimension=["']([^"']+)["']"""), 1), lambda d: F.element_at(F.split(d, ":"), -1))
+    return rows.select("accession", _attribute(F.regexp_extract("m", "^(<[^>]*>)", 1), "id").alias("context"), date("instant").alias("instant"), date("startDate").alias("start"), date("endDate").alias("end"), dims.alias("dims"))
+
+
+def _value(attribute: re.Pattern, tag: str) -> str:
+    m = attribute.search(tag)
+    return (m[1] if m[1] is not None else m[2]) if m else ""
+
+
+def read_facts(raw: str | None) -> list[dict]:
+    """Opening tag, inner markup and offset of each fact of a page, in order of offset, by one pass with a stack.
+
+    A fact may stand in another one; each has its whole inner markup.  A closing tag closes the innermost open
+    one of its kind; those within that have no end of their own, and those that are open at the end of the page,
+    are no facts.  Where a fact goes on elsewhere, the continuations' markup follows by id, each once.
+    """
+    opened: list[tuple[str, str, int, int]] = []
+    waiting: Counter[str] = Counter()
+    found: list[tuple[int, str, str, str]] = []
+    parts: dict[str, tuple[str, str]] = {}
+    for m in _TAG.finditer(raw or ""):
+        kind, alone = m[2].lower(), m[3].rstrip().endswith("/")
+        if not m[1] and not alone:
+            opened.append((kind, m[0], m.start(), m.end()))
+            waiting[kind] += 1
+            continue
+        if m[1]:
+            if not waiting[kind]:
+                continue
+            last = ""
+            while last != kind:
+                last, tag, start, inner = opened.pop()
+                waiting[last] -= 1
+            body = raw[inner : m.start()]
+        else:
+            tag, start, body = m[0], m.start(), ""
+        if kind == "continuation":
+            parts.setdefault(_value(_ID, tag), (body, _value(_GOES_ON, tag)))
+        else:
+            found.append((start, tag, body, _value(_GOES_ON, tag)))
+    out = []
+    for start, tag, body, then in sorted(found):
+        seen: set[str] = set()
+        while then and then in parts and then not in seen:
+            seen.add(then)
+            more, following = parts[then]
+            body, then = f"{body} {more}", following
+        out.append({"open": tag, "inner": body, "offset": start})
+    return out
+
+
+def _read_pages(pages: pd.Series) -> pd.Series:
+    return pages.map(read_facts)
 
 
 def facts(docs: DataFrame) -> DataFrame:
     """(accession, name, text, value, unit, instant, start, end, dims, offset): facts with their contexts.
 
     value has scale and sign applied; it is null for texts and for what is no number.  offset is where the
-    fact's own markup begins, also where the same markup stands several times.
+    fact's own markup begins.  Facts within facts, and those that go on elsewhere, are read as :func:`read_facts` says.
     """
-    fact = r"(?is)(<ix:(?:nonFraction|nonNumeric)\b[^>]*>.*?</ix:(?:nonFraction|nonNumeric)>)"
-    whole = F.regexp_extract_all("html", F.lit(fact), 1)
-    between = F.transform(F.split("html", fact), F.length)  # lengths of what stands before, between and behind
-    pieces = docs.select("accession", F.posexplode(F.arrays_zip(whole.alias("m"), between.alias("gap"))).alias("nth", "p")).select("accession", "nth", "p.m", "p.gap")
-    before = Window.partitionBy("accession").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("gap") + F.coalesce(F.length("m"), F.lit(0))).over(before), F.lit(0)) + F.col("gap")
-    rows = pieces.withColumn("offset", start.cast("int")).where("m is not null").withColumn("open", F.regexp_extract("m", "(?s)^(<[^>]*>)", 1))
-    text = F.trim(F.regexp_replace(F.regexp_replace("m", "(?s)<[^>]+>", ""), r"(?U)\s+", " "))
+    rows = docs.select("accession", F.explode(F.pandas_udf(_read_pages, "array<struct<open:string,inner:string,offset:int>>")(F.col("html"))).alias("f")).select("accession", "f.*")
+    text = F.trim(F.regexp_replace(F.regexp_replace("inner", "(?s)<[^>]+>", ""), r"(?U)\s+", " "))
     digits = F.regexp_replace(text, r"(?U)[,\s]", "")
     plain = F.when(F.lower("open").startswith("<ix:nonfraction") & digits.rlike(r"^-?\d*\.?\d+$"), digits.try_cast("double"))
     value = plain * F.pow(F.lit(10.0), F.coalesce(_attribute(F.col("open"), "scale").try_cast("int"), F.lit(0))) * F.when(_attribute(F.col("open"), "sign") == "-", -1.0).otherwise(1.0)

@@ -108,7 +108,8 @@ def _tagged(spark, d):
     revenue = fact("us-gaap:Revenues", "y", F.format_number(F.floor("o_totalprice"), 0))
     html = F.concat(
         F.lit(head), F.lit("<p>Assets "), fact("us-gaap:Assets", "i", v, ' scale="3"'), F.lit("</p><p>Revenue "), revenue, F.lit(" and again "), revenue, fact("us-gaap:Revenues", "p", F.lit("7")), fact("us-gaap:Revenues", "s", F.lit("5"), ' sign="-"'),
-        *(fact("us-gaap:CommonStockDividendsPerShareDeclared", f"q{n}", F.lit(x)) for n, x in enumerate(("0.44", "0.35", "0.44", "0.22"))), F.lit('<ix:nonNumeric name="dei:TradingSymbol" contextRef="y">t'), k.cast("string"), F.lit("</ix:nonNumeric></p></html>"),
+        *(fact("us-gaap:CommonStockDividendsPerShareDeclared", f"q{n}", F.lit(x)) for n, x in enumerate(("0.44", "0.35", "0.44", "0.22"))), F.lit('<ix:nonNumeric name="dei:TradingSymbol" contextRef="y">t'), k.cast("string"), F.lit("</ix:nonNumeric></p>"),
+        F.lit("<ix:nonNumeric name='us-gaap:Note' contextRef='y' continuedAt='n2'><p>Debt of "), fact("us-gaap:Debt", "i", F.lit("12"), ' scale="6"'), F.lit(" at year end</p></ix:nonNumeric><ix:continuation id='n2'>and <b>more</b></ix:continuation></html>"),
     )
     return table(spark, d, "orders").select(k.cast("string").alias("accession"), html.alias("html"))
 
@@ -118,9 +119,11 @@ def _tagged(spark, d):
   UNION ALL SELECT accession, 'us-gaap:Revenues', v * 1.0::DOUBLE, '2024-01-01 to 2024-12-31', 0, 2 FROM r UNION ALL SELECT accession, 'us-gaap:Revenues', 7.0, '2023-01-01 to 2023-12-31', 0, 1 FROM r
   UNION ALL SELECT accession, 'us-gaap:Revenues', -5.0, '2024-01-01 to 2024-12-31', 1, 1 FROM r
   UNION ALL SELECT accession, 'us-gaap:CommonStockDividendsPerShareDeclared', q.v, q.p, 0, 1 FROM r, (VALUES (0.44::DOUBLE, '2024-01-01 to 2024-03-31'), (0.35, '2024-04-01 to 2024-06-30'), (0.44, '2024-07-01 to 2024-09-30'), (0.22, '2024-10-01 to 2024-12-31')) q(v, p)
-  UNION ALL SELECT accession, 'dei:TradingSymbol', NULL, '2024-01-01 to 2024-12-31', 0, 1 FROM r""")
+  UNION ALL SELECT accession, 'dei:TradingSymbol', NULL, '2024-01-01 to 2024-12-31', 0, 1 FROM r
+  UNION ALL SELECT accession, 'us-gaap:Debt', 12000000.0, 'as of 2024-12-31', 0, 1 FROM r UNION ALL SELECT accession, 'us-gaap:Note', NULL, '2024-01-01 to 2024-12-31', 0, 1 FROM r""")
 def xbrl_facts(spark, d):
-    """The facts with their periods; facts of one name, value and period are counted by their different places."""
+    """The facts with their periods; facts of one name, value and period are counted by their different places.  A
+    note holds one of them, and goes on behind."""
     f = tagged_facts.facts(_tagged(spark, d))
     period = tagged_facts.period_label(F.struct("instant", "start", "end"))
     return f.groupBy("accession", "name", "value", period.alias("period"), F.size("dims").alias("dims")).agg(F.count_distinct("offset").cast("int").alias("n"))
@@ -149,6 +152,12 @@ def _audited(spark, d):
     return tagged_facts.audit(labels, tagged_facts.facts(_tagged(spark, d)))
 
 
+@registered(f"""SELECT accession, 'us-gaap:Note' AS name, 'Debt of 12 at year end and more' AS text FROM {_REPORT} UNION ALL SELECT accession, 'us-gaap:Debt', '12' FROM {_REPORT} UNION ALL SELECT accession, 'dei:TradingSymbol', 't' || k FROM {_REPORT}""")
+def fact_texts(spark, d):
+    """Whole texts of the facts of a note, of the fact within it, and of a symbol."""
+    return tagged_facts.facts(_tagged(spark, d)).where(F.col("name").isin("us-gaap:Note", "us-gaap:Debt", "dei:TradingSymbol")).select("accession", "name", "text")
+
+
 @registered(f"""WITH r AS {_REPORT}, c AS (SELECT {_CODES} AS code FROM r) SELECT code, count(*) AS n, CASE code WHEN 'DIFFERS' THEN 'the label agrees with no fact of the year'
   WHEN 'ABSENT-BUT-TAGGED' THEN 'labeled absent, but a fact of the year is tagged' WHEN 'NO-CONCEPT' THEN 'the field has no tagged concept' END AS hint FROM c GROUP BY code""")
 def audit_findings(spark, d):

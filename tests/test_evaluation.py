@@ -116,3 +116,27 @@ def test_quarterly_sum_is_accepted(spark):
     tagged = spark.createDataFrame(rows, "accession string, name string, text string, value double, unit string, instant string, start string, end string, dims array<string>, offset int")
     lab = spark.createDataFrame([("A", "dividends_declared_per_share", "2024-12-31", "value", "1.45")], "accession string, field string, period string, answer_kind string, value string")
     assert tagged_facts.audit(lab, tagged).first().code == "OK-SUM"
+
+
+NESTED = """<ix:nonNumeric name='n:Outer' contextRef="y">Total <ix:nonFraction name="n:In" contextRef='y' scale="3">12</ix:nonFraction> at <b>year</b> end</ix:nonNumeric>
+<ix:nonFraction name="n:Twice" contextRef="y"><ix:nonFraction name="n:Deep" contextRef="y">7</ix:nonFraction></ix:nonFraction>
+<ix:nonNumeric name="n:Long" contextRef="y" continuedAt="a">one</ix:nonNumeric><p><ix:continuation id="a" continuedAt='b'>two</ix:continuation></p>
+<ix:continuation id="b" continuedAt="a">three <ix:nonFraction name="n:Far" contextRef="y">3</ix:nonFraction></ix:continuation>
+<ix:nonNumeric name="n:Open" contextRef="y">never closed <ix:nonFraction name="n:Stays" contextRef="y" sign="-">4</ix:nonFraction>
+<ix:nonFraction name="n:Nil" contextRef="y" xsi:nil="true"/> </ix:nonNumeric-like> <ix:nonFraction name="n:Gone" contextRef="y" continuedAt="zzz">5</ix:nonFraction></ix:continuation>"""
+
+
+def test_facts_within_facts_and_facts_that_go_on(spark):
+    docs = spark.createDataFrame([("A", HTML + NESTED), ("B", None)], "accession string, html string")
+    got = {r.name: (r.text, r.value) for r in tagged_facts.facts(docs).collect() if r.name.startswith("n:")}
+    assert got == {
+        "n:Outer": ("Total 12 at year end", None), "n:In": ("12", 12000.0), "n:Twice": ("7", 7.0), "n:Deep": ("7", 7.0), "n:Long": ("one two three 3", None),
+        "n:Far": ("3", 3.0), "n:Stays": ("4", -4.0), "n:Nil": ("", None), "n:Gone": ("5", 5.0),
+    }
+    offsets = [x["offset"] for x in tagged_facts.read_facts(NESTED)]
+    assert offsets == sorted(offsets) and all(NESTED[o:].startswith("<ix:non") for o in offsets)
+
+
+def test_facts_are_read_in_time_in_proportion_to_the_page():
+    many = "<ix:nonFraction name='x'>" * 20_000 + "1</ix:nonNumeric>" * 20_000
+    assert tagged_facts.read_facts(many) == []

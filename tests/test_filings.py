@@ -1,3 +1,7 @@
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import filings
@@ -50,3 +54,68 @@ def test_chunks_cover_all_lines(spark):
     assert [r.text for r in got if r.accession == "B"] == ["one line\nanother"]
     assert [r["index"] for r in got if r.accession == "A"] == list(range(sum(r.accession == "A" for r in got)))
     assert len({r.chunk_id for r in got}) == len(got) and max(r.last_page for r in got) == 2
+
+
+#: Lines, the items that they name, and the rest.
+HEADINGS = [
+    ("Item 1A. Risk Factors", ["1A"], ". Risk Factors"),
+    ("ITEM 7 Management", ["7"], "Management"),
+    ("Items 1 and 2. Business and Properties", ["1", "2"], ". Business and Properties"),
+    ("Items 9, 9A & 9B", ["9", "9A", "9B"], ""),
+    ("item 1 a. x", ["1A"], ". x"),
+    ("Item 16", ["16"], ""),
+    ("Item 8, which see", ["8"], ", which see"),
+    ("Item 10 and others", ["10"], "and others"),
+    ("Item 17. Nothing", None, None),
+    ("Item 1Alpha", None, None),
+    ("Item 101 of Regulation S-K", None, None),
+    ("Item1. Business", None, None),
+    ("Itemized 1", None, None),
+    ("The Item 1", None, None),
+    ("Items 1 and 2nd", ["1"], "and 2nd"),
+    ("Item", None, None),
+    ("", None, None),
+]
+
+
+@pytest.mark.parametrize(("line", "items", "rest"), HEADINGS)
+def test_headings(line, items, rest):
+    got = filings.read_heading(line)
+    assert got == ({"items": items, "rest": rest} if items else None)
+
+
+def brute_chain(ranks, lines, backed):
+    best = []
+    for i in range(len(ranks)):
+        own, before = (int(backed[i]), 1, -lines[i]), -1
+        for j in range(i):
+            if lines[j] < lines[i] and ranks[j] < ranks[i]:
+                joined = (best[j][0][0] + int(backed[i]), best[j][0][1] + 1, best[j][0][2] - lines[i])
+                if joined > own:
+                    own, before = joined, j
+        best.append((own, before))
+    at = max(range(len(best)), key=lambda i: (best[i][0], -i), default=-1)
+    if at < 0 or best[at][0][1] < filings.LEAST_SECTIONS:
+        return []
+    chain = []
+    while at >= 0:
+        chain.append(at)
+        at = best[at][1]
+    return chain[::-1]
+
+
+def test_chains_are_those_of_all_pairs():
+    rng = random.Random(4)
+    for _ in range(400):
+        n = rng.randint(0, 40)
+        lines = sorted(rng.choices(range(rng.choice([10, 60])), k=n))
+        ranks, backed = rng.choices(range(23), k=n), rng.choices([True, False], k=n)
+        assert filings.best_chain(ranks, lines, backed) == brute_chain(ranks, lines, backed)
+
+
+def test_a_hundred_thousand_candidates():
+    rng = random.Random(5)
+    ranks = rng.choices(range(23), k=100_000)
+    began = time.process_time()
+    assert len(filings.best_chain(ranks, list(range(100_000)), [True] * 100_000)) == 23
+    assert time.process_time() - began < 3
