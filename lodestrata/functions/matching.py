@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dates import parse_date
 from .text import company, leading_integer, name_tokens, number
 
 TOLERANCE = 0.001
-DATE_FORMATS = ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "MM/dd/yyyy", "M/d/yyyy", "d MMMM yyyy", "yyyy/MM/dd")
 
 
 def nullish(c: Column) -> Column:
@@ -23,10 +23,6 @@ def match_ticker(a: Column, b: Column) -> Column:
     return F.lower(F.trim(a)) == F.lower(F.trim(b))
 
 
-def parse_date(c: Column) -> Column:
-    return F.coalesce(*(F.try_to_date(F.trim(c), f) for f in DATE_FORMATS))
-
-
 def match_date(a: Column, b: Column) -> Column:
     return F.coalesce(parse_date(a) == parse_date(b), F.lit(False))
 

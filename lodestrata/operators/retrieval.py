@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.text import lexemes
 from ..guard import refuse, where
 from ..intermediate import materialise
+from .percentiles import exact_percentiles
 
 DEPTH = 50
 RRF_K = 60
@@ -242,10 +243,10 @@ def bag_scores(index: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def null_summary(scores: DataFrame, percentile: float = 0.95) -> DataFrame:
-    """(L, bags, tau, min, median, mean, max, zero_scoring_bags); tau is the nearest-rank percentile."""
-    return scores.groupBy("L").agg(
-        F.count(F.lit(1)).alias("bags"), F.round(F.expr(f"percentile_disc({percentile}) within group (order by s)"), 1).alias("tau"), F.min("s").alias("min"), F.median("s").alias("median"), F.avg("s").alias("mean"), F.max("s").alias("max"), F.count_if(F.col("s") == 0).alias("zero_scoring_bags")
-    )
+    """(L, bags, tau, min, median, mean, max, zero_scoring_bags); tau is the nearest-rank percentile, by radix selection."""
+    taus = exact_percentiles(scores, ["L"], "s", (percentile,)).select("L", F.round("value", 1).alias("tau"))
+    rest = scores.groupBy("L").agg(F.count(F.lit(1)).alias("bags"), F.min("s").alias("min"), F.median("s").alias("median"), F.avg("s").alias("mean"), F.max("s").alias("max"), F.count_if(F.col("s") == 0).alias("zero_scoring_bags"))
+    return rest.join(taus, "L").select("L", "bags", "tau", "min", "median", "mean", "max", "zero_scoring_bags")
 
 
 def null_thresholds(index: DataFrame, sizes: DataFrame, bags: int = 1000, seed: int = 20260820, percentile: float = 0.95) -> DataFrame:

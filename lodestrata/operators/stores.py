@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..guard import duplicates, where
+from .percentiles import exact_percentiles
 
 
 def measure(chunks: DataFrame) -> DataFrame:
@@ -18,9 +19,13 @@ def by_item(chunks: DataFrame, item: str = "item") -> DataFrame:
 
 
 def token_distribution(chunks: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """One row: total, nearest-rank percentiles, largest."""
-    cut = lambda p: F.expr(f"percentile_disc({p}) within group (order by {tokens})").cast("long")
-    return chunks.agg(F.sum(tokens).cast("long").alias("total"), cut(0.5).alias("p50"), cut(0.75).alias("p75"), cut(0.95).alias("p95"), F.max(tokens).alias("largest"))
+    """One row: total, nearest-rank percentiles (exact, by radix selection), largest."""
+    found = exact_percentiles(chunks.select(F.col(tokens).cast("long").alias("tokens")), [], "tokens", (0.5, 0.75, 0.95))
+    at = lambda p: F.max(F.when(F.col("share") == p, F.col("value")))
+    cuts = found.agg(at(0.5).alias("p50"), at(0.75).alias("p75"), at(0.95).alias("p95"))
+    whole = chunks.agg(F.sum(tokens).cast("long").alias("total"), F.max(tokens).alias("largest"))
+    both = whole.unionByName(cuts, allowMissingColumns=True)  # one row and one row
+    return both.agg(*(F.max(c).alias(c) for c in ("total", "p50", "p75", "p95", "largest")))
 
 
 def token_coverage(chunks: DataFrame, filings: DataFrame, least: float = 1.0, most: float = 1.5) -> DataFrame:

@@ -64,15 +64,23 @@ def figures(spark, d):
     )
 
 
-@registered("""SELECT o_orderkey, true AS same, false AS other, o_orderkey % 2 = 0 AS by_kind FROM orders""")
+_WRITTEN = """CASE k % 8 WHEN 0 THEN strftime(d, '%B %-d, %Y') WHEN 1 THEN strftime(d, '%-d %b %Y') WHEN 2 THEN strftime(d, '%m/%d/%Y') WHEN 3 THEN strftime(d, '%A, %B %-d %Y') WHEN 4 THEN strftime(d, '%Y%m%d')
+  WHEN 5 THEN strftime(d, '%B %Y') WHEN 6 THEN strftime(d, '%Y-%d-13') ELSE 'on ' || strftime(d, '%d') || ' of Smarch ' || strftime(d, '%Y') END"""
+
+
+@registered(f"""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), w AS (SELECT k, d, {_WRITTEN} AS written FROM o)
+  SELECT k AS o_orderkey, written, CASE WHEN k % 8 < 5 THEN strftime(d, '%Y-%m-%d') WHEN k % 8 = 6 AND day(d) <= 12 THEN strftime(d, '%Y-%d-13') END AS date, k % 8 < 5 AS same, k % 8 < 5 AND k % 3 = 0 AS guessed FROM w""")
 def date_match(spark, d):
-    """Dates in the forms that labels and predictions have."""
-    day = F.col("o_orderdate").cast("date")
-    forms = [F.date_format(day, f) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "MM/dd/yyyy", "d MMMM yyyy", "yyyy/MM/dd")]
-    other = F.when(F.col("o_orderkey") % 3 == 0, forms[1]).when(F.col("o_orderkey") % 3 == 1, forms[3]).otherwise(forms[4])
-    guess = F.when(F.col("o_orderkey") % 2 == 0, forms[2]).otherwise(F.lit("no date"))
-    field = F.lit("fiscal_year_end")
-    return table(spark, d, "orders").select("o_orderkey", matching.match_date(forms[0], other).alias("same"), matching.match_date(F.date_format(F.date_add(day, 1), "yyyy/MM/dd"), other).alias("other"), matching.matches(field, forms[5], guess).alias("by_kind"))
+    """Order dates in written forms, of which some are no dates (no day, no such month, a month over 12), and whether they
+    match the date itself and a guess that is a day off for two of three."""
+    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    forms = [F.date_format(day, f) for f in ("MMMM d, yyyy", "d MMM yyyy", "MM/dd/yyyy", "EEEE, MMMM d yyyy", "yyyyMMdd", "MMMM yyyy", "yyyy-dd-'13'")]
+    written = F.concat(F.lit("on "), F.date_format(day, "dd"), F.lit(" of Smarch "), F.date_format(day, "yyyy"))
+    for n, form in enumerate(forms):
+        written = F.when(k % 8 == n, form).otherwise(written)
+    guess = F.date_format(F.date_add(day, F.when(k % 3 == 0, 0).otherwise(1)), "yyyy/MM/dd")
+    rows = table(spark, d, "orders").select("o_orderkey", day.alias("day"), written.alias("written"), guess.alias("guess"))
+    return rows.select("o_orderkey", "written", matching.parse_date(F.col("written")).cast("string").alias("date"), matching.match_date(F.col("day").cast("string"), F.col("written")).alias("same"), matching.match_date(F.col("guess"), F.col("written")).alias("guessed"))
 
 
 @registered("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS same FROM customer""")
