@@ -2,7 +2,8 @@
 
 A page is cut into blocks of text at block-level tags.  A linear classifier gives each block the log-odds
 of being content, from its length, punctuation, share of link text, and the names and classes of the
-elements around it.  These costs are the capacities to the two terminals; smoothness edges join blocks that
+elements around it.  Names say nothing on html and body, nor on an element without which the page would have no
+prose; replies that follow an article in like elements are told by their form.  These costs are the capacities to the two terminals; smoothness edges join blocks that
 follow each other and blocks that are neighbours under one parent, stronger the nearer they are in the
 tree.  The minimum cut of that graph labels the blocks: a short paragraph inside an article stays although
 it looks like a caption, and a long advert between menus goes.
@@ -34,6 +35,7 @@ _INSIDE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')|[<>]")
 _RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "iframe", "textarea", "title")}
 _DROPPED = frozenset(("svg", "math", "object", "select"))
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_CLASS = re.compile(r"\bclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\shidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -112,34 +114,134 @@ def _end_of_dropped(page: str, at: int, name: str) -> int:
     return len(page)
 
 
+#: What stands above replies, and in the line that names who replies.
+_REPLIES = re.compile(r"^\W*(?:\d+\W+)?(?:comments?|responses?|replies|discussion|thoughts on|join the (?:discussion|conversation)|leave a (?:comment|reply))\b", re.I)
+_SAID = re.compile(r"\b(?:says|said|wrote|writes|replied|commented|posted|ago|reply)\b|\b\d{1,2}:\d{2}\b", re.I)
+LEAST_PROSE = 300.0  # characters of prose that make an article
+OF_REPLIES = -5.0
+
+
 class Block:
-    __slots__ = ("text", "apart", "under", "cost")
+    __slots__ = ("text", "apart", "under", "element", "linked", "prose", "cost")
 
-    def __init__(self, text: str, linked: int, apart: int, under: int, prior: float, deeds: float, inner: str):
-        """apart: steps in the tree from the block before; under: the number of the parent's parent."""
-        self.text, self.apart, self.under = text, apart, under
+    def __init__(self, text: str, linked: int, apart: int, under: int, element: int):
+        """apart: steps in the tree from the block before; under: the number of the parent's parent; element: of the parent."""
+        self.text, self.apart, self.under, self.element, self.cost = text, apart, under, element, 0.0
         n = len(text)
-        stops = len(_STOPS.findall(text))
-        prose = min(1.0, n / 150) * min(1.0, stops / 3) * max(0.0, 1 - 3 * linked / max(n, 1))
-        self.cost = prior + deeds * (1 - prose) + 0.3 + min(n, 400) / 250 + min(stops, 6) * 0.15 - 4.0 * linked / max(n, 1)
+        self.linked = linked / max(n, 1)
+        self.prose = min(1.0, n / 150) * min(1.0, len(_STOPS.findall(text)) / 3) * max(0.0, 1 - 3 * self.linked)
+
+    def weigh(self, prior: float, deeds: float, inner: str) -> None:
+        n, stops = len(self.text), len(_STOPS.findall(self.text))
+        self.cost = prior + deeds * (1 - self.prose) + 0.3 + min(n, 400) / 250 + min(stops, 6) * 0.15 - 4.0 * self.linked
         if n < 25 and not stops and inner not in ("h1", "h2", "h3", "p"):
             self.cost -= 0.8
 
 
 class _Element(NamedTuple):
     name: str
-    number: int
-    prior: float
+    parent: int
+    own: float
     deeds: float
     hidden: bool
+    kind: str  # the name with the classes, without digits
+
+
+def _unsuspected(blocks: list[Block], elements: list[_Element]) -> set[int]:
+    """Elements whose bad names are not believed.
+
+    Of the elements with bad names that hold most of the page's prose, from the outermost on, as many as it
+    takes until there is an article's worth of prose under none.
+    """
+    mass = [0.0] * len(elements)
+    for b in blocks:
+        mass[b.element] += b.prose * len(b.text)
+    for i in range(len(elements) - 1, 0, -1):
+        mass[elements[i].parent] += mass[i]
+    total = mass[0]
+    if total < LEAST_PROSE:
+        return set()
+    chain = [i for i, e in enumerate(elements) if e.own < 0 and mass[i] > total / 2]  # each lies in the one before
+    if not chain:
+        return set()
+    inside, other = [0] * len(elements), [0] * len(elements)
+    member = set(chain)
+    for i, e in enumerate(elements[1:], 1):
+        inside[i] = inside[e.parent] + (i in member)
+        other[i] = other[e.parent] + (e.own < 0 and i not in member)
+    clean = [0.0] * (len(chain) + 1)
+    for b in blocks:
+        if not other[b.element]:
+            clean[inside[b.element]] += b.prose * len(b.text)
+    found = clean[0]
+    for n in range(len(chain) + 1):
+        if found >= min(LEAST_PROSE, total / 4):
+            return set(chain[:n])
+        found += clean[n + 1] if n < len(chain) else 0.0
+    return set(chain)
+
+
+def _replies(blocks: list[Block], elements: list[_Element]) -> set[int]:
+    """Elements that hold replies: like ones under one parent, below a line that announces replies, or three or
+    more that each have a line saying who wrote when."""
+    heads: dict[int, int] = {}  # the first announcement under an element, by block
+    named: set[int] = set()
+    texts = [0] * len(elements)
+    last = [-1] * len(elements)
+    for k, b in enumerate(blocks):
+        short = len(b.text) <= 80
+        if short and _REPLIES.search(b.text):
+            heads.setdefault(elements[b.element].parent, k)
+            heads.setdefault(b.element, k)
+        said = short and elements[b.element].name not in ("h1", "h2", "h3", "h4") and _SAID.search(b.text)
+        at = b.element
+        for _ in range(6):  # a reply's lines lie a few elements below it
+            texts[at] += 1
+            last[at] = k
+            if said:
+                named.add(at)
+            if not at:
+                break
+            at = elements[at].parent
+    like: dict[tuple[int, str], list[int]] = {}
+    for i, e in enumerate(elements[1:], 1):
+        if texts[i]:
+            like.setdefault((e.parent, e.kind), []).append(i)
+    found: set[int] = set()
+    for (parent, _), group in like.items():
+        head = heads.get(parent, heads.get(elements[parent].parent, len(blocks)))
+        below = [i for i in group if last[i] > head and texts[i] >= 2]
+        if len(below) >= 2 and any(i in named for i in below):
+            found.update(below)
+        signed = [i for i in group if i in named and texts[i] >= 2]
+        if len(signed) >= 3 and len(signed) == len(group):
+            found.update(signed)
+    return found
+
+
+def _weigh(blocks: list[Block], elements: list[_Element]) -> None:
+    """Each block's cost, from its text and from the elements around it."""
+    trusted, replies = _unsuspected(blocks, elements), _replies(blocks, elements)
+    priors, deeds = [0.0] * len(elements), [0.0] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        above, own = priors[e.parent], max(e.own, 0.0) if i in trusted else e.own
+        if i in replies:
+            own = min(own, OF_REPLIES)
+        priors[i] = max(-8.0, min(5.0, above + own)) if own >= 0 or above >= 0 else max(-8.0, min(above, own))
+        deeds[i] = max(-8.0, deeds[e.parent] + (0.0 if i in trusted else e.deeds))
+    for b in blocks:
+        b.weigh(priors[b.element], deeds[b.element], elements[b.element].name)
+    if len(blocks) == 1 and priors[blocks[0].element] >= 0 and blocks[0].linked < 0.5:
+        blocks[0].cost = max(blocks[0].cost, 0.0)  # all that the page says
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order."""
     found: list[Block] = []
-    stack = [_Element("", 0, 0.0, 0.0, False)]
+    elements = [_Element("", 0, 0.0, 0.0, False, "")]
+    stack = [0]
     many: Counter[str] = Counter()
-    links, number = 0, 0
+    links = 0
     parts: list[str] = []
     linked: list[str] = []
     depth, low = 0, 0  # of the last block, and the least one since
@@ -148,17 +250,17 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal depth, low
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            if text and not stack[-1].hidden:
+            if text and not elements[stack[-1]].hidden:
                 length = len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()) if linked else 0
                 low = min(low, len(stack))
-                found.append(Block(text, length, depth + len(stack) - 2 * low, stack[-2].number if len(stack) > 1 else 0, stack[-1].prior, stack[-1].deeds, stack[-1].name))
+                found.append(Block(text, length, depth + len(stack) - 2 * low, stack[-2] if len(stack) > 1 else 0, stack[-1]))
                 depth = low = len(stack)
             parts.clear()
             linked.clear()
 
     def leave() -> str:
         nonlocal low
-        name = stack.pop().name
+        name = elements[stack.pop()].name
         many[name] -= 1
         low = min(low, len(stack))
         return name
@@ -197,34 +299,36 @@ def blocks_of(page: str) -> list[Block]:
             if many[name]:  # so the walk up ends
                 items = ("p", "li", "dd", "dt")
                 up = len(stack) - 1
-                while stack[up].name != name and (name not in items or stack[up].name in (*items, "button", "label")):
+                while (at_up := elements[stack[up]].name) != name and (name not in items or at_up in (*items, "button", "label")):
                     up -= 1
-                if stack[up].name == name:
+                if at_up == name:
                     while len(stack) > up:
                         leave()
             continue
         links = 0
         if name in VOID:
             continue
-        if stack[-1].name == "p" or name in ("li", "dd", "dt") and stack[-1].name == name:
+        inner = elements[stack[-1]].name
+        if inner == "p" or name in ("li", "dd", "dt") and inner == name:
             leave()
-        number += 1
         prior, deeds = ELEMENTS.get(name, 0.0), 0.0
         if name == "header" and (many["article"] or many["main"]):
             prior = 0.0
-        if attributes:
+        kind = name
+        if attributes and name not in ("html", "body"):
             for value in _ATTRIBUTE.findall(attributes):
                 for word in _WORD.findall(value.lower()):
                     prior += NAMES.get(word, 0.0)
                     deeds += DEEDS.get(word, 0.0)
-        last = stack[-1]
-        hidden = last.hidden or bool(attributes and _HIDDEN.search(attributes))
-        prior = max(-8.0, min(5.0, last.prior + prior)) if prior >= 0 or last.prior >= 0 else max(-8.0, min(last.prior, prior))
-        stack.append(_Element(name, number, prior, max(-8.0, last.deeds + deeds), hidden))
+            kind += " ".join(_WORD.findall(" ".join(_CLASS.findall(attributes)).lower()))
+        hidden = elements[stack[-1]].hidden or bool(attributes and _HIDDEN.search(attributes))
+        elements.append(_Element(name, stack[-1], prior, deeds, hidden, kind))
+        stack.append(len(elements) - 1)
         many[name] += 1
     if at < len(page):
         add(page[at:])
     flush()
+    _weigh(found, elements)
     return found
 
 

@@ -342,3 +342,40 @@ def test_substring_dedup_of_rows_that_share_ids(spark):
     df = spark.createDataFrame([(i, t, b"k", 5) for i, t in texts], "doc_id long, text string, kept binary, n_bytes int").repartition(3)
     got = sorted((x.doc_id or 0, x.n_bytes, x.n_removed) for x in substring_dedup.drop_repeated_substrings(df).collect())
     assert got == [(0, 5, 0), (0, 260, 260), (1, 262, 260), (1, 270, 260), (2, 200, 200), (2, 200, 200), (3, 200, 0)]
+
+
+PARAGRAPHS = [f"This is paragraph {i} of the article, and it has prose, with commas; it goes on for a while so that it looks like text. It ends here." for i in range(4)]
+ARTICLE = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+REPLY = "<div class='u'><span>Ann {i} says 12:0{i}</span><p>I think that this is a very good article, and I want to say so, at length. Really!</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="has-sidebar nav-open"><div>{ARTICLE}</div></body>',
+        f'<body class="post-template has-sidebar nav-open cookie-ok"><article>{ARTICLE}</article></body>',
+        f'<body><form id="aspnetForm"><div>{ARTICLE}</div></form></body>',
+        f'<div class="comments-enabled post">{ARTICLE}</div>',
+        f'<div class="shareholders-report social-policy">{ARTICLE}</div>',
+        f'<main><section class="legal-news alert-page">{ARTICLE}</section></main>',
+        f'<article>{ARTICLE}</article><div class="user-talk"><h3>12 Responses</h3>{"".join(REPLY.format(i=i) for i in range(4))}</div>',
+        f'<article>{ARTICLE}</article><div class="talk">{"".join(REPLY.format(i=i) for i in range(3))}</div>',
+        f'<div class="has-sidebar"><article>{ARTICLE}</article><div class="comments">{"".join(REPLY.format(i=i) for i in range(30))}</div></div>',
+        f'<form><nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav><div>{ARTICLE}</div><footer>Copyright 2024. All rights reserved.</footer></form>',
+    ],
+)
+def test_articles_survive_names_and_replies_go(page):
+    assert html_extraction.main_text(page) == "\n".join(PARAGRAPHS)
+
+
+def test_repeated_sections_are_no_replies_and_short_pages_stay():
+    page = "<article>" + "".join(f'<div class="s"><h2>Part {i}</h2>{ARTICLE}</div>' for i in range(3)) + "</article>"
+    assert html_extraction.main_text(page).count("paragraph") == 12 and "Part 2" in html_extraction.main_text(page)
+    assert html_extraction.main_text("just a short line") == "just a short line"
+    assert html_extraction.main_text("<nav><a href='/'>Home</a></nav>") == ""
+
+
+def test_deep_suspicious_pages_take_linear_time():
+    began = time.process_time()
+    html_extraction.main_text("<div>" * 16_000 + "x" + "<form class=comments>" * 8_000 + ARTICLE)
+    assert time.process_time() - began < 5
