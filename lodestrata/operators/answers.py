@@ -9,6 +9,7 @@ from ..functions.stats import rate_columns
 from ..functions.text import answer_key, normalize
 from ..guard import refuse
 from .logs import seeded_order
+from .scoring import mcnemar
 
 FIELDS = ("answer", "citation", "quote")
 
@@ -79,6 +80,18 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     return keyed.select(*rows.columns, (F.col("verdict") == "correct").alias("verdict_correct"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
+def comparisons(rows: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Paired comparisons of every two arms, on answerable queries by grounded and right answers and on the others by
+    abstention: on, and the columns of :func:`scoring.mcnemar`.  Arms that lack a query are refused.
+
+    rows: (query_id, arm, outcome, verdict_correct, ambiguous, answerable), one for each query and arm.
+    """
+    grounded = (F.col("outcome") == "supported_gold") & F.coalesce("verdict_correct", F.lit(False)) & ~F.col("ambiguous")
+    on = F.when(F.col("answerable"), "grounded_correct_answerable").otherwise("abstained_unanswerable")
+    hit = F.when(F.col("answerable"), grounded).otherwise(F.col("outcome") == "abstained")
+    return mcnemar(rows.select("query_id", "arm", on.alias("on"), hit.alias("hit")), ["on"], confidence)
+
+
 def cells(rows: DataFrame, confidence: float = 0.95) -> DataFrame:
     """(arm, cell, hits, n, rate, lo, hi, reportable) over rows of
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matching, text
-from ..operators import answers, extraction, filings, freeze, gold, logs, retrieval, review, stores, tagged_facts
+from ..operators import answers, extraction, filings, freeze, gold, labels, logs, retrieval, review, stores, tagged_facts
 from ..sources import readers
 from .tables import chunks, queries, table
 
@@ -225,6 +225,62 @@ def qa_cells(spark, d):
     return answers.cells(rows).select("arm", "cell", "hits", "n", F.round("rate", 9).alias("rate"), "reportable")
 
 
+@registered(f"""WITH a AS (SELECT * FROM {_ANSWERS} WHERE n <= 3 AND k IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) = 3 AND count(*) = 3)),
+  o AS (SELECT k, arm, CASE WHEN answerable THEN 'grounded_correct_answerable' ELSE 'abstained_unanswerable' END AS "on", CASE WHEN answerable THEN {_GROUNDED} ELSE outcome = 'abstained' END AS hit FROM a),
+  p AS (SELECT x.arm AS arm_a, y.arm AS arm_b, x."on", count(*) FILTER (x.hit AND NOT y.hit) AS b, count(*) FILTER (NOT x.hit AND y.hit) AS c, count(*) AS n FROM o x JOIN o y ON x.k = y.k AND x."on" = y."on" AND x.arm < y.arm GROUP BY ALL)
+  SELECT *, b + c AS discordant, round(b * 1.0::DOUBLE / nullif(b + c, 0), 9) AS rate FROM p""")
+def qa_comparisons(spark, d):
+    """The first three lines of an order as the answers of three arms to one question; others weren't asked of all once."""
+    rows = _answer_rows(spark, d).where("l_linenumber <= 3").select("query_id", "arm", "outcome", F.col("right").alias("verdict_correct"), F.col("unclear").alias("ambiguous"), "answerable")
+    whole = rows.groupBy("query_id").agg(F.count_distinct("arm").alias("arms"), F.count(F.lit(1)).alias("rows")).where("arms = 3 and rows = 3").select("query_id")
+    return answers.comparisons(rows.join(whole, "query_id", "left_semi")).select("arm_a", "arm_b", "on", "b", "c", "n", "discordant", F.round("rate", 9).alias("rate"))
+
+
+_LABELS = """(SELECT CAST(o_orderkey AS VARCHAR) AS accession, 'T' || o_custkey AS ticker, strftime(o_orderdate, '%Y') AS period, o_orderkey % 9 AS kind, o_totalprice AS v, o_orderkey AS k FROM orders)"""
+
+
+def _label_records(spark, d):
+    k, v = F.col("o_orderkey"), F.col("o_totalprice")
+    kind = k % 9
+    pick = lambda *x: F.element_at(F.array(*(F.lit(y) if isinstance(y, str) else y for y in x)), (kind + 1).cast("int"))
+    amount = F.floor(v).cast("string")
+    return table(spark, d, "orders").select(
+        k.cast("string").alias("accession"), F.concat(F.lit("T"), F.col("o_custkey").cast("string")).alias("ticker"), F.date_format("o_orderdate", "yyyy").alias("period"),
+        pick("total_assets", "total_assets", "dividends_declared_per_share", "ceo_name", "ceo_name", "goodwill_impairment", "goodwill_impairment", "employees", "ticker").alias("field"),
+        pick("value", "value", "value", "value", "value", "stated_none", "not_addressed", "value", "guess").alias("answer_kind"),
+        pick(F.format_number(F.floor(v), 0), F.concat(F.lit("about "), amount), F.lit("0.44 + 0.35"), F.lit("Ann B. Example"), F.lit("Ann Example and Bob Other"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(" "), F.lit("x")).alias("value"),
+        F.when(kind != 5, "the anchor").alias("anchor"), F.when(kind == 6, F.when(k % 2 == 0, F.array(F.lit("impairment"), F.lit(" "))).otherwise(F.array(F.lit(" ")))).alias("searched"),
+        (k % 5 == 0).alias("ambiguous"), F.when(k % 10 == 0, "summed").otherwise(F.lit(" ")).alias("note"),
+    )
+
+
+@registered(f"""SELECT accession, CASE kind WHEN 1 THEN 'total_assets' WHEN 5 THEN 'goodwill_impairment' WHEN 6 THEN 'goodwill_impairment' WHEN 7 THEN 'employees' ELSE 'ticker' END AS field,
+  CASE kind WHEN 1 THEN 'a figure is needed, not text' WHEN 5 THEN 'no anchor in the filing' WHEN 6 THEN 'no searched terms' WHEN 7 THEN 'no value' ELSE 'unknown kind of answer' END AS problem FROM {_LABELS} WHERE kind IN (1, 5, 7, 8) OR kind = 6 AND k % 2 = 1""")
+def label_problems(spark, d):
+    """Orders as labels, of which some break a rule each."""
+    return labels.label_problems(_label_records(spark, d))
+
+
+@registered(f"""SELECT accession, CASE kind WHEN 0 THEN CAST(floor(v) AS DOUBLE) WHEN 2 THEN 0.79 END AS figure, kind IN (3, 4) AS text FROM {_LABELS} WHERE kind IN (0, 2, 3, 4) OR kind = 6 AND k % 2 = 0""")
+def accepted_labels(spark, d):
+    """The labels that break no rule, as they are kept: sums added up, commas gone."""
+    rows = _label_records(spark, d)
+    good = rows.join(labels.label_problems(rows).select("accession").distinct(), "accession", "left_anti")
+    kept = labels.accepted(good)
+    return kept.select("accession", F.col("value").try_cast("double").alias("figure"), (F.col("value").isNotNull() & F.col("value").try_cast("double").isNull()).alias("text"))
+
+
+@registered(f"SELECT ticker, period, 5 AS words FROM {_LABELS} WHERE kind = 4")
+def overlong_names(spark, d):
+    return labels.overlong_names(_label_records(spark, d))
+
+
+@registered(f"""SELECT ticker, period, CASE kind WHEN 0 THEN 'total_assets' WHEN 1 THEN 'total_assets' WHEN 2 THEN 'dividends_declared_per_share' WHEN 3 THEN 'ceo_name' WHEN 4 THEN 'ceo_name' WHEN 7 THEN 'employees' WHEN 8 THEN 'ticker' ELSE 'goodwill_impairment' END AS field
+  FROM {_LABELS} WHERE k % 5 = 0 AND k % 10 <> 0""")
+def unexplained_ambiguities(spark, d):
+    return labels.unexplained(_label_records(spark, d))
+
+
 @registered(f"WITH a AS {_ANSWERS} SELECT k || ':' || substr(sha256(k || '|' || lower(answer)), 1, 12) AS key, k AS query_id, 'question ' || k AS question, answer FROM a GROUP BY k, answer")
 def blind_queue(spark, d):
     return answers.blind_queue(_answer_rows(spark, d)).select("key", "query_id", "question", "answer")
