@@ -178,9 +178,12 @@ def near_misses(spark, d):
     return tagged_facts.near_misses(tagged_facts.facts(_tagged(spark, d)), "total_assets", "revenue|assets")
 
 
-@registered("SELECT CAST(o_orderkey AS VARCHAR) AS accession, true AS has_balance_sheet, true AS has_revenue FROM orders")
+@registered("SELECT CAST(o_orderkey AS VARCHAR) AS accession, o_orderkey % 4 <> 0 AS has_balance_sheet, o_orderkey % 4 <> 1 AS has_revenue FROM orders")
 def statement_flags(spark, d):
-    docs = _tagged(spark, d)
+    """Of each four reports one has no assets, and one has revenue of a segment only."""
+    k = F.col("accession").cast("long")
+    html = F.when(k % 4 == 0, F.replace("html", F.lit("us-gaap:Assets"), F.lit("us-gaap:AssetsNet"))).when(k % 4 == 1, F.regexp_replace("html", 'us-gaap:Revenues" contextRef="[yp]"', 'us-gaap:Revenues" contextRef="s"')).otherwise(F.col("html"))
+    docs = _tagged(spark, d).withColumn("html", html)
     return tagged_facts.statement_flags(docs, tagged_facts.facts(docs))
 
 
@@ -492,10 +495,17 @@ def store_problems(spark, d):
     return every.join(counted, "kind", "left").fillna({"n": 0})
 
 
-@registered("""SELECT 'the store has no chunk ' || vec_id AS problem FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'no ranking: sparse of ' || item_id FROM benchmark WHERE item_id NOT IN (SELECT vec_id // 10 FROM embeddings)""")
+_RANKED = """(SELECT vec_id // 10 AS q, vec_id % 10 + 1 AS rank, CASE WHEN vec_id % 50 = 7 THEN vec_id + 100000000 WHEN vec_id % 30 = 9 THEN vec_id - 1 ELSE vec_id END AS c FROM embeddings WHERE (vec_id // 10) % 5 <> 4)"""
+
+
+@registered(f"""WITH r AS {_RANKED} SELECT 'the store has no chunk ' || c AS problem FROM (SELECT DISTINCT c FROM r WHERE c NOT IN (SELECT doc_id FROM documents))
+  UNION ALL SELECT 'ranked chunk ' || q || ', sparse, ' || c || ' stands ' || count(*) || ' times' FROM r GROUP BY q, c HAVING count(*) > 1
+  UNION ALL SELECT 'no ranking: sparse of ' || item_id FROM benchmark WHERE item_id NOT IN (SELECT q FROM r)""")
 def run_problems(spark, d):
-    """Vectors as rankings of ten for each query."""
-    rankings = table(spark, d, "embeddings").select(F.expr("vec_id div 10").alias("query_id"), F.lit("sparse").alias("arm"), F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 10 + 1).alias("rank"))
+    """Vectors as rankings of ten for each query: some chunks are unknown, some stand twice, each fifth query has no ranking."""
+    v = F.col("vec_id")
+    chunk = F.when(v % 50 == 7, v + 100000000).when(v % 30 == 9, v - 1).otherwise(v)
+    rankings = table(spark, d, "embeddings").select(F.expr("vec_id div 10").alias("query_id"), F.lit("sparse").alias("arm"), chunk.alias("chunk_id"), (v % 10 + 1).alias("rank")).where("query_id % 5 <> 4")
     out = freeze.run_problems(rankings, chunks(spark, d), queries(spark, d), ["sparse"])
     return out[0].union(out[1]).union(out[2])
 
@@ -598,8 +608,8 @@ def upserted(spark, d):
     return logs.upsert(c, c.where("c_acctbal < 0").withColumn("c_acctbal", F.lit(0.0)), ["c_custkey"])
 
 
-@registered("SELECT doc_id FROM documents WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) = 0")
+@registered("SELECT doc_id FROM documents WHERE doc_id % 7 = 3 OR len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) = 0")
 def without_lexemes(spark, d):
-    """Chunks that no query can match."""
-    c = chunks(spark, d)
+    """Chunks that no query can match; each seventh text has lost its letters and digits."""
+    c = chunks(spark, d).withColumn("text", F.when(F.col("chunk_id") % 7 == 3, F.regexp_replace(F.lower("text"), "[a-z0-9]", "")).otherwise(F.col("text")))
     return c.join(retrieval.postings(c).select("chunk_id").distinct(), "chunk_id", "left_anti").select(F.col("chunk_id").alias("doc_id"))
