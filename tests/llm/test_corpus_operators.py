@@ -164,7 +164,8 @@ def test_decontamination_in_blocks_and_on_odd_rows(spark, odd, none, monkeypatch
 
 
 def brute_leaks(docs, items):
-    """By regular expressions on ASCII texts: items are in a text where consistent windows cover half of theirs."""
+    """By regular expressions on ASCII texts: items are in a text where consistent windows cover half of theirs; items of
+    few words where they stand whole between ends of sentences."""
 
     def words(text):
         found = []
@@ -172,13 +173,11 @@ def brute_leaks(docs, items):
             w, before = m[0], (text[found[-1][3] : m.start()] if found else ".")
             opens = not found or bool(re.search(r"[\n!.:?]", before))
             kind = "#" if w[0].isdigit() and w[-1].isdigit() else "u" if found and found[-1][0] == "#" and w.lower() in decontamination.UNITS and not opens else "N" if w[0].isupper() and not opens else ""
-            found.append((kind, w.lower(), m.start(), m.end()))
+            found.append((kind, w.lower(), m.start(), m.end(), opens))
         return found
 
     def windows(ws, plain):
         n = decontamination.WORDS
-        if plain and 0 < len(ws) < n:
-            return {0: ("short", *(w[1] for w in ws))}
         every = {k: ws[k : k + n] for k in range(len(ws) - n + 1)}
         if plain:
             return {k: tuple(w[1] for w in x) for k, x in every.items()}
@@ -189,6 +188,12 @@ def brute_leaks(docs, items):
         ws = words(text)
         for i, item in items:
             vs = words(item)
+            n = len(vs)
+            if 0 < n < decontamination.WORDS:
+                opens = [w[4] for w in ws] + [True]
+                if any(opens[f] and opens[f + n] and [w[1] for w in ws[f : f + n]] == [w[1] for w in vs] for f in range(len(ws) - n + 1)):
+                    out.add((d, i))
+                continue
             for plain in (False, True):
                 theirs, ours = windows(vs, plain), windows(ws, plain)
                 lined = {}
