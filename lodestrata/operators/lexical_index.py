@@ -52,6 +52,13 @@ def _postings_schema(kind: str) -> str:
     return f"shard long, lexeme string, gaps array<int>, largest array<int>, sizes array<int>, places binary, width int, counts binary, chunk_ids array<{kind}>"
 
 
+def _members(code: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
+    chosen = np.zeros(n, bool)
+    chosen[some] = True
+    a, b = np.searchsorted(code, [some[0], some[-1] + 1])  # code is sorted
+    return np.flatnonzero(chosen[code[a:b]]) + a
+
+
 class _Shard:
     """The postings of consecutive chunks, until they are written out."""
 
@@ -74,32 +81,47 @@ class _Shard:
         self.ids += ids.to_pylist()
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        yield self._batch([(None, None, None, None, None, None, None)], [self.ids])
+        nothing = pa.nulls(1)
+        ids = pa.array([self.ids], pa.list_(self.kind))
+        yield self._batch([nothing.cast(k) for k in self.KINDS], ids)
         if not self.parts:
             return
         code, chunk, count = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        words = list(self.lexemes)
+        words = np.array(sorted(self.lexemes), object)
+        rank = np.empty(len(words), np.int64)
+        rank[[self.lexemes[w] for w in words]] = np.arange(len(words))
+        code = rank[code]
         order = np.lexsort((chunk, code))
         code, chunk, count = code[order], chunk[order], count[order]
-        bounds = np.searchsorted(code, np.arange(len(words) + 1))
-        rows = []
-        for at in sorted(range(len(words)), key=words.__getitem__):
-            c, n = chunk[bounds[at] : bounds[at + 1]], count[bounds[at] : bounds[at + 1]]
-            first = np.flatnonzero(np.concatenate(([True], np.diff(c // RANGE) > 0)))
-            width = 1 if n.max() < 1 << 8 else 2 if n.max() < 1 << 16 else 4
-            gaps, sizes = np.diff(c[first] // RANGE, prepend=0), np.diff(np.append(first, len(c)))
-            rows.append((words[at], gaps.tolist(), np.maximum.reduceat(n, first).tolist(), sizes.tolist(), (c % RANGE).astype(np.uint8).tobytes(), width, n.astype(f"<u{width}").tobytes()))
-            if len(rows) == 2048:
-                yield self._batch(rows, [None] * len(rows))
-                rows = []
-        if rows:
-            yield self._batch(rows, [None] * len(rows))
-
-    def _batch(self, rows: list[tuple], ids: list) -> pa.RecordBatch:
-        ints = pa.list_(pa.int32())
-        kinds = [pa.string(), ints, ints, ints, pa.binary(), pa.int32(), pa.binary()]
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([self.number] * len(rows), pa.int64()), *columns, pa.array(ids, pa.list_(self.kind))], ["shard", "lexeme", "gaps", "largest", "sizes", "places", "width", "counts", "chunk_ids"])
+        most = np.maximum.reduceat(count, np.searchsorted(code, np.arange(len(words))))
+        widths = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4))
+        for width in np.unique(widths).tolist():  # nearly all lexemes have the least one
+            mine = np.flatnonzero(widths == width)
+            for some in np.array_split(mine, -(-len(mine) // 4096)):
+                of = _members(code, some, len(words))
+                yield self._postings(words[some], np.searchsorted(some, code[of]), chunk[of], count[of], width)
+
+    KINDS = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary())
+
+    def _postings(self, words: np.ndarray, word: np.ndarray, chunk: np.ndarray, count: np.ndarray, width: int) -> pa.RecordBatch:
+        """Rows of ``words`` for postings sorted by (place of the word, chunk)."""
+        part = chunk // RANGE
+        new = np.ones(len(word), bool)
+        new[1:] = word[1:] != word[:-1]
+        first = np.flatnonzero(new | np.concatenate(([True], part[1:] != part[:-1])))
+        gaps = np.diff(part[first], prepend=0)
+        gaps[new[first]] = part[first][new[first]]
+        blocks = np.searchsorted(word[first], np.arange(len(words) + 1)).astype(np.int32)
+        bounds = np.searchsorted(word, np.arange(len(words) + 1)).astype(np.int32)
+        listed = lambda x: pa.ListArray.from_arrays(pa.array(blocks), pa.array(x.astype(np.int32)))
+        packed = lambda ends, x: pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+        return self._batch(
+            [pa.array(words, pa.string()), listed(gaps), listed(np.maximum.reduceat(count, first)), listed(np.diff(np.append(first, len(word)))), packed(bounds, (chunk % RANGE).astype(np.uint8)), pa.array(np.full(len(words), width, np.int32)), packed(bounds * width, count.astype(f"<u{width}"))],
+            pa.nulls(len(words), pa.list_(self.kind)),
+        )
+
+    def _batch(self, columns: list[pa.Array], ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), self.number)), *columns, ids], ["shard", "lexeme", "gaps", "largest", "sizes", "places", "width", "counts", "chunk_ids"])
 
 
 def _number_and_post(kind: pa.DataType):
@@ -175,7 +197,7 @@ class _List:
 
     def __init__(self, gaps, largest, sizes, places: bytes, width: int, counts: bytes):
         self.ranges = np.cumsum(gaps)
-        self.largest = np.asarray(largest, np.int64)
+        self.largest = largest.astype(np.int64)
         self.ends = np.cumsum(sizes)
         self.places, self.counts = np.frombuffer(places, np.uint8), np.frombuffer(counts, f"<u{width}")
         self.open: dict[int, None] = {}
@@ -230,17 +252,23 @@ def _search_shards(depth: int, query_kind: pa.DataType, chunk_kind: pa.DataType,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, lists, asked, least, ids = None, {}, {}, {}, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["shard"] != shard:
+            names, shards, widths = (batch.column(c).to_pylist() for c in ("lexeme", "shard", "width"))
+            blocks = [batch.column(c) for c in ("gaps", "largest", "sizes")]
+            at = blocks[0].offsets.to_numpy()
+            gaps, largest, sizes = (x.values.to_numpy(zero_copy_only=False) for x in blocks)
+            places, counts, queries = (batch.column(c) for c in ("places", "counts", "queries"))
+            for k, (name, own) in enumerate(zip(names, shards, strict=True)):
+                if own != shard:
                     if lists:
                         yield results(lists, asked, least, ids)
-                    shard, lists, asked, least, ids = row["shard"], {}, {}, {}, []
-                if row["lexeme"] is None:
-                    ids = row["chunk_ids"]
+                    shard, lists, asked, least, ids = own, {}, {}, {}, []
+                if name is None:
+                    ids = batch.column("chunk_ids")[k].as_py()
                     continue
-                lists[row["lexeme"]] = _List(row["gaps"], row["largest"], row["sizes"], row["places"], row["width"], row["counts"])
-                for q in row["queries"]:
-                    asked.setdefault(q["query_id"], []).append(row["lexeme"])
+                a, b = at[k], at[k + 1]
+                lists[name] = _List(gaps[a:b], largest[a:b], sizes[a:b], places[k].as_py(), widths[k], counts[k].as_py())
+                for q in queries[k].as_py():
+                    asked.setdefault(q["query_id"], []).append(name)
                     least[q["query_id"]] = q["least"]
         if lists:
             yield results(lists, asked, least, ids)
