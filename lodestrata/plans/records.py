@@ -68,8 +68,9 @@ _WRITTEN = """CASE k % 8 WHEN 0 THEN strftime(d, '%B %-d, %Y') WHEN 1 THEN strft
   WHEN 5 THEN strftime(d, '%B %Y') WHEN 6 THEN strftime(d, '%Y-%d-13') ELSE 'on ' || strftime(d, '%d') || ' of Smarch ' || strftime(d, '%Y') END"""
 
 
-@registered(f"""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), w AS (SELECT k, d, {_WRITTEN} AS written FROM o)
-  SELECT k AS o_orderkey, written, CASE WHEN k % 8 < 5 THEN strftime(d, '%Y-%m-%d') WHEN k % 8 = 6 AND day(d) <= 12 THEN strftime(d, '%Y-%d-13') END AS date, k % 8 < 5 AS same, k % 8 < 5 AND k % 3 = 0 AS guessed FROM w""")
+@registered(f"""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), w AS (SELECT k, d, {_WRITTEN} AS written FROM o),
+  x AS (SELECT k, d, written, CASE WHEN k % 8 < 5 THEN strftime(d, '%Y-%m-%d') WHEN k % 8 = 6 AND day(d) <= 12 THEN strftime(d, '%Y-%d-13') END AS date FROM w)
+  SELECT k AS o_orderkey, written, date, coalesce(date = strftime(d, '%Y-%m-%d'), false) AS same, coalesce(date = strftime(d + CAST(CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS INTEGER), '%Y-%m-%d'), false) AS guessed FROM x""")
 def date_match(spark, d):
     """Order dates in written forms, of which some are no dates (no day, no such month, a month over 12), and whether they
     match the date itself and a guess that is a day off for two of three."""
