@@ -447,7 +447,7 @@ def test_quality_without_grades(spark):
 
 def test_registry_names():
     names = list(registry.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14)) and set(registry.oracle_sql()) <= set(names)
 
 
 def test_pipeline_stages(spark, sf_dir, tmp_path):
