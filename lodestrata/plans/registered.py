@@ -268,8 +268,8 @@ def _extraction(spark, d):
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     kind = F.when(k % 7 == 0, "not_addressed").when(k % 7 == 1, "stated_none").otherwise("value")
-    value = F.when(kind == "value", F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
-    guess = F.when(k % 5 == 0, None).when(k % 5 == 1, F.lit("0")).when(k % 5 == 2, (F.col("o_totalprice") * 1.0005).cast("decimal(18,2)").cast("string")).when(k % 5 == 3, (F.col("o_totalprice") * 1.01).cast("decimal(18,2)").cast("string")).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    value = F.when(kind == "value", text.two_places(F.col("o_totalprice")))
+    guess = F.when(k % 5 == 0, None).when(k % 5 == 1, F.lit("0")).when(k % 5 == 2, text.two_places(F.col("o_totalprice") * 1.0005)).when(k % 5 == 3, text.two_places(F.col("o_totalprice") * 1.01)).otherwise(text.two_places(F.col("o_totalprice")))
     rows = o.select(k.cast("string").alias("accession"), F.when(k % 2 == 0, "total_assets").otherwise("goodwill_impairment").alias("field"), F.lit("labeled").alias("status"), kind.alias("answer_kind"), value.alias("value"), guess.alias("prediction"), (k % 11 == 0).alias("ambiguous"))
     return extraction.classify(rows)
 
@@ -403,7 +403,7 @@ def content_word_overlap(spark, d):
 @registered
 def numeric_match(spark, d):
     line = table(spark, d, "lineitem")
-    a, b = F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), (F.col("l_extendedprice") * (1 - F.col("l_discount") / 50)).cast("decimal(18,2)").cast("string")
+    a, b = text.two_places(F.col("l_extendedprice")), text.two_places(F.col("l_extendedprice") * (1 - F.col("l_discount") / 50))
     return line.groupBy(matching.match_number(a, b).alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -84,3 +84,14 @@ def test_sums_and_numbers(spark):
     assert one(spark, text.sum_of(F.col("t")), t="a + 1") is None
     assert one(spark, text.digits_within(F.col("a"), F.col("b")), a="paid 1,200 in 2024", b="1200 2024 7") is True
     assert one(spark, text.leading_integer(F.col("t")), t="about 1,234 people") == 1234
+
+
+def test_two_places_round_half_up_as_sql_does(spark):
+    import duckdb
+    from lodestrata.functions.text import two_places
+
+    products = [price * (1 - discount / 50) for price in (1005.0, 12345.0, 33335.0, 71155.0, 90905.0) for discount in (0.01, 0.03, 0.05, 0.07, 0.09)] + [1.005, -2.675, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in products], "p double").select(two_places(F.col("p"))).collect()]
+    assert got == [str(duckdb.execute("SELECT CAST(CAST(? AS DOUBLE) AS DECIMAL(18,2))", [p]).fetchall()[0][0]) for p in products]
+    plain = [r[0] for r in spark.createDataFrame([(p,) for p in products], "p double").select(F.col("p").cast("decimal(18,2)").cast("string")).collect()]
+    assert got != plain  # a plain cast differs on some of these
