@@ -33,6 +33,7 @@ RANGE = 256
 SHARD_CHUNKS = 16_384
 SHARD_POSTINGS = 2_000_000
 MOST_OPENED_AT_ONCE = 16
+DENSE = 16
 
 
 @dataclass(frozen=True)
@@ -308,8 +309,85 @@ def search(index: LexicalIndex, terms: DataFrame, depth: int = DEPTH, opened: Ac
     return top(found.withColumn("score", F.round(F.col("positions") * 0.1, 1)), "sparse", [F.desc("positions"), F.asc("chunk_id")], depth)
 
 
+def _bags_of_shard(lists: dict[str, tuple[np.ndarray, np.ndarray]], bags: dict[str, np.ndarray], n_chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bag, best): the most matching positions that a chunk of a shard has with each bag.
+
+    lists: (chunk numbers, counts) of each lexeme; bags: the bags that hold it.  Lexemes of more than one chunk in
+    ``DENSE`` are rows of a matrix that is added up row by row; the others add to single chunks.
+    """
+    names = sorted(lists, key=lambda w: -len(lists[w][0]))
+    n_dense = sum(len(lists[w][0]) * DENSE > n_chunks for w in names)
+    dense = np.zeros((n_dense, n_chunks), np.int32)
+    for row, name in enumerate(names[:n_dense]):
+        chunk, count = lists[name]
+        dense[row, chunk] = count
+    bag = np.concatenate([bags[w] for w in names])
+    word = np.repeat(np.arange(len(names)), [len(bags[w]) for w in names])
+    order = np.lexsort((word, bag))
+    bag, word = bag[order], word[order]
+    first = np.flatnonzero(np.concatenate(([True], bag[1:] != bag[:-1])))
+    ends = np.append(first[1:], len(bag))
+    best = np.zeros(len(first), np.int64)
+    scores = np.empty(n_chunks, np.int32)  # at most the words of a chunk
+    for k, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+        own = word[a:b]
+        cut = int(np.searchsorted(own, n_dense))
+        scores[:] = 0
+        for row in own[:cut].tolist():
+            scores += dense[row]
+        for row in own[cut:].tolist():
+            chunk, count = lists[names[row]]
+            scores[chunk] += count
+        best[k] = scores.max()
+    return bag[first], best
+
+
+def _score_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard, lists, bags, n_chunks = None, {}, {}, 0
+
+    def results() -> pa.RecordBatch:
+        bag, best = _bags_of_shard(lists, bags, n_chunks)
+        return pa.RecordBatch.from_arrays([pa.array(bag, pa.int64()), pa.array(best, pa.int64())], ["bag_id", "best"])
+
+    for batch in batches:
+        names, shards, widths, ids = (batch.column(c).to_pylist() for c in ("lexeme", "shard", "width", "n_chunks"))
+        for k, (name, own) in enumerate(zip(names, shards, strict=True)):
+            if own != shard:
+                if lists:
+                    yield results()
+                shard, lists, bags, n_chunks = own, {}, {}, 0
+            if name is None:  # sorted first of its shard
+                n_chunks = ids[k]
+                continue
+            ranges = np.cumsum(batch.column("gaps")[k].values.to_numpy(zero_copy_only=False))
+            sizes = batch.column("sizes")[k].values.to_numpy(zero_copy_only=False)
+            place = np.frombuffer(batch.column("places")[k].as_py(), np.uint8)
+            count = np.frombuffer(batch.column("counts")[k].as_py(), f"<u{widths[k]}")
+            lists[name] = np.repeat(ranges, sizes) * RANGE + place, count.astype(np.int32)
+            bags[name] = batch.column("bags")[k].values.to_numpy(zero_copy_only=False)
+    if lists:
+        yield results()
+
+
 def bag_scores(index: LexicalIndex, bags: DataFrame) -> DataFrame:
-    """(L, bag, s) as :func:`retrieval.bag_scores`: a search for one result of each bag."""
-    named = bags.select((F.col("L").cast("long") * (1 << 32) + F.col("bag").cast("long")).alias("query_id"), "L", "bag", "lexeme")
-    best = best_positions(index, named.select("query_id", "lexeme"), 1).groupBy("query_id").agg((F.max("positions") * 0.1).alias("s"))
-    return named.select("query_id", "L", "bag").distinct().join(best, "query_id", "left").fillna({"s": 0.0}).select("L", "bag", "s")
+    """(L, bag, s) as :func:`retrieval.bag_scores`.
+
+    So many bags meet nearly all chunks, and only the best score of each is asked for: a task adds up a shard's
+    postings for one bag after the other and returns one row for each, so what is shuffled are the postings once and
+    a row for each shard and bag.  Bags go to the tasks in blocks of about ``MOST_TERMS_SENT`` lexemes.
+    """
+    spark = bags.sparkSession
+    named = bags.select((F.col("L").cast("long") * (1 << 32) + F.col("bag").cast("long")).alias("bag_id"), "lexeme")
+    blocks = max(1, -(-named.count() // MOST_TERMS_SENT))
+    heads = index.postings.where("lexeme is null").select("shard", "lexeme", "gaps", "sizes", "places", "width", "counts", F.size("chunk_ids").alias("n_chunks"), F.lit(None).cast("array<long>").alias("bags"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), heads.count())
+    found = None
+    for b in range(blocks):
+        asked = named.where(F.pmod(F.xxhash64("bag_id"), F.lit(blocks)) == b).groupBy("lexeme").agg(F.collect_list("bag_id").alias("bags"))
+        rows = index.postings.where("lexeme is not null").join(F.broadcast(asked), "lexeme").select("shard", "lexeme", "gaps", "sizes", "places", "width", "counts", F.lit(None).cast("int").alias("n_chunks"), "bags")
+        dealt = rows.unionByName(heads).repartition(parts, "shard").sortWithinPartitions("shard", "lexeme")
+        made = dealt.mapInArrow(_score_bags, "bag_id long, best long")
+        found = made if found is None else found.unionByName(made)
+    best = found.groupBy("bag_id").agg((F.max("best") * 0.1).alias("s"))
+    every = bags.select("L", "bag").distinct().withColumn("bag_id", F.col("L").cast("long") * (1 << 32) + F.col("bag").cast("long"))
+    return every.join(best, "bag_id", "left").fillna({"s": 0.0}).select("L", "bag", "s")

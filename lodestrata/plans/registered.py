@@ -178,9 +178,10 @@ def gated_rrf(spark, d):
 
 @registered
 def null_threshold(spark, d):
-    index = retrieval.postings(chunks(spark, d))  # so many bags meet nearly all blocks: the plain join is faster
+    index = _lexical(spark, d)
     lengths = retrieval.query_terms(queries(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("L"))
-    return retrieval.null_thresholds(index, lengths.select("L").distinct())
+    drawn = retrieval.draw_bags_in_spark(index.frequency, lengths.select("L").distinct())
+    return retrieval.null_summary(lexical_index.bag_scores(index, drawn))
 
 
 @registered

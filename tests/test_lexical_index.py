@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,16 @@ def test_one_index_serves_all_arms(spark, sf_dir, monkeypatch):
     for name in ("sparse_topk", "hybrid_rrf", "gated_rrf", "null_summary"):
         assert registered.REGISTERED[name](spark, sf_dir).limit(1).collect()
     assert len(built) == 1
+
+
+def test_bags_are_scored_in_one_row_for_each_shard_and_bag(spark, sf_dir, tmp_path):
+    chunks = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    index = lexical_index.build(chunks, f"{tmp_path}/bags")
+    bags = retrieval.draw_bags_in_spark(index.frequency, spark.createDataFrame([(3,), (40,)], "L int"), 50)
+    bags = bags.unionByName(spark.createDataFrame([(1, 0, "nosuchlexeme")], "L int, bag int, lexeme string"))
+    got = lexical_index.bag_scores(index, bags).select("L", "bag", F.round("s", 6))
+    assert got.count() == 101
+    assert rows_of(got) == rows_of(retrieval.bag_scores(retrieval.postings(chunks), bags).select("L", "bag", F.round("s", 6)))
+    lists = {"many": (np.arange(9), np.ones(9, np.int32)), "one": (np.array([4]), np.array([7], np.int32))}
+    bag, best = lexical_index._bags_of_shard(lists, {"many": np.array([5, 2]), "one": np.array([5])}, 40)
+    assert bag.tolist() == [2, 5] and best.tolist() == [1, 8]
