@@ -4,7 +4,7 @@ texts and the whole corpus.
 Words are runs of characters other than space and 0x09-0x0D; features are words and pairs of neighbouring
 words.  A word's bucket is its crc32 modulo ``buckets``, a pair's that of the first one's crc32 times ``PAIR`` plus
 the second one's.  The trusted multinomial is fitted on one half (by hash)
-of the trusted rows, at most about ``MOST_TRUSTED`` of them; the raw one on all texts.  A bucket's gain is
+of all trusted rows; the raw one on all texts.  A bucket's gain is
 1000 times the logarithm of its share among trusted texts over its share in the corpus, both with one added,
 rounded down; a text's score is the sum of its gains, and it is kept if score / features is no less than the
 ``LOST`` quantile of the other half of the trusted rows less ``SLACK``.  Sums are integers, so every run gives
@@ -17,6 +17,8 @@ are separate rows; a null doc_id is never trusted; other columns of the input do
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,6 @@ from .crc_sql import crc32_sql
 from .scratch import materialise
 
 BUCKETS = 1 << 16
-MOST_TRUSTED = 100_000
 LOST = 0.001
 SLACK = 50
 FEWEST_WORDS = 50
@@ -125,12 +126,12 @@ def score(words: Column, table: Column, buckets: int) -> Column:
     return _once(F.transform(words, F.crc32), summed)
 
 
-def trusted_rows(trusted: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """(trusted_id, fitted): the distinct ids, or about ``most`` of them by hash, in two halves."""
+def trusted_rows(trusted: DataFrame, most: int | None = None) -> DataFrame:
+    """(trusted_id, fitted): the distinct ids, or about ``most`` of them by hash where that is given, in two halves."""
     ids = trusted.where("doc_id is not null").select("doc_id").distinct()
-    n = max(ids.count(), 1)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    ids = ids if n <= most else ids.where(share < int((1 << 32) * most / n))
+    n = 0 if most is None else ids.count()
+    if most is not None and n > most:
+        ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int((1 << 32) * most / n))
     return ids.select(F.col("doc_id").alias("trusted_id"), (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0).alias("fitted"))
 
 
@@ -147,14 +148,38 @@ def gains(counted: DataFrame, buckets: int) -> DataFrame:
     return one.select(F.transform("all", gain).alias("gains"))
 
 
+def least_kept(means: DataFrame, share: float) -> float | None:
+    """The observed ``mean`` at nearest rank ``share``, or None without rows: the unit in which the rank falls, then the
+    part of it, and only the values there are put in order."""
+    rank, some = None, means
+    for per_unit in (1, 4096):
+        by_bin = F.floor(F.col("mean") * per_unit)
+        counted = some.groupBy(by_bin.alias("bin")).count().orderBy("bin").collect()  # gains are within a few thousand
+        rank = max(1, math.ceil(share * sum(r["count"] for r in counted))) if rank is None else rank
+        for r in counted:
+            if rank <= r["count"]:
+                some = some.where(by_bin == r["bin"])
+                break
+            rank -= r["count"]
+        else:
+            return None
+    upto = 0
+    for r in some.groupBy("mean").count().orderBy("mean").toLocalIterator():
+        upto += r["count"]
+        if upto >= rank:
+            return r["mean"]
+
+
 def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row for each of ``docs`` (doc_id, text): doc_id, the base counts, n_features, score, base_failed and kept.
 
-    ``trusted`` names trusted texts by doc_id.  The trusted ids (``MOST_TRUSTED``) and the gains (one row of ``buckets``
-    numbers) are all that is sent to every task; no text is shuffled.
+    ``trusted`` names trusted texts by doc_id; all of them count.  The gains (one row of ``buckets`` numbers) are sent to
+    every task.  Where the trusted ids are too many to be sent as well, Spark shuffles the texts once, to count; scores
+    meet the ids without their texts.
     """
-    ids = F.broadcast(trusted_rows(trusted))
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    ids = materialise(trusted_rows(trusted), "trusted")
+    docs = docs.select("doc_id", "text")
+    rows = docs.join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     seen = rows.select(F.explode(_once(words_of(F.col("text")), lambda ws: features(ws, buckets))).alias("bucket"), F.when(F.col("fitted"), 1).otherwise(0).alias("t"))
     counted = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("s"), F.sum("t").alias("t"))
     table = materialise(gains(counted, buckets), "gains")
@@ -164,17 +189,18 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFr
         n_features = F.greatest(2 * F.size(ws) - 1, F.lit(0)).cast("long")
         return F.struct(*(c.alias(k) for k, c in made.items()), n_features.alias("n_features"), score(ws, F.col("gains"), buckets).alias("score"))
 
-    scored = rows.withColumn("gains", table.scalar()).select("doc_id", "fitted", _once(words_of(F.col("text")), measured).alias("m"))
+    scored = docs.withColumn("gains", table.scalar()).select("doc_id", _once(words_of(F.col("text")), measured).alias("m"))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    scored = scored.select("doc_id", "fitted", "m.*").withColumn("base_failed", failed)
+    scored = scored.select("doc_id", "m.*").withColumn("base_failed", failed)
     scored = materialise(scored, "scored-texts")
-    held = scored.where("not fitted and not base_failed").select((F.col("score") / F.col("n_features")).alias("mean"))
-    least = held.agg(F.expr(f"percentile_disc({LOST}) WITHIN GROUP (ORDER BY mean)").alias("least")).first()["least"]
+    others = ids.where("not fitted")
+    held = scored.where("not base_failed").join(others, F.col("doc_id") == F.col("trusted_id"), "left_semi").select((F.col("score") / F.col("n_features")).alias("mean"))
+    least = least_kept(held, LOST)
     good = F.lit(True) if least is None else F.col("score") >= F.col("n_features") * F.lit(least - SLACK)
-    return scored.withColumn("kept", ~F.col("base_failed") & good).drop("fitted")
+    return scored.withColumn("kept", ~F.col("base_failed") & good)
 
 
-#: For trusted rows of quality 1 and toxic 0, as long as they are no more than MOST_TRUSTED.
+#: For trusted rows of quality 1 and toxic 0.
 ORACLE_SQL = rf"""
 WITH w AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 trusted AS (SELECT doc_id, min({crc32_sql("CAST(doc_id AS VARCHAR)")} % 2) = 0 AS fitted FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id IS NOT NULL GROUP BY doc_id),

@@ -242,3 +242,14 @@ def test_sums_of_conversations_that_are_longer_than_a_step(spark):
     rows = [(c, d, "user", f"turn {min(d, 90 + c)}" + " w" * (d % 3)) for c in range(6) for d in range(200 + 30 * c)]
     sequences = prefix_trie.with_shared_openings(prefix_trie.turn_sequences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     assert Counter(tuple(r) for r in prefix_trie.prefix_nodes(sequences, 3, 100).collect()) == brute_nodes(rows)
+
+
+def test_all_trusted_rows_count_and_the_quantile_is_exact(spark):
+    assert quality_rules.trusted_rows(spark.range(150_000).withColumnRenamed("id", "doc_id")).count() == 150_000
+    rng = random.Random(8)
+    for n in (1, 999, 5000):
+        means = [rng.choice([rng.gauss(500, 300), -7.25, 40 + rng.random() / 10_000]) for _ in range(n)]
+        rows = spark.createDataFrame([(m,) for m in means], "mean double")
+        for share in (0.001, 0.3):
+            assert quality_rules.least_kept(rows, share) == sorted(means)[max(1, -int(-share * n // 1)) - 1]
+    assert quality_rules.least_kept(rows.limit(0), 0.001) is None
