@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import matching, text
 from ..operators import answers, extraction, filings, freeze, gold, labels, logs, retrieval, review, stores, tagged_facts
 from ..sources import readers
-from .tables import chunks, queries, table
+from .tables import chunks, dealt, queries, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,7 +80,7 @@ def date_match(spark, d):
     for n, form in enumerate(forms):
         written = F.when(k % 8 == n, form).otherwise(written)
     guess = F.date_format(F.date_add(day, F.when(k % 3 == 0, 0).otherwise(1)), "yyyy/MM/dd")
-    rows = table(spark, d, "orders").select("o_orderkey", day.alias("day"), written.alias("written"), guess.alias("guess"))
+    rows = dealt(table(spark, d, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", day.alias("day"), written.alias("written"), guess.alias("guess"))
     return rows.select("o_orderkey", "written", matching.parse_date(F.col("written")).cast("string").alias("date"), matching.match_date(F.col("day").cast("string"), F.col("written")).alias("same"), matching.match_date(F.col("guess"), F.col("written")).alias("guessed"))
 
 
@@ -120,7 +120,7 @@ def _tagged(spark, d):
         *(fact("us-gaap:CommonStockDividendsPerShareDeclared", f"q{n}", F.lit(x)) for n, x in enumerate(("0.44", "0.35", "0.44", "0.22"))), F.lit('<ix:nonNumeric name="dei:TradingSymbol" contextRef="y">t'), k.cast("string"), F.lit("</ix:nonNumeric></p>"),
         F.lit("<ix:nonNumeric name='us-gaap:Note' contextRef='y' continuedAt='n2'><p>Debt of "), fact("us-gaap:Debt", "i", F.lit("12"), ' scale="6"'), F.lit(" at year end</p></ix:nonNumeric><ix:continuation id='n2'>and <b>more</b></ix:continuation></html>"),
     )
-    return table(spark, d, "orders").select(k.cast("string").alias("accession"), html.alias("html"))
+    return dealt(table(spark, d, "orders").select("o_orderkey", "o_totalprice")).select(k.cast("string").alias("accession"), html.alias("html"))
 
 
 @registered(f"""WITH r AS {_REPORT}

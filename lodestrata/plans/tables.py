@@ -21,3 +21,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Narrow ``rows`` over all cores before they are made into long ones: a small file would be few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))

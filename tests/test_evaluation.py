@@ -140,3 +140,11 @@ def test_facts_within_facts_and_facts_that_go_on(spark):
 def test_facts_are_read_in_time_in_proportion_to_the_page():
     many = "<ix:nonFraction name='x'>" * 20_000 + "1</ix:nonNumeric>" * 20_000
     assert tagged_facts.read_facts(many) == []
+
+
+def test_facts_take_contexts_of_their_own_page_without_a_shuffle(spark):
+    page = lambda day: f'<xbrli:context id="c"><xbrli:period><xbrli:instant> {day}</xbrli:instant></xbrli:period><x dimension="us-gaap:SegmentAxis"/></xbrli:context><ix:nonFraction name="n:x" contextRef=\'c\'>1</ix:nonFraction><ix:nonFraction name="n:y" contextRef="none">2</ix:nonFraction>'
+    docs = spark.createDataFrame([("a", page("2024-12-31")), ("a", page("2023-12-31")), ("b", None)], "accession string, html string")
+    found = tagged_facts.facts(docs)
+    assert sorted((r.name, r.instant or "", tuple(r.dims)) for r in found.collect()) == [("n:x", "2023-12-31", ("SegmentAxis",)), ("n:x", "2024-12-31", ("SegmentAxis",)), ("n:y", "", ()), ("n:y", "", ())]
+    assert "Join" not in found._jdf.queryExecution().toString()
