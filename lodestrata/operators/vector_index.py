@@ -35,6 +35,7 @@ PROBES = 8
 ROUNDS = 12
 ZERO_CELL = -1
 SLACK = 1e-6
+MOST_ASKED = 2048  # queries at once: a task holds a table of SLICES x WORDS and some RERANK results for each
 _WHOLE = 1 << 31
 
 
@@ -130,18 +131,19 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("vectors", "cells", "codebook")))
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Ids and unit vectors of the queries with a vector, in blocks of about ``QUERY_BLOCK_BYTES``."""
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[DataFrame, list, np.ndarray]]:
+    """The queries with a vector, their ids and unit vectors, in blocks of about ``MOST_ASKED`` and ``QUERY_BLOCK_BYTES`` at most."""
     asked = queries.where("embedding is not null").select("query_id", "embedding")
     first = asked.first()
     if first is None:
         return
-    per_block = max(1, QUERY_BLOCK_BYTES // (8 * max(len(first["embedding"]), 1)))
+    per_block = max(1, min(MOST_ASKED, QUERY_BLOCK_BYTES // (8 * max(len(first["embedding"]), 1))))
     blocks = max(1, -(-asked.count() // per_block))
     for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = block.collect()
         if rows:
-            yield [r["query_id"] for r in rows], _unit(np.array([r["embedding"] for r in rows], float))
+            yield block, [r["query_id"] for r in rows], _unit(np.array([r["embedding"] for r in rows], float))
 
 
 def _cells(index: VectorIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,9 +194,8 @@ class _Kept:
 
 
 def _by_codes(ids: pa.Array, queries: np.ndarray, probed: np.ndarray, numbers: np.ndarray, books: list[np.ndarray], depth: int):
-    tables = np.stack([queries[:, s] @ np.pad(b, ((0, WORDS - len(b)), (0, 0))).T for s, b in zip(_slices(queries.shape[1]), books, strict=True)], axis=1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.stack([queries[:, s] @ np.pad(b, ((0, WORDS - len(b)), (0, 0))).T for s, b in zip(_slices(queries.shape[1]), books, strict=True)], axis=1)
         kept = _Kept(len(ids), depth)
         for batch in batches:
             for place, rows in _in_cells(batch, numbers):
@@ -237,7 +238,7 @@ def _candidates(index: VectorIndex, queries: DataFrame, probes: int, rerank: int
     numbers, centres, _ = _cells(index)
     books = [np.array(r["words"], float) for r in index.codebook.orderBy("slice").collect()]
     found = None
-    for ids, unit in _query_blocks(queries):
+    for _, ids, unit in _query_blocks(queries):
         probed = np.zeros((len(ids), max(len(numbers), 1)), bool)
         if len(numbers):
             order = np.argsort((centres**2).sum(1) - 2 * unit @ centres.T, axis=1)[:, :probes]
@@ -299,8 +300,7 @@ def search_exact(index: VectorIndex, queries: DataFrame, depth: int = DEPTH, pro
     schema = ", ".join(f"{k} {v.simpleString()}" for k, v in kinds.items())
     numbers, centres, radii = _cells(index)
     found = None
-    for ids, unit in _query_blocks(queries) if not index.vectors.isEmpty() else ():
-        block = queries.where(F.col("query_id").isin(ids)) if len(ids) < 1000 else queries
+    for block, ids, unit in _query_blocks(queries) if not index.vectors.isEmpty() else ():
         last = {r["query_id"]: r["score"] for r in search(index, block, depth, probes, depth).where(F.col("rank") == depth).select("query_id", "score").collect()}
         bound = np.array([np.sqrt(2 * max(last[q], 0)) if q in last else np.inf for q in ids])
         far = np.sqrt(np.maximum(1 + (centres**2).sum(1)[None, :] - 2 * unit @ centres.T, 0)) if len(numbers) else np.zeros((len(ids), 0))

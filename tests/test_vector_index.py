@@ -88,3 +88,16 @@ def test_nothing_and_other_widths(spark, tmp_path):
     assert vector_index.search_exact(one, question.where("query_id = 2")).collect() == []
     with pytest.raises(Refused):
         vector_index.build(spark.createDataFrame([("a", [0.0, 2.0]), ("b", [1.0])], schema), f"file://{tmp_path}/two")
+
+
+def test_blocks_of_queries_are_bounded_and_each_is_searched_once(spark, tmp_path, monkeypatch):
+
+    points = np.random.default_rng(4).normal(size=(300, 8))
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "chunk_id long, embedding array<double>")
+    asked = vectors.where("chunk_id < 90").withColumnRenamed("chunk_id", "query_id")
+    index = vector_index.build(vectors, f"{tmp_path}/blocks")
+    monkeypatch.setattr(vector_index, "MOST_ASKED", 40)
+    blocks = [ids for _, ids, _ in vector_index._query_blocks(asked)]
+    assert len(blocks) == 3 and sorted(q for ids in blocks for q in ids) == list(range(90))
+    want = retrieval.dense(vectors, asked, 5)
+    assert sorted(map(tuple, vector_index.search_exact(index, asked, 5).collect())) == sorted(map(tuple, want.collect()))
