@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bound_batches, delete_table, materialise, share, tidy
+from .scratch import bound_batches, delete_table, drop, materialise, share, tidy
 from .words import mix, shingle_sets
 
 MOST_LISTED = 1 << 20
@@ -154,7 +154,7 @@ def shingle_order(rows: DataFrame, n_words: int) -> Order:
         listed += histogram.get(least, 0)
     found = counted.where(F.col("level") >= least).select("level", "keys").collect()  # at most MOST_LISTED keys
     keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in found)])
-    levels = np.repeat(np.array([min(r["level"] + 1, (1 << _CLASS_BITS) - 1) for r in found], np.uint64), [len(r["keys"]) // 8 for r in found])
+    levels = np.repeat(np.array([min(r["level"] + 1, (1 << _CLASS_BITS) - 1) for r in found], np.uint8), [len(r["keys"]) // 8 for r in found])
     width = min(SEEN_BITS, max(16, sum(histogram.values()).bit_length() + 4))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,6 +357,7 @@ def linked_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = share(spark, shingle_order(rows, n_words))
     sets = materialise(rows.mapInArrow(tidy(_describe(order, n_words, percent)), _DESCRIBED), "sets")
+    drop(order)
 
     usable = sets.where("n > 0 and doc_id is not null")
     same = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("prefix").alias("prefix"))
@@ -383,6 +384,7 @@ def linked_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> D
     texts = rows.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(tidy(_sets_of(chosen, n_words)), "rep long, s1 long, s2 long, shingles binary")
     whole = texts.join(known.select("node", "rep", "s1", "s2", "n", "unit"), ["rep", "s1", "s2"]).dropDuplicates(["node"]).select("node", "n", "unit", "shingles")
     whole = materialise(whole, "whole-sets")
+    drop(chosen)
 
     sized = whole.groupBy("unit").agg(F.count(F.lit(1)).alias("many"), F.sum(8 * F.col("n")).alias("size"))
     sized = sized.where("many > 1").select("unit", F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("size") / UNIT_BYTES)).cast("int").alias("blocks"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..intermediate import materialise, shared_dir
 
-__all__ = ["bound_batches", "delete_table", "give_back", "materialise", "release", "share", "shared_dir", "table", "tidy"]
+__all__ = ["bound_batches", "delete_table", "drop", "give_back", "materialise", "release", "share", "shared_dir", "table", "tidy"]
 
 BATCH_BYTES = 8 << 20
 
@@ -39,6 +39,14 @@ def release() -> None:
         _shared.pop().unpersist()
 
 
+def drop(shared: Broadcast) -> None:
+    """Give up what was shared, the driver's own copy too, once no plan reads it any more."""
+    if shared in _shared:
+        _shared.remove(shared)
+    shared.destroy()
+    give_back()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, giving freed memory back when its task ends: Spark's Python workers live on between tasks."""
 
