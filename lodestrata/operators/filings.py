@@ -10,8 +10,11 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +51,7 @@ RANK = {item: i for i, item in enumerate(ITEMS)}
 LEAST_SECTIONS = 5
 BACKED_CHARS = 200
 TITLE_LINES = 3
+LONGEST_HEADING = 400  # characters
 TARGET_TOKENS = 512
 OVERLAP_TOKENS = 64
 
@@ -198,8 +202,8 @@ def heading(line: Column) -> Column:
     return F.pandas_udf(_headings, "items array<string>, rest string")(F.when(F.lower(line).startswith("item"), line))
 
 
-def heading_candidates(lines: DataFrame, key: str = "accession") -> DataFrame:
-    """(key, line, at, items, rest): lines that could open an Item section.
+def heading_candidates(lines: DataFrame, key: str = "accession", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, line, at, items, rest) and the columns ``also``: lines that could open an Item section.
 
     "Item 1A. ..." and combined forms, without pointers (a comma behind the number); or a line that is an
     Item's title, or a beginning of it of three words or more.
@@ -207,12 +211,12 @@ def heading_candidates(lines: DataFrame, key: str = "accession") -> DataFrame:
     spark = lines.sparkSession
     titles = spark.createDataFrame(sorted(title_prefixes().items()), "title string, by_title string")  # a fixed list
     stripped = F.trim(F.regexp_replace("raw", r"(?U)\s+", " "))
-    read = lines.where(F.length("raw") < 400).select(key, "line", "at", stripped.alias("stripped"))
+    read = lines.where(F.length("raw") < LONGEST_HEADING).select(key, "line", "at", *also, stripped.alias("stripped"))
     read = read.withColumn("title", F.when(F.length("stripped") < 200, plain_title(F.col("stripped")))).join(F.broadcast(titles), "title", "left")
     read = read.where(F.lower("stripped").startswith("item") | F.col("by_title").isNotNull()).withColumn("h", heading(F.col("stripped")))
     numbered = F.col("h.items").isNotNull()
     items = F.when(numbered, F.when(~F.col("h.rest").startswith(","), F.col("h.items"))).when(F.col("by_title").isNotNull(), F.array("by_title"))
-    found = read.select(key, "line", "at", items.alias("items"), F.when(numbered, F.col("h.rest")).otherwise(F.col("stripped")).alias("rest"))
+    found = read.select(key, "line", "at", *also, items.alias("items"), F.when(numbered, F.col("h.rest")).otherwise(F.col("stripped")).alias("rest"))
     return found.where(F.size("items") > 0)
 
 
@@ -275,33 +279,78 @@ def _chains(ranks: pd.Series, lines: pd.Series, backed: pd.Series) -> pd.Series:
     return pd.Series([best_chain([int(x) for x in r], [int(x) for x in n], [bool(x) for x in b]) for r, n, b in zip(ranks, lines, backed, strict=True)])
 
 
-def sections(docs: DataFrame, key: str = "accession", lines: DataFrame | None = None) -> DataFrame:
+def _marked(titles: list[str]):
+    """Of each text its number, its count of lines, where the last one begins, and the few lines that may be headings or
+    signatures, each with the first line behind it (of ``TITLE_LINES``) that has more than dots and dashes.
+
+    The patterns let through all that :func:`heading_candidates` and :func:`signs` take, and other lines; those decide.
+    """
+    opening = rf"^[^a-zA-Z]*(?i:item|{'|'.join(sorted({t.split()[0] for t in titles}))})"
+    signing = r"^[^a-zA-Z0-9]*(?i:signatures?)[^a-zA-Z0-9]*$|(?i:pursuant)"
+    filled = r"[^.\-:—–\t\n\x0b\f\r ]"
+
+    def marks(texts: pa.Array) -> list[pa.Array]:
+        split = pc.split_pattern(texts, "\n")
+        ends = split.offsets.to_numpy().astype(np.int64)
+        raw = split.flatten()
+        sizes = pc.utf8_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        short = np.flatnonzero(sizes <= LONGEST_HEADING)
+        hit = np.zeros(len(raw), bool)
+        hit[short] = pc.match_substring_regex(raw.take(pa.array(short)), opening).to_numpy(zero_copy_only=False)
+        hit |= pc.match_substring_regex(raw, signing).to_numpy(zero_copy_only=False)
+        hits = np.flatnonzero(hit)
+        doc = np.searchsorted(ends, hits, "right") - 1
+        below = np.full(len(hits), -1)
+        for k in range(TITLE_LINES, 0, -1):
+            inside = np.flatnonzero(hits + k < ends[doc + 1])
+            behind = hits[inside] + k
+            held = pc.match_substring_regex(raw.take(pa.array(behind)), filled).to_numpy(zero_copy_only=False)
+            below[inside[held]] = behind[held]
+        columns = [pa.array((hits - ends[doc]).astype(np.int32)), pa.array(at[hits] - at[ends[doc]]), raw.take(pa.array(hits)), raw.take(pa.array(below, mask=below < 0))]
+        listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(hits, ends).astype(np.int32)), pa.StructArray.from_arrays(columns, ["line", "at", "raw", "below"]))
+        return [pa.array(np.diff(ends).astype(np.int32)), pa.array(at[ends[1:] - 1] - at[ends[:-1]]), listed]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                piece = batch.slice(a, 256)
+                numbers = pa.array(np.arange(number, number + piece.num_rows))
+                number += piece.num_rows
+                yield pa.RecordBatch.from_arrays([numbers, piece.column(0), *marks(piece.column(1))], ["doc", "key", "total", "last_at", "marks"])
+
+    return run
+
+
+def sections(docs: DataFrame, key: str = "accession") -> DataFrame:
     """(key, item, covers, title, start_line, end_line): Item sections, and what stands before the first and
     from the signatures on under an empty item; nothing where no chain of headings is found.
 
-    lines: those of :func:`text_lines`, if they are written already; they are read several times."""
-    lines = materialise(text_lines(docs, key), "lines") if lines is None else lines
-    total = lines.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("total"), F.max(F.col("at") + F.length("raw")).alias("chars"), F.max("at").alias("last_at"))
-    candidates = heading_candidates(lines, key)
+    One pass over the texts keeps the few lines that matter; only headings are shuffled.  Rows of one key are separate texts."""
+    kind = docs.schema[key].dataType.simpleString()
+    read = docs.where("text is not null").select(key, "text").mapInArrow(_marked(list(title_prefixes())), f"doc long, key {kind}, total int, last_at long, marks array<struct<line:int,at:long,raw:string,below:string>>")
+    texts = materialise(read, "marked-lines")
+    candidates = heading_candidates(texts.select("doc", F.inline("marks")), "doc", ("below",))
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in RANK.items() for x in pair)), F.element_at("items", 1))
-    spaced = candidates.join(total, key).withColumn("next_at", F.coalesce(F.lead("at").over(Window.partitionBy(key).orderBy("line")), F.col("last_at"))).withColumn("rank", rank)
-    rows = F.sort_array(F.collect_list(F.struct("line", "rank", (F.col("next_at") - F.col("at") > BACKED_CHARS).alias("backed"), "items", "rest")))
-    gathered = spaced.groupBy(key, "total").agg(rows.alias("c"))
-    chosen = gathered.withColumn("chain", F.pandas_udf(_chains, "array<int>")(F.transform("c", lambda x: x["rank"]), F.transform("c", lambda x: x["line"]), F.transform("c", lambda x: x["backed"])))
-    heads = chosen.select(key, "total", F.explode("chain").alias("i"), "c").select(key, "total", F.get("c", F.col("i")).alias("h")).select(key, "total", F.col("h.line").alias("start_line"), F.col("h.items").alias("covers"), F.col("h.rest").alias("rest"))
-    last = heads.groupBy(key).agg(F.max("start_line").alias("last"), F.min("start_line").alias("first"), F.max("total").alias("total"))
-    signed = lines.where(signs(F.col("raw"))).join(last, key).where("line > last").groupBy(key).agg(F.min("line").alias("signature"))
-    ends = last.join(signed, key, "left").withColumn("stop", F.coalesce("signature", "total"))
+    gathered = candidates.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "at", rank.alias("rank"), "items", "rest", "below"))).alias("c"))
+    signed = F.transform(F.filter("marks", lambda x: signs(x["raw"])), lambda x: x["line"])
+    spaced = gathered.join(texts.select("doc", "key", "total", "last_at", signed.alias("signed")), "doc")
+    backed = F.transform("c", lambda x, i: F.coalesce(F.get("c", i + 1)["at"], F.col("last_at")) - x["at"] > BACKED_CHARS)
+    chain = F.pandas_udf(_chains, "array<int>")(F.transform("c", lambda x: x["rank"]), F.transform("c", lambda x: x["line"]), backed)
+    chosen = spaced.withColumn("chain", chain).where(F.size("chain") > 0).withColumn("heads", F.transform("chain", lambda i: F.get("c", i)))
+    signature = F.array_min(F.filter("signed", lambda n: n > F.element_at("heads", -1)["line"]))
+    ends = materialise(chosen.select("key", "total", "heads", signature.alias("signature")), "headings")
+    each = ends.select("key", "heads", F.coalesce("signature", "total").alias("stop"), F.posexplode("heads").alias("i", "h"))
+    each = each.select("key", F.col("h.items").alias("covers"), F.col("h.rest").alias("rest"), F.trim("h.below").alias("below"), F.col("h.line").alias("start_line"), F.coalesce(F.get("heads", F.col("i") + 1)["line"], F.col("stop")).alias("end_line"))
     bare = F.regexp_replace("rest", r"^[.\-:—–\s]+", "")
-    after = lines.where(F.regexp_replace("raw", r"[.\-:—–\s]", "") != "").select(F.col(key).alias("k2"), F.col("line").alias("l2"), F.trim("raw").alias("t2"))
-    titled = heads.join(after, (F.col(key) == F.col("k2")) & F.col("l2").between(F.col("start_line") + 1, F.col("start_line") + TITLE_LINES), "left").groupBy(key, "start_line", "covers", "rest").agg(F.min(F.struct("l2", "t2"))["t2"].alias("below"))
-    titled = titled.withColumn("opens", heading(F.col("below"))["items"].isNotNull())
+    opens = heading(F.col("below"))["items"].isNotNull()
     title = F.when(bare != "", bare).when(~F.col("opens"), F.col("below")).otherwise("")
-    body = titled.join(ends.select(key, "stop"), key).withColumn("end_line", F.coalesce(F.lead("start_line").over(Window.partitionBy(key).orderBy("start_line")), F.col("stop")))
-    body = body.select(key, F.element_at("covers", 1).alias("item"), "covers", F.regexp_replace(F.coalesce(title, F.lit("")), r"\.+$", "").alias("title"), "start_line", "end_line")
+    body = each.withColumn("opens", opens).select(F.col("key").alias(key), F.element_at("covers", 1).alias("item"), "covers", F.regexp_replace(F.coalesce(title, F.lit("")), r"\.+$", "").alias("title"), "start_line", "end_line")
     empty = [F.lit("").alias("item"), F.array().cast("array<string>").alias("covers"), F.lit("").alias("title")]
-    head = ends.where("first > 0").select(key, *empty, F.lit(0).alias("start_line"), F.col("first").alias("end_line"))
-    tail = ends.where("signature < total").select(key, *empty, F.col("signature").alias("start_line"), F.col("total").alias("end_line"))
+    first = F.get("heads", F.lit(0))["line"]
+    head = ends.where(first > 0).select(F.col("key").alias(key), *empty, F.lit(0).alias("start_line"), first.alias("end_line"))
+    tail = ends.where("signature < total").select(F.col("key").alias(key), *empty, F.col("signature").alias("start_line"), F.col("total").alias("end_line"))
     return body.unionByName(head).unionByName(tail)
 
 
@@ -338,7 +387,7 @@ def chunk_filings(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Chunks of ``docs`` (accession, ticker, period, text, page_starts) by section, or of the whole text
     under an empty item where there are no sections."""
     written = materialise(text_lines(docs), "lines")
-    found = materialise(sections(docs, lines=written), "sections") if found is None else found
+    found = materialise(sections(docs), "sections") if found is None else found
     bare = docs.join(found.select("accession").distinct(), "accession", "left_anti").select("accession", F.lit("").alias("item"), F.lit("").alias("title"), F.lit(0).alias("start_line"), F.lit(2**31 - 1).alias("end_line"))
     spans = found.select("accession", "item", "title", "start_line", "end_line").unionByName(bare)
     lines = written.withColumn("block", F.trim("raw")).where("block <> ''").withColumn("tokens", token_count(F.col("block"))).withColumnRenamed("accession", "doc")

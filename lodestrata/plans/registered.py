@@ -12,7 +12,7 @@ from ..functions.english import english_lexemes
 from ..intermediate import materialise
 from ..operators import answers, extraction, filings, gold, lexical_index, logs, retrieval, scoring, stores, vector_index
 from . import records
-from .tables import chunks, queries, table, vectors
+from .tables import chunks, dealt, queries, table, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -448,7 +448,7 @@ def _reports(spark, d):
     text_of = F.coalesce("text", F.lit(""))
     body = [x for heading, _, _ in PARTS for x in (F.lit(heading), F.lit(FILLER), text_of)]
     whole = F.concat_ws("\n", F.lit("Annual report"), *(F.lit(h) for h, _, _ in PARTS), *body, F.lit("SIGNATURES"), F.lit("Signed by."))
-    return chunks(spark, d).select(F.col("chunk_id").cast("string").alias("accession"), F.lit("T").alias("ticker"), F.lit("2024").alias("period"), whole.alias("text"), F.array(F.lit(9), F.lit(12)).alias("page_starts"))
+    return dealt(chunks(spark, d).select("chunk_id", "text")).select(F.col("chunk_id").cast("string").alias("accession"), F.lit("T").alias("ticker"), F.lit("2024").alias("period"), whole.alias("text"), F.array(F.lit(9), F.lit(12)).alias("page_starts"))
 
 
 @registered

@@ -119,3 +119,24 @@ def test_a_hundred_thousand_candidates():
     began = time.process_time()
     assert len(filings.best_chain(ranks, list(range(100_000)), [True] * 100_000)) == 23
     assert time.process_time() - began < 3
+
+
+def test_sections_read_the_texts_once(spark):
+    """Lines that are no headings leave no trace but a count: nothing is shuffled or written for them."""
+    from lodestrata.operators.filings import _marked, title_prefixes
+
+    odd = "\n".join(["  ITEM 1. Business", "--", "", "below", "x" * 5000, "an item of prose", "signatures.", "Pursuant to the requirements of Section 13 or 15(d)", "é Risk Factors", ""])
+    docs = spark.createDataFrame([("A", odd), ("A", ""), (None, filing()), ("C", None)], "accession string, text string")
+    read = docs.where("text is not null").coalesce(1).mapInArrow(_marked(list(title_prefixes())), "doc long, key string, total int, last_at long, marks array<struct<line:int,at:long,raw:string,below:string>>").orderBy("doc").collect()
+    lines = odd.split("\n")
+    assert [r.total for r in read] == [10, 1, len(filing().split("\n"))] and [r.last_at for r in read[:2]] == [len(odd), 0]
+    assert [(m.line, m.at, m.raw) for m in read[0].marks] == [(i, sum(len(x) + 1 for x in lines[:i]), lines[i]) for i in (0, 6, 7, 8)]
+    assert [m.below for m in read[0].marks] == ["below", lines[7], lines[8], None]
+    assert filings.sections(docs).where("accession is null").count() == 13  # a text without a name is a text
+
+
+def test_texts_that_share_a_name_are_separate(spark):
+    docs = spark.createDataFrame([("A", filing()), ("A", filing()), ("A", "Cover\n" + filing())], "accession string, text string")
+    got = filings.sections(docs)
+    one = filings.sections(docs.limit(1)).count()
+    assert got.count() == 3 * one and got.where("start_line = 0 and end_line = 15").count() == 1
