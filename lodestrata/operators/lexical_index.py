@@ -1,9 +1,9 @@
 """A stored lexical index: postings in blocks with each block's largest count, searched with early termination.
 
-Chunks are dealt out by ranges of chunk_id and numbered within a shard.  For each shard and lexeme there is
+Chunks are dealt out as texts and numbered within a shard in order of chunk_id.  For each shard and lexeme there is
 one row: the ranges of ``RANGE`` chunks that hold it (as gaps), the largest count in each, how many chunks
 each has, and one byte of place (the gap to the range's start) and a count of ``width`` bytes for each
-posting.  For each lexeme a second table has its document frequency, its largest count and its ``DEPTH``-th
+posting, and their sum.  For each lexeme a second table has its document frequency, its largest count and its ``DEPTH``-th
 largest block maximum: that many chunks reach it, so it bounds the score that a query's last result has.
 
 A search adds up the block maxima of a query's lexemes for each range of a shard.  Ranges are opened in the
@@ -38,7 +38,7 @@ DENSE = 16
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings: (shard, lexeme, gaps, largest, sizes, places, width, counts) and, with a null lexeme, a shard's chunk_ids;
+    """postings: (shard, lexeme, gaps, largest, sizes, places, width, counts, nentry) and, with a null lexeme, a shard's chunk_ids;
     vocabulary: (lexeme, ndoc, nentry, most, reached)."""
 
     postings: DataFrame
@@ -50,7 +50,7 @@ class LexicalIndex:
 
 
 def _postings_schema(kind: str) -> str:
-    return f"shard long, lexeme string, gaps array<int>, largest array<int>, sizes array<int>, places binary, width int, counts binary, chunk_ids array<{kind}>"
+    return f"shard long, lexeme string, gaps array<int>, largest array<int>, sizes array<int>, places binary, width int, counts binary, nentry long, chunk_ids array<{kind}>"
 
 
 def _members(code: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def _members(code: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Shard:
-    """The postings of consecutive chunks, until they are written out."""
+    """The postings of some chunks, until they are written out."""
 
     def __init__(self, number: int, kind: pa.DataType):
         self.number, self.kind = number, kind
@@ -82,12 +82,17 @@ class _Shard:
         self.ids += ids.to_pylist()
 
     def rows(self) -> Iterator[pa.RecordBatch]:
+        """Chunks are numbered in order of their ids, however they came."""
         nothing = pa.nulls(1)
-        ids = pa.array([self.ids], pa.list_(self.kind))
+        order = sorted(range(len(self.ids)), key=lambda k: (self.ids[k] is not None, self.ids[k]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids = pa.array([[self.ids[k] for k in order]], pa.list_(self.kind))
         yield self._batch([nothing.cast(k) for k in self.KINDS], ids)
         if not self.parts:
             return
         code, chunk, count = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        chunk = place[chunk]
         words = np.array(sorted(self.lexemes), object)
         rank = np.empty(len(words), np.int64)
         rank[[self.lexemes[w] for w in words]] = np.arange(len(words))
@@ -102,7 +107,7 @@ class _Shard:
                 of = _members(code, some, len(words))
                 yield self._postings(words[some], np.searchsorted(some, code[of]), chunk[of], count[of], width)
 
-    KINDS = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary())
+    KINDS = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary(), pa.int64())
 
     def _postings(self, words: np.ndarray, word: np.ndarray, chunk: np.ndarray, count: np.ndarray, width: int) -> pa.RecordBatch:
         """Rows of ``words`` for postings sorted by (place of the word, chunk)."""
@@ -117,12 +122,12 @@ class _Shard:
         listed = lambda x: pa.ListArray.from_arrays(pa.array(blocks), pa.array(x.astype(np.int32)))
         packed = lambda ends, x: pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
         return self._batch(
-            [pa.array(words, pa.string()), listed(gaps), listed(np.maximum.reduceat(count, first)), listed(np.diff(np.append(first, len(word)))), packed(bounds, (chunk % RANGE).astype(np.uint8)), pa.array(np.full(len(words), width, np.int32)), packed(bounds * width, count.astype(f"<u{width}"))],
+            [pa.array(words, pa.string()), listed(gaps), listed(np.maximum.reduceat(count, first)), listed(np.diff(np.append(first, len(word)))), packed(bounds, (chunk % RANGE).astype(np.uint8)), pa.array(np.full(len(words), width, np.int32)), packed(bounds * width, count.astype(f"<u{width}")), pa.array(np.add.reduceat(count, bounds[:-1]))],
             pa.nulls(len(words), pa.list_(self.kind)),
         )
 
     def _batch(self, columns: list[pa.Array], ids: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), self.number)), *columns, ids], ["shard", "lexeme", "gaps", "largest", "sizes", "places", "width", "counts", "chunk_ids"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), self.number)), *columns, ids], ["shard", "lexeme", "gaps", "largest", "sizes", "places", "width", "counts", "nentry", "chunk_ids"])
 
 
 def _number_and_post(kind: pa.DataType):
@@ -148,24 +153,19 @@ def build(chunks: DataFrame, path: str, words: Column | None = None) -> LexicalI
     words = lexemes(F.col("text")) if words is None else words
     kind = chunks.schema["chunk_id"].dataType
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // SHARD_CHUNKS))
-    dealt = chunks.select("chunk_id", words.alias("words")).repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id")
+    dealt = chunks.repartition(parts, "chunk_id").select("chunk_id", words.alias("words"))
     dealt.mapInArrow(_number_and_post(to_arrow_type(kind)), _postings_schema(kind.simpleString())).write.parquet(f"{path}/postings")
     rows = spark.read.parquet(f"{path}/postings").where("lexeme is not null")
-    counts = rows.select("lexeme", F.aggregate("sizes", F.lit(0).cast("long"), lambda n, k: n + k).alias("ndoc"), "largest", "width", "counts")
-    entries = counts.mapInArrow(_entries, "lexeme string, ndoc long, nentry long, largest array<int>")
-    best = entries.select("lexeme", F.explode(F.slice(F.sort_array("largest", asc=False), 1, DEPTH)).alias("n"))
-    reached = best.withColumn("r", F.row_number().over(Window.partitionBy("lexeme").orderBy(F.desc("n")))).where(F.col("r") == DEPTH).select("lexeme", F.col("n").alias("reached"))
-    totals = entries.groupBy("lexeme").agg(F.sum("ndoc").alias("ndoc"), F.sum("nentry").alias("nentry"), F.max(F.array_max("largest")).alias("most"))
+    ndoc = F.aggregate("sizes", F.lit(0).cast("long"), lambda n, k: n + k)
+    totals = rows.groupBy("lexeme").agg(F.sum(ndoc).alias("ndoc"), F.sum("nentry").alias("nentry"), F.max(F.array_max("largest")).alias("most"))
+    best = rows.select("lexeme", F.explode(F.slice(F.sort_array("largest", asc=False), 1, DEPTH)).alias("n"))
+    times = best.groupBy("lexeme", "n").agg(F.count(F.lit(1)).alias("times"))
+    upto = times.withColumn("upto", F.sum("times").over(Window.partitionBy("lexeme").orderBy(F.desc("n"))))
+    reached = upto.where(F.col("upto") >= DEPTH).groupBy("lexeme").agg(F.max("n").alias("reached"))
     totals.join(reached, "lexeme", "left").fillna({"reached": 0}).write.parquet(f"{path}/vocabulary")
     return open_index(spark, path)
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = [int(np.frombuffer(c, f"<u{w}").sum()) for c, w in zip(batch.column("counts").to_pylist(), batch.column("width").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("lexeme"), batch.column("ndoc"), pa.array(sums, pa.int64()), batch.column("largest")], ["lexeme", "ndoc", "nentry", "largest"])
-
-
 def open_index(spark: SparkSession, path: str) -> LexicalIndex:
     return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary"))
 

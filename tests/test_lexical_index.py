@@ -104,3 +104,29 @@ def test_bags_are_scored_in_one_row_for_each_shard_and_bag(spark, sf_dir, tmp_pa
     lists = {"many": (np.arange(9), np.ones(9, np.int32)), "one": (np.array([4]), np.array([7], np.int32))}
     bag, best = lexical_index._bags_of_shard(lists, {"many": np.array([5, 2]), "one": np.array([5])}, 40)
     assert bag.tolist() == [2, 5] and best.tolist() == [1, 8]
+
+
+def test_texts_are_dealt_out_before_they_are_tokenised(spark, chunks, tmp_path):
+    """Neither lists of words are shuffled nor texts tokenised twice (for the bounds of ranges), and shards in any order give the same rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        seen.add(1)
+        return (text or "").split()
+
+    made = lexical_index.build(chunks, f"file://{tmp_path}/x", words(F.col("text")))
+    assert seen.value == chunks.count()
+    for row in made.postings.where("lexeme is null").select("chunk_ids").collect():
+        assert list(row.chunk_ids) == sorted(row.chunk_ids)
+    assert rows_of(lexical_index.search(made, asked(spark))) == rows_of(retrieval.sparse(retrieval.postings(chunks), asked(spark)))
+
+
+def test_the_bound_of_the_last_result_is_the_block_maximum_of_that_rank(index):
+    from collections import defaultdict
+
+    largest = defaultdict(list)
+    for r in index.postings.where("lexeme is not null").select("lexeme", "largest").collect():
+        largest[r.lexeme] += r.largest
+    want = {w: sorted(x, reverse=True)[retrieval.DEPTH - 1] if len(x) >= retrieval.DEPTH else 0 for w, x in largest.items()}
+    assert {r.lexeme: r.reached for r in index.vocabulary.collect()} == want
