@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import rate_columns
 from ..functions.text import answer_key, normalize
 from ..guard import refuse
+from ..intermediate import materialise
 from .logs import seeded_order
 from .scoring import mcnemar
 
@@ -66,6 +67,7 @@ def classify(parsed: DataFrame, chunks: DataFrame, gold: DataFrame, places: Data
 def blind_queue(rows: DataFrame, seed: int = 20260821) -> DataFrame:
     """(key, query_id, question, gold_spans, answer): distinct answers without their arms, in seeded order."""
     keyed = rows.where("answer is not null").select(answer_key(F.col("query_id").cast("string"), F.col("answer")).alias("key"), "query_id", "question", "gold_spans", "answer")
+    keyed = keyed.repartition("key").distinct()  # by hash: only different answers are put in order for the least
     return keyed.groupBy("key", "query_id", "question", "gold_spans").agg(F.min("answer").alias("answer")).orderBy(seeded_order(seed, "key"), "key")
 
 
@@ -76,8 +78,11 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """
     keyed = rows.withColumn("key", answer_key(F.col("query_id").cast("string"), F.col("answer"))).join(verdicts.select("key", "verdict", "ambiguous"), "key", "left")
     answered = F.col("outcome").isin("unsupported", "supported_gold", "supported_nongold")
-    refuse(keyed.where(answered & F.col("answerable") & F.col("verdict").isNull()).select(F.concat(F.lit("no verdict for "), F.col("key")).alias("problem")))
-    return keyed.select(*rows.columns, (F.col("verdict") == "correct").alias("verdict_correct"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+    lacking = F.when(answered & F.col("answerable") & F.col("verdict").isNull(), F.col("key"))
+    joined = keyed.select(*rows.columns, (F.col("verdict") == "correct").alias("verdict_correct"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), lacking.alias("lacking"))
+    written = materialise(joined, "verdicts")  # looked at twice, joined once
+    refuse(written.where("lacking is not null").select(F.concat(F.lit("no verdict for "), F.col("lacking")).alias("problem")))
+    return written.drop("lacking")
 
 
 def comparisons(rows: DataFrame, confidence: float = 0.95) -> DataFrame:

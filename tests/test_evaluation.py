@@ -148,3 +148,23 @@ def test_facts_take_contexts_of_their_own_page_without_a_shuffle(spark):
     found = tagged_facts.facts(docs)
     assert sorted((r.name, r.instant or "", tuple(r.dims)) for r in found.collect()) == [("n:x", "2023-12-31", ("SegmentAxis",)), ("n:x", "2024-12-31", ("SegmentAxis",)), ("n:y", "", ()), ("n:y", "", ())]
     assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_verdicts_are_joined_once(spark):
+    """The check for answers without verdict and the result come from one join; a row is read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(outcome):
+        seen.add(1)
+        return outcome
+
+    asked = spark.createDataFrame([(1, "supported_gold", True, "a"), (2, "supported_gold", False, "b"), (3, "abstained", True, None)], "query_id long, outcome string, answerable boolean, answer string")
+    rows = asked.withColumn("outcome", counted("outcome"))
+    queue = answers.blind_queue(asked.unionByName(asked).withColumns({"question": F.lit("q"), "gold_spans": F.array(F.lit("g"))}))
+    assert [tuple(r) for r in queue.select("query_id", "answer").orderBy("query_id").collect()] == [(1, "a"), (2, "b")]
+    verdicts = queue.where("query_id = 1").select("key", F.lit("correct").alias("verdict"), F.lit(True).alias("ambiguous"))
+    got = answers.with_verdicts(rows, verdicts).orderBy("query_id").collect()
+    assert [(r.query_id, r.verdict_correct, r.ambiguous) for r in got] == [(1, True, True), (2, None, False), (3, None, False)] and seen.value == 3
+    with pytest.raises(ValueError, match="no verdict for 1:"):
+        answers.with_verdicts(rows, verdicts.limit(0))
