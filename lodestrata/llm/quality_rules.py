@@ -31,6 +31,9 @@ SLACK = 50
 FEWEST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 PAIR = 1_000_003
+BITS_AN_ID = 32  # of the bitmap: with three probes it takes about one id in 1,000 for another
+MOST_BITS = 1 << 27  # 16 MB; with over 4 million fitted ids more are taken for others, and sent
+PROBES = 3
 
 _SPACES = " \t\n\x0b\x0c\r"
 _GAP = r"[\x20\x09-\x0D]+"
@@ -135,6 +138,45 @@ def trusted_rows(trusted: DataFrame, most: int | None = None) -> DataFrame:
     return ids.select(F.col("doc_id").alias("trusted_id"), (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0).alias("fitted"))
 
 
+def _bits(key: Column, words: int) -> list[Column]:
+    """The ``PROBES`` bits of a key among 64 * ``words`` (a power of two)."""
+    h = F.xxhash64(key)
+    return [F.shiftrightunsigned(h, 21 * k).bitwiseAND(F.lit(64 * words - 1)) for k in range(PROBES)]
+
+
+def bitmap(keys: DataFrame, words: int) -> DataFrame:
+    """One row with the bits of all ``keys`` (key), as ``words`` longs in order."""
+    bit = keys.select(F.explode(F.array(*_bits(F.col("key"), words))).alias("bit"))
+    held = bit.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held"))
+    every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("word")).join(held, "word", "left")
+    one = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("held", F.lit(0).cast("long")).alias("held")))).alias("all"))
+    return one.select(F.transform("all", lambda x: x["held"]).alias("bits"))
+
+
+def in_bitmap(key: Column, bits: Column, words: int) -> Column:
+    """Whether all bits of a key are set: true for the keys of the bitmap and for few others; false for null."""
+    found = key.isNotNull()
+    for b in _bits(key, words):
+        found = found & (F.getbit(F.get(bits, (b / 64).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return found
+
+
+def marked(docs: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``fitted``: whether the doc_id is among the distinct ones of ``fitted`` (trusted_id).
+
+    The texts stay where they are: the ids' bitmap goes to every task, and so do the few ids that it takes for others.
+    Those are found by the ids alone.
+    """
+    key = docs.select("doc_id").unionByName(fitted.select(F.col("trusted_id").alias("doc_id"))).schema["doc_id"].dataType  # as a join would compare them
+    words = min(max(1 << (max(fitted.count(), 1) * BITS_AN_ID // 64).bit_length(), 64), MOST_BITS // 64)
+    held = materialise(bitmap(fitted.select(F.col("trusted_id").cast(key).alias("key")), words), "bitmap").scalar()
+    of = F.col("doc_id").cast(key)
+    likely = docs.select("doc_id").withColumn("bits", held).where(in_bitmap(of, F.col("bits"), words)).select("doc_id")
+    mistaken = materialise(likely.join(fitted, F.col("doc_id") == F.col("trusted_id"), "left_anti").select(F.col("doc_id").alias("other_id")).distinct(), "mistaken")
+    rows = docs.withColumn("bits", held).withColumn("likely", in_bitmap(of, F.col("bits"), words)).drop("bits")
+    return rows.join(F.broadcast(mistaken), F.col("doc_id") == F.col("other_id"), "left").select("doc_id", "text", (F.col("likely") & F.col("other_id").isNull()).alias("fitted"))
+
+
 def gains(counted: DataFrame, buckets: int) -> DataFrame:
     """One row with the gain of every bucket, in order; ``counted`` has (bucket, s, t) of the buckets seen."""
     every = counted.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left")
@@ -174,12 +216,11 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFr
     """One row for each of ``docs`` (doc_id, text): doc_id, the base counts, n_features, score, base_failed and kept.
 
     ``trusted`` names trusted texts by doc_id; all of them count.  The gains (one row of ``buckets`` numbers) are sent to
-    every task.  Where the trusted ids are too many to be sent as well, Spark shuffles the texts once, to count; scores
-    meet the ids without their texts.
+    every task, and so is a bitmap of the trusted ids: texts are never shuffled, and scores meet the ids without them.
     """
     ids = materialise(trusted_rows(trusted), "trusted")
     docs = docs.select("doc_id", "text")
-    rows = docs.join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    rows = marked(docs, ids.where("fitted").select("trusted_id"))
     seen = rows.select(F.explode(_once(words_of(F.col("text")), lambda ws: features(ws, buckets))).alias("bucket"), F.when(F.col("fitted"), 1).otherwise(0).alias("t"))
     counted = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("s"), F.sum("t").alias("t"))
     table = materialise(gains(counted, buckets), "gains")

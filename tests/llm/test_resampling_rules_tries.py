@@ -253,3 +253,22 @@ def test_all_trusted_rows_count_and_the_quantile_is_exact(spark):
         for share in (0.001, 0.3):
             assert quality_rules.least_kept(rows, share) == sorted(means)[max(1, -int(-share * n // 1)) - 1]
     assert quality_rules.least_kept(rows.limit(0), 0.001) is None
+
+
+@pytest.mark.parametrize("bits", [1, 32])
+def test_no_text_is_shuffled_to_find_the_trusted_ones(spark, monkeypatch, bits):
+    """Exact whatever the bitmap takes for others: with one bit an id that is most of them."""
+    monkeypatch.setattr(quality_rules, "BITS_AN_ID", bits)
+    rows = [(i if i % 97 else None, f"text {i}") for i in range(9000)] + [(6, "again"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = spark.createDataFrame([(i,) for i in range(0, 12000, 2)], "trusted_id int")
+    monkeypatch.setattr(quality_rules, "materialise", lambda df, name: df.localCheckpoint())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = quality_rules.marked(docs, fitted)
+        assert sorted(got.collect(), key=str) == sorted([(i, t, i is not None and i % 2 == 0) for i, t in rows], key=str)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
