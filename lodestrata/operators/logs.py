@@ -30,8 +30,8 @@ def symmetric_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFra
 
 
 def merge_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Overlapping [start, end) ranges of a group as one."""
-    ordered = Window.partitionBy(*by).orderBy("start", "end")
+    """Overlapping [start, end) ranges of a group as one; a range without end, read last of its start, reaches no further."""
+    ordered = Window.partitionBy(*by).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     run = F.sum(F.when(F.col("start") <= reach, 0).otherwise(1)).over(ordered)
     return ranges.withColumn("run", run).groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")

@@ -79,6 +79,12 @@ def test_logs(spark):
     assert sorted(tuple(r) for r in merged.collect()) == [(1, 0, 8), (1, 9, 10), (2, 1, 2)]
 
 
+def test_ranges_without_end_are_read_last_of_their_start(spark):
+    rows = [(1, 0, None), (1, 0, 7), (1, 3, 4), (2, None, None), (2, 1, 3), (3, 0, None), (3, 5, None), (3, 2, 11)]
+    merged = logs.merge_ranges(spark.createDataFrame(rows, "g int, start int, end int"), ["g"])
+    assert sorted(map(str, merged.collect())) == sorted(map(str, spark.createDataFrame([(1, 0, 7), (2, 1, 3), (2, None, None), (3, 0, None), (3, 2, 11)], merged.schema).collect()))
+
+
 def test_store_problems(spark):
     c = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("b", " ", 1), ("c", "p\nq", 900)], "chunk_id string, text string, tokens int")
     with pytest.raises(Refused) as e:
