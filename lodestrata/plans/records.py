@@ -107,7 +107,8 @@ def page_of_line(spark, d):
 _REPORT = """(SELECT CAST(o_orderkey AS VARCHAR) AS accession, o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)"""
 
 
-def _tagged(spark, d):
+def _tagged(spark, d, fields=None):
+    """The reports; with ``fields`` (accession, fields) also the fields to be read of each, joined while rows are narrow."""
     k, v = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
     context = lambda name, inner, member="": f'<xbrli:context id="{name}"><xbrli:entity>{member}</xbrli:entity><xbrli:period>{inner}</xbrli:period></xbrli:context>'
     span = lambda a, b: f"<xbrli:startDate>{a}</xbrli:startDate><xbrli:endDate>{b}</xbrli:endDate>"
@@ -120,7 +121,8 @@ def _tagged(spark, d):
         *(fact("us-gaap:CommonStockDividendsPerShareDeclared", f"q{n}", F.lit(x)) for n, x in enumerate(("0.44", "0.35", "0.44", "0.22"))), F.lit('<ix:nonNumeric name="dei:TradingSymbol" contextRef="y">t'), k.cast("string"), F.lit("</ix:nonNumeric></p>"),
         F.lit("<ix:nonNumeric name='us-gaap:Note' contextRef='y' continuedAt='n2'><p>Debt of "), fact("us-gaap:Debt", "i", F.lit("12"), ' scale="6"'), F.lit(" at year end</p></ix:nonNumeric><ix:continuation id='n2'>and <b>more</b></ix:continuation></html>"),
     )
-    return dealt(table(spark, d, "orders").select("o_orderkey", "o_totalprice")).select(k.cast("string").alias("accession"), html.alias("html"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", k.cast("string").alias("accession"))
+    return dealt(orders if fields is None else orders.join(fields, "accession", "left")).select("accession", html.alias("html"), *(() if fields is None else ("fields",)))
 
 
 @registered(f"""WITH r AS {_REPORT}
@@ -133,19 +135,19 @@ def _tagged(spark, d):
 def xbrl_facts(spark, d):
     """The facts with their periods; facts of one name, value and period are counted by their different places.  A
     note holds one of them, and goes on behind."""
-    f = tagged_facts.facts(_tagged(spark, d))
-    period = tagged_facts.period_label(F.struct("instant", "start", "end"))
-    return f.groupBy("accession", "name", "value", period.alias("period"), F.size("dims").alias("dims")).agg(F.count_distinct("offset").cast("int").alias("n"))
+    return tagged_facts.places(_tagged(spark, d))
 
 
 @registered(f"""WITH r AS {_REPORT} SELECT accession, 'total_assets' AS field, true AS in_year, false AS quarter, 1 AS n FROM r UNION ALL SELECT accession, 'revenue_most_recent_fy', true, false, 2 FROM r
   UNION ALL SELECT accession, 'revenue_most_recent_fy', false, false, 1 FROM r UNION ALL SELECT accession, 'dividends_declared_per_share', false, true, 4 FROM r UNION ALL SELECT accession, 'ticker', true, false, 1 FROM r""")
 def fact_periods(spark, d):
     """Facts without dimensions that answer a field, by whether they are of the fiscal year or of a quarter in it."""
-    found = tagged_facts.facts_for(tagged_facts.facts(_tagged(spark, d)))
-    f, period = F.struct("instant", "start", "end"), F.lit("2024-12-31")
     wants = F.when(F.col("field") == "total_assets", "instant").when(F.col("field") == "ticker", "").otherwise("duration")
-    return found.groupBy("accession", "field", tagged_facts.in_fiscal_year(f, period, wants).alias("in_year"), tagged_facts.quarter_within(f, period).alias("quarter")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    period = F.lit("2024-12-31")
+    kinds = F.transform("facts", lambda f: F.struct(tagged_facts.in_fiscal_year(f, period, wants).alias("in_year"), tagged_facts.quarter_within(f, period).alias("quarter")))
+    found = tagged_facts.facts_for(_tagged(spark, d)).select("accession", "field", kinds.alias("kinds"))
+    each = found.select("accession", "field", "kinds", F.explode(F.array_distinct("kinds")).alias("kind"))  # four at most
+    return each.select("accession", "field", "kind.in_year", "kind.quarter", F.size(F.filter("kinds", lambda x: x == F.col("kind"))).alias("n"))
 
 
 _CODES = """CASE WHEN k % 6 = 0 THEN 'OK' WHEN k % 6 = 1 THEN CASE WHEN v = 0 THEN 'OK' ELSE 'DIFFERS' END WHEN k % 6 = 2 THEN 'OK-SUM' WHEN k % 6 = 3 THEN 'ABSENT-BUT-TAGGED' WHEN k % 6 = 4 THEN 'NO-CONCEPT' ELSE 'OK' END"""
@@ -158,13 +160,14 @@ def _audited(spark, d):
     value = pick((v / 1000).cast("string"), (v / 500).cast("string"), F.lit("1.45"), F.lit(None).cast("string"), F.lit("Ann Example"), F.concat(F.lit("T"), k.cast("string")))
     kind = F.when(k % 6 == 3, "not_addressed").otherwise("value")
     labels = table(spark, d, "orders").select(k.cast("string").alias("accession"), field.alias("field"), F.lit("2024-12-31").alias("period"), kind.alias("answer_kind"), value.alias("value"))
-    return tagged_facts.audit(labels, tagged_facts.facts(_tagged(spark, d)))
+    labeled = labels.groupBy("accession").agg(F.collect_set("field").alias("fields"))
+    return tagged_facts.audit_pages(labels, _tagged(spark, d, labeled))
 
 
 @registered(f"""SELECT accession, 'us-gaap:Note' AS name, 'Debt of 12 at year end and more' AS text FROM {_REPORT} UNION ALL SELECT accession, 'us-gaap:Debt', '12' FROM {_REPORT} UNION ALL SELECT accession, 'dei:TradingSymbol', 't' || k FROM {_REPORT}""")
 def fact_texts(spark, d):
     """Whole texts of the facts of a note, of the fact within it, and of a symbol."""
-    return tagged_facts.facts(_tagged(spark, d)).where(F.col("name").isin("us-gaap:Note", "us-gaap:Debt", "dei:TradingSymbol")).select("accession", "name", "text")
+    return tagged_facts.facts(_tagged(spark, d), ["us-gaap:Note", "us-gaap:Debt", "dei:TradingSymbol"]).select("accession", "name", "text")
 
 
 @registered(f"""WITH r AS {_REPORT}, c AS (SELECT {_CODES} AS code FROM r) SELECT code, count(*) AS n, CASE code WHEN 'DIFFERS' THEN 'the label agrees with no fact of the year'

@@ -156,6 +156,37 @@ def test_facts_take_contexts_of_their_own_page_without_a_shuffle(spark):
     assert "Join" not in found._jdf.queryExecution().toString()
 
 
+def test_places_are_counted_on_their_page_without_a_shuffle(spark):
+    """Equal values by different scales are one, a page of another's accession is counted on its own."""
+    fact = lambda name, value, more="": f"<ix:nonFraction name='{name}' contextRef='i'{more}>{value}</ix:nonFraction>"
+    page = HTML + fact("n:x", "3,000") + fact("n:x", "3", " scale='3'") + fact("n:x", "-0") + fact("n:x", "0") + "<p>" + fact("n:t", " none ") + fact("", "1")
+    docs = spark.createDataFrame([(1, page), (1, fact("n:x", "3000")), (2, None)], "accession long, html string")
+    found = tagged_facts.places(docs)
+    got = [(r.accession, r.value, r.period, r.dims, r.n) for r in found.collect() if r.name.startswith("n:")]
+    assert sorted(got, key=str) == sorted([(1, 3000.0, "as of 2024-12-31", 0, 2), (1, 0.0, "as of 2024-12-31", 0, 2), (1, None, "as of 2024-12-31", 0, 1), (1, 3000.0, "unresolved", 0, 1)], key=str)
+    assert found.count() == 4 + 5 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_of_a_field_stay_together(spark):
+    docs = spark.createDataFrame([("a", HTML + HTML), ("b", None)], "accession string, html string")
+    found = tagged_facts.facts_for(docs)
+    got = {r.field: [(f.value, f.start or f.instant) for f in r.facts] for r in found.collect()}
+    twice = [(3256e6, "2024-01-01"), (3000e6, "2023-01-01")]  # each context is defined twice
+    assert got == {"revenue_most_recent_fy": [x for x in twice for _ in (1, 2)] * 2, "total_assets": [(-9e6, "2024-12-31")] * 4, "ticker": [(None, "2024-01-01")] * 4}
+    assert {r.field: r.n for r in tagged_facts.facts_for(docs, F.lit("2024-12-31")).select("field", F.size("facts").alias("n")).collect()} == {"revenue_most_recent_fy": 4, "total_assets": 4, "ticker": 4}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_tag_is_read_once_and_facts_by_name(spark):
+    reader = tagged_facts._Reader()
+    first = reader.page(HTML + NESTED)
+    read = len(reader.tags), len(reader.contexts), len(reader.texts)
+    assert reader.page(HTML + NESTED) == first and (len(reader.tags), len(reader.contexts), len(reader.texts)) == read
+    docs = spark.createDataFrame([("A", HTML + NESTED)], "accession string, html string")
+    all_, some = (tagged_facts.facts(docs, names).collect() for names in (None, ["n:In", "n:Long", "absent"]))
+    assert len(some) == 2 and some == [r for r in all_ if r.name in ("n:In", "n:Long")]
+
+
 def test_verdicts_are_joined_once(spark):
     """The check for answers without verdict and the result come from one join; a row is read once."""
     seen = spark.sparkContext.accumulator(0)
